@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodehours.functions import clean as C
-from nodehours.sources.tables import scratch_dir
+from nodehours.blocks import scratch_dir
 
 T0 = "2024-01-01"
 T1 = 720.0  # hours of the observation window
@@ -97,6 +97,10 @@ def reservations(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_id") % 11 == 0, "CANCELLED").otherwise("COMPLETED").alias("state"))
 
 
+def completed(spark: SparkSession, sf: str) -> DataFrame:
+    return reservations(spark, sf).where(F.col("state") == "COMPLETED")
+
+
 def queues(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUEUE_DIM, "name string, min_nodes int, max_nodes int, max_walltime_h double, "
                                  "routable boolean, max_run_per_user int, max_run_per_project int, max_nodes_total int")
@@ -194,5 +198,22 @@ FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber""",
 SELECT (epoch_us(l_shipdate) - epoch_us(TIMESTAMP '1995-01-01')) / 3.6e9::DOUBLE + l_linenumber AS start_h,
   (epoch_us(l_shipdate) - epoch_us(TIMESTAMP '1995-01-01')) / 3.6e9::DOUBLE + l_linenumber + l_quantity AS end_h,
   1 + l_partkey % 4096 AS nodes, l_returnflag FROM lineitem""",
+    "resvok_fx": "SELECT * FROM resv_fx WHERE state = 'COMPLETED'",
+    "avail_fx": """
+SELECT t_h, up, reserved, greatest(0.0, least(least(up, 10624.0), 10624.0 - reserved)) AS available FROM (
+ SELECT p.t_h, coalesce(u.up, (SELECT arg_min(up, t_h) FROM usable_fx)) AS up,
+  coalesce((SELECT sum(nodes) FROM resvok_fx r WHERE r.start_h <= p.t_h AND p.t_h < r.end_h), 0)::DOUBLE AS reserved
+ FROM (SELECT t_h FROM usable_fx UNION SELECT start_h FROM resvok_fx UNION SELECT end_h FROM resvok_fx) p
+ ASOF LEFT JOIN usable_fx u ON p.t_h >= u.t_h)""",
+    "running_fx": "SELECT *, greatest(start_h + walltime_h, 360.0::DOUBLE + 1e-9::DOUBLE) AS req_end FROM jobs_fx WHERE start_h <= 360 AND end_h > 360",
+    "profile_fx": """
+SELECT p.t_h, floor(a.available - coalesce((SELECT sum(nodes) FROM running_fx r WHERE r.req_end > p.t_h), 0) + 1e-9::DOUBLE) AS free
+FROM (SELECT req_end AS t_h FROM running_fx WHERE req_end < 420 UNION SELECT t_h FROM avail_fx WHERE t_h > 360 AND t_h < 420
+ UNION SELECT 360.0::DOUBLE UNION SELECT 420.0::DOUBLE) p ASOF LEFT JOIN avail_fx a ON p.t_h >= a.t_h""",
+    "quarters_fx": "SELECT range AS bin, range * 0.25::DOUBLE AS t_h FROM range(2880)",
+    "conc_fx": """
+SELECT q.bin, q.t_h, q.busy, coalesce((SELECT sum(nodes) FROM resvok_fx r WHERE r.start_h <= q.t_h AND q.t_h < r.end_h), 0)::DOUBLE AS reserved
+FROM (SELECT g.bin, g.t_h, coalesce(sum(j.nodes * (least(j.end_h, g.t_h + 0.25) - greatest(j.start_h, g.t_h))), 0) / 0.25::DOUBLE AS busy
+ FROM quarters_fx g LEFT JOIN jobs_fx j ON j.start_h < g.t_h + 0.25 AND j.end_h > g.t_h GROUP BY g.bin, g.t_h) q""",
     "hours_fx": "SELECT range AS bin, range * 1.0::DOUBLE AS t_h FROM range(721)",
 }

@@ -1 +1,125 @@
-"""(pending)"""
+"""Score columns, queue snapshots and budget features (P, K3)."""
+
+from pyspark.sql import functions as F
+
+from catalog import fixtures as X
+from catalog.registry import query, rnd
+from nodehours.functions import clean as C
+from nodehours.functions import score as S
+from nodehours.functions.constants import TOTAL_NODES, YEAR_H
+from nodehours.operators import priority as P
+
+INSTANTS = [100.0, 250.5, 360.0, 500.25, 719.0]
+PENDING = ("SELECT j.*, i.t_h, greatest(0.0::DOUBLE, i.t_h - j.submit_h) AS e FROM jobs_fx j, "
+           "(VALUES (100.0::DOUBLE), (250.5), (360.0), (500.25), (719.0)) AS i(t_h) WHERE j.submit_h <= i.t_h AND i.t_h < j.start_h")
+EXACT = ("base_score + score_boost + enable_wfp * 100000.0::DOUBLE * ((e*3600)**2 / least(greatest(walltime_h*3600, 21600.0), 43200.0)**3"
+         " * project_priority * nodes / 10624) + enable_backfill * least(50.0, e*3600/84600.0::DOUBLE) + enable_fifo * (e*3600) / 1800.0::DOUBLE")
+FITTED = ("base_score + score_boost + enable_wfp * (project_priority * nodes / 10624 * (e*3600/1e4)**2)"
+          " + enable_fifo * e + enable_backfill * least(50.0, e*3600/84600.0::DOUBLE)")
+AGED = "WITH a AS (SELECT *, greatest(0.0::DOUBLE, 744.0::DOUBLE - submit_h) AS e FROM jobs_fx)\n"
+
+
+def aged(s, d):
+    return X.jobs(s, d).withColumn("e", S.eligible(744.0))
+
+
+@query("p1_score_exact", AGED + f"SELECT job_id, round({EXACT}, 4) AS score FROM a")
+def _(s, d):
+    return rnd(aged(s, d).select("job_id", S.score_exact(F.col("e")).alias("score")))
+
+
+@query("p2_score_fitted", AGED + f"SELECT job_id, round({FITTED}, 4) AS score FROM a")
+def _(s, d):
+    return rnd(aged(s, d).select("job_id", S.score_fitted(F.col("e")).alias("score")))
+
+
+@query("p3_score_fifo", AGED + "SELECT job_id, round(e*3600, 7) AS fifo, round(nodes * 1e6 + e*3600, 6) AS size_fifo FROM a")
+def _(s, d):
+    return aged(s, d).select("job_id", F.round(S.score_fifo(F.col("e")), 7).alias("fifo"),
+                             F.round(S.score_size_fifo(F.col("e")), 6).alias("size_fifo"))
+
+
+def program_budgets(s):
+    p = X.programs(s)
+    b = F.col("target_share") * F.lit(TOTAL_NODES * YEAR_H)
+    return p.select("program", b.alias("budget_nh"), (b * (1 + F.col("overburn")) / 40).alias("ceiling_nh"))
+
+
+FEATURES = """
+feat AS (SELECT p.program, i.t_h, target_share, coalesce((SELECT sum(nodes * runtime_h) FROM jobs_fx j WHERE j.program = p.program AND j.start_h <= i.t_h), 0) AS d,
+  target_share * 10624 * 8760 AS b, overburn FROM programs_fx p, (VALUES (100.0::DOUBLE), (250.5), (360.0), (500.25), (719.0)) AS i(t_h)),
+feat2 AS (SELECT *, b * least(1, t_h / 8760) AS pro, CASE WHEN sum(d) OVER (PARTITION BY t_h) > 0 THEN d / sum(d) OVER (PARTITION BY t_h) ELSE 0 END AS share FROM feat),
+feat3 AS (SELECT *, CASE WHEN pro > 0 THEN d / pro ELSE 0 END AS ratio FROM feat2),
+feat4 AS (SELECT *, CASE WHEN ratio <= 1 THEN 1 ELSE exp(-6 * (ratio - 1)) END AS damp FROM feat3)"""
+
+
+@query("p4_score_aging", f"""WITH pend AS ({PENDING}), {FEATURES},
+j AS (SELECT p.job_id, p.t_h, p.nodes, p.e AS wait, f.target_share, f.share, f.damp,
+ CASE WHEN nodes <= 128 THEN 5.0 WHEN nodes <= 512 THEN 20.0 WHEN nodes <= 2048 THEN 40.0 ELSE 80.0 END::DOUBLE AS base,
+ CASE WHEN nodes <= 128 THEN 0.5 WHEN nodes <= 512 THEN 2.0 WHEN nodes <= 2048 THEN 5.0 ELSE 10.0 END::DOUBLE AS ag
+ FROM pend p JOIN feat4 f ON p.program = f.program AND p.t_h = f.t_h)
+SELECT job_id, t_h, round(base + ag*wait, 4) AS fifo_aging, round(base + 3*ag*wait, 4) AS strong_aging, round(base + ag*wait - 0.002::DOUBLE*nodes, 4) AS small_favoring,
+ round(base + ag*wait + 0.001::DOUBLE*nodes, 4) AS big_favoring, round(base + ag*wait + 5*ln(nodes), 4) AS log_size,
+ round(base + ag*wait + 30*(target_share - share), 4) AS fair_share, round((base + ag*wait)*damp, 4) AS budget_aware,
+ round(base + ag*wait + 20*(target_share - share) - 0.5::DOUBLE*ln(nodes), 4) AS combined FROM j""")
+def _(s, d):
+    p = P.pending_at(X.jobs(s, d), INSTANTS)
+    f = P.budget_features(X.jobs(s, d), program_budgets(s), "program", INSTANTS).join(X.programs(s), "program")
+    p = p.join(f.select("program", "t_h", "budget_damp", "delivered_share", "target_share"), ["program", "t_h"])
+    p = p.withColumns({"base": C.tier_value("nodes", X.tiers(), 4), "aging_rate": C.tier_value("nodes", X.tiers(), 5),
+                       "wait": S.eligible(F.col("t_h"))})
+    return rnd(p.select("job_id", "t_h", *[S.score_aging(n).alias(n) for n in S.AGING_FORMS]))
+
+
+@query("p5_score_expr", AGED + "SELECT job_id, round(CASE WHEN e > 300 THEN e ELSE walltime_h END + least(nodes, 500) + sqrt(value), 7) AS score FROM a")
+def _(s, d):
+    return rnd(S.score_expr(aged(s, d), "if(e > 300, e, walltime_h) + least(nodes, 500) + sqrt(value)",
+                            ["e", "walltime_h", "nodes", "value"]).select("job_id", "score"), 7)
+
+
+@query("p6_eligible", "SELECT job_id, round(greatest(0, 360 - submit_h), 6) AS eligible_h, round(greatest(0, 360 - submit_h) * 3600, 3) AS eligible_s FROM jobs_fx")
+def _(s, d):
+    e = S.eligible(360.0)
+    return X.jobs(s, d).select("job_id", F.round(e, 6).alias("eligible_h"), F.round(e * 3600, 3).alias("eligible_s"))
+
+
+@query("p7_queue_snapshot", f"""WITH pend AS ({PENDING}), r AS (SELECT t_h, job_id, submit_h, {EXACT} AS score FROM pend)
+SELECT t_h, job_id, round(score, 4) AS score, row_number() OVER (PARTITION BY t_h ORDER BY score DESC, submit_h, job_id) AS rank FROM r
+QUALIFY rank <= 25""")
+def _(s, d):
+    return rnd(P.queue_snapshot(X.jobs(s, d), INSTANTS, S.score_exact, cap=25).select("t_h", "job_id", "score", "rank"))
+
+
+@query("p7_queue_snapshot_full", f"""WITH pend AS ({PENDING}), r AS (SELECT t_h, job_id, submit_h, {EXACT} AS score FROM pend)
+SELECT t_h, job_id, round(score, 4) AS score, row_number() OVER (PARTITION BY t_h ORDER BY score DESC, submit_h, job_id) AS rank FROM r""")
+def _(s, d):
+    return rnd(P.queue_snapshot(X.jobs(s, d), INSTANTS, S.score_exact).select("t_h", "job_id", "score", "rank"))
+
+
+@query("k3_topk_union", f"""WITH pend AS ({PENDING}), r AS (SELECT t_h, job_id, nodes, submit_h, {FITTED} AS score FROM pend),
+w AS (SELECT *, row_number() OVER (PARTITION BY t_h ORDER BY score DESC, submit_h, job_id) AS a, row_number() OVER (PARTITION BY t_h ORDER BY nodes, submit_h, job_id) AS b FROM r)
+SELECT t_h, job_id, nodes, CASE WHEN a <= 20 THEN 'score' ELSE 'size' END AS pick, CASE WHEN a <= 20 THEN a ELSE b END AS rank FROM w WHERE a <= 20 OR b <= 20""")
+def _(s, d):
+    return P.topk_union(X.jobs(s, d), INSTANTS, S.score_fitted, 20).select("t_h", "job_id", "nodes", "pick", "rank")
+
+
+@query("p8_budget_features", f"""WITH {FEATURES.strip()}
+SELECT program, t_h, round(d, 4) AS delivered_nh, round(pro, 4) AS prorated_nh, round(ratio, 6) AS budget_ratio, round(damp, 6) AS budget_damp,
+ round(share, 6) AS delivered_share, coalesce(d > b * (1 + overburn) / 40, FALSE) AS over_ceiling FROM feat4""")
+def _(s, d):
+    f = P.budget_features(X.jobs(s, d), program_budgets(s), "program", INSTANTS)
+    return f.select("program", "t_h", *[F.round(c, 4).alias(c) for c in ("delivered_nh", "prorated_nh")],
+                    *[F.round(c, 6).alias(c) for c in ("budget_ratio", "budget_damp", "delivered_share")], "over_ceiling")
+
+
+@query("p9_project_damp", """
+WITH aw AS (SELECT project, sum(nodes * runtime_h) * 9 AS award FROM jobs_fx GROUP BY project),
+x AS (SELECT aw.project, 500.25::DOUBLE AS t_h, award, coalesce((SELECT sum(nodes * runtime_h) FROM jobs_fx j WHERE j.project = aw.project AND j.start_h <= 500.25), 0) AS d FROM aw),
+y AS (SELECT *, d / (award * least(1, t_h / 8760)) AS ratio FROM x)
+SELECT project, round(d, 4) AS delivered_nh, round(ratio, 6) AS budget_ratio, round(CASE WHEN ratio <= 1 THEN 1 ELSE exp(-6 * (ratio - 1)) END, 6) AS budget_damp FROM y""")
+def _(s, d):
+    j = X.jobs(s, d)
+    aw = j.groupBy("project").agg((F.sum(F.col("nodes") * F.col("runtime_h")) * 9).alias("budget_nh"))
+    f = P.budget_features(j, aw, "project", [500.25])
+    return f.select("project", F.round("delivered_nh", 4).alias("delivered_nh"), F.round("budget_ratio", 6).alias("budget_ratio"),
+                    F.round("budget_damp", 6).alias("budget_damp"))

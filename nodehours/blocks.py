@@ -10,10 +10,15 @@ Blocks come from two places:
 * regular grids: the grid index divided by ``GRID_BLOCK`` (bounded by design);
 * fact columns: equal-depth cut points from a quantile sketch.  The cut points
   only balance the work; any cut points give the same result.
+
+The sketch also counts the rows.  At or below ``small_rows`` one ordinary
+window does the same with fewer stages, and the count bounds what a task holds.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 GRID_BLOCK = 4096  # grid cells per block in grid-level running sums
 MAX_CUTS = 1024  # upper bound on cut points, whatever the data size
 DIM_LIMIT = 10_000  # rows allowed in a configuration dimension
+SMALL_ROWS = 1_000_000  # rows one plain window may order; setting nodehours.smallRows overrides it
 BLK = "_blk"
+_local_scratch: list[str] = []
 
 
 # --------------------------------------------------------------------------
@@ -33,6 +40,29 @@ BLK = "_blk"
 # --------------------------------------------------------------------------
 
 
+def small_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("nodehours.smallRows", str(SMALL_ROWS)))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared working folder: the one the cluster names; a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _local_scratch:
+        _local_scratch.append(tempfile.mkdtemp(prefix="run-"))
+    return _local_scratch[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows read back from a written table: lineage ends there, and executors may be lost."""
+    path = f"{scratch_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def uniform(*keys: Column | str, seed: int | str) -> Column:
     """Reproducible U[0,1) per row from its key, independent of partitioning."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -153,46 +183,54 @@ def running(
     """Running aggregates in ``order`` per ``keys``; rows with equal order count together.
 
     ``aggs`` maps an output column to (kind, column) with kind sum, min, max or
-    last.  Pass ``block`` for a regular grid, or ``cuts`` for fact rows; with
-    neither, cut points are drawn from ``order``.
+    last.  Callers pre-aggregate rows of equal (keys, order).  Pass ``block``
+    for a regular grid; otherwise cut points are drawn from ``order``, and an
+    input above ``small_rows`` is stored once before it is read again.
     """
     keys = list(keys)
     if block is not None:
         b = df.withColumn(BLK, block)
     else:
-        b = with_block(df, order, cuts or cut_points(df, order))
+        cuts = cuts or cut_points(df, order)
+        if cuts.rows <= small_rows(df):
+            w = Window.partitionBy(*keys).orderBy(order)
+            return df.select(*df.columns, *[_fold(k, F.col(c)).over(w).alias(o) for o, (k, c) in aggs.items()])
+        df = stored(df)
+        b = with_block(df, order, cuts)
     inside = Window.partitionBy(*keys, BLK).orderBy(order)
     before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     fold, carry, merge = {}, {}, {}
     for out, (kind, col) in aggs.items():
         c, k = F.col(col), F.col(f"_c_{out}")
-        if kind == "last":
-            fold[out] = F.max_by(c, F.when(c.isNotNull(), F.col(order)))
-            carry[out] = F.last(F.col(out), ignorenulls=True).over(before)
-            merge[out] = F.coalesce(F.last(c, ignorenulls=True).over(inside), k)
-        else:
-            f = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
-            fold[out] = f(c)
-            carry[out] = f(out).over(before)
-            inner = f(c).over(inside)
-            if kind == "sum":
-                merge[out] = inner + F.coalesce(k, F.lit(0))
-            else:
-                merge[out] = (F.least if kind == "min" else F.greatest)(inner, k)
+        inner = _fold(kind, c).over(inside)
+        fold[out] = F.max_by(c, F.when(c.isNotNull(), F.col(order))) if kind == "last" else _fold(kind, c)
+        carry[out] = _fold(kind, F.col(out)).over(before)
+        merge[out] = {"last": lambda: F.coalesce(inner, k), "sum": lambda: inner + F.coalesce(k, F.lit(0)),
+                      "min": lambda: F.least(inner, k), "max": lambda: F.greatest(inner, k)}[kind]()
     totals = b.groupBy(*keys, BLK).agg(*[e.alias(o) for o, e in fold.items()])
     totals = totals.select(*keys, BLK, *[e.alias(f"_c_{o}") for o, e in carry.items()])
-    names = list(df.columns)
     joined = join_on(b, totals, [*keys, BLK], "left")
-    return joined.select(*names, *[e.alias(o) for o, e in merge.items()])
+    return joined.select(*df.columns, *[e.alias(o) for o, e in merge.items()])
+
+
+def _fold(kind: str, c: Column) -> Column:
+    if kind == "last":
+        return F.last(c, ignorenulls=True)
+    return {"sum": F.sum, "min": F.min, "max": F.max}[kind](c)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column | str] = (),
              name: str = "rn", ascending: bool = True, cuts: Cuts | None = None) -> DataFrame:
     """Row number per ``keys`` by ``order`` (then ``ties``) without one task per key."""
     keys = list(keys)
-    b = with_block(df, order, cuts or cut_points(df, order))
-    blk = F.col(BLK) if ascending else -F.col(BLK)
     by = F.col(order).asc() if ascending else F.col(order).desc()
+    drawn = cuts is None
+    cuts = cuts or cut_points(df, order)
+    if drawn and cuts.rows <= small_rows(df):
+        rn = F.row_number().over(Window.partitionBy(*keys).orderBy(by, *ties))
+        return df.select(*df.columns, rn.cast("long").alias(name))
+    b = with_block(df, order, cuts)
+    blk = F.col(BLK) if ascending else -F.col(BLK)
     sizes = b.groupBy(*keys, BLK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -213,43 +251,54 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
 
     Both sides are cut into the same blocks.  Blocks in which one instant holds
     many left rows are salted, and the right rows of that block are repeated
-    for each salt, so a hot instant does not end up in one task.  ``at`` names
-    an extra output column for the matched position.
+    for each salt, so a hot instant does not end up in one task.  What a block
+    inherits from earlier ones comes from the right side's last row per block.
+    ``at`` names an extra output column for the matched position.
     """
     keys, values = list(keys), list(values)
     sign = 1 if direction == "backward" else -1
-    lcols = left.columns
+    hashed = [c for c, t in left.dtypes if not t.startswith("map")]
     lrow = left.select(*keys, (F.col(on).cast("double") * sign).alias("_t"), F.lit(1).alias("_side"),
-                       F.struct(*lcols).alias("_l"),
-                       F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]),
-                              F.lit(1 << 30)).cast("int").alias("_h"))
+                       F.struct(*left.columns).alias("_l"),
+                       F.pmod(F.xxhash64(*hashed), F.lit(1 << 30)).cast("int").alias("_h"))
     rrow = right.select(*keys, (F.col(on).cast("double") * sign).alias("_t"), F.lit(0).alias("_side"),
                         F.struct(F.col(on).cast("double").alias("_at"), *values).alias("_r"))
     rrow = rrow.where(F.col("_t").isNotNull())
-    if cuts is None:
-        cuts = cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t")
-    lrow, rrow = with_block(lrow, "_t", cuts), with_block(rrow, "_t", cuts)
-    if cuts.heavy:
-        pairs = [F.lit(x) for kv in cuts.heavy.items() for x in kv]
-        shares = F.coalesce(F.create_map(*pairs)[F.col(BLK)], F.lit(1))
-        lrow = lrow.withColumn("_salt", F.pmod("_h", shares))
-        rrow = rrow.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
-    else:
-        lrow, rrow = lrow.withColumn("_salt", F.lit(0)), rrow.withColumn("_salt", F.lit(0))
+    cuts = cuts or cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t")
+    part = [*keys]
+    small = cuts.rows <= small_rows(left)
+    if not small:
+        lrow, rrow = with_block(lrow, "_t", cuts), with_block(rrow, "_t", cuts)
+        ends = _carry(rrow, keys, len(cuts.points))
+        part.append(BLK)
+        if cuts.heavy:
+            pairs = [F.lit(x) for kv in cuts.heavy.items() for x in kv]
+            shares = F.coalesce(F.create_map(*pairs)[F.col(BLK)], F.lit(1))
+            lrow = lrow.withColumn("_salt", F.pmod("_h", shares))
+            rrow = rrow.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
+            part.append("_salt")
     both = lrow.drop("_h").unionByName(rrow, allowMissingColumns=True)
-    last = F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t")))
-    ends = both.groupBy(*keys, BLK).agg(last.alias("_e"))
-    before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, BLK, F.last("_e", ignorenulls=True).over(before).alias("_carry"))
-    inside = (Window.partitionBy(*keys, BLK, "_salt").orderBy("_t", "_side")
+    inside = (Window.partitionBy(*part).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(inside)).where(F.col("_side") == 1)
-    out = join_on(out, ends, [*keys, BLK], "left")
-    out = out.withColumn("_hit", F.coalesce("_hit", "_carry"))
+    if not small:
+        out = join_on(out, ends, [*keys, BLK], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
     extra = [F.col("_hit._at").alias(at)] if at else []
     return out.select("_l.*", *extra, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def _carry(rrow: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """Per key and block 0..top: the last right row of all earlier blocks."""
+    last = rrow.groupBy(*keys, BLK).agg(F.max_by("_r", "_t").alias("_e"))
+    if keys:
+        blocks = rrow.select(*keys).distinct().withColumn(BLK, F.explode(F.sequence(F.lit(0), F.lit(top))))
+    else:
+        blocks = rrow.sparkSession.range(top + 1).select(F.col("id").cast("int").alias(BLK))
+    full = join_on(blocks, last, [*keys, BLK], "left")
+    before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    return full.select(*keys, BLK, F.last("_e", ignorenulls=True).over(before).alias("_carry"))
+
+
 # --------------------------------------------------------------------------
 # intervals on a regular grid
 # --------------------------------------------------------------------------
@@ -261,8 +310,7 @@ def grid(spark: SparkSession, t0: float, t1: float, dt: float, closed: bool = Fa
     With ``closed`` the rows are the points t0, t0+dt, .. up to and including t1.
     """
     if closed:
-        n = int((t1 - t0) / dt + 1e-9) + 1
-        return spark.range(n).select(
+        return spark.range(n_points(t0, t1, dt)).select(
             F.col("id").alias("bin"), (F.lit(float(t0)) + F.col("id") * F.lit(float(dt))).alias("t_h"))
     n = n_bins(t0, t1, dt)
     t = F.lit(float(t0)) + F.col("id") * F.lit(float(dt))
@@ -277,10 +325,22 @@ def n_bins(t0: float, t1: float, dt: float) -> int:
     return full + (1 if t0 + full * dt < t1 - 1e-9 else 0)
 
 
-def grid_running(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    """Running sum over grid rows (column ``bin``) per key."""
-    return running(df, keys, "bin", {out: ("sum", col)},
-                   block=F.floor(F.col("bin") / GRID_BLOCK).cast("int"))
+def grid_running(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str]], bins: int,
+                 order: str = "bin") -> DataFrame:
+    """Running aggregates over the rows of a grid with ``bins`` points, per key.
+
+    The grid length bounds what one task orders; beyond ``small_rows`` points
+    the grid itself is cut into blocks.
+    """
+    if bins <= small_rows(df):
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.select(*df.columns, *[_fold(k, F.col(c)).over(w).alias(o) for o, (k, c) in aggs.items()])
+    return running(df, keys, order, aggs, block=F.floor(F.col(order) / GRID_BLOCK).cast("int"))
+
+
+def n_points(t0: float, t1: float, dt: float) -> int:
+    """Number of points t0, t0+dt, .. up to and including t1."""
+    return int((t1 - t0) / dt + 1e-9) + 1
 
 
 def fill_grid(sums: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -293,7 +353,7 @@ def fill_grid(sums: DataFrame, keys: Sequence[str], cols: Sequence[str],
     keys = list(keys)
     points = grid(sums.sparkSession, t0, t1, dt, closed)
     if keys:
-        last = (int((t1 - t0) / dt + 1e-9) + 1 if closed else n_bins(t0, t1, dt)) - 1
+        last = (n_points if closed else n_bins)(t0, t1, dt) - 1
         t = F.lit(float(t0)) + F.col("bin") * F.lit(float(dt))
         ids = sums.select(*keys).distinct()
         points = ids.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("bin"))
@@ -339,7 +399,7 @@ def bin_sums(df: DataFrame, start: str, end: str, weight: str, t0: float, t1: fl
     sums = (clipped.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*")
             .groupBy(*keys, "bin").agg(F.sum("part").alias("part"), F.sum("step").alias("step")))
     full = fill_grid(sums, keys, ["part", "step"], t0, t1, dt)
-    full = grid_running(full, keys, "step", "level")
+    full = grid_running(full, keys, {"level": ("sum", "step")}, n)
     return full.select(*keys, "bin", "t_h", "width_h",
                        (F.col("part") + F.col("level") * F.col("width_h")).alias("total"))
 
@@ -366,4 +426,5 @@ def level_on_grid(df: DataFrame, start: str, end: str, weight: str | None, t0: f
               )).alias("p")).select(*keys, "p.*")
               .groupBy(*keys, "bin").agg(F.sum("step").alias("step")))
     full = fill_grid(deltas, keys, ["step"], t0, t1, dt, closed=True)
-    return grid_running(full, keys, "step", "level").select(*keys, "bin", "t_h", "level")
+    full = grid_running(full, keys, {"level": ("sum", "step")}, n_points(t0, t1, dt))
+    return full.select(*keys, "bin", "t_h", "level")

@@ -12,25 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import BLK, Cuts, cut_points, join_on, running, with_block
-
-# Up to this many input rows the built-in `percentile` is used: its per-group
-# value map is then bounded by the same number.  Beyond it, blocks are used.
-SMALL_ROWS = 1_000_000
-
+from nodehours.blocks import BLK, Cuts, cut_points, join_on, numbered, running, small_rows, stored, with_block
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-              small_rows: int | None = None, cuts: Cuts | None = None) -> DataFrame:
+              cuts: Cuts | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per group.
 
     ``probs`` maps output columns to probabilities.  Groups without a non-null
-    value give no row.
+    value give no row.  Up to ``small_rows`` input rows the built-in
+    ``percentile`` is used (its value map per group is bounded by that number);
+    beyond it only the blocks holding a wanted rank are shuffled and ordered.
     """
     keys = list(keys)
-    limit = SMALL_ROWS if small_rows is None else small_rows
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     cuts = cuts or cut_points(data, "_v")
-    if cuts.rows <= limit:
+    if cuts.rows <= small_rows(df):
         q = F.percentile("_v", [float(p) for p in probs.values()])
         out = data.groupBy(*keys).agg(q.alias("_q"), F.count("_v").alias("_n"))
         out = out.where(F.col("_n") > 0)
@@ -147,14 +143,10 @@ def ecdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def concentration(df: DataFrame, keys: Sequence[str], entity: str, value: str) -> DataFrame:
     """Cumulative share of ``value`` by descending rank of the entity within its group."""
-    from nodehours.blocks import numbered
-
     keys = list(keys)
     per = df.groupBy(*keys, entity).agg(F.sum(value).alias(value))
-    cuts = cut_points(per, value)
-    ranked = numbered(per, keys, value, [entity], "rank", ascending=False, cuts=cuts)
-    blk = F.floor(F.col("rank") / 4096).cast("int")
-    upto = running(ranked, keys, "rank", {"_upto": ("sum", value)}, block=blk)
+    ranked = numbered(per, keys, value, [entity], "rank", ascending=False)
+    upto = running(ranked, keys, "rank", {"_upto": ("sum", value)})
     totals = per.groupBy(*keys).agg(F.sum(value).alias("_total"))
     out = join_on(upto, totals, keys) if keys else upto.withColumn("_total", totals.scalar())
     return out.select(*keys, entity, "rank", value, F.try_divide("_upto", "_total").alias("cum_share"))

@@ -16,18 +16,6 @@ PROFILE_VERSION = 1
 PROFILE_COLUMNS = ["program", "project", "nodes", "walltime_h", "rt_ratio", "runtime_h", "cal_month"]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared working folder: the one the cluster names, a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="run-")
-
-
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> str:
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return path

@@ -9,6 +9,14 @@ from nodehours import blocks as B
 from nodehours.operators import quantiles as Q
 
 
+@pytest.fixture(params=["0", "1000000"], ids=["blocks", "plain"])
+def spark(spark, request):
+    """Every test runs over blocks and over the plain path."""
+    spark.conf.set("nodehours.smallRows", request.param)
+    yield spark
+    spark.conf.unset("nodehours.smallRows")
+
+
 @pytest.fixture(scope="module")
 def sample():
     rng = np.random.default_rng(7)
@@ -72,10 +80,9 @@ def test_bin_sums_against_overlap(spark):
     assert np.allclose(lvl.level, exp)
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_quantiles_both_paths(spark, sample, small):
+def test_quantiles(spark, sample):
     probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
-    out = Q.quantiles(spark.createDataFrame(sample), ["g"], "v", probs, small_rows=small).toPandas().set_index("g")
+    out = Q.quantiles(spark.createDataFrame(sample), ["g"], "v", probs).toPandas().set_index("g")
     for g, part in sample.groupby("g"):
         for c, p in probs.items():
             assert out.loc[g, c] == pytest.approx(np.quantile(part.v, p))
@@ -106,7 +113,7 @@ def test_partition_count_does_not_matter(spark, sample, parts):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        out = Q.quantiles(spark.createDataFrame(sample).repartition(parts), [], "v", {"p": 0.9}, small_rows=0)
+        out = Q.quantiles(spark.createDataFrame(sample).repartition(parts), [], "v", {"p": 0.9})
         assert out.first().p == pytest.approx(np.quantile(sample.v, 0.9))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
