@@ -1 +1,59 @@
-"""(pending)"""
+"""Recurring findings (F)."""
+
+from pyspark.sql import functions as F
+
+from catalog import fixtures as X
+from catalog.registry import query, rnd
+from nodehours.functions import clean as C
+from nodehours.functions import score as S
+from nodehours.operators import findings as N
+
+
+@query("f1_share_over_capacity", "SELECT round(avg(CASE WHEN busy > 8000 THEN 1.0 ELSE 0.0 END), 8) AS share_over, round(max(busy), 4) AS peak FROM conc_fx")
+def _(s, d):
+    return N.share_over_capacity(X.jobs(s, d), 8000, 0.0, X.T1).select(F.round("share_over", 8).alias("share_over"), F.round("peak", 4).alias("peak"))
+
+
+@query("f2_waited_despite_free", """
+WITH lv AS (SELECT g.bin, g.t_h, 20000.0 - coalesce(sum(j.nodes), 0) AS free FROM (SELECT range AS bin, range * 0.25::DOUBLE AS t_h FROM range(2881)) g LEFT JOIN jobs_fx j ON j.start_h <= g.t_h AND g.t_h < j.end_h GROUP BY ALL),
+b AS (SELECT j.job_id, j.queue, j.nodes, j.submit_h, j.start_h, max(lv.free) AS best FROM jobs_fx j LEFT JOIN lv ON lv.t_h >= j.submit_h AND lv.t_h < j.start_h WHERE j.start_h <= 720 GROUP BY ALL)
+SELECT queue, count(*) AS n, count(*) FILTER (WHERE start_h - submit_h > 1 AND best >= nodes) AS n_avoidable, round(count(*) FILTER (WHERE start_h - submit_h > 1 AND best >= nodes) / count(*), 8) AS share FROM b GROUP BY queue""")
+def _(s, d):
+    return rnd(N.waited_despite_free(X.jobs(s, d), 20000.0, X.T1), 8)
+
+
+@query("f3_peak_concurrency", """
+WITH r AS (SELECT 'project' AS scope, queue, project AS entity, 1 AS size, start_h, end_h FROM jobs_fx UNION ALL SELECT 'queue', queue, '*', nodes, start_h, end_h FROM jobs_fx),
+e AS (SELECT scope, queue, entity, start_h AS t, size AS d FROM r WHERE end_h > start_h UNION ALL SELECT scope, queue, entity, end_h, -size FROM r WHERE end_h > start_h),
+n AS (SELECT scope, queue, entity, t, sum(d) AS d FROM e GROUP BY ALL), l AS (SELECT *, sum(d) OVER (PARTITION BY scope, queue, entity ORDER BY t) AS lvl FROM n)
+SELECT scope, queue, entity, max(lvl)::BIGINT AS peak FROM l GROUP BY ALL""")
+def _(s, d):
+    return N.peak_concurrency(X.jobs(s, d), X.queues(s))
+
+
+@query("f4_eligible_wait", """
+WITH j AS (SELECT *, CASE WHEN job_id % 4 <> 0 AND k > 50 THEN submit_h + (k - 50) / 600.0::DOUBLE ELSE submit_h END AS el FROM jobs_fx)
+SELECT queue, count(*) AS n, round(avg(has_depend::INT), 8) AS depend_share, round(quantile_cont(start_h - submit_h, 0.5), 6) AS wait_p50_h, round(quantile_cont(start_h - el, 0.5), 6) AS eligible_wait_p50_h FROM j GROUP BY queue""")
+def _(s, d):
+    et = F.when(F.col("job_id") % 4 != 0, F.col("submit_h") + (F.col("k") - 50) / 600.0)
+    t = N.eligible_wait(X.jobs(s, d).withColumn("eligible_at_h", C.arrival(et, "submit_h")))
+    return t.select("queue", "n", F.round("depend_share", 8).alias("depend_share"), F.round("wait_p50_h", 6).alias("wait_p50_h"), F.round("eligible_wait_p50_h", 6).alias("eligible_wait_p50_h"))
+
+
+@query("f5_score_regression")
+def _(s, d):
+    j = X.jobs(s, d).where(F.col("enable_wfp") == 1).withColumn("eligible_h", S.eligible(744.0))
+    j = j.withColumn("growth", S.score_exact(F.col("eligible_h")) - F.col("base_score") - F.col("score_boost"))
+    return rnd(N.score_regression(j, "growth", ["eligible_h", "nodes", "walltime_h", "project_priority"]), 6)
+
+
+@query("f5_single_factor", """
+WITH g AS (SELECT ln(GROWTH) AS y, ln(744.0::DOUBLE - submit_h) AS x FROM (SELECT *, 744.0::DOUBLE - submit_h AS e FROM jobs_fx) WHERE enable_wfp = 1),
+m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n FROM g)
+SELECT 'intercept' AS term, round(a, 6) AS coefficient, round(r2, 6) AS r2, n FROM m UNION ALL SELECT 'eligible_h', round(b, 6), round(r2, 6), n FROM m""".replace(
+    "GROWTH", "100000.0::DOUBLE * ((e*3600)**2 / least(greatest(walltime_h*3600, 21600.0), 43200.0)**3 * project_priority * nodes / 10624)"
+              " + enable_backfill * least(50.0, e*3600/84600.0::DOUBLE)"))
+def _(s, d):
+    j = X.jobs(s, d).where(F.col("enable_wfp") == 1).withColumn("eligible_h", S.eligible(744.0))
+    j = j.withColumn("growth", S.score_exact(F.col("eligible_h")) - F.col("base_score") - F.col("score_boost"))
+    return rnd(N.score_regression(j, "growth", ["eligible_h"]).drop("rmse"), 6)

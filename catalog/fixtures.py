@@ -127,6 +127,19 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
         F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), "SATURATED").otherwise("OK").alias("status"))
 
 
+def order_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """A multi-year trace from orders; some months are thin, light or absent."""
+    o = table(spark, sf, "orders")
+    key, m = F.col("o_orderkey"), F.month("o_orderdate")
+    month = (F.when((m == 3) & (key % 10 < 8), 2).when((m == 11) & (F.col("o_orderstatus") == "P"), 12).otherwise(m))
+    run = F.col("o_totalprice") / 100000.0 * F.when(month.isin(6, 7), 0.1).otherwise(1.0)
+    df = o.select(key.alias("job_id"), F.translate("o_orderstatus", "FOP", "ABC").alias("program"),
+                  F.concat(F.lit("p"), (F.col("o_custkey") % 37).cast("string")).alias("project"),
+                  F.col("o_orderdate").alias("submit_time"), (1 + (F.col("o_custkey") * 7919) % 4096).cast("int").alias("nodes"),
+                  run.alias("runtime_h"), (run * (1 + 0.5 * (key % 4))).alias("walltime_h"), month.cast("int").alias("cal_month"))
+    return df.withColumns({"rt_ratio": C.runtime_ratio("runtime_h", "walltime_h"), "size_tier": C.size_tier("nodes", tiers())})
+
+
 def big_intervals(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     start = C.hours_since("l_shipdate", "1995-01-01") + F.col("l_linenumber")
@@ -215,5 +228,13 @@ FROM (SELECT req_end AS t_h FROM running_fx WHERE req_end < 420 UNION SELECT t_h
 SELECT q.bin, q.t_h, q.busy, coalesce((SELECT sum(nodes) FROM resvok_fx r WHERE r.start_h <= q.t_h AND q.t_h < r.end_h), 0)::DOUBLE AS reserved
 FROM (SELECT g.bin, g.t_h, coalesce(sum(j.nodes * (least(j.end_h, g.t_h + 0.25) - greatest(j.start_h, g.t_h))), 0) / 0.25::DOUBLE AS busy
  FROM quarters_fx g LEFT JOIN jobs_fx j ON j.start_h < g.t_h + 0.25 AND j.end_h > g.t_h GROUP BY g.bin, g.t_h) q""",
+    "ordjobs_fx": f"""
+SELECT *, {TIER_CASE} AS size_tier, least(greatest(runtime_h / walltime_h, 0.001), 1.0) AS rt_ratio FROM (
+SELECT job_id, program, project, submit_time, nodes, cal_month, rt AS runtime_h, rt * (1 + 0.5::DOUBLE * (job_id % 4)) AS walltime_h FROM (
+SELECT *, price / 100000.0::DOUBLE * CASE WHEN cal_month IN (6, 7) THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS rt FROM (
+SELECT o_orderkey AS job_id, translate(o_orderstatus, 'FOP', 'ABC') AS program, 'p' || (o_custkey % 37)::VARCHAR AS project, o_orderdate AS submit_time,
+ (1 + (o_custkey * 7919) % 4096)::INTEGER AS nodes, o_totalprice AS price,
+ (CASE WHEN month(o_orderdate) = 3 AND o_orderkey % 10 < 8 THEN 2 WHEN month(o_orderdate) = 11 AND o_orderstatus = 'P' THEN 12 ELSE month(o_orderdate) END)::INTEGER AS cal_month FROM orders)))""",
+    "offs_fx": "SELECT j.*, ((cal_month - start_month + 12) % 12)::INTEGER AS alloc_off, start_month FROM ordjobs_fx j JOIN programs_fx USING (program)",
     "hours_fx": "SELECT range AS bin, range * 1.0::DOUBLE AS t_h FROM range(721)",
 }

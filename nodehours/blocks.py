@@ -11,8 +11,8 @@ Blocks come from two places:
 * fact columns: equal-depth cut points from a quantile sketch.  The cut points
   only balance the work; any cut points give the same result.
 
-The sketch also counts the rows.  At or below ``small_rows`` one ordinary
-window does the same with fewer stages, and the count bounds what a task holds.
+Rows are counted first.  At or below ``small_rows`` one ordinary window does
+the same with fewer stages, and the count bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -44,6 +44,12 @@ def small_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("nodehours.smallRows", str(SMALL_ROWS)))
 
 
+def is_small(*frames: DataFrame) -> bool:
+    """Whether the rows together are few enough for one plain window (counted, not guessed)."""
+    limit = small_rows(frames[0])
+    return sum(f.count() for f in frames) <= limit
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared working folder: the one the cluster names; a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -184,19 +190,18 @@ def running(
 
     ``aggs`` maps an output column to (kind, column) with kind sum, min, max or
     last.  Callers pre-aggregate rows of equal (keys, order).  Pass ``block``
-    for a regular grid; otherwise cut points are drawn from ``order``, and an
-    input above ``small_rows`` is stored once before it is read again.
+    for a regular grid; otherwise an input above ``small_rows`` is stored once
+    and cut points are drawn from ``order``.
     """
     keys = list(keys)
     if block is not None:
         b = df.withColumn(BLK, block)
     else:
-        cuts = cuts or cut_points(df, order)
-        if cuts.rows <= small_rows(df):
+        if cuts is None and is_small(df):
             w = Window.partitionBy(*keys).orderBy(order)
             return df.select(*df.columns, *[_fold(k, F.col(c)).over(w).alias(o) for o, (k, c) in aggs.items()])
         df = stored(df)
-        b = with_block(df, order, cuts)
+        b = with_block(df, order, cuts or cut_points(df, order))
     inside = Window.partitionBy(*keys, BLK).orderBy(order)
     before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     fold, carry, merge = {}, {}, {}
@@ -224,12 +229,10 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Colu
     """Row number per ``keys`` by ``order`` (then ``ties``) without one task per key."""
     keys = list(keys)
     by = F.col(order).asc() if ascending else F.col(order).desc()
-    drawn = cuts is None
-    cuts = cuts or cut_points(df, order)
-    if drawn and cuts.rows <= small_rows(df):
+    if cuts is None and is_small(df):
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(by, *ties))
         return df.select(*df.columns, rn.cast("long").alias(name))
-    b = with_block(df, order, cuts)
+    b = with_block(df, order, cuts or cut_points(df, order))
     blk = F.col(BLK) if ascending else -F.col(BLK)
     sizes = b.groupBy(*keys, BLK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
@@ -264,10 +267,10 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
     rrow = right.select(*keys, (F.col(on).cast("double") * sign).alias("_t"), F.lit(0).alias("_side"),
                         F.struct(F.col(on).cast("double").alias("_at"), *values).alias("_r"))
     rrow = rrow.where(F.col("_t").isNotNull())
-    cuts = cuts or cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t")
     part = [*keys]
-    small = cuts.rows <= small_rows(left)
+    small = cuts is None and is_small(left, right)
     if not small:
+        cuts = cuts or cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t")
         lrow, rrow = with_block(lrow, "_t", cuts), with_block(rrow, "_t", cuts)
         ends = _carry(rrow, keys, len(cuts.points))
         part.append(BLK)

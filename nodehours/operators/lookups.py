@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodehours.blocks import (asof, dim_rows, grid_running, index_of, join_on, n_points, numbered, running,
-                              small_rows, struct_array)
+                              small_rows, stored, struct_array)
 
 
 def with_queue(df: DataFrame, queues: DataFrame, defaults: dict[str, object], key: str = "queue") -> DataFrame:
@@ -199,12 +199,11 @@ def earliest_fit(requests: DataFrame, profile: DataFrame, nodes: str = "nodes",
     profile count as endless; the last point itself is no start.
     """
     sizes = sorted(r[0] for r in dim_rows(requests.select(F.col(nodes).cast("double").alias("n")).distinct(), ["n"], 100_000))
-    prof = profile.select(F.col(t).alias("t"), F.col(free).cast("double").alias("f"))
-    prof = index_of("f", sizes, prof, "c")
-    seg = numbered(prof, [], "t", name="rn")
+    prof = stored(profile.select(F.col(t).alias("t"), F.col(free).cast("double").alias("f")))
+    seg = numbered(index_of("f", sizes, prof, "c"), [], "t", name="rn")
     prev = seg.select((F.col("rn") + 1).alias("rn"), F.col("c").alias("c0"))
     seg = join_on(seg, prev, ["rn"], "left").withColumn("c0", F.coalesce("c0", F.lit(0)))
-    last = profile.agg(F.count(F.lit(1))).scalar()
+    last = prof.agg(F.count(F.lit(1))).scalar()
     lo, hi = F.least("c", "c0"), F.greatest("c", "c0")
     flips = seg.where(F.col("c") != F.col("c0")).select(
         F.explode(F.sequence(lo, hi - 1)).alias("lvl"), "t", "rn", (F.col("c") > F.col("c0")).alias("up"))

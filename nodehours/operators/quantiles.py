@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import BLK, Cuts, cut_points, join_on, numbered, running, small_rows, stored, with_block
+from nodehours.blocks import BLK, Cuts, cut_points, is_small, join_on, numbered, running, with_block
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
               cuts: Cuts | None = None) -> DataFrame:
@@ -25,13 +25,38 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    cuts = cuts or cut_points(data, "_v")
-    if cuts.rows <= small_rows(df):
+    if cuts is None and is_small(data):
         q = F.percentile("_v", [float(p) for p in probs.values()])
         out = data.groupBy(*keys).agg(q.alias("_q"), F.count("_v").alias("_n"))
         out = out.where(F.col("_n") > 0)
         return out.select(*keys, *[F.col("_q")[i].alias(c) for i, c in enumerate(probs)])
-    return _blocked_quantiles(data, keys, probs, cuts)
+    return _blocked_quantiles(data, keys, probs, cuts or cut_points(data, "_v"))
+
+
+def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
+              quants: Sequence[tuple[Column, dict[str, float]]]) -> DataFrame:
+    """Ordinary aggregates and exact quantiles per group, one row per group of ``df``.
+
+    Small inputs take one aggregation; larger ones add the block quantiles by
+    group key.  A group without values has NULL quantiles.
+    """
+    keys = list(keys) or ["_all"]
+    df = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
+    base = [c.alias(n) for n, c in aggs.items()]
+    names = [n for _, probs in quants for n in probs]
+    if is_small(df):
+        arrays = [F.percentile(c.cast("double"), [float(p) for p in probs.values()]).alias(f"_q{i}")
+                  for i, (c, probs) in enumerate(quants)]
+        out = df.groupBy(*keys).agg(*base, *arrays)
+        picked = [F.col(f"_q{i}")[j].alias(n) for i, (_, probs) in enumerate(quants) for j, n in enumerate(probs)]
+        out = out.select(*keys, *aggs, *picked)
+    else:
+        out = df.groupBy(*keys).agg(*base)
+        for c, probs in quants:
+            q = quantiles(df.select(*keys, c.cast("double").alias("_x")), keys, "_x", probs)
+            out = join_on(out, q, keys, "left")
+        out = out.select(*keys, *aggs, *names)
+    return out.drop("_all")
 
 
 def _blocked_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float], cuts: Cuts) -> DataFrame:

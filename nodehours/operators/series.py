@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.blocks import asof, bin_sums, fill_grid, grid, grid_running, join_on, level_on_grid, n_points, running
+from nodehours.blocks import asof, bin_sums, fill_grid, grid, grid_running, join_on, level_on_grid, n_points, running, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES
 from nodehours.operators.lookups import asof_step, nearest_within, step_levels
@@ -214,6 +214,7 @@ def free_profile(jobs: DataFrame, avail: DataFrame, now: float, horizon: float,
     Points are ``now``, the requested ends, the availability changes and the horizon.  ``pools`` maps dedicated pools to their size; rows with another
     value of ``pool`` use the general pool.  ``ahead`` is the running minimum.
     """
+    avail = stored(avail)  # read several times below
     pools = dict(pools or {})
     dedicated = float(sum(pools.values()))
     run = jobs.where((F.col(start) <= now) & (F.col(end) > now))
