@@ -178,9 +178,10 @@ def _(s, d):
 @query("t13_telemetry", f"""WITH lv AS {LEVEL}, dp AS {DEPTH}
 SELECT t_h, 'busy_nodes' AS metric, '_all' AS program, lvl::DOUBLE AS value FROM lv UNION ALL SELECT t_h, 'utilization', '_all', round(lvl / 9600.0::DOUBLE, 7) FROM lv
 UNION ALL SELECT t_h, 'queue_depth_tier', size_tier, depth::DOUBLE FROM dp UNION ALL SELECT t_h, 'queue_depth', '_all', sum(depth)::DOUBLE FROM dp GROUP BY t_h
-UNION ALL SELECT t_h, 'delivered_nh', program, round(nh, 7) FROM {CUM.format(k='program', g='hours_fx')}""")
+UNION ALL SELECT t_h, 'delivered_nh', program, round(nh, 4) FROM {CUM.format(k='program', g='hours_fx')}""")
 def _(s, d):
-    return rnd(T.telemetry(X.runs(s, d), X.T1, 1.0), 7)
+    t = T.telemetry(X.runs(s, d), X.T1, 1.0)
+    return t.withColumn("value", F.when(F.col("metric") == "utilization", F.round("value", 7)).otherwise(F.round("value", 4)))
 
 
 @query("t14_grid", """

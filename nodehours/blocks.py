@@ -17,6 +17,7 @@ the same with fewer stages, and the count bounds what a task holds.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections import Counter
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRID_BLOCK = 4096  # grid cells per block in grid-level running sums
 MAX_CUTS = 1024  # upper bound on cut points, whatever the data size
@@ -226,22 +228,47 @@ def _fold(kind: str, c: Column) -> Column:
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column | str] = (),
              name: str = "rn", ascending: bool = True, cuts: Cuts | None = None) -> DataFrame:
-    """Row number per ``keys`` by ``order`` (then ``ties``) without one task per key."""
+    """Row number per ``keys`` by ``order`` (then ``ties``) without one task per key.
+
+    A value of ``order`` that fills whole blocks by itself gets a block of its
+    own, which is cut again by the first tie column when that is numeric.
+    """
     keys = list(keys)
     by = F.col(order).asc() if ascending else F.col(order).desc()
     if cuts is None and is_small(df):
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(by, *ties))
         return df.select(*df.columns, rn.cast("long").alias(name))
-    b = with_block(df, order, cuts or cut_points(df, order))
+    cuts = cuts or cut_points(df, order)
+    tie = ties[0] if ties and isinstance(ties[0], str) else None
+    numeric = tie is not None and not isinstance(df.schema[tie].dataType, (T.StringType, T.BooleanType, T.BinaryType))
+    if cuts.heavy and numeric:
+        hot = {cuts.points[i - 1] for i in cuts.heavy}
+        points = tuple(sorted({*cuts.points, *(math.nextafter(v, math.inf) for v in hot)}))
+        own = [points.index(v) + 1 for v in hot]
+        b = with_block(df, order, Cuts(points, cuts.rows))
+        b = with_block(b, tie, cut_points(df, tie), "_sub").withColumn("_sub", F.when(F.col(BLK).isin(own), F.col("_sub")).otherwise(0))
+    else:
+        b = with_block(df, order, cuts).withColumn("_sub", F.lit(0))
     blk = F.col(BLK) if ascending else -F.col(BLK)
-    sizes = b.groupBy(*keys, BLK).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = join_on(b, sizes, [*keys, BLK], "left")
-    rn = F.row_number().over(Window.partitionBy(*keys, BLK).orderBy(by, *ties))
+    sizes = b.groupBy(*keys, BLK, "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(blk, "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, BLK, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = join_on(b, sizes, [*keys, BLK, "_sub"], "left")
+    rn = F.row_number().over(Window.partitionBy(*keys, BLK, "_sub").orderBy(by, *ties))
     return out.select(*df.columns, (rn + F.col("_off")).alias(name))
 
 
+def following(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], step: int = 1) -> DataFrame:
+    """Values of the next row (``step`` -1: previous row) in ``order`` per ``keys``."""
+    keys = list(keys)
+    if is_small(df):
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.select(*df.columns, *[F.lead(c, step).over(w).alias(o) for o, c in cols.items()])
+    rows = stored(numbered(df, keys, order, name="_rn"))
+    other = rows.select(*keys, (F.col("_rn") - step).alias("_rn"), *[F.col(c).alias(o) for o, c in cols.items()])
+    return join_on(rows, other, [*keys, "_rn"], "left").select(*df.columns, *cols)
+
+
 # --------------------------------------------------------------------------
 # as-of lookup
 # --------------------------------------------------------------------------

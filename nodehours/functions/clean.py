@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import join_on
+from nodehours.blocks import DIM_LIMIT, join_on
 from nodehours.functions.constants import QUEUE_DEFAULTS, RESERVATION_QUEUE, SCORING_DEFAULTS
 
 
@@ -215,11 +215,11 @@ def check_jobs(df: DataFrame, required: Sequence[str], keys: Sequence[str] = ("j
 
 
 def band_gaps(df: DataFrame, lo: str, hi: str, first: int = 1) -> DataFrame:
-    """Gaps and overlaps between adjacent size bands (a bounded dimension of distinct bands)."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(lo, hi)
-    bands = df.select(lo, hi).distinct().withColumn("prev_hi", F.lag(hi).over(w))
+    """Gaps and overlaps between adjacent size bands; the distinct bands are a size-checked dimension."""
+    bands = df.select(lo, hi).distinct()
+    if bands.limit(DIM_LIMIT + 1).count() > DIM_LIMIT:
+        raise ValueError(f"more than {DIM_LIMIT} size bands")
+    bands = bands.withColumn("prev_hi", F.lag(hi).over(Window.orderBy(lo, hi)))
     want = F.coalesce(F.col("prev_hi") + 1, F.lit(first))
     kind = F.when(F.col(lo) > want, "gap").when(F.col(lo) < want, "overlap")
     return bands.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(lo, hi, "prev_hi", "kind")
@@ -227,8 +227,6 @@ def band_gaps(df: DataFrame, lo: str, hi: str, first: int = 1) -> DataFrame:
 
 def dense_codes(df: DataFrame, cols: Sequence[str], limit: int = 100_000) -> DataFrame:
     """Replace nothing, add ``<col>_code``: 0-based rank of the value among the sorted distinct values."""
-    from pyspark.sql import Window
-
     for c in cols:
         # the window runs over the distinct categories only, whose number is checked
         cats = df.select(c).where(F.col(c).isNotNull()).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import (asof, dim_rows, grid_running, index_of, join_on, n_points, numbered, running,
+from nodehours.blocks import (asof, dim_rows, following, grid_running, index_of, join_on, n_points, running,
                               small_rows, stored, struct_array)
 
 
@@ -133,9 +133,14 @@ def grid_neighbours(series: DataFrame, t0: float, t1: float, dt: float, t: str =
     n = n_points(t0, t1, dt) - 1
     cell = F.ceil((F.col(t) - F.lit(float(t0))) / F.lit(float(dt)))
     cell = F.least(F.greatest(cell, F.lit(0)), F.lit(n + 1)).cast("long")
-    row = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
-    cells = (series.where(F.col(t).isNotNull()).groupBy(cell.alias("bin"))
-             .agg(F.max(row).alias("_last"), F.min(row).alias("_first")))
+    x, v = F.col(t), F.col(value).cast("double")
+    cells = (series.where(x.isNotNull()).groupBy(cell.alias("bin"))
+             .agg(F.max(x).alias("t1"), F.max_by(v, x).alias("v1"), F.min(x).alias("t0"), F.min_by(v, x).alias("v0")))
+
+    def pair(a, b):
+        return F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("t"), F.col(b).alias("v")))
+
+    cells = cells.select("bin", pair("t1", "v1").alias("_last"), pair("t0", "v0").alias("_first"))
     # one extra cell behind the last point holds the rows after it
     points = series.sparkSession.range(n + 2).withColumnRenamed("id", "bin")
     g = join_on(points, cells, ["bin"], "left")
@@ -143,9 +148,8 @@ def grid_neighbours(series: DataFrame, t0: float, t1: float, dt: float, t: str =
     # the first row after a point lies in the nearest later cell that has one
     g = g.withColumn("_rev", F.lit(n + 1) - F.col("bin"))
     g = grid_running(g, [], {"ahead": ("last", "_first")}, n + 2, order="_rev")
-    nxt = Window.orderBy("bin") if n + 2 <= small_rows(series) else None
-    if nxt is not None:
-        g = g.withColumn("fwd", F.lead("ahead").over(nxt))
+    if n + 2 <= small_rows(series):
+        g = g.withColumn("fwd", F.lead("ahead").over(Window.orderBy("bin")))
     else:
         g = join_on(g, g.select((F.col("bin") - 1).alias("bin"), F.col("ahead").alias("fwd")), ["bin"], "left")
     t_h = F.lit(float(t0)) + F.col("bin") * F.lit(float(dt))
@@ -194,24 +198,22 @@ def earliest_fit(requests: DataFrame, profile: DataFrame, nodes: str = "nodes",
 
     Each requested size cuts the profile into runs of sufficient capacity; only
     flips are emitted.  Per size the runs longer than every earlier run are
-    kept, so each distinct request matches exactly one of them by equality on
+    kept, so each distinct request matches at most one of them by equality on
     the size and a half-open length range.  Runs that reach the end of the
     profile count as endless; the last point itself is no start.
     """
     sizes = sorted(r[0] for r in dim_rows(requests.select(F.col(nodes).cast("double").alias("n")).distinct(), ["n"], 100_000))
     prof = stored(profile.select(F.col(t).alias("t"), F.col(free).cast("double").alias("f")))
-    seg = numbered(index_of("f", sizes, prof, "c"), [], "t", name="rn")
-    prev = seg.select((F.col("rn") + 1).alias("rn"), F.col("c").alias("c0"))
-    seg = join_on(seg, prev, ["rn"], "left").withColumn("c0", F.coalesce("c0", F.lit(0)))
-    last = prof.agg(F.count(F.lit(1))).scalar()
+    last = prof.agg(F.max("t")).scalar()
+    # c: how many of the sorted sizes fit at t
+    seg = following(index_of("f", sizes, prof, "c"), [], "t", {"c0": "c"}, -1).withColumn("c0", F.coalesce("c0", F.lit(0)))
     lo, hi = F.least("c", "c0"), F.greatest("c", "c0")
     flips = seg.where(F.col("c") != F.col("c0")).select(
-        F.explode(F.sequence(lo, hi - 1)).alias("lvl"), "t", "rn", (F.col("c") > F.col("c0")).alias("up"))
-    by_level = Window.partitionBy("lvl").orderBy("t")
-    run = flips.withColumn("end", F.coalesce(F.lead("t").over(by_level), F.lit(float("inf"))))
-    run = run.where(F.col("up") & (F.col("rn") < last)).withColumn("len", F.col("end") - F.col("t"))
-    best = F.max("len").over(by_level.rowsBetween(Window.unboundedPreceding, -1))
-    run = run.withColumn("prev_len", F.coalesce(best, F.lit(float("-inf")))).where(F.col("len") > F.col("prev_len"))
+        F.explode(F.sequence(lo, hi - 1)).alias("lvl"), "t", (F.col("c") > F.col("c0")).alias("up"))
+    run = following(flips, ["lvl"], "t", {"end": "t"}).where(F.col("up") & (F.col("t") < last))
+    run = run.select("lvl", "t", (F.coalesce("end", F.lit(float("inf"))) - F.col("t")).alias("len"))
+    best = running(run, ["lvl"], "t", {"top": ("max", "len")}).groupBy("lvl", F.col("top").alias("len")).agg(F.min("t").alias("t"))
+    run = following(best, ["lvl"], "t", {"prev_len": "len"}, -1).withColumn("prev_len", F.coalesce("prev_len", F.lit(float("-inf"))))
     req = requests.select(F.col(nodes).cast("double").alias("_n"), F.col(length).cast("double").alias("_l")).distinct()
     req = index_of("_n", sizes, req, "lvl").withColumn("lvl", F.col("lvl") - 1)
     need = F.col("_l") - F.lit(1e-9)

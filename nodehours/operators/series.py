@@ -19,63 +19,61 @@ from nodehours.operators.quantiles import quantiles
 # --------------------------------------------------------------------------
 
 
-def _window_flags(jobs: DataFrame, t0: float, t1: float, regex: str | None, queues: Sequence[str], max_run_count: int) -> DataFrame:
-    base = jobs.where(F.col("start_h").isNotNull() & F.col("end_h").isNotNull() & (F.col("nodes") > 0)
-                      & (F.col("qtime_h") < t1) & (F.col("end_h") > t0))
+def _annotate(jobs: DataFrame, t0: float, t1: float, regex: str | None, queues: Sequence[str], max_run_count: int,
+              grace: float, arrival: str) -> DataFrame:
+    """Window overlap, exclusion flags, relative times and role of every trace row; drops nothing."""
+    overlap = (F.col("start_h").isNotNull() & F.col("end_h").isNotNull() & (F.col("nodes") > 0)
+               & (F.col("qtime_h") < t1) & (F.col("end_h") > t0))
     res = F.col("queue").rlike("^(?:" + regex + ")") if regex else F.lit(False)
-    return base.withColumns({"is_res": F.coalesce(res, F.lit(False)),
-                             "is_listed": F.coalesce(F.col("queue").isin(list(queues)), F.lit(False)) if queues else F.lit(False),
-                             "is_requeued": F.coalesce(F.col("run_count"), F.lit(1)) > max_run_count})
-
-
-def _roles(flagged: DataFrame, t0: float, grace: float, arrival: str) -> DataFrame:
-    df = flagged.where(~F.col("is_res") & ~F.col("is_listed") & ~F.col("is_requeued"))
+    listed = F.col("queue").isin(list(queues)) if queues else F.lit(False)
+    df = jobs.withColumns({"overlaps": F.coalesce(overlap, F.lit(False)), "is_res": F.coalesce(res, F.lit(False)),
+                           "is_listed": F.coalesce(listed, F.lit(False)),
+                           "is_requeued": F.coalesce(F.col("run_count"), F.lit(1)) > max_run_count})
+    df = df.withColumn("kept", F.col("overlaps") & ~F.col("is_res") & ~F.col("is_listed") & ~F.col("is_requeued"))
     arrive = C.arrival("eligible_at_h", "qtime_h") if arrival == "etime" and "eligible_at_h" in df.columns else F.col("qtime_h")
     shift = F.lit(float(t0))
-    df = df.withColumns({"submit_h": arrive - shift, "qtime_h": F.col("qtime_h") - shift,
-                         "obs_start_h": F.col("start_h") - shift, "obs_end_h": F.col("end_h") - shift,
-                         "runtime_h": C.clip_runtime("runtime_h", "walltime_h", grace)})
-    df = df.withColumn("obs_wait_h", F.col("obs_start_h") - F.col("qtime_h")).where(F.col("walltime_h") > 0)
+    df = df.withColumns({"submit_h": arrive - shift, "obs_start_h": F.col("start_h") - shift, "obs_end_h": F.col("end_h") - shift,
+                         "ran_h": F.col("runtime_h"), "runtime_h": C.clip_runtime("runtime_h", "walltime_h", grace)})
+    df = df.withColumn("qtime_h", F.col("qtime_h") - shift).withColumn("obs_wait_h", F.col("obs_start_h") - F.col("qtime_h"))
     running0 = (F.col("obs_start_h") < 0) & (F.col("obs_end_h") > 0)
     queued0 = (F.col("submit_h") < 0) & (F.col("obs_start_h") >= 0)
-    role = (F.when(running0, "running_at_t0").when(queued0, "queued_at_t0").when(F.col("submit_h") >= 0, "arrival"))
-    df = df.withColumn("role", role).where(F.col("role").isNotNull())
-    return df.withColumn("initial_start_h", F.when(F.col("role") == "running_at_t0", F.col("obs_start_h")))
+    role = F.when(running0, "running_at_t0").when(queued0, "queued_at_t0").when(F.col("submit_h") >= 0, "arrival")
+    return df.withColumn("role", F.when(F.col("kept") & (F.col("walltime_h") > 0), role))
 
 
 def population(jobs: DataFrame, t0: float, t1: float, exclude_regex: str | None = None, exclude_queues: Sequence[str] = (),
                max_run_count: int = 1, grace: float = 0.0, arrival: str = "etime") -> DataFrame:
-    """Window population with roles and times relative to ``t0``.
+    """Window population with roles and times relative to ``t0``; a projection and a filter, no shuffle.
 
     Input times are hours: qtime_h (submission), start_h, end_h and optionally
     eligible_at_h.  Scoring columns are default-filled.
     """
-    df = _roles(_window_flags(jobs, t0, t1, exclude_regex, exclude_queues, max_run_count), t0, grace, arrival)
-    return C.fill_scoring(df).drop("is_res", "is_listed", "is_requeued")
+    df = _annotate(jobs, t0, t1, exclude_regex, exclude_queues, max_run_count, grace, arrival).where(F.col("role").isNotNull())
+    df = df.withColumn("initial_start_h", F.when(F.col("role") == "running_at_t0", F.col("obs_start_h")))
+    return C.fill_scoring(df).drop("overlaps", "is_res", "is_listed", "is_requeued", "kept", "ran_h")
 
 
 def population_notes(jobs: DataFrame, t0: float, t1: float, exclude_regex: str | None = None,
                      exclude_queues: Sequence[str] = (), max_run_count: int = 1, grace: float = 0.0,
                      arrival: str = "etime") -> DataFrame:
-    """Funnel of the population as one row: counts and node-hour shares of each exclusion and role."""
-    flagged = _window_flags(jobs, t0, t1, exclude_regex, exclude_queues, max_run_count)
-    nh = F.col("nodes") * F.col("runtime_h")
-    req = F.col("is_requeued") & ~F.col("is_res")
-    total = F.greatest(F.sum(nh), F.lit(1e-9))
-    funnel = flagged.agg(
-        F.count(F.lit(1)).alias("n_window_overlap"), F.count_if("is_res").alias("dropped_reservation_jobs"),
-        (F.coalesce(F.sum(F.when(F.col("is_res"), nh)), F.lit(0.0)) / total).alias("dropped_reservation_nh_frac"),
-        F.count_if(req).alias("dropped_requeued_jobs"),
-        (F.coalesce(F.sum(F.when(req, nh)), F.lit(0.0)) / total).alias("dropped_requeued_nh_frac"))
-    kept = flagged.where(~F.col("is_res") & ~F.col("is_listed") & ~F.col("is_requeued"))
-    roles = _roles(flagged, t0, grace, arrival).agg(
+    """Funnel of the population as one row, in one pass: counts and node-hour shares of each exclusion and role."""
+    df = _annotate(jobs, t0, t1, exclude_regex, exclude_queues, max_run_count, grace, arrival)
+    nh, over, res = F.col("nodes") * F.col("ran_h"), F.col("overlaps"), F.col("overlaps") & F.col("is_res")
+    req = over & F.col("is_requeued") & ~F.col("is_res")
+    total = F.greatest(F.sum(F.when(over, nh)), F.lit(1e-9))
+
+    def share(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, nh)), F.lit(0.0)) / total
+
+    arrived = F.col("role").isNotNull() & (F.col("submit_h") >= 0)
+    return df.agg(
+        F.count(F.lit(1)).alias("n_trace_rows"), F.count_if(over).alias("n_window_overlap"),
+        F.count_if(res).alias("dropped_reservation_jobs"), share(res).alias("dropped_reservation_nh_frac"),
+        F.count_if(req).alias("dropped_requeued_jobs"), share(req).alias("dropped_requeued_nh_frac"),
+        F.count_if(F.col("kept") & F.col("has_depend")).alias("n_with_depend"),
         F.count_if(F.col("role") == "running_at_t0").alias("n_running_at_t0"),
-        F.count_if(F.col("role") == "queued_at_t0").alias("n_queued_at_t0"),
-        F.count_if(F.col("submit_h") >= 0).alias("n_arrivals"),
-        F.count_if(C.moved_arrival("submit_h", "qtime_h")).alias("n_moved"))
-    cols = {"n_trace_rows": jobs.agg(F.count(F.lit(1))).scalar(), "n_with_depend": kept.agg(F.count_if("has_depend")).scalar()}
-    cols |= {c: roles.select(c).scalar() for c in roles.columns}
-    return funnel.withColumns(cols)
+        F.count_if(F.col("role") == "queued_at_t0").alias("n_queued_at_t0"), F.count_if(arrived).alias("n_arrivals"),
+        F.count_if(F.col("role").isNotNull() & C.moved_arrival("submit_h", "qtime_h")).alias("n_moved"))
 
 
 def censor(df: DataFrame, t1: float, start: str = "start_h", submit: str = "qtime_h") -> DataFrame:

@@ -54,6 +54,22 @@ def test_numbered_is_dense_and_ordered(spark, sample):
     assert (m.rn_x == m.rn_y).all() and len(m) == len(sample)
 
 
+def test_numbered_with_a_hot_value_and_ties(spark, sample):
+    out = B.numbered(spark.createDataFrame(sample), [], "t", ["id"]).toPandas()
+    exp = sample.sort_values(["t", "id"]).reset_index(drop=True)
+    exp["rn"] = exp.index + 1
+    m = out.merge(exp, on="id")
+    assert (m.rn_x == m.rn_y).all()
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_following(spark, sample, step):
+    per = sample.drop_duplicates(["g", "t"])
+    out = B.following(spark.createDataFrame(per), ["g"], "t", {"nxt": "v"}, step).toPandas().sort_values(["g", "t"])
+    exp = per.sort_values(["g", "t"]).groupby("g").v.shift(-step)
+    assert np.allclose(out.nxt.fillna(-1), exp.fillna(-1))
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 def test_asof_with_hot_instant(spark, sample, direction):
     series = pd.DataFrame({"t": [1.0, 5.0, 5.5, 40.0, 80.0], "lvl": [1, 2, 3, 4, 5]})
