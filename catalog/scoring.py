@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.registry import query, rnd
+from nodehours import blocks as B
 from nodehours.functions import clean as C
 from nodehours.functions import score as S
 from nodehours.functions.constants import TOTAL_NODES, YEAR_H
@@ -65,7 +66,7 @@ SELECT job_id, t_h, round(base + ag*wait, 4) AS fifo_aging, round(base + 3*ag*wa
 def _(s, d):
     p = P.pending_at(X.jobs(s, d), INSTANTS)
     f = P.budget_features(X.jobs(s, d), program_budgets(s), "program", INSTANTS).join(X.programs(s), "program")
-    p = p.join(f.select("program", "t_h", "budget_damp", "delivered_share", "target_share"), ["program", "t_h"])
+    p = p.join(B.small_side(f.select("program", "t_h", "budget_damp", "delivered_share", "target_share")), ["program", "t_h"])
     p = p.withColumns({"base": C.tier_value("nodes", X.tiers(), 4), "aging_rate": C.tier_value("nodes", X.tiers(), 5),
                        "wait": S.eligible(F.col("t_h"))})
     return rnd(p.select("job_id", "t_h", *[S.score_aging(n).alias(n) for n in S.AGING_FORMS]))

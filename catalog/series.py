@@ -89,7 +89,7 @@ def _(s, d):
 @query("t5_mean_available", """
 SELECT round(avg(coalesce(a.available, (SELECT arg_min(available, t_h) FROM avail_fx))), 5) AS mean_available FROM quarters_fx q ASOF LEFT JOIN avail_fx a ON q.t_h >= a.t_h""")
 def _(s, d):
-    return rnd(T.mean_available(T.availability(X.usable(s, d), X.completed(s, d), 10624), 0.0, X.T1), 5)
+    return rnd(T.mean_available(B.stored(T.availability(X.usable(s, d), X.completed(s, d), 10624)), 0.0, X.T1), 5)
 
 
 @query("t6_concurrency", "SELECT bin, t_h, round(busy, 4) AS busy, reserved, round(busy + reserved, 4) AS concurrent FROM conc_fx")

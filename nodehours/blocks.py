@@ -86,6 +86,11 @@ def dim_rows(dim: DataFrame, cols: Sequence[str], limit: int = DIM_LIMIT) -> lis
     return [tuple(r) for r in rows]
 
 
+def small_side(dim: DataFrame, limit: int = DIM_LIMIT) -> DataFrame:
+    """A dimension marked for broadcast when a count shows it small; otherwise left to a shuffle join."""
+    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+
+
 def struct_array(rows: Sequence[tuple], ddl: str) -> Column:
     """Literal array of structs from small configuration rows."""
     types = [f.strip().rsplit(" ", 1) for f in ddl.split(",")]

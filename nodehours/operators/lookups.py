@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodehours.blocks import (asof, dim_rows, following, grid_running, index_of, join_on, n_points, running,
-                              small_rows, stored, struct_array)
+                              small_rows, small_side, stored, struct_array)
 
 
 def with_queue(df: DataFrame, queues: DataFrame, defaults: dict[str, object], key: str = "queue") -> DataFrame:
     """Queue attributes by name; unknown queues and NULL attributes take the default (None: no limit).
 
-    A plain equi-join: Spark broadcasts the menu when its measured size allows.
+    The menu is broadcast when its counted size allows.
     """
     attrs = queues.select(F.col("name").alias(key), *defaults)
-    out = join_on(df, attrs, [key], "left")
+    out = join_on(df, small_side(attrs), [key], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if v is not None else F.col(c) for c, v in defaults.items()})
 
 
@@ -254,6 +254,6 @@ def cap_audit(jobs: DataFrame, queues: DataFrame, start: str = "start_h", end: s
     run = running(net, keys, "t", {"level": ("sum", "d")})
     caps = queues.select(F.col("name").alias("queue"), F.explode(F.array(*[
         F.struct(F.lit(s).alias("scope"), F.col(c).cast("long").alias("cap")) for s, c in limits.items()])).alias("c"))
-    out = join_on(run, caps.select("queue", "c.*"), ["queue", "scope"], "left")
+    out = join_on(run, small_side(caps.select("queue", "c.*")), ["queue", "scope"], "left")
     return out.groupBy(*keys).agg(F.max("level").alias("peak"), F.max("cap").alias("cap"),
                                   F.sum(F.when((F.col("level") > F.col("cap")), F.col("starts")).otherwise(0)).alias("starts_over"))

@@ -53,7 +53,8 @@ def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
     else:
         out = df.groupBy(*keys).agg(*base)
         for c, probs in quants:
-            q = quantiles(df.select(*keys, c.cast("double").alias("_x")), keys, "_x", probs)
+            data = df.select(*keys, c.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+            q = _blocked_quantiles(data, keys, probs, cut_points(data, "_v"))
             out = join_on(out, q, keys, "left")
         out = out.select(*keys, *aggs, *names)
     return out.drop("_all")
@@ -97,6 +98,12 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: C
         F.struct(F.col(a).cast("double").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
         F.struct(F.col(b).cast("double").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb"))))
     vals = df.select(*keys, sample.alias("s")).select(*keys, "s.*").where(F.col("v").isNotNull())
+    if cuts is None and is_small(vals):
+        counts = vals.groupBy(*keys, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+        every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
+        share = [F.try_divide(F.sum(c).over(upto), F.sum(c).over(every)) for c in ("na", "nb")]
+        out = counts.select(*keys, F.abs(share[0] - share[1]).alias("d")).groupBy(*keys).agg(F.max("d").alias("ks"))
+        return out.where(F.col("ks").isNotNull())
     blocked = with_block(vals, "v", cuts or cut_points(vals, "v"))
     group = Window.partitionBy(*keys)
     hist = blocked.groupBy(*keys, BLK).agg(F.sum("na").alias("ha"), F.sum("nb").alias("hb"))
@@ -136,6 +143,17 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFra
     per partner value before anything is ranked or joined.
     """
     keys = list(keys)
+    if is_small(df):
+        rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+        def rank(c: str) -> Column:
+            ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
+            return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2.0
+
+        ranks = rows.select(*keys, rank(a).alias("_ra"), rank(b).alias("_rb"))
+        s = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.corr("_ra", "_rb").alias("_rho"))
+        rho = F.when((F.col("_n") > 2) & ~F.isnan("_rho"), F.col("_rho"))
+        return s.where(F.col("_n") > 0).select(*keys, rho.alias("spearman"))
     pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
              .groupBy(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
              .agg(F.count(F.lit(1)).alias("_c0")))

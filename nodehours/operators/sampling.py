@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import Cuts, join_on, n_bins, numbered, struct_array, uniform
+from nodehours.blocks import Cuts, join_on, n_bins, numbered, small_side, struct_array, uniform
 from nodehours.functions import clean as C
 from nodehours.functions.constants import SCENARIOS, SIZE_TIERS
 from nodehours.operators.lookups import smallest_nodes_for, walltime_cap
@@ -46,7 +46,7 @@ def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int,
     cells = (sizes.withColumn("cum", F.sum("n").over(upto)).groupBy("program", "alloc_off")
              .agg(F.array_sort(F.collect_list(F.struct("cum", "n", "size_tier"))).alias("_cells"), F.sum("n").alias("_total")))
     parents = sizes.groupBy("program").agg(F.sum("n").alias("_parent"))
-    req = join_on(join_on(requests, cells, ["program", "alloc_off"], "left"), parents, ["program"])
+    req = join_on(join_on(requests, small_side(cells), ["program", "alloc_off"], "left"), small_side(parents), ["program"])
     target = F.floor(uniform(ident, seed=f"cell{seed}") * F.col("_total"))
     pick = F.try_element_at(F.filter("_cells", lambda c: c["cum"] > target), F.lit(1))
     req = req.withColumn("_pick", pick)
@@ -135,7 +135,7 @@ def expected_arrivals(rates: DataFrame, curve: DataFrame, duration_h: float, dt:
     g = rates.select(*dict.fromkeys([entity, "program"]), "rate_h", "start_month", bins)
     g = g.withColumn("t_h", F.col("bin") * F.lit(float(dt)))
     g = g.withColumn("alloc_off", C.alloc_offset(C.cal_month_at("t_h", start_month), F.col("start_month")))
-    g = join_on(g, curve.select("program", "alloc_off", "mult"), ["program", "alloc_off"], "left")
+    g = join_on(g, small_side(curve.select("program", "alloc_off", "mult")), ["program", "alloc_off"], "left")
     g = g.withColumnRenamed("mult", "_season")
     if windows:
         from nodehours.operators.lookups import deadline_mult

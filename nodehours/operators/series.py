@@ -11,7 +11,7 @@ from nodehours.blocks import asof, bin_sums, fill_grid, grid, grid_running, join
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES
 from nodehours.operators.lookups import asof_step, nearest_within, step_levels
-from nodehours.operators.quantiles import quantiles
+from nodehours.operators.quantiles import summarize
 
 
 # --------------------------------------------------------------------------
@@ -182,16 +182,15 @@ def concurrency(jobs: DataFrame, resv: DataFrame, t1: float, dt: float = 0.25, s
 
 def capacity_estimate(conc: DataFrame, q: float = 0.995, margin: int = 0, total: int = TOTAL_NODES) -> DataFrame:
     """Quantile, maximum and mean of the concurrency, and the derived capacity min(total, round(q) + margin)."""
-    s = conc.agg(F.max("concurrent").alias("max_conc"), F.avg("busy").alias("mean_busy"))
-    qv = quantiles(conc, [], "concurrent", {"q": q}).scalar()
-    return s.select(qv.alias("q_conc"), "max_conc", "mean_busy",
-                    F.least(F.lit(total), F.bround(qv).cast("long") + margin).cast("long").alias("capacity"))
+    s = summarize(conc, [], {"max_conc": F.max("concurrent"), "mean_busy": F.avg("busy")}, [(F.col("concurrent"), {"q_conc": q})])
+    cap = F.least(F.lit(total), F.bround("q_conc").cast("long") + margin).cast("long")
+    return s.select("q_conc", "max_conc", "mean_busy", cap.alias("capacity"))
 
 
 def usable_series(snapshots: DataFrame, jobs: DataFrame, resv: DataFrame, t1: float, gap: float, dt: float = 0.25,
                   up: str = "up") -> DataFrame:
     """Usable nodes on the grid: nearest snapshot within the gap, floored at the concurrency seen there."""
-    conc = concurrency(jobs, resv, t1, dt)
+    conc = stored(concurrency(jobs, resv, t1, dt))  # grid-sized, read three times
     near = nearest_within(snapshots, 0.0, t1, dt, gap, value=up)
     lastbin = conc.agg(F.max("bin")).scalar()
     edge = conc.agg(F.max_by("concurrent", "bin")).scalar()

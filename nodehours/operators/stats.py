@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import join_on, level_on_grid
+from nodehours.blocks import fill_grid, join_on, level_on_grid, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES, WAIT_QUANTILES, YEAR_H
 from nodehours.operators.quantiles import ks_distance, spearman, summarize
@@ -37,10 +37,15 @@ def queue_percentiles(df: DataFrame, key: str = "size_tier", wait: str = "wait_h
 
 
 def compare(df: DataFrame, obs: str, other: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Paired comparison of two wait columns per group; pairs with a NULL are dropped."""
-    keys = list(keys)
+    """Paired comparison of two wait columns per group; pairs with a NULL are dropped.
+
+    The narrow pairs are stored once, because every statistic reads them.
+    """
     pairs = df.select(*keys, F.col(obs).cast("double").alias("_o"), F.col(other).cast("double").alias("_s"))
-    pairs = pairs.where(F.col("_o").isNotNull() & F.col("_s").isNotNull())
+    return _compare(stored(pairs.where(F.col("_o").isNotNull() & F.col("_s").isNotNull())), list(keys))
+
+
+def _compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
     probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
     # a constant key keeps the three results on one equality join when there are no groups
     ks = keys or ["_all"]
@@ -60,15 +65,20 @@ def compare_table(df: DataFrame, queues: Sequence[str], obs: str = "obs_wait_h",
                   keys: Sequence[str] = ()) -> DataFrame:
     """The comparison for ALL, every listed queue and ``other_queues``, with counts and node-hours.
 
-    Each row counts under ALL and under its own label, in one pass.
+    Each row counts under ALL and under its own label.  The needed columns are
+    stored once, because every statistic reads them.
     """
-    keys = [*keys, "group"]
     label = F.when(F.col("queue").isin(list(queues)), F.col("queue")).otherwise("other_queues")
-    rows = df.withColumn("group", F.explode(F.array(F.lit("ALL"), label)))
+    narrow = stored(df.select(*keys, label.alias("_label"), "sim_censored", (F.col("nodes") * F.col("runtime_h")).alias("_nh"),
+                              F.col("obs_eligible_h").alias("_e"), F.col(obs).cast("double").alias("_o"),
+                              F.col(other).cast("double").alias("_s")))
+    rows = narrow.withColumn("group", F.explode(F.array(F.lit("ALL"), F.col("_label"))))
+    keys = [*keys, "group"]
     side = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_jobs"), F.count_if("sim_censored").alias("n_sim_censored"),
-        F.sum(F.col("nodes") * F.col("runtime_h")).alias("node_hours"), F.avg("obs_eligible_h").alias("obs_mean_eligible_h"))
-    return join_on(side, compare(rows, obs, other, keys), keys, "left")
+        F.sum("_nh").alias("node_hours"), F.avg("_e").alias("obs_mean_eligible_h"))
+    pairs = rows.where(F.col("_o").isNotNull() & F.col("_s").isNotNull()).select(*keys, "_o", "_s")
+    return join_on(side, _compare(pairs, keys), keys, "left")
 
 
 def comparison_window(df: DataFrame, warmup_h: float, end_h: float, submit: str = "submit_h") -> DataFrame:
@@ -143,7 +153,9 @@ def breakdowns_wide(long: DataFrame, names: Sequence[tuple[str, str]], metrics:
 
 def project_usage(jobs: DataFrame, awards: DataFrame) -> DataFrame:
     """Per awarded project: program, delivered node-hours (credited at start), award, percent used."""
-    per = jobs.groupBy("project").agg(F.min_by("program", F.struct("submit_h", "job_id")).alias("program"), _credited().alias("_d"))
+    # hash-aggregate the jobs first; which program came first is decided on the small result
+    per = jobs.groupBy("project", "program").agg(F.min("submit_h").alias("_first"), _credited().alias("_d"))
+    per = per.groupBy("project").agg(F.min_by("program", F.struct("_first", "program")).alias("program"), F.sum("_d").alias("_d"))
     out = join_on(awards.select("project", "award_nh"), per, ["project"], "left")
     d = F.coalesce("_d", F.lit(0.0))
     return out.select("project", F.coalesce("program", F.lit("?")).alias("program"), d.alias("delivered_nh"), "award_nh",
@@ -230,8 +242,6 @@ def describe_by(df: DataFrame, key: str, span_h: Column) -> DataFrame:
 
 def uplift(jobs: DataFrame, windows: Sequence[tuple[str, int, int]], days: int, submit: str = "submit_h") -> DataFrame:
     """Mean daily submissions inside each window (first and last day included) over the mean outside all windows."""
-    from nodehours.blocks import fill_grid
-
     per = jobs.groupBy(F.floor(F.col(submit) / 24).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     daily = fill_grid(per, [], ["n"], 0.0, float(days), 1.0)
     inside = {name: (F.col("bin") >= max(0, lo)) & (F.col("bin") <= min(days - 1, hi)) for name, lo, hi in windows}

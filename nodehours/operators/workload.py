@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.blocks import join_on
+from nodehours.blocks import join_on, small_side
 from nodehours.functions import clean as C
 from nodehours.functions.constants import YEAR_H
 
@@ -13,7 +13,7 @@ from nodehours.functions.constants import YEAR_H
 def with_offset(df: DataFrame, programs: DataFrame, month: str = "cal_month") -> DataFrame:
     """Month offset since the allocation year of each row's program started."""
     dim = programs.select("program", "start_month")
-    out = join_on(df, dim, ["program"])
+    out = join_on(df, small_side(dim), ["program"])
     return out.withColumn("alloc_off", C.alloc_offset(month, F.col("start_month"))).drop("start_month")
 
 
@@ -62,7 +62,7 @@ def burn_curve(df: DataFrame, programs: DataFrame, min_coverage: float = 0.40, m
     year = year.withColumn("_norm", mean_of(only_present(F.col("_smooth"))))
     final = F.transform("_smooth", lambda x, i: F.when(smooths & (F.col("_n")[i] > 0) & (F.col("_norm") > 0), x / F.col("_norm")).otherwise(x))
     rows = year.select("program", F.posexplode(final).alias("alloc_off", "mult"))
-    rows = join_on(rows, programs.select("program", "start_month"), ["program"])
+    rows = join_on(rows, small_side(programs.select("program", "start_month")), ["program"])
     month = (F.pmod(F.col("alloc_off") + F.col("start_month") - 1, F.lit(12)) + 1).cast("int")
     return rows.select("program", "alloc_off", month.alias("cal_month"), "mult")
 

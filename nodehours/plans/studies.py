@@ -41,9 +41,7 @@ def compare_window(jobs: DataFrame, t0: float, t1: float, other_wait: str, queue
     horizon = F.lit(float(t1 - t0))
     pop = pop.withColumns({"sim_censored": F.col(other_wait).isNull(),
                            "sim_wait_lb_h": F.coalesce(F.col(other_wait), horizon - F.col("qtime_h"))})
-    cols = ["role", "queue", "submit_h", "nodes", "runtime_h", "obs_wait_h", "obs_eligible_h", "sim_wait_lb_h", "sim_censored"]
-    window = stored(A.comparison_window(pop.select(*cols), warmup_h, t1 - t0 - cooldown_h))  # read by every statistic
-    table = A.compare_table(window, queues)
+    table = A.compare_table(A.comparison_window(pop, warmup_h, t1 - t0 - cooldown_h), queues)
     return table, A.fit_summary(table, queues)
 
 
