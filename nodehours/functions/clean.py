@@ -36,15 +36,26 @@ def hms_hours(x: Column | str, two_part: bool = False) -> Column:
     return F.when(size == 3, full).when(size == 2, p[0] / 60.0 + p[1] / 3600.0)
 
 
-def ts_lenient(x: Column | str, fmt: str | None = None) -> Column:
-    """Timestamp without zone, NULL when unparsable."""
-    return F.coalesce(F.try_to_timestamp(_c(x), F.lit(fmt)) if fmt else F.try_to_timestamp(_c(x))).cast("timestamp_ntz")
+def ts_lenient(x: Column | str) -> Column:
+    """ISO text or timestamp to a timestamp without zone, NULL when unparsable; independent of the session zone."""
+    return _c(x).try_cast("timestamp_ntz")
+
+
+# fixed values: English month names, three letters each
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def ts_weekday(x: Column | str) -> Column:
     """``Mon Mar 02 10:11:12 2026``; the weekday name carries no information."""
-    rest = F.regexp_replace(_c(x), r"^[A-Za-z]{3}\s+", "")
-    return ts_lenient(F.regexp_replace(rest, r"\s+", " "), "MMM d HH:mm:ss yyyy")
+    pattern = r"^\s*[A-Za-z]{3}\s+([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{1,2}:\d{2}:\d{2})\s+(\d{4})\s*$"
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(_c(x), pattern, i)
+
+    at = F.position(part(1), F.lit(MONTHS))
+    month = F.when((F.length(part(1)) == 3) & (F.pmod(at, F.lit(3)) == 1), F.floor((at + 2) / 3))
+    iso = F.concat(part(4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit(" "), part(3))
+    return iso.try_cast("timestamp_ntz")
 
 
 def json_fields(df: DataFrame, col: str, plain: Sequence[str] = (), nested: Mapping[str, Sequence[str]] | None = None,
@@ -68,9 +79,15 @@ def parse_limit(x: Column | str, prefix: str) -> Column:
 
 
 def hours_since(ts: Column | str, origin: Column | str) -> Column:
-    """Hours from ``origin`` (timestamp text or column) to ``ts``; zone-independent."""
-    o = F.lit(origin).cast("timestamp_ntz") if isinstance(origin, str) else origin
-    return F.timestamp_diff("MICROSECOND", o, _c(ts)) / F.lit(3.6e9)
+    """Hours from ``origin`` (timestamp text or column) to ``ts``, by wall clock.
+
+    The difference of two zone-free timestamps is an interval that knows no
+    daylight saving; its microseconds are exact in a double.
+    """
+    o = F.lit(origin) if isinstance(origin, str) else origin
+    span = _c(ts).cast("timestamp_ntz") - o.cast("timestamp_ntz")
+    seconds = span.cast("interval second").cast("decimal(18,6)").cast("double")
+    return F.rint(seconds * 1e6) / F.lit(3.6e9)
 
 
 def wait_hours(queue_s: Column | str, start: Column | str, submit: Column | str) -> Column:

@@ -40,8 +40,8 @@ def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
     Small inputs take one aggregation; larger ones add the block quantiles by
     group key.  A group without values has NULL quantiles.
     """
-    keys = list(keys) or ["_all"]
-    df = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
+    keys = list(keys) or ["_every"]
+    df = df.withColumn("_every", F.lit(0)) if keys == ["_every"] else df
     base = [c.alias(n) for n, c in aggs.items()]
     names = [n for _, probs in quants for n in probs]
     if is_small(df):
@@ -57,7 +57,7 @@ def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
             q = _blocked_quantiles(data, keys, probs, cut_points(data, "_v"))
             out = join_on(out, q, keys, "left")
         out = out.select(*keys, *aggs, *names)
-    return out.drop("_all")
+    return out.drop("_every")
 
 
 def _blocked_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float], cuts: Cuts) -> DataFrame:
