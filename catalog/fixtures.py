@@ -22,6 +22,11 @@ BREAKPOINTS = [(1, 4.0), (512, 8.0), (1920, 24.0)]
 DEADLINES = [("d1", 48.0, 96.0, 2.0), ("d2", 240.0, 360.0, 1.5), ("d3", 336.0, 400.0, 3.0)]
 
 
+def prop_k():
+    """The integer of props, whose text is always {"k": <int>}."""
+    return F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -32,7 +37,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = prop_k()
     eid, uid = F.col("event_id"), F.col("user_id")
     submit = C.hours_since("ts", T0)
     run = F.col("value") / 60.0
@@ -89,7 +94,7 @@ def usable(spark: SparkSession, sf: str) -> DataFrame:
 
 def reservations(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").where(F.col("event_type") == "signup")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = prop_k()
     start = C.hours_since("ts", T0)
     return e.where(k < 5).select(
         F.col("event_id").alias("reservation_id"), start.alias("start_h"), (start + F.col("value") / 10.0).alias("end_h"),

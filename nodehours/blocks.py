@@ -46,10 +46,14 @@ def small_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("nodehours.smallRows", str(SMALL_ROWS)))
 
 
-def is_small(*frames: DataFrame) -> bool:
-    """Whether the rows together are few enough for one plain window (counted, not guessed)."""
+def is_small(*frames: DataFrame, at_most: int | None = None) -> bool:
+    """Whether the rows together are few enough for one plain window (counted, not guessed).
+
+    ``at_most`` is a bound the caller counted on the inputs of a derived table,
+    so that the table need not be computed only to be counted.
+    """
     limit = small_rows(frames[0])
-    return sum(f.count() for f in frames) <= limit
+    return (sum(f.count() for f in frames) if at_most is None else at_most) <= limit
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -192,6 +196,7 @@ def running(
     aggs: dict[str, tuple[str, str]],
     cuts: Cuts | None = None,
     block: Column | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Running aggregates in ``order`` per ``keys``; rows with equal order count together.
 
@@ -204,7 +209,7 @@ def running(
     if block is not None:
         b = df.withColumn(BLK, block)
     else:
-        if cuts is None and is_small(df):
+        if cuts is None and is_small(df, at_most=at_most):
             w = Window.partitionBy(*keys).orderBy(order)
             return df.select(*df.columns, *[_fold(k, F.col(c)).over(w).alias(o) for o, (k, c) in aggs.items()])
         df = stored(df)
@@ -232,7 +237,7 @@ def _fold(kind: str, c: Column) -> Column:
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column | str] = (),
-             name: str = "rn", ascending: bool = True, cuts: Cuts | None = None) -> DataFrame:
+             name: str = "rn", ascending: bool = True, cuts: Cuts | None = None, at_most: int | None = None) -> DataFrame:
     """Row number per ``keys`` by ``order`` (then ``ties``) without one task per key.
 
     A value of ``order`` that fills whole blocks by itself gets a block of its
@@ -240,7 +245,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Colu
     """
     keys = list(keys)
     by = F.col(order).asc() if ascending else F.col(order).desc()
-    if cuts is None and is_small(df):
+    if cuts is None and is_small(df, at_most=at_most):
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(by, *ties))
         return df.select(*df.columns, rn.cast("long").alias(name))
     cuts = cuts or cut_points(df, order)
@@ -281,7 +286,7 @@ def following(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, st
 
 def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
          keys: Sequence[str] = (), direction: str = "backward", at: str | None = None,
-         cuts: Cuts | None = None) -> DataFrame:
+         cuts: Cuts | None = None, at_most: int | None = None) -> DataFrame:
     """Attach the latest ``right`` row at or before ``on`` (or the earliest at or after).
 
     Both sides are cut into the same blocks.  Blocks in which one instant holds
@@ -300,7 +305,7 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
                         F.struct(F.col(on).cast("double").alias("_at"), *values).alias("_r"))
     rrow = rrow.where(F.col("_t").isNotNull())
     part = [*keys]
-    small = cuts is None and is_small(left, right)
+    small = cuts is None and is_small(left, right, at_most=at_most)
     if not small:
         cuts = cuts or cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t")
         lrow, rrow = with_block(lrow, "_t", cuts), with_block(rrow, "_t", cuts)

@@ -93,15 +93,15 @@ def overlapping(df: DataFrame, t0: Column | float, t1: Column | float, start: st
 # --------------------------------------------------------------------------
 
 
-def asof_step(df: DataFrame, series: DataFrame, on: str, value: str, t: str = "t_h") -> DataFrame:
+def asof_step(df: DataFrame, series: DataFrame, on: str, value: str, t: str = "t_h", at_most: int | None = None) -> DataFrame:
     """Value of a step series at ``on``; before the first row the first value holds."""
     right = series.select(F.col(t).alias(on), value)
     first = series.agg(F.min_by(value, t)).scalar()
-    return asof(df, right, on, [value]).withColumn(value, F.coalesce(F.col(value), first))
+    return asof(df, right, on, [value], at_most=at_most).withColumn(value, F.coalesce(F.col(value), first))
 
 
 def step_levels(intervals: DataFrame, start: str, end: str, weight: str | None, keys: Sequence[str] = (),
-                name: str = "level") -> DataFrame:
+                name: str = "level", at_most: int | None = None) -> DataFrame:
     """Total weight of the intervals covering t, as a step series with one row per change."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     deltas = (intervals.where(F.col(start).isNotNull())
@@ -109,14 +109,16 @@ def step_levels(intervals: DataFrame, start: str, end: str, weight: str | None,
                                                F.struct(F.col(end).alias("t_h"), (-w).alias("d")))).alias("p"))
               .select(*keys, "p.*").where(F.col("t_h").isNotNull())
               .groupBy(*keys, "t_h").agg(F.sum("d").alias("d")))
-    return running(deltas, keys, "t_h", {name: ("sum", "d")}).select(*keys, "t_h", name)
+    at_most = 2 * intervals.count() if at_most is None else at_most
+    return running(deltas, keys, "t_h", {name: ("sum", "d")}, at_most=at_most).select(*keys, "t_h", name)
 
 
 def covering_sum(instants: DataFrame, intervals: DataFrame, on: str, start: str = "start_h", end: str = "end_h",
                  weight: str = "nodes", name: str = "covered") -> DataFrame:
     """Sum of sizes of the intervals [start, end) covering each instant."""
-    levels = step_levels(intervals, start, end, weight, name=name).withColumnRenamed("t_h", on)
-    return asof(instants, levels, on, [name]).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    events = 2 * intervals.count()
+    levels = step_levels(intervals, start, end, weight, name=name, at_most=events).withColumnRenamed("t_h", on)
+    return asof(instants, levels, on, [name], at_most=events + instants.count()).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
 # --------------------------------------------------------------------------
@@ -251,7 +253,7 @@ def cap_audit(jobs: DataFrame, queues: DataFrame, start: str = "start_h", end: s
     keys = ["scope", "queue", "entity"]
     net = (ev.where(F.col("e.t").isNotNull()).groupBy(*keys, F.col("e.t").alias("t"))
            .agg(F.sum(F.col("size") * F.col("e.sign")).alias("d"), F.count_if(F.col("e.sign") > 0).alias("starts")))
-    run = running(net, keys, "t", {"level": ("sum", "d")})
+    run = running(net, keys, "t", {"level": ("sum", "d")}, at_most=2 * len(limits) * jobs.count())
     caps = queues.select(F.col("name").alias("queue"), F.explode(F.array(*[
         F.struct(F.lit(s).alias("scope"), F.col(c).cast("long").alias("cap")) for s, c in limits.items()])).alias("c"))
     out = join_on(run, small_side(caps.select("queue", "c.*")), ["queue", "scope"], "left")

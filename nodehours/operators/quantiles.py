@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import BLK, Cuts, cut_points, is_small, join_on, numbered, running, with_block
+from nodehours.blocks import BLK, Cuts, cut_points, is_small, join_on, numbered, running, small_rows, with_block
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
               cuts: Cuts | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: C
         F.struct(F.col(a).cast("double").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
         F.struct(F.col(b).cast("double").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb"))))
     vals = df.select(*keys, sample.alias("s")).select(*keys, "s.*").where(F.col("v").isNotNull())
-    if cuts is None and is_small(vals):
+    if cuts is None and is_small(vals, at_most=2 * df.count()):
         counts = vals.groupBy(*keys, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
         every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
         share = [F.try_divide(F.sum(c).over(upto), F.sum(c).over(every)) for c in ("na", "nb")]
@@ -174,7 +174,7 @@ def ecdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Empirical CDF: one row per distinct value with its cumulative share."""
     keys = list(keys)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
-    upto = running(counts, keys, value, {"_upto": ("sum", "n")})
+    upto = running(counts, keys, value, {"_upto": ("sum", "n")}, at_most=df.count())
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     if keys:
         out = join_on(upto, totals, keys)
@@ -188,8 +188,10 @@ def concentration(df: DataFrame, keys: Sequence[str], entity: str, value: str) -
     """Cumulative share of ``value`` by descending rank of the entity within its group."""
     keys = list(keys)
     per = df.groupBy(*keys, entity).agg(F.sum(value).alias(value))
-    ranked = numbered(per, keys, value, [entity], "rank", ascending=False)
-    upto = running(ranked, keys, "rank", {"_upto": ("sum", value)})
+    bound = df.count()
+    bound = bound if bound <= small_rows(df) else per.count()  # entities are usually far fewer than rows
+    ranked = numbered(per, keys, value, [entity], "rank", ascending=False, at_most=bound)
+    upto = running(ranked, keys, "rank", {"_upto": ("sum", value)}, at_most=bound)
     totals = per.groupBy(*keys).agg(F.sum(value).alias("_total"))
     out = join_on(upto, totals, keys) if keys else upto.withColumn("_total", totals.scalar())
     return out.select(*keys, entity, "rank", value, F.try_divide("_upto", "_total").alias("cum_share"))

@@ -59,7 +59,7 @@ def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int,
     pools = profile.select(row_id, "nodes", "walltime_h", "rt_ratio", F.col("program").alias("_p"), F.explode(F.array(
         F.struct(F.col("alloc_off").alias("_o"), F.col("size_tier").alias("_t")),
         F.struct(F.lit(-1).alias("_o"), F.lit("*").alias("_t")))).alias("k")).select("*", "k.*").drop("k")
-    indexed = numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx").withColumnRenamed(row_id, "source_id")
+    indexed = numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx", at_most=2 * profile.count()).withColumnRenamed(row_id, "source_id")
     out = _draw(req, indexed, ["_p", "_o", "_t"], ident)
     return out.withColumn("pool", F.when(F.col("_o") < 0, "program").otherwise("cell")).drop("_p", "_o", "_t", "_idx")
 
@@ -152,6 +152,20 @@ def expected_arrivals(rates: DataFrame, curve: DataFrame, duration_h: float, dt:
 # Poisson terms checked per slice: with a mean of at most one, the chance of more
 # than 20 arrivals is far below 2^-32, the resolution of a draw, so none is lost.
 POISSON_TERMS = 20
+SLICES = 65536  # slices one row is expanded into
+
+
+def poisson_cdf(lam: Column) -> Column:
+    """Array of the first POISSON_TERMS values of the Poisson distribution function."""
+    p0 = F.exp(-lam)
+    start = F.struct(p0.alias("p"), p0.alias("top"), F.array(p0).alias("cdf"))
+
+    def step(acc, i):
+        p = acc["p"] * lam / i
+        return F.struct(p.alias("p"), (acc["top"] + p).alias("top"), F.array_append(acc["cdf"], acc["top"] + p).alias("cdf"))
+
+    terms = F.array(*[F.lit(float(k)) for k in range(1, POISSON_TERMS)])
+    return F.aggregate(terms, start, step)["cdf"]
 
 
 def draw_arrivals(expected: DataFrame, seeds: Sequence[int], entity: str = "program") -> DataFrame:
@@ -159,25 +173,24 @@ def draw_arrivals(expected: DataFrame, seeds: Sequence[int], entity: str = "prog
 
     A bin is cut into slices with a mean of at most one arrival.  Slices are
     independent, so the count comes from one draw by inversion and each arrival
-    time is uniform in its slice; no running sum and no shuffle is needed, and
-    one hot entity spreads over its slices.
+    time is uniform in its slice; no running sum is needed.  The small rate
+    table is spread over all tasks before it is expanded, in chunks of slices,
+    so one hot entity or bin is many tasks' work.
     """
+    tasks = int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = expected.where(F.col("expected") > 0).withColumn("_k", F.ceil("expected").cast("long"))
     e = e.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    e = e.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    lam = F.col("expected") / F.col("_k")
-    u = uniform(entity, "bin", "_s", "seed", seed="count")
-    e = e.withColumn("_lam", lam).withColumn("_u", u)
-    start = F.struct(F.exp(-F.col("_lam")).alias("p"), F.exp(-F.col("_lam")).alias("cdf"), F.lit(0).alias("n"))
-
-    def step(acc, i):
-        more = F.col("_u") >= acc["cdf"]
-        p = acc["p"] * F.col("_lam") / i
-        return F.when(more, F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-
-    terms = F.transform(F.sequence(F.lit(1), F.lit(POISSON_TERMS)), lambda i: i.cast("double"))
-    e = e.withColumn("_n", F.aggregate(terms, start, step)["n"]).where(F.col("_n") > 0)
-    e = e.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    e = e.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_k") - 1) / SLICES))))
+    e = e.repartition(tasks, entity, "bin", "seed", "_c")
+    e = e.withColumn("_cdf", poisson_cdf(F.col("expected") / F.col("_k")))  # once per row, before slices
+    first = F.col("_c") * SLICES
+    e = e.withColumn("_s", F.explode(F.sequence(first, F.least(first + (SLICES - 1), F.col("_k") - 1))))
+    e = e.withColumn("_u", uniform(entity, "bin", "_s", "seed", seed="count"))
+    count = F.lit(0)
+    for k in range(POISSON_TERMS):
+        count = count + F.when(F.col("_u") >= F.col("_cdf")[k], 1).otherwise(0)
+    e = e.withColumn("_n", count)
+    e = e.withColumn("_j", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n")))))
     w = F.col("width_h") / F.col("_k")
     t = F.col("t_h") + w * (F.col("_s") + uniform(entity, "bin", "_s", "_j", "seed", seed="time"))
     return e.select(*dict.fromkeys([entity, "program"]), "seed", "alloc_off", t.alias("submit_h"))
