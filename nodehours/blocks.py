@@ -403,6 +403,41 @@ def fill_grid(sums: DataFrame, keys: Sequence[str], cols: Sequence[str],
     return join_on(points, sums, [*keys, "bin"], "left").fillna(0, list(cols))
 
 
+def grid_levels(sums: DataFrame, keys: Sequence[str], flows: Sequence[str], levels: dict[str, str],
+                t0: float, t1: float, dt: float, closed: bool = False) -> DataFrame:
+    """Dense grid rows per key from sparse sums: ``flows`` are 0 where absent, ``levels`` are running sums.
+
+    With keys, each sparse row is repeated up to the next one of its key, so the
+    sums are computed once.  One key never has more rows than the grid.
+    """
+    keys, flows = list(keys), list(flows)
+    n = (n_points if closed else n_bins)(t0, t1, dt)
+    if not keys or n > small_rows(sums):
+        full = fill_grid(stored(sums) if keys else sums, keys, [*flows, *levels.values()], t0, t1, dt, closed)
+        return grid_running(full, keys, {out: ("sum", c) for out, c in levels.items()}, n)
+    w = Window.partitionBy(*keys).orderBy("bin")
+    end = F.lit(n).cast("long")
+    s = sums.withColumn("bin", F.least("bin", end))
+    s = s.select(*keys, "bin", *flows, *[F.sum(c).over(w).cast("double").alias(out) for out, c in levels.items()],
+                 F.coalesce(F.lead("bin").over(w), end).alias("_next"), F.lag("bin").over(w).alias("_prev"))
+
+    def row(i: Column, flow, level) -> Column:
+        return F.struct(i.alias("bin"), *[flow(f).alias(f) for f in flows], *[level(v).alias(v) for v in levels])
+
+    def zero(_: str) -> Column:
+        return F.lit(0.0)
+
+    head = F.when(F.col("_prev").isNull() & (F.col("bin") > 0), F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("bin") - 1), lambda i: row(i, zero, zero)))
+    body = F.when(F.col("bin") < end, F.transform(F.sequence(F.col("bin"), F.col("_next") - 1), lambda i: row(
+        i, lambda f: F.when(i == F.col("bin"), F.col(f)).otherwise(0.0), F.col)))
+    rows = F.explode(F.flatten(F.filter(F.array(head, body), lambda x: x.isNotNull())))
+    out = s.select(*keys, rows.alias("_g")).select(*keys, "_g.*")
+    t = F.lit(float(t0)) + F.col("bin") * F.lit(float(dt))
+    cols = [t.alias("t_h")] if closed else [t.alias("t_h"), (F.least(t + F.lit(float(dt)), F.lit(float(t1))) - t).alias("width_h")]
+    return out.select("*", *cols)
+
+
 def bin_sums(df: DataFrame, start: str, end: str, weight: str, t0: float, t1: float, dt: float,
              keys: Sequence[str] = ()) -> DataFrame:
     """Exact integral of ``weight`` over each grid bin, for intervals [start, end).
@@ -438,8 +473,7 @@ def bin_sums(df: DataFrame, start: str, end: str, weight: str, t0: float, t1: fl
         F.struct(j.alias("bin"), zero.alias("part"), (-w).alias("step"))))
     sums = (clipped.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.*")
             .groupBy(*keys, "bin").agg(F.sum("part").alias("part"), F.sum("step").alias("step")))
-    full = fill_grid(sums, keys, ["part", "step"], t0, t1, dt)
-    full = grid_running(full, keys, {"level": ("sum", "step")}, n)
+    full = grid_levels(sums, keys, ["part"], {"level": "step"}, t0, t1, dt)
     return full.select(*keys, "bin", "t_h", "width_h",
                        (F.col("part") + F.col("level") * F.col("width_h")).alias("total"))
 
@@ -465,6 +499,5 @@ def level_on_grid(df: DataFrame, start: str, end: str, weight: str | None, t0: f
                   F.struct(first_point(F.greatest(ends, F.col(start))).alias("bin"), (-w).alias("step"))
               )).alias("p")).select(*keys, "p.*")
               .groupBy(*keys, "bin").agg(F.sum("step").alias("step")))
-    full = fill_grid(deltas, keys, ["step"], t0, t1, dt, closed=True)
-    full = grid_running(full, keys, {"level": ("sum", "step")}, n_points(t0, t1, dt))
+    full = grid_levels(deltas, keys, [], {"level": "step"}, t0, t1, dt, closed=True)
     return full.select(*keys, "bin", "t_h", "level")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.blocks import asof, bin_sums, fill_grid, grid, grid_running, join_on, level_on_grid, n_points, running, stored
+from nodehours.blocks import asof, bin_sums, grid, grid_levels, join_on, level_on_grid, running, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES
 from nodehours.operators.lookups import asof_step, nearest_within, step_levels
@@ -130,8 +130,7 @@ def delivered_over_time(df: DataFrame, t1: float, dt: float, by: Sequence[str] =
     cell = F.greatest(F.ceil(F.col(start) / F.lit(float(dt))), F.lit(0)).cast("long")
     sums = (df.where(F.col(start).isNotNull()).groupBy(*by, cell.alias("bin"))
             .agg(F.sum(F.col("nodes") * F.col("runtime_h")).alias("nh")))
-    full = fill_grid(sums, by, ["nh"], 0.0, t1, dt, closed=True)
-    full = grid_running(full, by, {"delivered_nh": ("sum", "nh")}, n_points(0.0, t1, dt))
+    full = grid_levels(sums, by, [], {"delivered_nh": "nh"}, 0.0, t1, dt, closed=True)
     return full.select(*by, "t_h", "delivered_nh")
 
 

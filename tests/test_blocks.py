@@ -96,6 +96,17 @@ def test_bin_sums_against_overlap(spark):
     assert np.allclose(lvl.level, exp)
 
 
+def test_grid_levels_keyed_with_gaps_and_late_keys(spark):
+    rows = [("a", 2.2, 3.7, 2), ("a", 6.0, 99.0, 1), ("b", 0.0, 0.5, 4), ("b", 7.9, 8.0, 8), ("c", -5.0, 20.0, 3), ("d", 50.0, 60.0, 9)]
+    df = spark.createDataFrame(rows, "k string, s double, e double, n int")
+    got = {(r.k, r.t_h): r.level for r in B.level_on_grid(df, "s", "e", "n", 0.0, 8.0, 1.0, ["k"]).collect()}
+    exp = {(k, float(t)): float(sum(n for q, s, e, n in rows if q == k and s <= t < e)) for k in "abcd" for t in range(9)}
+    assert got == exp
+    tot = {(r.k, r.t_h): r.total for r in B.bin_sums(df, "s", "e", "n", 0.0, 7.5, 2.0, ["k"]).collect()}
+    exp = {(k, t): sum(n * max(0.0, min(e, t + 2, 7.5) - max(s, t)) for q, s, e, n in rows if q == k) for k in "abc" for t in (0.0, 2.0, 4.0, 6.0)}
+    assert tot == pytest.approx(exp)
+
+
 def test_quantiles(spark, sample):
     probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
     out = Q.quantiles(spark.createDataFrame(sample), ["g"], "v", probs).toPandas().set_index("g")
