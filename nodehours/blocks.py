@@ -452,7 +452,8 @@ def bin_sums(df: DataFrame, start: str, end: str, weight: str, t0: float, t1: fl
     lo, hi, d = F.lit(float(t0)), F.lit(float(t1)), F.lit(float(dt))
     w = F.col("_w")
     s, e, i, j = F.col("_s"), F.col("_e"), F.col("_i"), F.col("_j")
-    clipped = (df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    # plain comparisons first: they reach the parquet scan and prune partitions
+    clipped = (df.where((F.col(start) < hi) & (F.col(end) > lo))
                .select(*keys, F.col(weight).cast("double").alias("_w"),
                        F.least(F.greatest(F.col(start), lo), hi).alias("_s"),
                        F.least(F.greatest(F.col(end), lo), hi).alias("_e"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import BLK, Cuts, cut_points, is_small, join_on, numbered, running, small_rows, with_block
+from nodehours.blocks import BLK, Cuts, cut_points, is_small, join_on, numbered, running, small_rows, stored, with_block
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
               cuts: Cuts | None = None) -> DataFrame:
@@ -67,6 +67,7 @@ def _blocked_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float]
     hist = (hist.withColumn("_hi", F.sum("_n").over(group.orderBy(BLK)))
             .withColumn("_lo", F.col("_hi") - F.col("_n"))
             .withColumn("_total", F.sum("_n").over(group)))
+    hist = stored(hist)  # keys x blocks rows, read twice; the facts are not
     wanted = []
     for i, p in enumerate(probs.values()):
         pos = F.lit(float(p)) * (F.col("_total") - 1)
@@ -116,6 +117,7 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: C
     fb0 = (F.col("b1") - F.col("hb")) / F.col("tb")
     hist = (hist.withColumn("_ub", F.greatest(fa1 - fb0, fb1 - fa0))
             .withColumn("_ends", F.max(F.abs(fa1 - fb1)).over(group)))
+    hist = stored(hist)  # keys x blocks rows, read three times; the facts are not
     open_blocks = hist.where(F.col("_ub") >= F.col("_ends")).select(
         *keys, BLK, (F.col("a1") - F.col("ha")).alias("_a0"), (F.col("b1") - F.col("hb")).alias("_b0"), "ta", "tb")
     distinct = (join_on(blocked, open_blocks.select(*keys, BLK), [*keys, BLK], "left_semi")

@@ -105,8 +105,13 @@ def node_hours(t0: float, t1: float, start: str = "start_h", end: str = "end_h",
 
 def utilization(df: DataFrame, t0: float, t1: float, denom: float, start: str = "start_h", end: str = "end_h",
                 nodes: str = "nodes", keys: Sequence[str] = ()) -> DataFrame:
-    """Delivered node-hours in [t0, t1) and their share of the capacity; one aggregation, no timeline."""
-    s = F.sum(node_hours(t0, t1, start, end, nodes))
+    """Delivered node-hours in [t0, t1) and their share of the capacity; one aggregation, no timeline.
+
+    Without keys only overlapping rows are read; with keys every key keeps a row.
+    """
+    if not keys:
+        df = df.where((F.col(start) < t1) & (F.col(end) > t0))
+    s = F.coalesce(F.sum(node_hours(t0, t1, start, end, nodes)), F.lit(0.0))
     return df.groupBy(*keys).agg(s.alias("node_hours"), (s / F.lit((t1 - t0) * float(denom))).alias("utilization"))
 
 

@@ -206,3 +206,12 @@ def test_large_dimension_is_not_broadcast(spark):
     assert "broadcast" not in B.small_side(dim, 10)._jdf.queryExecution().logical().toString().lower()
     with pytest.raises(ValueError):
         B.dim_rows(dim, ["id"], 10)
+
+
+def test_window_filters_reach_the_parquet_scan(spark, tmp_path):
+    intervals(spark, [(0.0, 2.0, 10), (50.0, 60.0, 20)]).write.parquet(f"{tmp_path}/iv")
+    df = spark.read.parquet(f"{tmp_path}/iv")
+    for out in (T.utilization(df, 10.0, 20.0, 100), T.busy_timeline(df, 10.0, 20.0, 1.0)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "LessThan(start_h,20.0)" in plan and "GreaterThan(end_h,10.0)" in plan
+    assert T.utilization(df, 10.0, 20.0, 100).first().node_hours == 0.0
