@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.registry import query, rnd
-from nodehours.functions import clean as C
 from nodehours.operators import quantiles as Q
 from nodehours.operators import series as T
 from nodehours.operators import stats as A

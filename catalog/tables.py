@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.registry import query, rnd
-from nodehours.functions import clean as C
 from nodehours.functions.constants import PROGRAM_MAP
 from nodehours.operators import experiments as E
 from nodehours.sources import tables as B
