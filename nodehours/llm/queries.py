@@ -35,3 +35,21 @@ def exact_dedup(spark, d):
 def secret_scan(spark, d):
     from nodehours.llm.secrets import scan
     return scan(table(spark, d, "documents"), owner="source", repository=["source", "lang"])
+
+
+@query("op3_token_counts")
+def token_counts(spark, d):
+    import public_tokenizers
+
+    from nodehours.llm.tokens import count_tokens
+    return count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), limit=1024)
+
+
+@query("op8_curve_packing")
+def curve_packing(spark, d):
+    import public_tokenizers
+
+    from nodehours.llm.packing import pack
+    return pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=1)
