@@ -53,3 +53,13 @@ def curve_packing(spark, d):
     from nodehours.llm.packing import pack
     return pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                 public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=1)
+
+
+@query("op9_toxicity")
+def toxicity_scores(spark, d):
+    from pyspark.sql import functions as F
+
+    from nodehours.llm.toxicity import toxicity
+    out = toxicity(table(spark, d, "documents"), table(spark, d, "labels"), "toxic", 5, 0, threshold=0.5)
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"),
+                      F.array_min("passages.evalue").alias("best_evalue"))
