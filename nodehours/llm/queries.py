@@ -63,3 +63,9 @@ def toxicity_scores(spark, d):
     out = toxicity(table(spark, d, "documents"), table(spark, d, "labels"), "toxic", 5, 0, threshold=0.5)
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"),
                       F.array_min("passages.evalue").alias("best_evalue"))
+
+
+@query("op5_quality")
+def quality_scores(spark, d):
+    from nodehours.llm.quality import quality
+    return quality(table(spark, d, "documents"), table(spark, d, "labels"), "quality", 4, 2, threshold=0.7)
