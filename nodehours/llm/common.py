@@ -19,9 +19,14 @@ class Folder:
         self.spark, self.path = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back."""
-        path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        """Write a table and read it back; shuffle files behind it go as soon as it is written."""
+        path, conf, clean = f"{self.path}/{name}", self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(clean)
+        conf.set(clean, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(clean, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -69,3 +69,9 @@ def toxicity_scores(spark, d):
 def quality_scores(spark, d):
     from nodehours.llm.quality import quality
     return quality(table(spark, d, "documents"), table(spark, d, "labels"), "quality", 4, 2, threshold=0.7)
+
+
+@query("op1_lm_score")
+def lm_score(spark, d):
+    from nodehours.llm.lm import score
+    return score(table(spark, d, "documents"), modulus=7, held=2)
