@@ -75,3 +75,27 @@ def quality_scores(spark, d):
 def lm_score(spark, d):
     from nodehours.llm.lm import score
     return score(table(spark, d, "documents"), modulus=7, held=2)
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+
+@query("op4_jaccard_join", f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+c AS MATERIALIZED (SELECT list_sort(sh) AS sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY ALL),
+p AS (SELECT rep, n, unnest(sh) AS x FROM c),
+k AS MATERIALIZED (SELECT x, count(*) AS df FROM p GROUP BY x),
+r AS MATERIALIZED (SELECT rep, n, x FROM (SELECT rep, n, x, row_number() OVER (PARTITION BY rep ORDER BY df, x) AS i FROM p JOIN k USING (x)) WHERE 100 * i <= 10 * n + 100),
+near AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM r a JOIN r b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+l AS MATERIALIZED (SELECT a, b FROM near JOIN c x ON x.rep = a JOIN c y ON y.rep = b
+  WHERE 100 * len(list_intersect(x.sh, y.sh)) >= 90 * (x.n + y.n - len(list_intersect(x.sh, y.sh)))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+g AS (SELECT b AS rep, min(a) AS component_id FROM reach GROUP BY b)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(g.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh AND len(s.sh) > 0 LEFT JOIN g USING (rep)""")
+def jaccard_join(spark, d):
+    from nodehours.llm.jaccard import jaccard_groups
+    return jaccard_groups(table(spark, d, "documents"), width=3, percent=90)

@@ -116,5 +116,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     if n_wanted:
         (fresh.dropDuplicates(["digest"]).withColumn("version", F.lit(kind))
          .write.mode("append").partitionBy("version").parquet(cache))
-    out = rows.join(stored(), "digest")
+    counts = folder.put(stored().join(first.select("digest"), "digest", "left_semi"), "counts")  # a table, so that a skewed join can be split
+    out = rows.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
