@@ -99,3 +99,9 @@ FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh AND len(s.sh) > 0 LEFT JOIN g USING
 def jaccard_join(spark, d):
     from nodehours.llm.jaccard import jaccard_groups
     return jaccard_groups(table(spark, d, "documents"), width=3, percent=90)
+
+
+@query("op7_decontamination")
+def decontamination(spark, d):
+    from nodehours.llm.decontaminate import contaminated
+    return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"), width=5, least=0.8)

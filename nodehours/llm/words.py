@@ -34,9 +34,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 def stripped(offsets: np.ndarray, codes: np.ndarray, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The same words without ASCII punctuation at their ends; words of nothing else stay."""
-    number: dict[str, int] = {}
-    to = np.fromiter((number.setdefault(w.strip(string.punctuation) or w, len(number)) for w in vocabulary), np.int64, len(vocabulary))
-    return offsets, to[codes] if len(codes) else codes, list(number)
+    coded = pc.dictionary_encode(pa.array([w.strip(string.punctuation) or w for w in vocabulary], pa.string()))
+    return offsets, np.asarray(coded.indices)[codes], coded.dictionary.to_pylist()
 
 
 def hashes(vocabulary: list[str]) -> np.ndarray:
