@@ -1,28 +1,17 @@
-"""Scoring by a bigram model with deleted interpolation.
-
-Counts are exchanged in blocks. A block is some tens of megabytes of consecutive texts, encoded as
-numbers into its own vocabulary and written once. Each block asks for the corpus counts of its distinct words and
-word pairs: the keys, sorted and split by key range, go to one bucket each, the bucket adds up what all blocks
-report and answers every block in the order of its keys. A key that is in a third of all texts costs one entry per block,
-never one per text, so no key makes a bucket large.
-"""
+"""Scoring by a bigram model with deleted interpolation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodehours.llm.common import Folder, body, fold
-from nodehours.llm.words import MIX, hashes, mixed, words
+from nodehours.llm.tally import BUCKET_KEYS, Block, answers_of, arrow_kind, counted, encoded
+from nodehours.llm.words import MIX, mixed
 
-BLOCK_BYTES = 24 << 20  # text of a block
-BUCKET_KEYS = 2_000_000  # keys a bucket holds, about, whatever the size of the corpus
+LEARN, TUNE, HELD = 0, 1, 2  # parts of the corpus: counts, held-out counts for the weights, texts that teach nothing
 END = np.uint64(0x5EED0E4D)  # stands for the end of a text
 START = np.uint64(0x5EED57A7)  # the context of a first token
 STEPS = 2  # cells per octave when probabilities of held-out tokens are tallied
@@ -30,177 +19,61 @@ ROUNDS = 50  # of expectation-maximisation
 FLOOR = 1e-4  # least weight of the uniform part
 
 
-# ------------------------------------------------------------------ arrays as bytes
-
-
-def put(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
-
-
-def got(b: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
-
-
-def put_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, byte planes apart, so that leading zeros take no room."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return put(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))
-
-
-def got_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(got(b, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
-
-
-# ------------------------------------------------------------------ blocks
-
-
-BLOCK = "block long, tune boolean, ids array<{kind}>, held binary, train binary, offsets binary, codes binary, vocabulary binary, n_tokens long"
-
-
-def _encoded(block: int, tune: bool, rows: pa.Table) -> pa.RecordBatch:
-    rows = rows.combine_chunks()
-    text = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
-    offsets, codes, vocabulary = words(text)
-    ids = rows["doc_id"].combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    flag = lambda c: put(np.asarray(rows[c].to_numpy()).astype(np.uint8))
-    return pa.record_batch({
-        "block": pa.array([block], pa.int64()), "tune": pa.array([tune]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-        "held": pa.array([flag("held")], pa.binary()), "train": pa.array([flag("train")], pa.binary()),
-        "offsets": pa.array([put(offsets.astype("<i8"))], pa.binary()), "codes": pa.array([put(codes.astype("<i4"))], pa.binary()),
-        "vocabulary": pa.array([put(hashes(vocabulary).astype("<u8"))], pa.binary()),
-        "n_tokens": pa.array([len(codes) + len(text)], pa.int64())})
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive texts in blocks; those that tune the weights are in blocks of their own."""
-    at = TaskContext.get().partitionId() << 32
-    waiting: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
-    size = {False: 0, True: 0}
-    for batch in batches:
-        tuning = np.asarray(batch["tune"].to_numpy(zero_copy_only=False)).astype(bool)
-        for tune in (False, True):
-            part = batch.filter(pa.array(tuning == tune))
-            if part.num_rows:
-                waiting[tune].append(part)
-                size[tune] += part["text"].nbytes
-                if size[tune] >= BLOCK_BYTES:
-                    yield _encoded(at, tune, pa.Table.from_batches(waiting[tune]))
-                    at, waiting[tune], size[tune] = at + 1, [], 0
-    for tune, rows in waiting.items():
-        if rows:
-            yield _encoded(at, tune, pa.Table.from_batches(rows))
-            at += 1
+class Tokens:
+    """Tokens of a block with their contexts, and its distinct words and pairs."""
 
-
-class Block:
-    """A block read back: tokens with their contexts, and its distinct words and pairs."""
-
-    def __init__(self, row: dict) -> None:
-        self.block, self.tune, self.ids = row["block"], row["tune"], row["ids"]
-        self.train, self.held = got(row["train"], "u1").astype(bool), got(row["held"], "u1").astype(bool)
-        offsets, codes = got(row["offsets"], "<i8"), got(row["codes"], "<i4").astype(np.int64)
-        vocabulary = np.concatenate([got(row["vocabulary"], "<u8"), np.array([END, START], np.uint64)])
-        n, end = len(offsets) - 1, len(vocabulary) - 2
+    def __init__(self, b: Block) -> None:
+        vocabulary = np.concatenate([b.vocabulary, np.array([END, START], np.uint64)])
+        n, end = len(b.offsets) - 1, len(vocabulary) - 2
         # every text gets an end token; the context of a token is the one before it
-        self.offsets = offsets + np.arange(n + 1)
-        token = np.full(len(codes) + n, end, np.int64)
+        self.offsets = b.offsets + np.arange(n + 1)
+        token = np.full(len(b.codes) + n, end, np.int64)
         inside = np.ones(len(token), bool)
         inside[self.offsets[1:] - 1] = False
-        token[inside] = codes
+        token[inside] = b.codes
         context = np.concatenate([[0], token[:-1]])
         context[self.offsets[:-1]] = end + 1
-        self.doc = np.repeat(np.arange(n), np.diff(self.offsets))
         self.words, number = np.unique(vocabulary[:-1], return_inverse=True)  # in the order of their hashes
-        start = len(self.words)
-        self.token, self.context = number[token], np.append(number, start)[context]
-        both = mixed(vocabulary[context] * MIX + vocabulary[token])
-        self.pairs, self.pair = np.unique(both, return_inverse=True)
-        self.start = start
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training tokens of each distinct word and pair."""
-        of = self.train[self.doc]
-        return np.bincount(self.token[of], minlength=len(self.words)), np.bincount(self.pair[of], minlength=len(self.pairs))
-
-
-# ------------------------------------------------------------------ exchange of counts
+        self.token, self.context = number[token], np.append(number, len(self.words))[context]
+        self.pairs, self.pair = np.unique(mixed(vocabulary[context] * MIX + vocabulary[token]), return_inverse=True)
 
 
-ASK = "bucket long, block long, tune boolean, keys binary, n binary"
-ANSWER = "block long, tune boolean, bucket long, total binary, kept binary, n_all long, n_kept long, v_all long, v_kept long"
+def _asks(b: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words and pairs, with their counts if the block teaches."""
+    t, teaches = Tokens(b), int(b.part != HELD)
+    return [(t.words, teaches * np.bincount(t.token, minlength=len(t.words))),
+            (t.pairs, teaches * np.bincount(t.pair, minlength=len(t.pairs)))]
 
 
-def _asked(word_buckets: int, pair_buckets: int):
-    """Keys and own counts of each block, split by key range; word buckets come before pair buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                for keys, n, first, count in zip((b.words, b.pairs), b.counts(), (0, word_buckets), (word_buckets, pair_buckets), strict=True):
-                    at = [i * ((1 << 64) // count) for i in range(count)]
-                    cut = np.append(np.searchsorted(keys, np.array(at, np.uint64)), len(keys))
-                    full = [i for i in range(count) if cut[i] < cut[i + 1]]
-                    yield pa.record_batch({
-                        "bucket": pa.array([first + i for i in full], pa.int64()), "block": pa.array([b.block] * len(full), pa.int64()),
-                        "tune": pa.array([b.tune] * len(full), pa.bool_()),
-                        "keys": pa.array([put_sorted(keys[cut[i]:cut[i + 1]]) for i in full], pa.binary()),
-                        "n": pa.array([put(n[cut[i]:cut[i + 1]].astype("<u4")) for i in full], pa.binary())})
-
-    return run
-
+def _answer(sums: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Counts of all training texts and of those that do not tune; totals and distinct keys of both."""
+    learned, all_ = sums[parts == LEARN].sum(0), sums[parts != HELD].sum(0)
+    return np.stack([all_, learned]).astype("<u8"), [int(x) for x in (all_.sum(), learned.sum(), (all_ > 0).sum(), (learned > 0).sum())]
 
-def _answered(table: pa.Table) -> pa.Table:
-    """Corpus counts for what each block asked of one bucket: all training texts, and those that do not tune."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    keys = [got_sorted(r["keys"]) for r in rows]
-    n = np.concatenate([got(r["n"], "<u4") for r in rows]).astype(np.int64)
-    tune = np.repeat([r["tune"] for r in rows], [len(k) for k in keys])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total, kept = np.bincount(at, n).astype("<i8"), np.bincount(at, np.where(tune, 0, n)).astype("<i8")
-    cut = np.cumsum([0] + [len(k) for k in keys])
-    k = len(rows)
-    stat = lambda x: pa.array([None] * k + [int(x)], pa.int64())  # noqa: E731  one row for the bucket itself
-    return pa.table({
-        "block": pa.array([r["block"] for r in rows] + [-1], pa.int64()), "tune": pa.array([r["tune"] for r in rows] + [False]),
-        "bucket": pa.array([rows[0]["bucket"]] * (k + 1), pa.int64()),
-        "total": pa.array([put(total[at[cut[i]:cut[i + 1]]]) for i in range(k)] + [None], pa.binary()),
-        "kept": pa.array([put(kept[at[cut[i]:cut[i + 1]]]) for i in range(k)] + [None], pa.binary()),
-        "n_all": stat(total.sum()), "n_kept": stat(kept.sum()), "v_all": stat((total > 0).sum()), "v_kept": stat((kept > 0).sum())})
 
+def _estimates(t: Tokens, words: np.ndarray, pairs: np.ndarray, n: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximum-likelihood estimates of each token by pair and by word, and the frequency of its context."""
+    frequency = np.append(words, starts)[t.context]
+    return pairs[t.pair] / np.maximum(frequency, 1), words[t.token] / max(n, 1), frequency
 
-def _known(block: Block, answers: pa.Table, which: str, word_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Answered counts of the block's words and pairs."""
-    rows = sorted(answers.select(["bucket", which]).to_pylist(), key=lambda r: r["bucket"])
-    join = lambda mine: np.concatenate([np.zeros(0, np.int64)] + [got(r[which], "<i8") for r in mine])
-    return join([r for r in rows if r["bucket"] < word_buckets]), join([r for r in rows if r["bucket"] >= word_buckets])
 
-
-def _parts(block: Block, c_word: np.ndarray, c_pair: np.ndarray, n: int, starts: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum-likelihood estimates of the tokens at some places by pair and by word, and their contexts' frequencies."""
-    of_context = np.append(c_word, starts)[block.context[at]]
-    p2 = c_pair[block.pair[at]] / np.maximum(of_context, 1)
-    return p2, c_word[block.token[at]] / max(n, 1), of_context
-
-
-def _bucket(frequency: np.ndarray) -> np.ndarray:
+def _octave(frequency: np.ndarray) -> np.ndarray:
     """0 for an unseen context, otherwise 1 more than the whole part of its binary logarithm."""
     return np.where(frequency > 0, 1 + np.floor(np.log2(np.maximum(frequency, 1))), 0).astype(np.int64)
 
 
-def _tallied(word_buckets: int, n: int, starts: int):
-    """Held-out tokens of a tuning block in cells of equal bucket and nearly equal estimates."""
+def _tallied(word_buckets: int, buckets: int, n: int, starts: int):
+    """Tokens of a tuning block in cells of equal bucket and nearly equal estimates."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        cells, weights = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-        for row in blocks.to_pylist():
-            b = Block(row)
-            p2, p1, f = _parts(b, *_known(b, answers, "kept", word_buckets), n, starts, np.flatnonzero(b.train[b.doc]))
-            level = lambda p: np.where(p > 0, np.round(-STEPS * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64)
-            cells, weights = np.unique(np.column_stack([_bucket(f), level(p2), level(p1)]), axis=0, return_counts=True)
+        (row,) = blocks.to_pylist()
+        t = Tokens(Block(row))
+        words, pairs = (answers_of(answers, lo, hi, "<u8", 2)[1].astype(np.int64) for lo, hi in ((0, word_buckets), (word_buckets, buckets)))
+        p2, p1, f = _estimates(t, words, pairs, n, starts)
+        level = lambda p: np.where(p > 0, np.round(-STEPS * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64)
+        cells, times = np.unique(np.column_stack([_octave(f), level(p2), level(p1)]), axis=0, return_counts=True)
         return pa.table({"b": pa.array(cells[:, 0], pa.int64()), "l2": pa.array(cells[:, 1], pa.int64()),
-                         "l1": pa.array(cells[:, 2], pa.int64()), "n": pa.array(weights, pa.int64())})
+                         "l1": pa.array(cells[:, 2], pa.int64()), "n": pa.array(times, pa.int64())})
 
     return run
 
@@ -208,7 +81,8 @@ def _tallied(word_buckets: int, n: int, starts: int):
 def weights(cells: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
     """Mixture weights (pair, word, uniform) of each context bucket by expectation-maximisation.
 
-    A bucket without held-out tokens takes the weights of the nearest one below that has some.
+    A bucket without held-out tokens takes the weights of the nearest one below that has some; without any at all the
+    weights are set by hand. An unseen context has no pair estimate.
     """
     out = np.tile([0.4, 0.5, 0.1], (66, 1))
     out[0] = [0.0, 0.9, 0.1]
@@ -225,32 +99,31 @@ def weights(cells: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
                 w = np.maximum(n @ share / n.sum(), [0, 0, FLOOR])
                 w /= w.sum()
             out[b] = w
-        for b in range(1, len(out)):
-            if b not in seen and b > seen.min():
-                out[b] = out[b - 1] if b > 1 else out[b]
-    out[0, 1:] /= out[0, 1:].sum()
+        for b in range(2, len(out)):
+            if b not in seen and b > seen.min() and b - 1 > 0:
+                out[b] = out[b - 1]
     out[0, 0] = 0
+    out[0] /= out[0].sum()
     return out
 
 
-def _scored(word_buckets: int, n: int, v: int, starts: int, mix: np.ndarray, kind: pa.DataType):
+def _scored(word_buckets: int, buckets: int, n: int, v: int, starts: int, mix: np.ndarray, kind: pa.DataType):
     """Sums over the tokens of each text of a block."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for row in blocks.to_pylist():
-            b = Block(row)
-            known = _known(b, answers, "total", word_buckets)
-            p2, p1, f = _parts(b, *known, n, starts, np.arange(len(b.token)))
-            w = mix[_bucket(f)]
-            docs, c = len(b.held), known[0][b.token]
-            sums = lambda x: np.bincount(b.doc, x, docs)
-            out.append(pa.table({
-                "doc_id": pa.array(b.ids, kind), "held_out": pa.array(b.held), "n_tokens": pa.array(np.diff(b.offsets), pa.int64()),
-                "n_known": pa.array(sums(c > 0).astype(np.int64), pa.int64()), "train_tokens": pa.array(np.full(docs, n), pa.int64()),
-                "base_score": pa.array(sums(np.log10((c + 1.0) / (n + v + 1))), pa.float64()),
-                "score": pa.array(sums(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))), pa.float64())}))
-        return pa.concat_tables(out)
+        (row,) = blocks.to_pylist()
+        b = Block(row)
+        t, docs = Tokens(b), len(b.ids)
+        words, pairs = (answers_of(answers, lo, hi, "<u8", 2)[0].astype(np.int64) for lo, hi in ((0, word_buckets), (word_buckets, buckets)))
+        p2, p1, f = _estimates(t, words, pairs, n, starts)
+        w, c = mix[_octave(f)], words[t.token]
+        doc = np.repeat(np.arange(docs), np.diff(t.offsets))
+        sums = lambda x: np.bincount(doc, x, docs)
+        return pa.table({
+            "doc_id": pa.array(b.ids, kind), "held_out": pa.array(np.full(docs, b.part == HELD)), "n_tokens": pa.array(np.diff(t.offsets), pa.int64()),
+            "n_known": pa.array(sums(c > 0).astype(np.int64), pa.int64()), "train_tokens": pa.array(np.full(docs, n), pa.int64()),
+            "base_score": pa.array(sums(np.log10((c + 1.0) / (n + v + 1))), pa.float64()),
+            "score": pa.array(sums(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))), pa.float64())})
 
     return run
 
@@ -269,34 +142,24 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tune: int = 3) -> Da
     count and come back each; a null id is in the fold of the empty text. Other columns are ignored. An empty table
     gives no rows.
     """
-    spark = docs.sparkSession
-    folder = Folder(spark, "lm")
-    kind = dict(docs.dtypes)["doc_id"]
-    marked = docs.select("doc_id", body().alias("text"), (fold(modulus) == held).alias("held"), (fold(modulus) != held).alias("train"),
-                         (fold(modulus) == tune).alias("tune"))
-    blocks = folder.put(marked.mapInArrow(_blocks, BLOCK.format(kind=kind)), "blocks")
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    folder = Folder(docs.sparkSession, "lm")
+    part = F.when(fold(modulus) == held, HELD).when(fold(modulus) == tune, TUNE).otherwise(LEARN)
+    blocks = encoded(docs.select("doc_id", body().alias("text"), part.alias("part"), F.lit(0).alias("mark")), folder)
+    tokens = blocks.agg(F.sum(F.col("n_words") + F.size("ids"))).first()[0] or 0
     pair_buckets = 1 + tokens // BUCKET_KEYS
     word_buckets = 1 + pair_buckets // 8
-    answers = folder.put(blocks.mapInArrow(_asked(word_buckets, pair_buckets), ASK).repartition(word_buckets + pair_buckets, "bucket")
-                         .groupBy("bucket").applyInArrow(_answered, ANSWER), "answers")
-    found = answers.where((F.col("block") < 0) & (F.col("bucket") < word_buckets)).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_all", "n_kept", "v_all", "v_kept")]).first()
-    n, n_kept, v, v_kept = map(int, found)
-    starts, starts_kept = marked.agg(F.count(F.when(F.col("train"), 1)), F.count(F.when(F.col("train") & ~F.col("tune"), 1))).first()
-    replies = answers.where("block >= 0")
-    by_block = lambda rows: rows.groupBy("block")
-    cells = (by_block(blocks.where("tune")).cogroup(by_block(replies.where("tune").select("block", "bucket", "kept")))
-             .applyInArrow(_tallied(word_buckets, n_kept, starts_kept), "b long, l2 long, l1 long, n long")
+    buckets = word_buckets + pair_buckets
+    answers = counted(blocks, _asks, [word_buckets, pair_buckets], _answer, folder)
+    stat = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4)]
+    n, n_learn, v, v_learn = map(int, answers.where((F.col("block") < 0) & (F.col("bucket") < word_buckets)).agg(*stat).first())
+    size = lambda which: F.coalesce(F.sum(F.when(which, F.size("ids"))), F.lit(0))
+    starts, starts_learn = blocks.agg(size(F.col("part") != HELD), size(F.col("part") == LEARN)).first()
+    replies = answers.where("block >= 0").select("block", "part", "bucket", "counts")
+    cells = (blocks.where(F.col("part") == TUNE).groupBy("block").cogroup(replies.where(F.col("part") == TUNE).groupBy("block"))
+             .applyInArrow(_tallied(word_buckets, buckets, n_learn, starts_learn), "b long, l2 long, l1 long, n long")
              .groupBy("b", "l2", "l1").agg(F.sum("n").alias("n")))
-    mix = weights([tuple(r) for r in cells.collect()], v_kept)  # cells lie on a grid of fixed size
-    return (by_block(blocks).cogroup(by_block(replies.select("block", "bucket", "total")))
-            .applyInArrow(_scored(word_buckets, n, v, starts, mix, _arrow(kind)),
-                          f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
-
-
-def _arrow(kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(kind))
+    mix = weights([tuple(r) for r in cells.collect()], v_learn)  # cells lie on a grid of fixed size
+    kind = dict(docs.dtypes)["doc_id"]
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        _scored(word_buckets, buckets, n, v, starts, mix, arrow_kind(docs, "doc_id")),
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
