@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,171 +14,137 @@ from pyspark.sql import functions as F
 
 from nodehours.llm.common import Folder, body, checked
 from nodehours.llm.components import components
-from nodehours.llm.words import MIX, hashes, mixed, sliced, words
+from nodehours.llm.tally import BUCKET_KEYS, Block, answers_of, arrow_kind, counted, encoded
+from nodehours.llm.words import MIX, mixed
 
 SHARD = 2_000_000  # shingles searched together, about
-PROBE = 0.01  # cost of merging an element against probing for it, which sets how many lists are long
-
-
-def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text; shorter texts are one shingle, empty ones none."""
-    offsets, codes, vocabulary = words(texts)
-    h = hashes(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
-    rolled = h.copy()
-    for k in range(1, width):
-        rolled[:len(h) - k] = mixed(rolled[:len(h) - k] * MIX + h[k:])
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        if hi - lo >= width:
-            yield np.unique(rolled[lo:hi - width + 1])
-        else:
-            whole = np.zeros(1 if hi > lo else 0, np.uint64)
-            for x in h[lo:hi]:
-                whole = mixed(whole * MIX + x + np.uint64(hi - lo))
-            yield whole
-
-
-class Sizes:
-    """Classes of set sizes such that linked sets lie in the same or in adjacent classes."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent, self.starts = percent, [1]
-
-    def last(self, c: int) -> int:
-        return self.starts_to(c)[c] * 100 // self.percent
-
-    def starts_to(self, c: int) -> list[int]:
-        while len(self.starts) <= c + 1:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return self.starts
-
-    def of(self, n: int) -> int:
-        while self.starts[-1] <= n:
-            self.starts_to(len(self.starts))
-        return bisect_left(self.starts, n + 1) - 1
-
-    def parts(self, c: int) -> int:
-        """One more part than elements in which linked sets of classes c and c + 1 can differ: some part is equal."""
-        most = self.last(c) + self.last(c + 1)
-        return most * (100 - self.percent) // (100 + self.percent) + 1
-
-
-def signatures(sets: list[np.ndarray], sizes: Sizes) -> list[np.ndarray]:
-    """Keys of each set; linked sets have at least one in common.
-
-    The elements are dealt into parts by hash, for the pairs of the set's class with itself and the next one up, and with
-    the one below. A part's key sums its elements.
-    """
-    spec = []
-    for s in sets:
-        c = sizes.of(max(len(s), 1))
-        spec.append([(k, sizes.parts(k)) for k in ((c, c - 1) if c else (c,))] if len(s) else [])
-    count = [sum(m for _, m in x) for x in spec]
-    base = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-    total, tag = np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.uint64)
-    for s, x, at in zip(sets, spec, base[:-1].tolist(), strict=True):
-        for k, m in x:
-            np.add.at(total, at + (s % np.uint64(m)).astype(np.int64), mixed(s + MIX))
-            tag[at:at + m] = np.uint64(k << 32) + np.arange(m, dtype=np.uint64)
-            at += m
-    keys = mixed(total + mixed(tag * MIX + np.uint64(1))).view(np.int64)
-    return np.split(keys, base[1:-1])
-
-
-def divide_skip(query: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
-    """Numbers that occur in at least `need` of the sorted lists, ascending, with how many they occur in.
-
-    The longest lists are only probed by bisection. The others are merged on a heap; numbers that cannot reach what
-    is needed of them are skipped: as many heads as may be missing are taken off and moved past the next head.
+PROBE = 1.0  # cost of probing against merging, which sets how many lists may be long
+LONG = 64  # documents a long list has at least
+COARSE = np.uint64(16)  # low bits of a shingle's hash that are left out when documents are counted
+
+
+class Shingles:
+    """Distinct shingles of each text of a block: 64-bit hashes, ascending, each with its texts ascending."""
+
+    def __init__(self, b: Block, width: int) -> None:
+        h = b.vocabulary[b.codes] if len(b.codes) else np.zeros(0, np.uint64)
+        length = np.diff(b.offsets)
+        rolled, doc = h.copy(), np.repeat(np.arange(len(length)), length)
+        for k in range(1, width):
+            rolled[:len(h) - k] = mixed(rolled[:len(h) - k] * MIX + h[k:])
+        place = np.arange(len(h)) - np.repeat(b.offsets[:-1], length)
+        whole = place + width <= np.repeat(length, length)
+        short = np.flatnonzero((length > 0) & (length < width))  # one shingle of all their words
+        extra = np.zeros(len(short), np.uint64)
+        for k in range(width - 1):
+            more = length[short] > k
+            at = b.offsets[short[more]] + k
+            extra[more] = mixed(extra[more] * MIX + h[at] + length[short[more]].astype(np.uint64))
+        key, doc = np.concatenate([rolled[whole], extra]), np.concatenate([doc[whole], short])
+        order = np.lexsort((doc, key)) if len(short) else np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        self.key, self.doc, self.texts = key[once], doc[once], len(length)
+        coarse = self.key >> COARSE << COARSE
+        new = np.ones(len(coarse), bool)
+        new[1:] = coarse[1:] != coarse[:-1]
+        self.coarse, self.number = coarse[new], np.cumsum(new) - 1
+
+    def asks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.coarse, np.bincount(self.number, minlength=len(self.coarse)))]
+
+
+def divide_skip(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that occur in at least `need` of the sorted lists numbers[start:end], ascending, and in how many they occur.
+
+    The longest lists are only probed, by bisection, for numbers that the others leave a chance. The others are merged
+    by counting, all at once: a number must occur in `need` of them less the long ones to go on.
     """
-    if need < 1 or len(query) < need:
-        return
-    query = sorted(query, key=len)
-    n_long = min(need - 1, int(need / (PROBE * math.log2(len(query[-1]) + 1) + 1)))
-    short, long = query[:len(query) - n_long], query[len(query) - n_long:]
-    least = need - n_long
-    heap = [(x[0], i, 0) for i, x in enumerate(short)]
-    heapq.heapify(heap)
-    while len(heap) >= least:
-        value, taken = heap[0][0], []
-        while heap and heap[0][0] == value:
-            taken.append(heapq.heappop(heap))
-        if len(taken) >= least:
-            count, left = len(taken), len(long)
-            for x in long:
-                if count + left < need:
-                    break
-                left -= 1
-                at = bisect_left(x, value)
-                count += at < len(x) and x[at] == value
-            if count >= need:
-                yield value, count
-            goal = value + 1
-        else:
-            while heap and len(taken) < least - 1:
-                taken.append(heapq.heappop(heap))
-            if not heap:
-                return
-            goal = heap[0][0]
-        for _, i, at in taken:
-            at = bisect_left(short[i], goal, at)
-            if at < len(short[i]):
-                heapq.heappush(heap, (short[i][at], i, at))
+    if need < 1 or len(starts) < need:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = ends - starts
+    order = np.argsort(length, kind="stable")
+    n_long = min(need - 1, int(need / (PROBE * math.log2(int(length[order[-1]]) + 1) + 1)), int((length > LONG).sum()))
+    short, long = order[:len(order) - n_long], order[len(order) - n_long:]
+    n = length[short]
+    at = np.repeat(starts[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    count = np.bincount(numbers[at])
+    values = np.flatnonzero(count >= need - n_long)
+    count = count[values]
+    for k, x in enumerate(long.tolist()):
+        if not len(values):
+            break
+        one = numbers[starts[x]:ends[x]]
+        count = count + (one[np.minimum(np.searchsorted(one, values), len(one) - 1)] == values)
+        may = count + (n_long - k - 1) >= need
+        values, count = values[may], count[may]
+    return values, count
 
 
 def search(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets given here, found by one query per set among the smaller ones.
+    """Links that connect all linked sets given here; sets on different sides are matched across only.
 
-    Sets on different sides are matched across only. A query ends when all sets it could reach are connected to it already.
+    Each set is a query for all sets of fitting size, unless they are connected to it already. Sets whose shingles
+    are the commonest come first, and a set that one of them has found does not ask by itself: most
+    groups are near copies of one text. Then all sets outside the largest group ask, which covers every pair of groups.
     """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets, side = [ids[i] for i in order], [sets[i] for i in order], [side[i] for i in order]
-    size = [len(s) for s in sets]
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    sides, size = np.array([side[i] for i in order]), np.array([len(s) for s in sets])
     across = len(set(side)) > 1
-    # inverted lists of the shingles that occur more than once
+    # inverted lists of all shingles, the list of each shingle of each set, and how common a set's shingles are
     shingle, number = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     by = np.lexsort((number, shingle))
-    shingle, number = shingle[by], number[by]
-    first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
-    lists = {int(shingle[a]): number[a:z].tolist() for a, z in zip(first, np.append(first[1:], len(shingle)), strict=True) if z - a > 1}
-    root = list(range(len(ids)))
+    numbers, new = number[by], np.append(True, np.diff(shingle[by]) != 0)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(numbers))
+    of = np.empty(len(shingle), np.int64)
+    of[by] = np.cumsum(new) - 1
+    base = np.concatenate([[0], np.cumsum(size)])
+    common = np.bincount(number, (ends - starts)[of], len(sets)) / size
+    root, links = np.arange(len(ids)), []
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    links = []
-    for q in range(1, len(ids)):
-        low = bisect_left(size, -(-percent * size[q] // 100))
-        mine = top(q)
-        open_ = {r for d in range(low, q) if (not across or side[d] != side[q]) and (r := top(d)) != mine}
-        if not open_:
-            continue
-        near = []
-        for s in sets[q].tolist():
-            if (x := lists.get(s)) is not None:
-                a, z = bisect_left(x, low), bisect_left(x, q)
-                if a < z:
-                    near.append(x[a:z])
-        for d, shared in divide_skip(near, -(-percent * size[q] // 100)):
-            if (across and side[d] == side[q]) or (r := top(d)) == top(q):
+    def ask(q: int) -> None:
+        need = -(-percent * int(size[q]) // 100)
+        low, high = np.searchsorted(size, [need, 100 * int(size[q]) // percent + 1])
+        mine, free = top(q), sides[low:high] != sides[q] if across else True
+        if not ((root[low:high] != mine) & free).any():  # all there is, is connected
+            return
+        lists = of[base[q]:base[q + 1]]
+        lists = lists[ends[lists] - starts[lists] > 1]
+        for d, shared in zip(*(x.tolist() for x in divide_skip(numbers, starts[lists], ends[lists], need)), strict=True):
+            if not low <= d < high or (across and sides[d] == sides[q]) or (r := top(d)) == mine:
                 continue
             if 100 * shared >= percent * (size[q] + size[d] - shared):
                 links.append((ids[d], ids[q]))
-                root[max(r, top(q))] = min(r, top(q))
-                open_ = {top(x) for x in open_} - {top(q)}
-                if not open_:
-                    break
+                root[r] = mine
+
+    for q in np.argsort(-common, kind="stable").tolist():
+        if root[q] == q:
+            ask(q)
+    groups = [top(q) for q in range(len(ids))]
+    largest = Counter(groups).most_common(1)[0][0]
+    for q in range(len(ids)):
+        if groups[q] != largest:
+            ask(q)
     return links
 
 
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Groups of documents connected by links of Jaccard similarity percent / 100 or more.
 
-    1. One pass over the texts gives each set's size, digest and keys (see signatures). Documents with equal sets
-       are one class from here on, named by their smallest id.
-    2. Classes that share a key are brought together by the key's smallest member; components of these candidates
-       hold every pair that can be linked, and nearly only such.
+    1. Shingles are counted over the corpus, block by block (see tally). In the order of how many documents have them,
+       rare ones first, two linked documents share one of the first n - ceil(percent n / 100) + 1 of either.
+       Those that no other document has are no use there, so most documents have none left and are settled.
+    2. Documents with equal sets are one class from here on, named by their smallest id. Classes that share such a
+       shingle are brought together by its smallest holder; components of these candidates hold every pair
+       that can be linked.
     3. Candidates' sets are dealt to shards by component. A component beyond SHARD shingles is cut into blocks, and
        each pair of blocks is a shard. A shard builds inverted lists and asks one T-occurrence query per set.
     4. Links that connect what belongs together (not all pairs) are joined to components.
@@ -190,54 +155,63 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     """
     spark = docs.sparkSession
     folder = Folder(spark, "jaccard")
-    kind = dict(docs.dtypes)["doc_id"]
-    sizes = Sizes(percent)
-
-    def first_pass(batches):
-        for b in sliced(batches, most_bytes=8 << 20):
-            sets = list(shingle_sets(b["text"], width))
-            keys = signatures(sets, sizes)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array([len(s) for s in sets], pa.int64()),
-                                   "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                                   "keys": pa.ListArray.from_arrays(at, flat)})
-
-    text = docs.select("doc_id", body().alias("text"))
-    sets = folder.put(text.mapInArrow(first_pass, f"doc_id {kind}, n long, digest binary, keys array<long>"), "sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    several = folder.put(classes.where("copies > 1 AND rep IS NOT NULL"), "several")
-    copies = (sets.where("n > 0").select("doc_id", "digest").join(checked(several), "digest")
+    kind, arrow = dict(docs.dtypes)["doc_id"], arrow_kind(docs, "doc_id")
+    blocks = encoded(docs.select("doc_id", body().alias("text"), F.lit(0).alias("part"), F.lit(0).alias("mark")), folder)
+    buckets = 1 + (blocks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_KEYS
+    answers = counted(blocks, lambda b: Shingles(b, width).asks(), [buckets],
+                      lambda sums, parts: (sums.sum(0, keepdims=True).astype("<u8"), []), folder)
+
+    def settle(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = blocks.to_pylist()
+        b = Block(row)
+        s = Shingles(b, width)
+        holders = answers_of(answers, 0, buckets, "<u8", 1)[0].astype(np.int64)[s.number]
+        n = np.bincount(s.doc, minlength=s.texts)
+        first = n - -(-percent * n // 100) + (n > 0)
+        alone = np.bincount(s.doc[holders == 1], minlength=s.texts)
+        open_ = first > alone  # the first ones hold some that another document may have
+        mine = open_[s.doc]
+        key, doc, holders = s.key[mine], s.doc[mine], holders[mine]
+        by_doc, by_rank = np.argsort(doc, kind="stable"), np.lexsort((key, holders, doc))
+        cut = np.searchsorted(doc[by_doc], np.arange(s.texts + 1))
+        elements, keys, digest = [None] * s.texts, [None] * s.texts, [None] * s.texts
+        for i in np.flatnonzero(open_).tolist():
+            raw = key[by_doc[cut[i]:cut[i + 1]]].tobytes()
+            elements[i], digest[i] = raw, hashlib.blake2b(raw, digest_size=16).digest()
+            keys[i] = key[by_rank[cut[i] + alone[i]:cut[i] + first[i]]].view(np.int64)
+        return pa.table({"doc_id": pa.array(b.ids, arrow), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()),
+                         "keys": pa.array(keys, pa.list_(pa.int64())), "elements": pa.array(elements, pa.binary())})
+
+    sets = folder.put(blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(
+        settle, f"doc_id {kind}, n long, digest binary, keys array<long>, elements binary"), "sets")
+    folder.drop("blocks")
+    folder.drop("answers")
+    open_ = sets.where("digest IS NOT NULL")
+    several = folder.put(open_.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+                         .where("copies > 1 AND rep IS NOT NULL"), "several")
+    copies = (open_.select("doc_id", "digest").join(checked(several), "digest")
               .where("NOT doc_id <=> rep").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
-    members = sets.where("n > 0 AND doc_id IS NOT NULL").join(
-        checked(copies), F.expr("doc_id = _id AND digest = _digest"), "left_anti").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "keys")
+    members = open_.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).join(
+        checked(copies), F.expr("doc_id = _id AND digest = _digest"), "left_anti")
     posted = members.select("doc_id", F.explode("keys").alias("key"))
     heads = folder.put(posted.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"))
                        .where("head < tail").select("key", "head"), "heads")
     near = components(posted.join(checked(heads), "key").where("doc_id > head").select("doc_id", "head").distinct(), "doc_id", "head", folder, "near")
     near = folder.put(near, "candidates")
 
-    weight = near.join(sets.select(F.col("doc_id").cast("long").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
+    weight = near.join(members.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
     heavy = folder.put(weight.groupBy("component").agg(F.sum("n").alias("n")), "weights")
-    total = heavy.agg(F.sum("n")).first()[0] or 0
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / F.lit(SHARD))).cast("int")
-    shards = max(1, math.ceil(total / SHARD))
-    placed = near.join(checked(heavy.select("component", F.when(F.col("n") > SHARD, blocks).otherwise(1).alias("blocks"))), "component")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    shards = max(1, math.ceil((heavy.agg(F.sum("n")).first()[0] or 0) / SHARD))
+    cuts = F.when(F.col("n") > SHARD, F.ceil(F.col("n") * 2 / F.lit(SHARD))).otherwise(1).cast("int")
+    placed = near.join(checked(heavy.select("component", cuts.alias("blocks"))), "component")
     # a pair of blocks (s, t), s <= t, is a shard of its own; components in one block share shards
-    placed = placed.withColumn("s", mine).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    placed = placed.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node", "component", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"),
         F.when(F.col("s") <= F.col("t"), 0).otherwise(1).alias("side"),
         F.when(F.col("blocks") > 1, F.xxhash64("component", F.least("s", "t"), F.greatest("s", "t")))
         .otherwise(F.pmod(F.xxhash64("component"), F.lit(shards))).alias("shard"))
 
-    def again(batches):
-        for b in sliced(batches, most_bytes=8 << 20):
-            yield pa.record_batch({"doc_id": b["doc_id"], "elements": pa.array([s.tobytes() for s in shingle_sets(b["text"], width)], pa.binary())})
-
-    wanted = text.withColumn("doc_id", F.col("doc_id").cast("long")).join(checked(near.select(F.col("node").alias("_id"))), F.expr("doc_id = _id"), "left_semi")
-    found = folder.put(wanted.mapInArrow(again, "doc_id long, elements binary"), "elements")
-
     def shard(table: pa.Table) -> pa.Table:
         groups: dict[tuple, list[dict]] = {}
         for r in table.to_pylist():
@@ -247,13 +221,13 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
             out += search([r["doc_id"] for r in rows], [np.frombuffer(r["elements"], np.uint64) for r in rows], [r["side"] for r in rows], percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    links = (found.join(checked(placed), F.expr("doc_id = node")).select("doc_id", "elements", "component", "lo", "hi", "side", "shard")
-             .groupBy("shard").applyInArrow(shard, "a long, b long"))
+    links = (members.select("doc_id", "elements").join(checked(placed), F.expr("doc_id = node"))
+             .select("doc_id", "elements", "component", "lo", "hi", "side", "shard").groupBy("shard").applyInArrow(shard, "a long, b long"))
     linked = folder.put(components(folder.put(links, "links"), "a", "b", folder, "linked"), "groups")
-    # the class of a set, and the component of the class, where either differs from the document itself
-    named = (sets.where("n > 0").select("doc_id", "digest").join(checked(linked), F.col("doc_id").cast("long") == F.col("node"))
+    # the component of a class, where it differs from the document itself
+    named = (open_.select("doc_id", "digest").join(checked(linked), F.col("doc_id").cast("long") == F.col("node"))
              .groupBy("digest").agg(F.min("component").alias("component")))
     of_digest = folder.put(several.select("digest", "rep").join(named, "digest", "full").select(
         F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component")), "of_digest")
-    return sets.join(checked(of_digest), F.col("digest") == F.col("_digest"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sets.select("doc_id", "n", "digest").join(checked(of_digest), F.col("digest") == F.col("_digest"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
