@@ -120,3 +120,9 @@ def line_dedup(spark, d):
     return out.select("doc_id", lines(before).alias("n_lines"), F.octet_length(before).cast("long").alias("n_bytes"),
                       lines(F.coalesce("text", F.lit(""))).alias("kept_lines"),
                       F.octet_length(body()).cast("long").alias("kept_bytes"), F.sha2(body(), 256).alias("kept_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, d)

@@ -79,6 +79,10 @@ def _evidence(n: int, found: list[tuple[float, int, int]], decay: float, scale:
     return math.log1p(sum(over)), math.log1p(max(over, default=0.0))
 
 
+def _probability(w: tuple[float, float, float], both: float, best: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * both + w[2] * best))))
+
+
 def _word_scores(sample: DataFrame, folder: Folder) -> tuple[dict[str, float], float]:
     """Log-odds of each word in toxic against other texts, with an informative Dirichlet prior.
 
@@ -170,7 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             p, passages = [], []
             for n, found in _scanned(b["text"], model):
                 both, best = _evidence(n, found, model.decay, model.scale)
-                p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * both + w[2] * best)))))
+                p.append(_probability(w, both, best))
                 said = ((a, z, s, model.scale * n * math.exp(-model.decay * s)) for s, a, z in found)
                 passages.append([dict(zip(("first", "end", "score", "evalue"), x, strict=True)) for x in said if x[3] <= SIGNIFICANT])
             kinds = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evalue", pa.float64())]))
@@ -181,6 +185,23 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         run, f"doc_id {kind}, score double, predicted int, passages array<struct<first:long,end:long,score:double,evalue:double>>")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0,
+                  threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold; fitted as in toxicity."""
+    model = fit(docs, labels, label, modulus, held, fit_rows)
+
+    def run(batches):
+        w = model.weights
+        for b in sliced(batches):
+            keep = []
+            for n, found in _scanned(b["text"], model):
+                both, best = _evidence(n, found, model.decay, model.scale)
+                keep.append(_probability(w, both, best) < threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0,
              threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Fit on the rows outside the held-out fold and score every row.
