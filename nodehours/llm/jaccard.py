@@ -29,7 +29,7 @@ class Shingles:
     def __init__(self, b: Block, width: int) -> None:
         h = b.vocabulary[b.codes] if len(b.codes) else np.zeros(0, np.uint64)
         length = np.diff(b.offsets)
-        rolled, doc = h.copy(), np.repeat(np.arange(len(length)), length)
+        rolled, doc = h.copy(), np.repeat(np.arange(len(length), dtype=np.int32), length)
         for k in range(1, width):
             rolled[:len(h) - k] = mixed(rolled[:len(h) - k] * MIX + h[k:])
         place = np.arange(len(h)) - np.repeat(b.offsets[:-1], length)
@@ -40,7 +40,7 @@ class Shingles:
             more = length[short] > k
             at = b.offsets[short[more]] + k
             extra[more] = mixed(extra[more] * MIX + h[at] + length[short[more]].astype(np.uint64))
-        key, doc = np.concatenate([rolled[whole], extra]), np.concatenate([doc[whole], short])
+        key, doc = np.concatenate([rolled[whole], extra]), np.concatenate([doc[whole], short.astype(np.int32)])
         order = np.lexsort((doc, key)) if len(short) else np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         once = np.ones(len(key), bool)
@@ -49,7 +49,7 @@ class Shingles:
         coarse = self.key >> COARSE << COARSE
         new = np.ones(len(coarse), bool)
         new[1:] = coarse[1:] != coarse[:-1]
-        self.coarse, self.number = coarse[new], np.cumsum(new) - 1
+        self.coarse, self.number = coarse[new], np.cumsum(new, dtype=np.int32) - 1
 
     def asks(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(self.coarse, np.bincount(self.number, minlength=len(self.coarse)))]

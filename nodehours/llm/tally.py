@@ -1,6 +1,6 @@
 """Corpus-wide counts of word keys, exchanged in blocks.
 
-A block is some tens of megabytes of consecutive texts, encoded as numbers into its own vocabulary and written
+A block is some megabytes of consecutive texts, encoded as numbers into its own vocabulary and written
 once. Each block asks for the corpus counts of its distinct keys: sorted and split by key range, they go to one bucket
 each; the bucket adds up what all blocks report and answers every block in the order of its keys. A key that is in a
 third of all texts costs one entry per block, never one per text, so no key makes a bucket large.
@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType
 from nodehours.llm.common import Folder
 from nodehours.llm.words import hashes, words
 
-BLOCK_BYTES = 24 << 20  # text of a block
+BLOCK_BYTES = 8 << 20  # text of a block
 BUCKET_KEYS = 2_000_000  # keys a bucket holds, about, whatever the size of the corpus
 
 
