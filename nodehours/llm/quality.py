@@ -20,6 +20,7 @@ DIM = 12
 GRAMS = (3, 4)  # lengths in bytes of character n-grams, word ends marked
 EPOCHS = 5
 RATE = 0.1
+BATCH_BYTES = 5 << 20  # text handled at a time
 
 
 @dataclass
@@ -73,7 +74,7 @@ def _bags(sample: DataFrame) -> DataFrame:
     """Distinct features of each training text with their counts; at most BUCKETS a text."""
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sliced(batches, most_bytes=BATCH_BYTES):
             offsets, codes, vocabulary = words(b["text"], lower=False)
             bucket, at = features(vocabulary)
             pair = pairs(offsets, codes, vocabulary)
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     kind, lean, shift = dict(docs.dtypes)["doc_id"], model.lean(), model.shift
 
     def run(batches):
-        for b in sliced(batches):
+        for b in sliced(batches, most_bytes=BATCH_BYTES):
             offsets, codes, vocabulary = words(b["text"], lower=False)
             bucket, at = features(vocabulary)
             count = np.diff(at)
