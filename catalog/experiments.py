@@ -71,12 +71,12 @@ def _(s, d):
 
 
 @query("a33_rollup", """
-SELECT CASE param_a WHEN 'A' THEN 24 WHEN 'N' THEN 48 ELSE 48 END::BIGINT AS small_cap, round(avg(m_p95), 6) AS m_p95, round(avg(m_avg), 8) AS m_avg FROM results_fx WHERE status = 'OK' GROUP BY 1""")
+SELECT CASE param_a WHEN 'A' THEN 24 WHEN 'N' THEN 48 ELSE 48 END::BIGINT AS small_cap, round(avg(m_p95), 6) AS m_p95, round(avg(m_avg), 10) AS m_avg FROM results_fx WHERE status = 'OK' GROUP BY 1""")
 def _(s, d):
     label = F.when(F.col("param_a") == "A", "[[1,24],[512,48]]").otherwise("[[1,48],[512,48]]")
     cap = F.get_json_object(label, "$[0][1]").cast("long")
     t = E.rollup_by(X.results(s, d), cap, "small_cap", ["m_p95", "m_avg"])
-    return t.select("small_cap", F.round("m_p95", 6).alias("m_p95"), F.round("m_avg", 8).alias("m_avg"))
+    return t.select("small_cap", F.round("m_p95", 6).alias("m_p95"), F.round("m_avg", 10).alias("m_avg"))
 
 
 @query("k1_top_configs", f"WITH {LONG.strip()} SELECT config_hash, round(mean, 6) AS mean FROM mc WHERE metric = 'm_avg' ORDER BY mean DESC, config_hash LIMIT 3")

@@ -74,7 +74,7 @@ def _(s, d):
 
 AFFECTED = """
 aff AS (SELECT "window", project FROM (SELECT w.name AS "window", project,
-  row_number() OVER (PARTITION BY w.name ORDER BY ('0x' || substr(md5(w.name || '|' || project || '|11'), 1, 8))::BIGINT, project) AS rn,
+  row_number() OVER (PARTITION BY w.name ORDER BY ('0x' || substr(md5(w.name || '|' || project || '|11'), 1, 13))::BIGINT, project) AS rn,
   count(*) OVER (PARTITION BY w.name) AS n FROM deadlines_fx w, (SELECT DISTINCT project FROM jobs_fx) p)
  WHERE rn <= greatest(1, round_even(0.4 * n, 0)))"""
 

@@ -12,7 +12,7 @@ from nodehours.operators import workload as W
 
 def uni(*parts: str) -> str:
     """SQL of the reproducible uniform draw."""
-    return "(('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return "(('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def burn_sql(cover: float = 0.4, floor: float = 0.4) -> str:

@@ -2,17 +2,18 @@
 
 Everything here rests on one idea: cut the ordering axis into blocks, do the
 row-level work inside (keys, block), reduce each block to one row, accumulate
-over those few rows, and join the carry back.  A single hot key is therefore
-spread over all blocks, and no task holds more than one block of it.
+over those few rows, and carry the result into the block.  A single hot key is
+therefore spread over all blocks, and no task holds more than one block of it.
 
 Blocks come from two places:
 
 * regular grids: the grid index divided by ``GRID_BLOCK`` (bounded by design);
-* fact columns: equal-depth cut points from a quantile sketch.  The cut points
-  only balance the work; any cut points give the same result.
+* fact columns: equal-depth cut points from a quantile sketch, one block for
+  each ``BLOCK_ROWS`` rows.  The cut points only balance the work; any cut
+  points give the same result.
 
-Rows are counted first.  At or below ``small_rows`` one ordinary window does
-the same with fewer stages, and the count bounds what a task holds.
+There is one path for every size.  An input of at most ``BLOCK_ROWS`` rows is
+one block, which has nothing to carry in.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRID_BLOCK = 4096  # grid cells per block in grid-level running sums
-MAX_CUTS = 1024  # upper bound on cut points, whatever the data size
+COARSE_CUTS = 1024  # cut points drawn in one pass; more come from a second pass inside these
+BLOCK_ROWS = 1_000_000  # rows of a block, about; setting nodehours.blockRows overrides it
 DIM_LIMIT = 10_000  # rows allowed in a configuration dimension
-SMALL_ROWS = 1_000_000  # rows one plain window may order; setting nodehours.smallRows overrides it
 BLK = "_blk"
 _local_scratch: list[str] = []
 
@@ -42,18 +43,8 @@ _local_scratch: list[str] = []
 # --------------------------------------------------------------------------
 
 
-def small_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("nodehours.smallRows", str(SMALL_ROWS)))
-
-
-def is_small(*frames: DataFrame, at_most: int | None = None) -> bool:
-    """Whether the rows together are few enough for one plain window (counted, not guessed).
-
-    ``at_most`` is a bound the caller counted on the inputs of a derived table,
-    so that the table need not be computed only to be counted.
-    """
-    limit = small_rows(frames[0])
-    return (sum(f.count() for f in frames) if at_most is None else at_most) <= limit
+def block_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("nodehours.blockRows", str(BLOCK_ROWS)))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -76,10 +67,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def uniform(*keys: Column | str, seed: int | str) -> Column:
-    """Reproducible U[0,1) per row from its key, independent of partitioning."""
+    """Reproducible U[0,1) per row from its key, 52 bits of its hash, independent of partitioning."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
     text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def dim_rows(dim: DataFrame, cols: Sequence[str], limit: int = DIM_LIMIT) -> list[tuple]:
@@ -123,51 +114,54 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 @dataclass(frozen=True)
 class Cuts:
-    """Increasing cut points, the rows they were drawn from, and heavy blocks.
+    """Increasing cut points, and blocks that one value fills.
 
     ``heavy`` maps a block to the number of equal shares its first value alone
     takes; a value that fills several quantiles shows up as a repeated cut.
     """
 
-    points: tuple[float, ...]
-    rows: int
+    points: tuple[float, ...] = ()
     heavy: dict[int, int] = field(default_factory=dict)
 
 
-def cut_points(df: DataFrame, *cols: str, n: int | None = None) -> Cuts:
-    """Equal-depth cut points over one or more numeric columns.
+def cut_points(df: DataFrame, *cols: str) -> Cuts:
+    """Equal-depth cut points over one or more numeric columns, one for each ``BLOCK_ROWS`` values.
 
-    Two-level quantile sketch: per group of input partitions, then over the
-    bounded set of sketch points.  Only at most ``MAX_CUTS`` numbers reach the
-    driver, for any data size.
+    The values are counted first.  Up to ``COARSE_CUTS`` blocks come from one
+    sketch per group of input partitions, merged over the bounded set of sketch
+    points; if more are needed, each of those is cut again by a sketch of its
+    own.  The driver receives the cut points only: 8 bytes for a block.
     """
-    if n is None:
-        shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = min(MAX_CUTS, max(16, 4 * shuffle))
-    probs = [i / n for i in range(1, n)]
     if len(cols) == 1:
         vals = df.select(F.col(cols[0]).cast("double").alias("x"))
     else:
         vals = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("x"))
     vals = vals.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    blocks = -(-vals.count() // block_rows(df.sparkSession))
+    if blocks <= 1:
+        return Cuts()
+    n = min(blocks, COARSE_CUTS)
+    probs = [i / n for i in range(1, n)]
     part = vals.groupBy((F.spark_partition_id() % 64).alias("g")).agg(
-        F.percentile_approx("x", probs, 4 * n).alias("q"), F.count("x").alias("n")
-    )
-    row = (
-        part.select(F.explode("q").alias("x"), "n")
-        .agg(F.percentile("x", probs, F.col("n")).alias("q"), F.sum("n").alias("n"))
-        .first()
-    )
-    if row.q is None:
-        return Cuts((), 0)
-    times = Counter(row.q)
+        F.percentile_approx("x", probs, 4 * n).alias("q"), F.count("x").alias("n"))
+    cuts = part.select(F.explode("q").alias("x"), "n").agg(F.percentile("x", probs, F.col("n")).alias("q")).first().q
+    if blocks > n:
+        k = -(-blocks // n)
+        fine = [i / k for i in range(1, k)]
+        inner = with_block(vals, "x", Cuts(tuple(sorted(set(cuts))))).groupBy(BLK).agg(F.percentile_approx("x", fine, 4 * k).alias("q"))
+        cuts = sorted([*cuts, *(x for r in inner.collect() for x in r.q)])
+    times = Counter(cuts)
     points = tuple(sorted(times))
     heavy = {i + 1: times[p] for i, p in enumerate(points) if times[p] > 1}
-    return Cuts(points, round(row.n / len(probs)), heavy)
+    return Cuts(points, heavy)
 
 
 def with_block(df: DataFrame, col: str, cuts: Cuts, name: str = BLK) -> DataFrame:
-    """Add the block of ``col``: the number of cut points at or below it."""
+    """Add the block of ``col``: the number of cut points at or below it.
+
+    NULL is in block -1, before all others, and NaN in the last one, after all
+    others, as Spark orders them.  The block is never NULL.
+    """
     if not cuts.points:
         return df.withColumn(name, F.lit(0))
     out = Bucketizer(
@@ -175,13 +169,23 @@ def with_block(df: DataFrame, col: str, cuts: Cuts, name: str = BLK) -> DataFram
         inputCol="_cut_in",
         outputCol="_cut_out",
         handleInvalid="keep",
-    ).transform(df.withColumn("_cut_in", F.col(col).cast("double")))
-    return out.withColumn(name, F.col("_cut_out").cast("int")).drop("_cut_in", "_cut_out")
+    ).transform(df.withColumn("_cut_in", F.coalesce(F.col(col).cast("double"), F.lit(0.0))))
+    block = F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.coalesce(F.col("_cut_out").cast("int"), F.lit(len(cuts.points) + 1)))
+    return out.withColumn(name, block).drop("_cut_in", "_cut_out")
+
+
+def text_position(df: DataFrame, col: str) -> Column:
+    """A number that never falls as the text rises: six bytes after the prefix that all values share."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    low, high = (low or "").encode(), (high or "").encode()
+    shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    six = F.rpad(F.hex(F.expr(f"substring(cast(`{col}` AS binary), {shared + 1}, 6)")), 12, "0")
+    return F.conv(six, 16, 10).cast("double")
 
 
 def index_of(col: str, values: Sequence[float], df: DataFrame, name: str) -> DataFrame:
     """Number of entries of the sorted list ``values`` at or below ``col`` (binary search)."""
-    return with_block(df, col, Cuts(tuple(sorted(set(map(float, values)))), 0), name)
+    return with_block(df, col, Cuts(tuple(sorted(set(map(float, values))))), name)
 
 
 # --------------------------------------------------------------------------
@@ -196,40 +200,45 @@ def running(
     aggs: dict[str, tuple[str, str]],
     cuts: Cuts | None = None,
     block: Column | None = None,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Running aggregates in ``order`` per ``keys``; rows with equal order count together.
 
     ``aggs`` maps an output column to (kind, column) with kind sum, min, max or
     last.  Callers pre-aggregate rows of equal (keys, order).  Pass ``block``
-    for a regular grid; otherwise an input above ``small_rows`` is stored once
-    and cut points are drawn from ``order``.
+    for a regular grid; otherwise the input is stored once and cut points are
+    drawn from ``order``.
     """
     keys = list(keys)
     if block is not None:
         b = df.withColumn(BLK, block)
     else:
-        if cuts is None and is_small(df, at_most=at_most):
-            w = Window.partitionBy(*keys).orderBy(order)
-            return df.select(*df.columns, *[_fold(k, F.col(c)).over(w).alias(o) for o, (k, c) in aggs.items()])
-        df = stored(df)
-        b = with_block(df, order, cuts or cut_points(df, order))
+        if cuts is None:
+            df = stored(df)
+            cuts = cut_points(df, order)
+        b = with_block(df, order, cuts)
     inside = Window.partitionBy(*keys, BLK).orderBy(order)
+    inner = {out: _fold(kind, F.col(col)).over(inside) for out, (kind, col) in aggs.items()}
+    if block is None and not cuts.points:
+        return b.select(*df.columns, *[e.alias(o) for o, e in inner.items()])
     before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     fold, carry, merge = {}, {}, {}
     for out, (kind, col) in aggs.items():
         c, k = F.col(col), F.col(f"_c_{out}")
-        inner = _fold(kind, c).over(inside)
         fold[out] = F.max_by(c, F.when(c.isNotNull(), F.col(order))) if kind == "last" else _fold(kind, c)
         carry[out] = _fold(kind, F.col(out)).over(before)
-        merge[out] = {"last": lambda: F.coalesce(inner, k), "sum": lambda: inner + F.coalesce(k, F.lit(0)),
-                      "min": lambda: F.least(inner, k), "max": lambda: F.greatest(inner, k)}[kind]()
+        merge[out] = {"last": lambda: F.coalesce(inner[out], k), "sum": lambda: inner[out] + F.coalesce(k, F.lit(0)),
+                      "min": lambda: F.least(inner[out], k), "max": lambda: F.greatest(inner[out], k)}[kind]()
     totals = b.groupBy(*keys, BLK).agg(*[e.alias(o) for o, e in fold.items()])
     totals = totals.select(*keys, BLK, *[e.alias(f"_c_{o}") for o, e in carry.items()])
-    joined = join_on(b, totals, [*keys, BLK], "left")
+    joined = join_on(b, per_block(totals), [*keys, BLK], "left")
     return joined.select(*df.columns, *[e.alias(o) for o, e in merge.items()])
 
 
+def per_block(totals: DataFrame) -> DataFrame:
+    """A table of keys and blocks, stored so that its size is known; broadcast if small, so that facts move once."""
+    return small_side(stored(totals))
+
+
 def _fold(kind: str, c: Column) -> Column:
     if kind == "last":
         return F.last(c, ignorenulls=True)
@@ -237,44 +246,54 @@ def _fold(kind: str, c: Column) -> Column:
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[Column | str] = (),
-             name: str = "rn", ascending: bool = True, cuts: Cuts | None = None, at_most: int | None = None) -> DataFrame:
+             name: str = "rn", ascending: bool = True, cuts: Cuts | None = None) -> DataFrame:
     """Row number per ``keys`` by ``order`` (then ``ties``) without one task per key.
 
-    A value of ``order`` that fills whole blocks by itself gets a block of its
-    own, which is cut again by the first tie column when that is numeric.
+    ``order`` and ``ties`` may be numbers or texts.  NULLs come first, or last
+    when descending.  A value of ``order`` that fills whole blocks by itself
+    gets a block of its own, which is cut again by the first tie column.
     """
     keys = list(keys)
     by = F.col(order).asc() if ascending else F.col(order).desc()
-    if cuts is None and is_small(df, at_most=at_most):
+    at, df_at = _positioned(df, order, "_at")
+    cuts = cut_points(df_at, at) if cuts is None else cuts
+    if not cuts.points:
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(by, *ties))
         return df.select(*df.columns, rn.cast("long").alias(name))
-    cuts = cuts or cut_points(df, order)
     tie = ties[0] if ties and isinstance(ties[0], str) else None
-    numeric = tie is not None and not isinstance(df.schema[tie].dataType, (T.StringType, T.BooleanType, T.BinaryType))
-    if cuts.heavy and numeric:
+    if cuts.heavy and tie is not None:
         hot = {cuts.points[i - 1] for i in cuts.heavy}
         points = tuple(sorted({*cuts.points, *(math.nextafter(v, math.inf) for v in hot)}))
         own = [points.index(v) + 1 for v in hot]
-        b = with_block(df, order, Cuts(points, cuts.rows))
-        b = with_block(b, tie, cut_points(df, tie), "_sub").withColumn("_sub", F.when(F.col(BLK).isin(own), F.col("_sub")).otherwise(0))
+        sub, df_at = _positioned(df_at, tie, "_tie")
+        b = with_block(df_at, at, Cuts(points))
+        b = with_block(b, sub, cut_points(df_at, sub), "_sub").withColumn("_sub", F.when(F.col(BLK).isin(own), F.col("_sub")).otherwise(0))
     else:
-        b = with_block(df, order, cuts).withColumn("_sub", F.lit(0))
+        b = with_block(df_at, at, cuts).withColumn("_sub", F.lit(0))
     blk = F.col(BLK) if ascending else -F.col(BLK)
     sizes = b.groupBy(*keys, BLK, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(blk, "_sub").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, BLK, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = join_on(b, sizes, [*keys, BLK, "_sub"], "left")
+    out = join_on(b, per_block(sizes), [*keys, BLK, "_sub"], "left")
     rn = F.row_number().over(Window.partitionBy(*keys, BLK, "_sub").orderBy(by, *ties))
     return out.select(*df.columns, (rn + F.col("_off")).alias(name))
 
 
+def _positioned(df: DataFrame, col: str, name: str) -> tuple[str, DataFrame]:
+    """A numeric column that orders as ``col`` does: itself, or for a text its position."""
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        return col, df
+    return name, df.withColumn(name, text_position(df, col))
+
+
 def following(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], step: int = 1) -> DataFrame:
     """Values of the next row (``step`` -1: previous row) in ``order`` per ``keys``."""
     keys = list(keys)
-    if is_small(df):
+    cuts = cut_points(df, order)
+    if not cuts.points:  # one block has no neighbours
         w = Window.partitionBy(*keys).orderBy(order)
         return df.select(*df.columns, *[F.lead(c, step).over(w).alias(o) for o, c in cols.items()])
-    rows = stored(numbered(df, keys, order, name="_rn"))
+    rows = stored(numbered(df, keys, order, name="_rn", cuts=cuts))
     other = rows.select(*keys, (F.col("_rn") - step).alias("_rn"), *[F.col(c).alias(o) for o, c in cols.items()])
     return join_on(rows, other, [*keys, "_rn"], "left").select(*df.columns, *cols)
 
@@ -286,7 +305,7 @@ def following(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, st
 
 def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
          keys: Sequence[str] = (), direction: str = "backward", at: str | None = None,
-         cuts: Cuts | None = None, at_most: int | None = None) -> DataFrame:
+         cuts: Cuts | None = None) -> DataFrame:
     """Attach the latest ``right`` row at or before ``on`` (or the earliest at or after).
 
     Both sides are cut into the same blocks.  Blocks in which one instant holds
@@ -304,27 +323,26 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
     rrow = right.select(*keys, (F.col(on).cast("double") * sign).alias("_t"), F.lit(0).alias("_side"),
                         F.struct(F.col(on).cast("double").alias("_at"), *values).alias("_r"))
     rrow = rrow.where(F.col("_t").isNotNull())
-    part = [*keys]
-    small = cuts is None and is_small(left, right, at_most=at_most)
-    if not small:
-        cuts = cuts or cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t")
-        lrow, rrow = with_block(lrow, "_t", cuts), with_block(rrow, "_t", cuts)
-        ends = _carry(rrow, keys, len(cuts.points))
-        part.append(BLK)
-        if cuts.heavy:
-            pairs = [F.lit(x) for kv in cuts.heavy.items() for x in kv]
-            shares = F.coalesce(F.create_map(*pairs)[F.col(BLK)], F.lit(1))
-            lrow = lrow.withColumn("_salt", F.pmod("_h", shares))
-            rrow = rrow.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
-            part.append("_salt")
+    cuts = cut_points(lrow.select("_t").unionAll(rrow.select("_t")), "_t") if cuts is None else cuts
+    lrow, rrow = with_block(lrow, "_t", cuts), with_block(rrow, "_t", cuts)
+    part = [*keys, BLK]
+    if cuts.heavy:
+        pairs = [F.lit(x) for kv in cuts.heavy.items() for x in kv]
+        shares = F.coalesce(F.create_map(*pairs)[F.col(BLK)], F.lit(1))
+        lrow = lrow.withColumn("_salt", F.pmod("_h", shares))
+        rrow = rrow.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
+        part.append("_salt")
     both = lrow.drop("_h").unionByName(rrow, allowMissingColumns=True)
     inside = (Window.partitionBy(*part).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(inside)).where(F.col("_side") == 1)
-    if not small:
-        out = join_on(out, ends, [*keys, BLK], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
-    extra = [F.col("_hit._at").alias(at)] if at else []
-    return out.select("_l.*", *extra, *[F.col(f"_hit.{v}").alias(v) for v in values])
+    if cuts.points:
+        ends = _carry(rrow, keys, len(cuts.points))
+        out = join_on(out, per_block(ends), [*keys, BLK], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
+    # a row without a position meets nothing
+    hit = F.when(F.col("_t").isNotNull(), F.col("_hit"))
+    extra = [hit["_at"].alias(at)] if at else []
+    return out.select("_l.*", *extra, *[hit[v].alias(v) for v in values])
 
 
 def _carry(rrow: DataFrame, keys: list[str], top: int) -> DataFrame:
@@ -369,10 +387,10 @@ def grid_running(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str,
                  order: str = "bin") -> DataFrame:
     """Running aggregates over the rows of a grid with ``bins`` points, per key.
 
-    The grid length bounds what one task orders; beyond ``small_rows`` points
-    the grid itself is cut into blocks.
+    The grid length, which the caller gives, bounds what one task orders;
+    longer grids are cut into blocks of ``GRID_BLOCK`` points.
     """
-    if bins <= small_rows(df):
+    if bins <= GRID_BLOCK:
         w = Window.partitionBy(*keys).orderBy(order)
         return df.select(*df.columns, *[_fold(k, F.col(c)).over(w).alias(o) for o, (k, c) in aggs.items()])
     return running(df, keys, order, aggs, block=F.floor(F.col(order) / GRID_BLOCK).cast("int"))
@@ -412,7 +430,7 @@ def grid_levels(sums: DataFrame, keys: Sequence[str], flows: Sequence[str], leve
     """
     keys, flows = list(keys), list(flows)
     n = (n_points if closed else n_bins)(t0, t1, dt)
-    if not keys or n > small_rows(sums):
+    if not keys or n > GRID_BLOCK:
         full = fill_grid(stored(sums) if keys else sums, keys, [*flows, *levels.values()], t0, t1, dt, closed)
         return grid_running(full, keys, {out: ("sum", c) for out, c in levels.items()}, n)
     w = Window.partitionBy(*keys).orderBy("bin")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from nodehours.blocks import dim_rows, join_on, numbered, struct_array, uniform
 from nodehours.functions import clean as C
 from nodehours.operators.quantiles import summarize
-from nodehours.operators.sampling import EVEN_CUTS
 
 META = ("config_hash", "seed", "status", "runtime_s", "note")
 
@@ -42,7 +41,7 @@ def latin_hypercube(spark: SparkSession, ranges: Mapping[str, tuple[float, float
                      for k, (lo, hi) in ranges.items()])
     rows = spark.range(n).withColumnRenamed("id", "i").select("i", F.explode(dims).alias("d")).select("i", "d.*")
     rows = rows.withColumn("_u", uniform("dim", "i", seed=f"perm{seed}"))
-    rows = numbered(rows, ["dim"], "_u", ["i"], "_rn", cuts=EVEN_CUTS)
+    rows = numbered(rows, ["dim"], "_u", ["i"], "_rn")
     at = (F.col("_rn") - 1 + uniform("dim", "i", seed=f"jitter{seed}")) / n
     rows = rows.withColumn("value", F.col("lo") + at * (F.col("hi") - F.col("lo")))
     out = rows.groupBy("i").agg(*[F.max(F.when(F.col("dim") == k, F.col("value"))).alias(k) for k in ranges])

@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import bin_sums, join_on, level_on_grid, n_points, small_rows, stored
+from nodehours.blocks import GRID_BLOCK, bin_sums, join_on, level_on_grid, n_points, stored
 from nodehours.operators.lookups import cap_audit
 from nodehours.operators.quantiles import summarize
 
@@ -31,7 +31,7 @@ def range_max(df: DataFrame, cells: DataFrame, lo: Column, hi: Column, bins: int
     """
     top = max(1, bins.bit_length())
     t = cells.select(F.col("bin").cast("long").alias("bin"), F.col(value).cast("double").alias("m0"))
-    plain = bins <= small_rows(df)
+    plain = bins <= GRID_BLOCK
     for k in range(1, top):
         half = 1 << (k - 1)
         if plain:  # the grid length bounds this window

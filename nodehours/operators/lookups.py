@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import (asof, dim_rows, following, grid_running, index_of, join_on, n_points, running,
-                              small_rows, small_side, stored, struct_array)
+from nodehours.blocks import (GRID_BLOCK, asof, dim_rows, following, grid_running, join_on, n_points, numbered, running,
+                              small_side, stored, struct_array)
 
 
 def with_queue(df: DataFrame, queues: DataFrame, defaults: dict[str, object], key: str = "queue") -> DataFrame:
@@ -93,15 +93,15 @@ def overlapping(df: DataFrame, t0: Column | float, t1: Column | float, start: st
 # --------------------------------------------------------------------------
 
 
-def asof_step(df: DataFrame, series: DataFrame, on: str, value: str, t: str = "t_h", at_most: int | None = None) -> DataFrame:
-    """Value of a step series at ``on``; before the first row the first value holds."""
+def asof_step(df: DataFrame, series: DataFrame, on: str, value: str, t: str = "t_h") -> DataFrame:
+    """Value of a step series at ``on``; before the first row the first value holds, and a NULL instant has none."""
     right = series.select(F.col(t).alias(on), value)
     first = series.agg(F.min_by(value, t)).scalar()
-    return asof(df, right, on, [value], at_most=at_most).withColumn(value, F.coalesce(F.col(value), first))
+    return asof(df, right, on, [value]).withColumn(value, F.when(F.col(on).isNotNull(), F.coalesce(F.col(value), first)))
 
 
 def step_levels(intervals: DataFrame, start: str, end: str, weight: str | None, keys: Sequence[str] = (),
-                name: str = "level", at_most: int | None = None) -> DataFrame:
+                name: str = "level") -> DataFrame:
     """Total weight of the intervals covering t, as a step series with one row per change."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     deltas = (intervals.where(F.col(start).isNotNull())
@@ -109,16 +109,14 @@ def step_levels(intervals: DataFrame, start: str, end: str, weight: str | None,
                                                F.struct(F.col(end).alias("t_h"), (-w).alias("d")))).alias("p"))
               .select(*keys, "p.*").where(F.col("t_h").isNotNull())
               .groupBy(*keys, "t_h").agg(F.sum("d").alias("d")))
-    at_most = 2 * intervals.count() if at_most is None else at_most
-    return running(deltas, keys, "t_h", {name: ("sum", "d")}, at_most=at_most).select(*keys, "t_h", name)
+    return running(deltas, keys, "t_h", {name: ("sum", "d")}).select(*keys, "t_h", name)
 
 
 def covering_sum(instants: DataFrame, intervals: DataFrame, on: str, start: str = "start_h", end: str = "end_h",
                  weight: str = "nodes", name: str = "covered") -> DataFrame:
-    """Sum of sizes of the intervals [start, end) covering each instant."""
-    events = 2 * intervals.count()
-    levels = step_levels(intervals, start, end, weight, name=name, at_most=events).withColumnRenamed("t_h", on)
-    return asof(instants, levels, on, [name], at_most=events + instants.count()).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    """Sum of sizes of the intervals [start, end) covering each instant; NULL for a NULL instant."""
+    levels = stored(step_levels(intervals, start, end, weight, name=name)).withColumnRenamed("t_h", on)
+    return asof(instants, levels, on, [name]).withColumn(name, F.when(F.col(on).isNotNull(), F.coalesce(F.col(name), F.lit(0.0))))
 
 
 # --------------------------------------------------------------------------
@@ -150,7 +148,7 @@ def grid_neighbours(series: DataFrame, t0: float, t1: float, dt: float, t: str =
     # the first row after a point lies in the nearest later cell that has one
     g = g.withColumn("_rev", F.lit(n + 1) - F.col("bin"))
     g = grid_running(g, [], {"ahead": ("last", "_first")}, n + 2, order="_rev")
-    if n + 2 <= small_rows(series):
+    if n + 2 <= GRID_BLOCK:  # the grid length bounds this window
         g = g.withColumn("fwd", F.lead("ahead").over(Window.orderBy("bin")))
     else:
         g = join_on(g, g.select((F.col("bin") - 1).alias("bin"), F.col("ahead").alias("fwd")), ["bin"], "left")
@@ -204,20 +202,22 @@ def earliest_fit(requests: DataFrame, profile: DataFrame, nodes: str = "nodes",
     the size and a half-open length range.  Runs that reach the end of the
     profile count as endless; the last point itself is no start.
     """
-    sizes = sorted(r[0] for r in dim_rows(requests.select(F.col(nodes).cast("double").alias("n")).distinct(), ["n"], 100_000))
+    sizes = numbered(requests.select(F.col(nodes).cast("double").alias("size")).where("size IS NOT NULL").distinct(), [], "size", name="lvl")
+    sizes = stored(sizes.withColumn("lvl", F.col("lvl").cast("int")))
     prof = stored(profile.select(F.col(t).alias("t"), F.col(free).cast("double").alias("f")))
     last = prof.agg(F.max("t")).scalar()
     # c: how many of the sorted sizes fit at t
-    seg = following(index_of("f", sizes, prof, "c"), [], "t", {"c0": "c"}, -1).withColumn("c0", F.coalesce("c0", F.lit(0)))
+    fits = asof(prof, sizes.select(F.col("size").alias("f"), F.col("lvl").alias("c")), "f", ["c"]).withColumn("c", F.coalesce("c", F.lit(0)))
+    seg = following(stored(fits), [], "t", {"c0": "c"}, -1).withColumn("c0", F.coalesce("c0", F.lit(0)))
     lo, hi = F.least("c", "c0"), F.greatest("c", "c0")
     flips = seg.where(F.col("c") != F.col("c0")).select(
-        F.explode(F.sequence(lo, hi - 1)).alias("lvl"), "t", (F.col("c") > F.col("c0")).alias("up"))
+        F.explode(F.sequence(lo + 1, hi)).alias("lvl"), "t", (F.col("c") > F.col("c0")).alias("up"))
     run = following(flips, ["lvl"], "t", {"end": "t"}).where(F.col("up") & (F.col("t") < last))
     run = run.select("lvl", "t", (F.coalesce("end", F.lit(float("inf"))) - F.col("t")).alias("len"))
     best = running(run, ["lvl"], "t", {"top": ("max", "len")}).groupBy("lvl", F.col("top").alias("len")).agg(F.min("t").alias("t"))
     run = following(best, ["lvl"], "t", {"prev_len": "len"}, -1).withColumn("prev_len", F.coalesce("prev_len", F.lit(float("-inf"))))
     req = requests.select(F.col(nodes).cast("double").alias("_n"), F.col(length).cast("double").alias("_l")).distinct()
-    req = index_of("_n", sizes, req, "lvl").withColumn("lvl", F.col("lvl") - 1)
+    req = req.join(small_side(sizes), F.col("_n") == F.col("size")).drop("size")
     need = F.col("_l") - F.lit(1e-9)
     hit = (req.join(run.select("lvl", "t", "len", "prev_len"), "lvl")
            .where((need <= F.col("len")) & (need > F.col("prev_len")))
@@ -253,7 +253,7 @@ def cap_audit(jobs: DataFrame, queues: DataFrame, start: str = "start_h", end: s
     keys = ["scope", "queue", "entity"]
     net = (ev.where(F.col("e.t").isNotNull()).groupBy(*keys, F.col("e.t").alias("t"))
            .agg(F.sum(F.col("size") * F.col("e.sign")).alias("d"), F.count_if(F.col("e.sign") > 0).alias("starts")))
-    run = running(net, keys, "t", {"level": ("sum", "d")}, at_most=2 * len(limits) * jobs.count())
+    run = running(net, keys, "t", {"level": ("sum", "d")})
     caps = queues.select(F.col("name").alias("queue"), F.explode(F.array(*[
         F.struct(F.lit(s).alias("scope"), F.col(c).cast("long").alias("cap")) for s, c in limits.items()])).alias("c"))
     out = join_on(run, small_side(caps.select("queue", "c.*")), ["queue", "scope"], "left")

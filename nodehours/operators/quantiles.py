@@ -12,80 +12,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import BLK, Cuts, cut_points, is_small, join_on, numbered, running, small_rows, stored, with_block
+from nodehours.blocks import BLK, Cuts, cut_points, join_on, numbered, running, small_side, stored, with_block
+
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
               cuts: Cuts | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per group.
 
     ``probs`` maps output columns to probabilities.  Groups without a non-null
-    value give no row.  Up to ``small_rows`` input rows the built-in
-    ``percentile`` is used (its value map per group is bounded by that number);
-    beyond it only the blocks holding a wanted rank are shuffled and ordered.
+    value give no row.
     """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if cuts is None and is_small(data):
-        q = F.percentile("_v", [float(p) for p in probs.values()])
-        out = data.groupBy(*keys).agg(q.alias("_q"), F.count("_v").alias("_n"))
-        out = out.where(F.col("_n") > 0)
-        return out.select(*keys, *[F.col("_q")[i].alias(c) for i, c in enumerate(probs)])
-    return _blocked_quantiles(data, keys, probs, cuts or cut_points(data, "_v"))
+    return _quantiles(df, list(keys), [(F.col(value), probs)], cuts)
 
 
 def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
               quants: Sequence[tuple[Column, dict[str, float]]]) -> DataFrame:
     """Ordinary aggregates and exact quantiles per group, one row per group of ``df``.
 
-    Small inputs take one aggregation; larger ones add the block quantiles by
-    group key.  A group without values has NULL quantiles.
+    The quantiles of all columns are found together.  A group without values has
+    NULL quantiles.
     """
-    keys = list(keys) or ["_every"]
-    df = df.withColumn("_every", F.lit(0)) if keys == ["_every"] else df
-    base = [c.alias(n) for n, c in aggs.items()]
-    names = [n for _, probs in quants for n in probs]
-    if is_small(df):
-        arrays = [F.percentile(c.cast("double"), [float(p) for p in probs.values()]).alias(f"_q{i}")
-                  for i, (c, probs) in enumerate(quants)]
-        out = df.groupBy(*keys).agg(*base, *arrays)
-        picked = [F.col(f"_q{i}")[j].alias(n) for i, (_, probs) in enumerate(quants) for j, n in enumerate(probs)]
-        out = out.select(*keys, *aggs, *picked)
-    else:
-        out = df.groupBy(*keys).agg(*base)
-        for c, probs in quants:
-            data = df.select(*keys, c.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-            q = _blocked_quantiles(data, keys, probs, cut_points(data, "_v"))
-            out = join_on(out, q, keys, "left")
-        out = out.select(*keys, *aggs, *names)
-    return out.drop("_every")
+    keys = list(keys)
+    out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    q = small_side(stored(_quantiles(df, keys, quants)))  # one row per group
+    out = join_on(out, q, keys, "left") if keys else out.join(q, F.lit(True), "left")
+    return out.select(*keys, *aggs, *[n for _, probs in quants for n in probs])
 
 
-def _blocked_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float], cuts: Cuts) -> DataFrame:
-    b = with_block(data, "_v", cuts)
-    group = Window.partitionBy(*keys)
-    hist = b.groupBy(*keys, BLK).agg(F.count(F.lit(1)).alias("_n"))
+def _quantiles(df: DataFrame, keys: list[str], quants: Sequence[tuple[Column, dict[str, float]]], cuts: Cuts | None = None) -> DataFrame:
+    """Exact quantiles of any number of columns in three passes over the input.
+
+    Each row is one (number of the column, value) per column.  One sketch over all
+    of them cuts the values into blocks; one histogram finds the blocks with the
+    wanted ranks; one pass counts the distinct values of those blocks alone.
+    """
+    sample = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, (c, _) in enumerate(quants)]),
+                      lambda x: x["v"].isNotNull())
+    data = df.select(*keys, F.explode(sample).alias("_s")).select(*keys, F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v"))
+    b = with_block(data, "_v", cut_points(data, "_v") if cuts is None else cuts)
+    group = Window.partitionBy(*keys, "_i")
+    hist = b.groupBy(*keys, "_i", BLK).agg(F.count(F.lit(1)).alias("_n"))
     hist = (hist.withColumn("_hi", F.sum("_n").over(group.orderBy(BLK)))
             .withColumn("_lo", F.col("_hi") - F.col("_n"))
             .withColumn("_total", F.sum("_n").over(group)))
-    hist = stored(hist)  # keys x blocks rows, read twice; the facts are not
     wanted = []
-    for i, p in enumerate(probs.values()):
+    names = [(i, n, p) for i, (_, probs) in enumerate(quants) for n, p in probs.items()]
+    for k, (i, _, p) in enumerate(names):
         pos = F.lit(float(p)) * (F.col("_total") - 1)
         frac = pos - F.floor(pos)
-        wanted += [F.struct(F.lit(i).alias("q"), F.floor(pos).cast("long").alias("rank"), (1 - frac).alias("w")),
-                   F.struct(F.lit(i).alias("q"), F.ceil(pos).cast("long").alias("rank"), frac.alias("w"))]
-    picks = (hist.select(*keys, BLK, "_lo", "_hi", F.explode(F.array(*wanted)).alias("p"))
-             .where((F.col("p.rank") >= F.col("_lo")) & (F.col("p.rank") < F.col("_hi")))
-             .select(*keys, BLK, F.col("p.q").alias("_q"), F.col("p.w").alias("_w"),
-                     (F.col("p.rank") - F.col("_lo")).alias("_r")))
-    need = picks.select(*keys, BLK).distinct()
-    cand = join_on(b, need, [*keys, BLK], "left_semi").groupBy(*keys, BLK, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    inside = Window.partitionBy(*keys, BLK).orderBy("_v")
-    cand = cand.withColumn("_upto", F.sum("_c").over(inside))
-    hit = join_on(cand, picks, [*keys, BLK]).where(
-        (F.col("_r") >= F.col("_upto") - F.col("_c")) & (F.col("_r") < F.col("_upto")))
-    aggs = [F.sum(F.when(F.col("_q") == i, F.col("_v") * F.col("_w"))).alias(c) for i, c in enumerate(probs)]
-    return hit.groupBy(*keys).agg(*aggs)
+        wanted += [F.struct(F.lit(i).alias("i"), F.lit(k).alias("q"), F.floor(pos).cast("long").alias("rank"), (1 - frac).alias("w")),
+                   F.struct(F.lit(i).alias("i"), F.lit(k).alias("q"), F.ceil(pos).cast("long").alias("rank"), frac.alias("w"))]
+    mine = F.filter(F.array(*wanted), lambda x: (x["i"] == F.col("_i")) & (x["rank"] >= F.col("_lo")) & (x["rank"] < F.col("_hi")))
+    # keys x blocks rows, stored so that their size is known; the facts are not
+    picks = stored(hist.select(*keys, "_i", BLK, F.transform(mine, lambda x: F.struct(
+        x["q"].alias("q"), x["w"].alias("w"), (x["rank"] - F.col("_lo")).alias("r"))).alias("_want")).where(F.size("_want") > 0))
+    at = [*keys, "_i", BLK]
+    cand = join_on(b, small_side(picks.select(*at)), at, "left_semi").groupBy(*at, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cand = cand.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*at).orderBy("_v")))
+    hit = join_on(cand, small_side(picks), at).select(*keys, "_v", F.explode(F.filter("_want", lambda x: (
+        x["r"] >= F.col("_upto") - F.col("_c")) & (x["r"] < F.col("_upto")))).alias("_h"))
+    return hit.groupBy(*keys).agg(*[F.sum(F.when(F.col("_h.q") == k, F.col("_v") * F.col("_h.w"))).alias(n) for k, (_, n, _) in enumerate(names)])
 
 
 def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: Cuts | None = None) -> DataFrame:
@@ -99,13 +85,7 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: C
         F.struct(F.col(a).cast("double").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
         F.struct(F.col(b).cast("double").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb"))))
     vals = df.select(*keys, sample.alias("s")).select(*keys, "s.*").where(F.col("v").isNotNull())
-    if cuts is None and is_small(vals, at_most=2 * df.count()):
-        counts = vals.groupBy(*keys, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-        every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
-        share = [F.try_divide(F.sum(c).over(upto), F.sum(c).over(every)) for c in ("na", "nb")]
-        out = counts.select(*keys, F.abs(share[0] - share[1]).alias("d")).groupBy(*keys).agg(F.max("d").alias("ks"))
-        return out.where(F.col("ks").isNotNull())
-    blocked = with_block(vals, "v", cuts or cut_points(vals, "v"))
+    blocked = with_block(vals, "v", cut_points(vals, "v") if cuts is None else cuts)
     group = Window.partitionBy(*keys)
     hist = blocked.groupBy(*keys, BLK).agg(F.sum("na").alias("ha"), F.sum("nb").alias("hb"))
     upto = group.orderBy(BLK)
@@ -120,11 +100,11 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: C
     hist = stored(hist)  # keys x blocks rows, read three times; the facts are not
     open_blocks = hist.where(F.col("_ub") >= F.col("_ends")).select(
         *keys, BLK, (F.col("a1") - F.col("ha")).alias("_a0"), (F.col("b1") - F.col("hb")).alias("_b0"), "ta", "tb")
-    distinct = (join_on(blocked, open_blocks.select(*keys, BLK), [*keys, BLK], "left_semi")
+    distinct = (join_on(blocked, small_side(open_blocks.select(*keys, BLK)), [*keys, BLK], "left_semi")
                 .groupBy(*keys, BLK, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")))
     inside = Window.partitionBy(*keys, BLK).orderBy("v")
     steps = join_on(distinct.withColumn("ca", F.sum("na").over(inside)).withColumn("cb", F.sum("nb").over(inside)),
-                    open_blocks, [*keys, BLK])
+                    small_side(open_blocks), [*keys, BLK])
     gap = F.abs((F.col("_a0") + F.col("ca")) / F.col("ta") - (F.col("_b0") + F.col("cb")) / F.col("tb"))
     best = steps.select(*keys, gap.alias("ks")).unionByName(hist.select(*keys, F.col("_ends").alias("ks")))
     return best.groupBy(*keys).agg(F.max("ks").alias("ks"))
@@ -145,17 +125,6 @@ def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFra
     per partner value before anything is ranked or joined.
     """
     keys = list(keys)
-    if is_small(df):
-        rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-        def rank(c: str) -> Column:
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-            return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2.0
-
-        ranks = rows.select(*keys, rank(a).alias("_ra"), rank(b).alias("_rb"))
-        s = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.corr("_ra", "_rb").alias("_rho"))
-        rho = F.when((F.col("_n") > 2) & ~F.isnan("_rho"), F.col("_rho"))
-        return s.where(F.col("_n") > 0).select(*keys, rho.alias("spearman"))
     pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
              .groupBy(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
              .agg(F.count(F.lit(1)).alias("_c0")))
@@ -176,7 +145,7 @@ def ecdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Empirical CDF: one row per distinct value with its cumulative share."""
     keys = list(keys)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
-    upto = running(counts, keys, value, {"_upto": ("sum", "n")}, at_most=df.count())
+    upto = running(counts, keys, value, {"_upto": ("sum", "n")})
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     if keys:
         out = join_on(upto, totals, keys)
@@ -190,10 +159,9 @@ def concentration(df: DataFrame, keys: Sequence[str], entity: str, value: str) -
     """Cumulative share of ``value`` by descending rank of the entity within its group."""
     keys = list(keys)
     per = df.groupBy(*keys, entity).agg(F.sum(value).alias(value))
-    bound = df.count()
-    bound = bound if bound <= small_rows(df) else per.count()  # entities are usually far fewer than rows
-    ranked = numbered(per, keys, value, [entity], "rank", ascending=False, at_most=bound)
-    upto = running(ranked, keys, "rank", {"_upto": ("sum", value)}, at_most=bound)
+    per = stored(per)
+    ranked = numbered(per, keys, value, [entity], "rank", ascending=False)
+    upto = running(ranked, keys, "rank", {"_upto": ("sum", value)})
     totals = per.groupBy(*keys).agg(F.sum(value).alias("_total"))
     out = join_on(upto, totals, keys) if keys else upto.withColumn("_total", totals.scalar())
     return out.select(*keys, entity, "rank", value, F.try_divide("_upto", "_total").alias("cum_share"))

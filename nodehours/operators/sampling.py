@@ -8,13 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import Cuts, join_on, n_bins, numbered, small_side, struct_array, uniform
+from nodehours.blocks import join_on, n_bins, numbered, small_side, struct_array, uniform
 from nodehours.functions import clean as C
 from nodehours.functions.constants import SCENARIOS, SIZE_TIERS
 from nodehours.operators.lookups import smallest_nodes_for, walltime_cap
 
-EVEN_CUTS = Cuts(tuple(i / 64 for i in range(1, 64)), 0)  # blocks for values that are uniform on [0, 1)
-
 
 # --------------------------------------------------------------------------
 # row bootstrap
@@ -26,7 +24,7 @@ def _clipped_run() -> Column:
 
 
 def _draw(requests: DataFrame, indexed: DataFrame, pool: Sequence[str], ident: str) -> DataFrame:
-    out = join_on(requests, indexed, [*pool, "_idx"])
+    out = join_on(requests, indexed, [*pool, "_idx"], "left")
     return out.withColumn("runtime_h", _clipped_run())
 
 
@@ -37,7 +35,8 @@ def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int,
     A size-tier cell of the month offset is chosen in proportion to its rows,
     then one row of it; a cell below ``min_rows`` (or an offset without rows)
     falls back to all rows of the program.  Rows carry a dense index per pool
-    built from id blocks, so a draw is an equi-join on (pool, index).
+    built from id blocks, so a draw is an equi-join on (pool, index).  A request
+    of a program without profile rows comes back with NULLs.
     """
     cell = ["program", "alloc_off", "size_tier"]
     sizes = profile.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
@@ -46,7 +45,7 @@ def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int,
     cells = (sizes.withColumn("cum", F.sum("n").over(upto)).groupBy("program", "alloc_off")
              .agg(F.array_sort(F.collect_list(F.struct("cum", "n", "size_tier"))).alias("_cells"), F.sum("n").alias("_total")))
     parents = sizes.groupBy("program").agg(F.sum("n").alias("_parent"))
-    req = join_on(join_on(requests, small_side(cells), ["program", "alloc_off"], "left"), small_side(parents), ["program"])
+    req = join_on(join_on(requests, small_side(cells), ["program", "alloc_off"], "left"), small_side(parents), ["program"], "left")
     target = F.floor(uniform(ident, seed=f"cell{seed}") * F.col("_total"))
     pick = F.try_element_at(F.filter("_cells", lambda c: c["cum"] > target), F.lit(1))
     req = req.withColumn("_pick", pick)
@@ -59,16 +58,16 @@ def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int,
     pools = profile.select(row_id, "nodes", "walltime_h", "rt_ratio", F.col("program").alias("_p"), F.explode(F.array(
         F.struct(F.col("alloc_off").alias("_o"), F.col("size_tier").alias("_t")),
         F.struct(F.lit(-1).alias("_o"), F.lit("*").alias("_t")))).alias("k")).select("*", "k.*").drop("k")
-    indexed = numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx", at_most=2 * profile.count()).withColumnRenamed(row_id, "source_id")
+    indexed = numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx").withColumnRenamed(row_id, "source_id")
     out = _draw(req, indexed, ["_p", "_o", "_t"], ident)
-    return out.withColumn("pool", F.when(F.col("_o") < 0, "program").otherwise("cell")).drop("_p", "_o", "_t", "_idx")
+    return out.withColumn("pool", F.when(F.col("source_id").isNull(), F.lit(None)).when(F.col("_o") < 0, "program").otherwise("cell")).drop("_p", "_o", "_t", "_idx")
 
 
 def bootstrap_project(requests: DataFrame, profile: DataFrame, seed: int, ident: str = "req_id",
                       row_id: str = "job_id", pool: str = "project") -> DataFrame:
-    """Draw whole profile rows per project for requests (ident, project)."""
+    """Draw whole profile rows per project for requests (ident, project); NULLs where a project has none."""
     sizes = profile.groupBy(pool).agg(F.count(F.lit(1)).alias("_n"))
-    req = join_on(requests, sizes, [pool])
+    req = join_on(requests, sizes, [pool], "left")
     req = req.withColumn("_idx", F.floor(uniform(ident, seed=f"row{seed}") * F.col("_n")) + 1).drop("_n")
     indexed = numbered(profile.select(row_id, pool, "nodes", "walltime_h", "rt_ratio"), [pool], row_id, name="_idx")
     return _draw(req, indexed.withColumnRenamed(row_id, "source_id"), [pool], ident).drop("_idx")
@@ -116,7 +115,7 @@ def affected_projects(projects: DataFrame, windows: Sequence[str], fraction: flo
     total = ids.agg(F.count(F.lit(1))).scalar()
     rows = ids.select(project, F.explode(F.array(*[F.lit(w) for w in windows])).alias("window"))
     rows = rows.withColumn("_u", uniform("window", project, seed=seed))
-    rows = numbered(rows, ["window"], "_u", [project], "_rn", cuts=EVEN_CUTS)
+    rows = numbered(rows, ["window"], "_u", [project], "_rn")
     k = F.greatest(F.lit(1), F.bround(F.lit(float(fraction)) * total).cast("long"))
     return rows.where(F.col("_rn") <= k).select("window", project)
 

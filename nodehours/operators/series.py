@@ -160,12 +160,10 @@ def telemetry(df: DataFrame, t1: float, dt: float, production: float = PRODUCTIO
 
 def availability(series: DataFrame, windows: DataFrame, schedulable: float, t: str = "t_h", up: str = "up") -> DataFrame:
     """min(up, schedulable - reserved), floored at 0, at every break point."""
-    n_series, n_events = series.count(), 2 * windows.count()
-    both = 2 * (n_series + n_events)
-    resv = step_levels(windows, "start_h", "end_h", "nodes", name="reserved", at_most=n_events)
+    resv = stored(step_levels(windows, "start_h", "end_h", "nodes", name="reserved"))
     points = series.select(F.col(t).alias("t_h")).union(resv.select("t_h")).distinct()
-    a = asof_step(points, series.select(F.col(t).alias("t_h"), F.col(up).cast("double").alias("up")), "t_h", "up", at_most=both)
-    a = asof(a, resv, "t_h", ["reserved"], at_most=both).withColumn("reserved", F.coalesce("reserved", F.lit(0.0)))
+    a = asof_step(points, series.select(F.col(t).alias("t_h"), F.col(up).cast("double").alias("up")), "t_h", "up")
+    a = asof(stored(a), resv, "t_h", ["reserved"]).withColumn("reserved", F.coalesce("reserved", F.lit(0.0)))
     cap = F.lit(float(schedulable))
     return a.withColumn("available", F.greatest(F.lit(0.0), F.least(F.least(F.col("up"), cap), cap - F.col("reserved"))))
 

@@ -78,7 +78,7 @@ def compare_table(df: DataFrame, queues: Sequence[str], obs: str = "obs_wait_h",
         F.count(F.lit(1)).alias("n_jobs"), F.count_if("sim_censored").alias("n_sim_censored"),
         F.sum("_nh").alias("node_hours"), F.avg("_e").alias("obs_mean_eligible_h"))
     pairs = rows.where(F.col("_o").isNotNull() & F.col("_s").isNotNull()).select(*keys, "_o", "_s")
-    return join_on(side, _compare(pairs, keys), keys, "left")
+    return join_on(side, _compare(pairs, keys), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def comparison_window(df: DataFrame, warmup_h: float, end_h: float, submit: str = "submit_h") -> DataFrame:

@@ -77,7 +77,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     if "--blocks" in args:  # force the path for inputs of any size
         args.remove("--blocks")
-        spark.conf.set("nodehours.smallRows", "0")
+        spark.conf.set("nodehours.blockRows", "200")
     con, fails = connect(sf), 0
     sqls = e.oracle_sql()
     for name, fn in e.queries().items():

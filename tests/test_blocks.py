@@ -9,12 +9,12 @@ from nodehours import blocks as B
 from nodehours.operators import quantiles as Q
 
 
-@pytest.fixture(params=["0", "1000000"], ids=["blocks", "plain"])
+@pytest.fixture(params=["150", "1000000"], ids=["blocks", "one block"])
 def spark(spark, request):
-    """Every test runs over blocks and over the plain path."""
-    spark.conf.set("nodehours.smallRows", request.param)
+    """Every test runs over many blocks and over a single one."""
+    spark.conf.set("nodehours.blockRows", request.param)
     yield spark
-    spark.conf.unset("nodehours.smallRows")
+    spark.conf.unset("nodehours.blockRows")
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +30,44 @@ def sample():
 
 
 def test_cut_points_see_a_hot_value(spark, sample):
-    cuts = B.cut_points(spark.createDataFrame(sample), "t", n=32)
-    assert cuts.rows == len(sample) and max(cuts.heavy.values()) >= 8
-    assert list(cuts.points) == sorted(set(cuts.points))
+    cuts = B.cut_points(spark.createDataFrame(sample), "t")
+    if B.block_rows(spark) > len(sample):
+        assert cuts == B.Cuts()
+    else:
+        assert max(cuts.heavy.values()) >= 8 and list(cuts.points) == sorted(set(cuts.points))
+
+
+def test_more_blocks_than_one_pass_can_cut(spark, sample, monkeypatch):
+    monkeypatch.setattr(B, "COARSE_CUTS", 4)
+    df = spark.createDataFrame(sample)
+    blocks = B.with_block(df, "u", B.cut_points(df, "u")).groupBy(B.BLK).count().toPandas()["count"]
+    assert len(blocks) == 1 if B.block_rows(spark) > len(sample) else (len(blocks) >= 20 and blocks.max() < 600)
+    got = B.numbered(df, [], "u", ["id"]).toPandas().sort_values(["u", "id"])
+    assert (got.rn.to_numpy() == np.arange(1, len(sample) + 1)).all()
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_numbered_places_nulls_and_nan(spark, sample, ascending):
+    rows = [(i, None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(v)) for i, v in zip(sample.id, sample.u)]
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "id long, v double")
+    by = F.col("v").asc() if ascending else F.col("v").desc()
+    want = {r.id: k for k, r in enumerate(df.orderBy(by, "id").collect(), 1)}
+    assert {r.id: r.rn for r in B.numbered(df, [], "v", ["id"], ascending=ascending).collect()} == want
+
+
+def test_numbered_orders_texts(spark, sample):
+    ids = [f"job.{i * 7919 % 4001}é" for i in sample.id] + ["", "job", "job.zz", "job.1"]
+    df = spark.createDataFrame([(x, k) for k, x in enumerate(ids)] + [(None, -1)], "id string, k long")
+    want = [r.k for r in df.orderBy("id", "k").collect()]
+    assert [r.k for r in B.numbered(df, [], "id", ["k"]).orderBy("rn").collect()] == want
+    same = df.withColumn("v", F.lit(1.0))  # one value fills all blocks: the text tie cuts it
+    assert [r.k for r in B.numbered(same, [], "v", ["id", "k"]).orderBy("rn").collect()] == want
+
+
+def test_asof_without_a_position_finds_nothing(spark):
+    df = spark.createDataFrame([(None,), (0.5,), (2.0,)], "t double")
+    series = spark.createDataFrame([(1.0, 7)], "t double, lvl int")
+    assert {r.t: r.lvl for r in B.asof(df, series, "t", ["lvl"]).collect()} == {None: None, 0.5: None, 2.0: 7}
 
 
 def test_running_matches_pandas(spark, sample):

@@ -18,12 +18,12 @@ from nodehours.operators import stats as A
 from nodehours.sources import tables, trace
 
 
-@pytest.fixture(params=["0", "1000000"], ids=["blocks", "plain"])
+@pytest.fixture(params=["2", "1000000"], ids=["blocks", "one block"])
 def both(spark, request):
-    """The session once with the block path forced, once with plain windows."""
-    spark.conf.set("nodehours.smallRows", request.param)
+    """The session once with tiny blocks, once with all rows in one block."""
+    spark.conf.set("nodehours.blockRows", request.param)
     yield spark
-    spark.conf.unset("nodehours.smallRows")
+    spark.conf.unset("nodehours.blockRows")
 
 
 def intervals(spark, rows):

@@ -31,11 +31,11 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", BLOCKED)
 def test_block_path_equals_sql(spark, con, name):
-    spark.conf.set("nodehours.smallRows", "0")
+    spark.conf.set("nodehours.blockRows", "200")
     try:
         assert compare(entry.queries()[name](spark, SF), con, SQL[name]) is None
     finally:
-        spark.conf.unset("nodehours.smallRows")
+        spark.conf.unset("nodehours.blockRows")
 
 
 def test_timeline_reads_only_its_columns(spark):
