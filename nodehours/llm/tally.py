@@ -120,8 +120,8 @@ def counted(blocks: DataFrame, asks: Callable[[Block], list[tuple[np.ndarray, np
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
+            for k in range(batch.num_rows):
+                b = Block(batch.slice(k, 1).to_pylist()[0])
                 for (keys, n), base, count in zip(asks(b), first, buckets, strict=False):
                     edges = np.array([i * ((1 << 64) // count) for i in range(count)], np.uint64)
                     cut = np.append(np.searchsorted(keys, edges), len(keys))
