@@ -113,6 +113,16 @@ def _(s, d):
                     *[F.round(c, 6).alias(c) for c in ("budget_ratio", "budget_damp", "delivered_share")], "over_ceiling")
 
 
+@query("p8_over_ceiling", f"""WITH pend AS ({PENDING}), {FEATURES.strip()}
+SELECT p.job_id, p.t_h, round(d, 4) AS delivered_nh, coalesce(d + p.nodes * p.walltime_h > b * (1 + overburn) / 40, FALSE) AS over_ceiling
+FROM pend p JOIN feat4 f ON p.program = f.program AND p.t_h = f.t_h""")
+def _(s, d):
+    f = P.budget_features(X.jobs(s, d), program_budgets(s), "program", INSTANTS).join(program_budgets(s).select("program", "ceiling_nh"), "program")
+    p = P.over_ceiling(P.pending_at(X.jobs(s, d), INSTANTS), f, "program")
+    return p.join(B.small_side(f.select("program", "t_h", "delivered_nh")), ["program", "t_h"]).select(
+        "job_id", "t_h", F.round("delivered_nh", 4).alias("delivered_nh"), "over_ceiling")
+
+
 @query("p9_project_damp", """
 WITH aw AS (SELECT project, sum(nodes * runtime_h) * 9 AS award FROM jobs_fx GROUP BY project),
 x AS (SELECT aw.project, 500.25::DOUBLE AS t_h, award, coalesce((SELECT sum(nodes * runtime_h) FROM jobs_fx j WHERE j.project = aw.project AND j.start_h <= 500.25), 0) AS d FROM aw),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodehours.functions.constants import TOTAL_NODES, YEAR_H
@@ -64,12 +65,43 @@ def score_aging(form: str) -> Column:
     return F.expr(AGING_FORMS[form])
 
 
-def score_expr(df: DataFrame, formula: str, allowed: Sequence[str], name: str = "score") -> DataFrame:
-    """A user formula over a declared column list.
+# What a user formula may consist of.
+FORMULA_FUNCTIONS = {"least", "greatest", "abs", "exp", "ln", "log", "log1p", "sqrt", "floor", "ceil", "ceiling", "pow", "power", "if"}
+FORMULA_NODES = {"Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "UnaryMinus", "UnaryPositive", "LessThan",
+                 "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "EqualTo", "Not", "BitwiseAnd", "BitwiseOr", "BitwiseNot", "Literal",
+                 "UnresolvedAttribute", "UnresolvedFunction"}
+
+
+def check_formula(spark: SparkSession, formula: str, allowed: Sequence[str]) -> None:
+    """Raise ValueError unless the formula is arithmetic and comparisons over the allowed columns.
 
-    The formula is resolved against those columns only, so an unknown name
-    fails when the plan is analysed, before any row is read.
+    Spark's own parser reads it; every node of the tree must be on the list, names must be plain allowed
+    columns, literals numbers, and functions those above, so that no formula reaches subqueries, Java, files or chance.
     """
+    try:
+        open_ = [spark._jsparkSession.sessionState().sqlParser().parseExpression(formula)]
+    except ParseException as e:
+        raise ValueError(f"not a formula: {formula}") from e
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        parts = node.nameParts().mkString(".") if kind in ("UnresolvedAttribute", "UnresolvedFunction") else ""
+        ok = kind in FORMULA_NODES
+        if kind == "UnresolvedAttribute":
+            ok = parts in allowed
+        elif kind == "UnresolvedFunction":
+            ok = parts.lower() in FORMULA_FUNCTIONS or parts in {"+", "-", "*", "/", "%"}
+        elif kind == "Literal":
+            ok = node.dataType().typeName().split("(")[0] in {"integer", "long", "double", "decimal", "float"}
+        if not ok:
+            raise ValueError(f"not allowed in a formula: {parts or kind} in {formula}")
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+
+
+def score_expr(df: DataFrame, formula: str, allowed: Sequence[str], name: str = "score") -> DataFrame:
+    """A user formula over a declared column list; anything but arithmetic on them is refused (check_formula)."""
+    check_formula(df.sparkSession, formula, allowed)
     df.select(*allowed).select(F.expr(formula))
     return df.withColumn(name, F.expr(formula))
 

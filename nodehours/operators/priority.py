@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import DIM_LIMIT, index_of, join_on, numbered
+from nodehours.blocks import DIM_LIMIT, index_of, join_on, numbered, small_side
 from nodehours.functions import score as S
 
 
@@ -95,3 +95,16 @@ def budget_features(jobs: DataFrame, budgets: DataFrame, entity: str, instants:
     return d.select(entity, "t_h", "delivered_nh", pro.alias("prorated_nh"), ratio.alias("budget_ratio"),
                     S.damping(ratio, strength).alias("budget_damp"), share.alias("delivered_share"),
                     F.coalesce(over, F.lit(False)).alias("over_ceiling"))
+
+
+def over_ceiling(pending: DataFrame, features: DataFrame, entity: str, nodes: str = "nodes", walltime: str = "walltime_h",
+                 name: str = "over_ceiling") -> DataFrame:
+    """Whether starting a waiting job could pass its entity's hard ceiling: delivered so far plus its whole request.
+
+    ``features`` holds entity, t_h, delivered_nh and ceiling_nh, ``pending`` the same entity and t_h per job. Without a
+    ceiling nothing is over it.
+    """
+    side = features.select(entity, "t_h", F.col("delivered_nh").alias("_d"), F.col("ceiling_nh").alias("_c"))
+    out = join_on(pending, small_side(side), [entity, "t_h"], "left")
+    over = F.coalesce("_d", F.lit(0.0)) + F.col(nodes) * F.col(walltime) > F.col("_c")
+    return out.withColumn(name, F.coalesce(over, F.lit(False))).drop("_d", "_c")

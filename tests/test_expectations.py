@@ -215,3 +215,23 @@ def test_window_filters_reach_the_parquet_scan(spark, tmp_path):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "LessThan(start_h,20.0)" in plan and "GreaterThan(end_h,10.0)" in plan
     assert T.utilization(df, 10.0, 20.0, 100).first().node_hours == 0.0
+
+
+@pytest.mark.parametrize("bad", ["__import__('os')", "a.b", "x[0]", "lambda: 1", "1 if a else 2", "a and b", "'s'*3", "rand()", "a + c",
+                                 "java_method('java.lang.System', 'nanoTime')", "(select max(a))", "reflect('x', 'y')", "a || b"])
+def test_formula_refuses_all_but_arithmetic(spark, bad):
+    df = spark.createDataFrame([(0.0, 5.0, 1.0), (2.0, 4.0, 1.0)], "a double, b double, x double")
+    with pytest.raises(ValueError):
+        S.score_expr(df, bad, ["a", "b", "x"])
+    good = S.score_expr(df, "if(a > 1, a, b) + least(a, b)", ["a", "b"])
+    assert sorted(r.score for r in good.collect()) == [4.0, 5.0]
+
+
+def test_bootstrap_on_text_ids_keeps_requests_without_a_pool(both):
+    profile = both.createDataFrame([(f"job.{i}", "p", 0, "s", 4, 2.0, 0.5) for i in range(9)],
+                                   "job_id string, program string, alloc_off int, size_tier string, nodes int, walltime_h double, rt_ratio double")
+    req = both.createDataFrame([(i, "p" if i % 3 else "none", 0) for i in range(30)], "req_id long, program string, alloc_off int")
+    out = {r.req_id: r for r in R.bootstrap(req, profile, 1, 5).collect()}
+    assert len(out) == 30 and all((r.source_id is None) == (r.program == "none") for r in out.values())
+    again = {r.req_id: r for r in R.bootstrap(req.repartition(7), profile.repartition(5), 1, 5).collect()}
+    assert again == out
