@@ -40,7 +40,27 @@ def _(s, d):
     return t.select("queue", "n", F.round("depend_share", 8).alias("depend_share"), F.round("wait_p50_h", 6).alias("wait_p50_h"), F.round("eligible_wait_p50_h", 6).alias("eligible_wait_p50_h"))
 
 
-@query("f5_score_regression")
+GROWTH = ("100000.0::DOUBLE * ((e*3600)**2 / least(greatest(walltime_h*3600, 21600.0), 43200.0)**3 * project_priority * nodes / 10624)"
+          " + enable_backfill * least(50.0, e*3600/84600.0::DOUBLE)")
+
+
+@query("f5_score_regression", f"""
+WITH g AS (SELECT ln({GROWTH}) AS y, ln(e) AS x1, ln(nodes) AS x2, ln(walltime_h) AS x3, ln(project_priority) AS x4
+  FROM (SELECT *, 744.0::DOUBLE - submit_h AS e FROM jobs_fx) WHERE enable_wfp = 1 AND e > 0 AND nodes > 0 AND walltime_h > 0 AND project_priority > 0),
+m AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4, count(*) AS n FROM g),
+c AS (SELECT y - my AS y, x1 - m1 AS x1, x2 - m2 AS x2, x3 - m3 AS x3, x4 - m4 AS x4 FROM g, m),
+p1 AS (SELECT regr_slope(x2, x1) AS r12, regr_slope(x3, x1) AS r13, regr_slope(x4, x1) AS r14 FROM c),
+c1 AS (SELECT y, x1, x2 - r12 * x1 AS x2, x3 - r13 * x1 AS x3, x4 - r14 * x1 AS x4 FROM c, p1),
+p2 AS (SELECT regr_slope(x3, x2) AS r23, regr_slope(x4, x2) AS r24 FROM c1),
+c2 AS (SELECT y, x1, x2, x3 - r23 * x2 AS x3, x4 - r24 * x2 AS x4 FROM c1, p2),
+p3 AS (SELECT regr_slope(x4, x3) AS r34 FROM c2),
+c3 AS (SELECT y, x1, x2, x3, x4 - r34 * x3 AS x4 FROM c2, p3),
+k AS (SELECT regr_slope(y, x1) AS k1, regr_slope(y, x2) AS k2, regr_slope(y, x3) AS k3, regr_slope(y, x4) AS k4, var_pop(y) AS v,
+  var_pop(x1) AS v1, var_pop(x2) AS v2, var_pop(x3) AS v3, var_pop(x4) AS v4 FROM c3),
+b AS (SELECT *, k3 - r34 * k4 AS b3, k2 - r23 * (k3 - r34 * k4) - r24 * k4 AS b2, k1*k1*v1 + k2*k2*v2 + k3*k3*v3 + k4*k4*v4 AS fit FROM k, p1, p2, p3, m),
+t AS (SELECT *, k1 - r12 * b2 - r13 * b3 - r14 * k4 AS b1 FROM b)
+SELECT u.term, round(u.coefficient, 6) AS coefficient, round(fit / v, 6) AS r2, round(sqrt(v - fit), 6) AS rmse, n FROM t,
+ LATERAL (VALUES ('intercept', my - b1 * m1 - b2 * m2 - b3 * m3 - k4 * m4), ('eligible_h', b1), ('nodes', b2), ('walltime_h', b3), ('project_priority', k4)) AS u(term, coefficient)""")
 def _(s, d):
     j = X.jobs(s, d).where(F.col("enable_wfp") == 1).withColumn("eligible_h", S.eligible(744.0))
     j = j.withColumn("growth", S.score_exact(F.col("eligible_h")) - F.col("base_score") - F.col("score_boost"))
@@ -50,9 +70,7 @@ def _(s, d):
 @query("f5_single_factor", """
 WITH g AS (SELECT ln(GROWTH) AS y, ln(744.0::DOUBLE - submit_h) AS x FROM (SELECT *, 744.0::DOUBLE - submit_h AS e FROM jobs_fx) WHERE enable_wfp = 1),
 m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n FROM g)
-SELECT 'intercept' AS term, round(a, 6) AS coefficient, round(r2, 6) AS r2, n FROM m UNION ALL SELECT 'eligible_h', round(b, 6), round(r2, 6), n FROM m""".replace(
-    "GROWTH", "100000.0::DOUBLE * ((e*3600)**2 / least(greatest(walltime_h*3600, 21600.0), 43200.0)**3 * project_priority * nodes / 10624)"
-              " + enable_backfill * least(50.0, e*3600/84600.0::DOUBLE)"))
+SELECT 'intercept' AS term, round(a, 6) AS coefficient, round(r2, 6) AS r2, n FROM m UNION ALL SELECT 'eligible_h', round(b, 6), round(r2, 6), n FROM m""".replace("GROWTH", GROWTH))
 def _(s, d):
     j = X.jobs(s, d).where(F.col("enable_wfp") == 1).withColumn("eligible_h", S.eligible(744.0))
     j = j.withColumn("growth", S.score_exact(F.col("eligible_h")) - F.col("base_score") - F.col("score_boost"))
