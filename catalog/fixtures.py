@@ -14,10 +14,10 @@ T0 = "2024-01-01"
 T1 = 720.0  # hours of the observation window
 
 PROGRAM_DIM = [("A", 0.50, 1, 0.25), ("B", 0.25, 7, 0.0), ("C", 0.10, 1, None)]  # share, start month, overburn
-QUEUE_DIM = [  # name, min/max nodes, walltime cap, routable, per-user, per-project, node limit
-    ("click", 1, 1024, 6.0, True, 3, 8, 60000), ("error", 1, 4096, 2.0, True, 4, 12, 90000),
-    ("purchase", 513, 2048, 12.0, True, 3, 9, 70000), ("signup", 1025, 4096, 24.0, True, 2, 10, None),
-    ("view", 1, 10624, 24.0, False, None, 15, 80000)]
+QUEUE_DIM = [  # name, min/max nodes, walltime cap, routable, running per user and project, node limit, queued per user and project
+    ("click", 1, 1024, 6.0, True, 3, 8, 60000, 2, 6), ("error", 1, 4096, 2.0, True, 4, 12, 90000, 3, 10),
+    ("purchase", 513, 2048, 12.0, True, 3, 9, 70000, None, 7), ("signup", 1025, 4096, 24.0, True, 2, 10, None, 1, 8),
+    ("view", 1, 10624, 24.0, False, None, 15, 80000, 4, None)]
 BREAKPOINTS = [(1, 4.0), (512, 8.0), (1920, 24.0)]
 DEADLINES = [("d1", 48.0, 96.0, 2.0), ("d2", 240.0, 360.0, 1.5), ("d3", 336.0, 400.0, 3.0)]
 
@@ -108,7 +108,8 @@ def completed(spark: SparkSession, sf: str) -> DataFrame:
 
 def queues(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUEUE_DIM, "name string, min_nodes int, max_nodes int, max_walltime_h double, "
-                                 "routable boolean, max_run_per_user int, max_run_per_project int, max_nodes_total int")
+                                 "routable boolean, max_run_per_user int, max_run_per_project int, max_nodes_total int, "
+                                 "max_queued_per_user int, max_queued_per_project int")
 
 
 def programs(spark: SparkSession) -> DataFrame:
@@ -202,7 +203,7 @@ SELECT event_id AS reservation_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-0
   (256 * (1 + user_id % 8))::INTEGER AS nodes,
   CASE WHEN event_id % 11 = 0 THEN 'CANCELLED' ELSE 'COMPLETED' END AS state
 FROM events WHERE event_type = 'signup' AND json_extract_string(props, '$.k')::INTEGER < 5""",
-    "queues_fx": values_sql(QUEUE_DIM, "name, min_nodes, max_nodes, max_walltime_h, routable, max_run_per_user, max_run_per_project, max_nodes_total"),
+    "queues_fx": values_sql(QUEUE_DIM, "name, min_nodes, max_nodes, max_walltime_h, routable, max_run_per_user, max_run_per_project, max_nodes_total, max_queued_per_user, max_queued_per_project"),
     "programs_fx": values_sql(PROGRAM_DIM, "program, target_share, start_month, overburn"),
     "deadlines_fx": values_sql(DEADLINES, "name, s, e, mult"),
     "breakpoints_fx": values_sql(BREAKPOINTS, "min_nodes, cap"),

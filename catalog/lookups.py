@@ -126,7 +126,7 @@ SELECT scope, queue, entity, max(lvl)::BIGINT AS peak, max(cap)::BIGINT AS cap,
 
 
 RUN_LIMITS = {"user": "max_run_per_user", "project": "max_run_per_project", "queue": "max_nodes_total"}
-HELD_LIMITS = {"user": "max_run_per_user", "project": "max_run_per_project"}
+HELD_LIMITS = {"user": "max_queued_per_user", "project": "max_queued_per_project"}
 
 
 @query("j12_cap_audit_running", audit_sql("start_h", RUN_LIMITS))
