@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
 from nodehours.llm.common import Folder
-from nodehours.llm.words import hashes, words
+from nodehours.llm.words import hashes, sliced, words
 
 BLOCK_BYTES = 8 << 20  # text of a block
 BUCKET_KEYS = 2_000_000  # keys a bucket holds, about, whatever the size of the corpus
@@ -70,7 +70,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = TaskContext.get().partitionId() << 32
     waiting: dict[int, list[pa.RecordBatch]] = {}
     size: dict[int, int] = {}
-    for batch in batches:
+    for batch in sliced(batches, most_bytes=BLOCK_BYTES // 4):
         parts = np.asarray(batch["part"])
         for part in np.unique(parts).tolist():
             rows = batch.filter(pa.array(parts == part))
