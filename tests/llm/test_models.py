@@ -170,11 +170,13 @@ def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     rows = [(n, n, "\n".join(["Head of it", " ".join(f"w{i * i}" for i in range(n))])) for n in (1, 2, 63, 64, 127, 300, 4000)]
     df = spark.createDataFrame(rows, "doc_id long, th long, text string")
     usual = {(r.doc_id, r.pos): (r.lh, r.len, r.sim) for r in lines.fingerprinted(df).collect()}
-    monkeypatch.setattr(lines, "MOST_WORDS", 50)  # longer ones as arrays
+    monkeypatch.setattr(lines, "MOST_CHARS", 100)  # longer ones as arrays
     assert {(r.doc_id, r.pos): (r.lh, r.len, r.sim) for r in lines.fingerprinted(df).collect()} == usual and len(usual) == 14
     for n, _, text in rows:
-        h = [r.h for r in spark.createDataFrame([(w,) for w in text.split("\n")[1].split()], "w string").select(F.xxhash64("w").alias("h")).collect()]
-        want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > n)
+        w = text.split("\n")[1].split()
+        h = [r.h for r in spark.createDataFrame([(x,) for x in w], "w string").select(F.xxhash64("w").alias("h")).collect()]
+        heavy = [max(1, len(x) - 2) for x in w]
+        want = sum(1 << b for b in range(64) if 2 * sum(k * ((x >> b) & 1) for x, k in zip(h, heavy, strict=True)) > sum(heavy))
         assert usual[n, 1][1] == n and usual[n, 1][2] % (1 << 64) == want
 
 
