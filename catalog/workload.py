@@ -134,7 +134,7 @@ for _name in SCENARIOS:
 
 
 RATES = """
-rt AS (SELECT project, min(program) AS program, count(*) / 720.0::DOUBLE * 0.1 AS rate_h FROM jobs_fx GROUP BY project),
+rt AS (SELECT project, min(program) AS program, count(*) / 720.0::DOUBLE AS rate_h FROM jobs_fx GROUP BY project),
 g AS (SELECT rt.*, range AS bin, range * 12.0::DOUBLE AS t_h, ((((2 - 1 + floor(floor(range * 12 / 24) / 30)::BIGINT) % 12) + 1 - start_month + 12) % 12)::INTEGER AS alloc_off FROM rt JOIN programs_fx USING (program), range(180)),
 ex AS (SELECT g.project, g.program, g.bin, g.t_h, g.alloc_off, g.rate_h * b.mult * coalesce((SELECT product(mult) FROM deadlines_fx w JOIN aff a ON a."window" = w.name WHERE a.project = g.project AND g.t_h BETWEEN w.s AND w.e), 1.0) * 1.3 * 12 AS expected
  FROM g JOIN burn b ON b.program = g.program AND b.alloc_off = g.alloc_off)"""
@@ -142,7 +142,7 @@ ex AS (SELECT g.project, g.program, g.bin, g.t_h, g.alloc_off, g.rate_h * b.mult
 
 def expected(s, d):
     j = X.jobs(s, d)
-    rates = j.groupBy("project").agg(F.min("program").alias("program"), (F.count(F.lit(1)) / 720.0 * 0.1).alias("rate_h"))
+    rates = j.groupBy("project").agg(F.min("program").alias("program"), (F.count(F.lit(1)) / 720.0).alias("rate_h"))
     rates = rates.join(X.programs(s).select("program", "start_month"), "program")
     aff = R.affected_projects(j.select("project").distinct(), [w[0] for w in X.DEADLINES], 0.4, 11)
     curve = W.burn_curve(X.order_jobs(s, d), X.programs(s))

@@ -13,7 +13,7 @@ from nodehours.functions import clean as C
 from nodehours.functions.constants import PROGRAM_MAP, SIZE_TIERS
 
 PROFILE_VERSION = 1
-PROFILE_COLUMNS = ["program", "project", "nodes", "walltime_h", "rt_ratio", "runtime_h", "cal_month"]
+PROFILE_COLUMNS = ["job_id", "program", "project", "nodes", "walltime_h", "rt_ratio", "runtime_h", "cal_month"]
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> str:
@@ -79,11 +79,15 @@ def append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def upsert(prev: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def upsert(prev: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keyed upsert, last write wins: new over previous, then the highest ``order``.
 
+    Rows of a table have no order of their own, so at least one column must say which was written last.
+
     One aggregation with map-side combine, no window over the rows of a key.
     """
+    if not order:
+        raise ValueError("name the columns that tell the last write")
     both = prev.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in {*keys, "_gen"}]
     rank = F.struct("_gen", *order, *[c for c in rest if c not in order])

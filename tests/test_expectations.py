@@ -69,7 +69,7 @@ def test_user_formula_rejects_unknown_names(spark):
     df = spark.createDataFrame([(0.0, 5.0), (2.0, 5.0)], "a double, b double").withColumn("secret", F.lit(1))
     out = S.score_expr(df, "if(a > 1, a, b) + least(a, b)", ["a", "b"])
     assert [r.score for r in out.orderBy("a").collect()] == [5.0, 4.0]
-    with pytest.raises(AnalysisException):
+    with pytest.raises(ValueError):
         S.score_expr(df, "a + secret", ["a", "b"])
 
 
@@ -235,3 +235,21 @@ def test_bootstrap_on_text_ids_keeps_requests_without_a_pool(both):
     assert len(out) == 30 and all((r.source_id is None) == (r.program == "none") for r in out.values())
     again = {r.req_id: r for r in R.bootstrap(req.repartition(7), profile.repartition(5), 1, 5).collect()}
     assert again == out
+
+
+def test_bootstrap_from_a_written_profile(spark, tmp_path):
+    fit = spark.createDataFrame([(f"job.{i}", "p", "q", 4 + i % 3, 2.0, 0.5, 1.0, 1 + i % 2) for i in range(12)],
+                                "job_id string, program string, project string, nodes int, walltime_h double, rt_ratio double, runtime_h double, cal_month int")
+    fit = fit.withColumn("submit_time", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    rows, span = tables.read_profile(spark, tables.write_profile(fit, str(tmp_path / "profile")))
+    assert span == 0 and rows.count() == 12
+    req = spark.range(20).select(F.col("id").alias("req_id"), F.lit("p").alias("program"), (F.col("id") % 2).cast("int").alias("alloc_off"))
+    out = R.bootstrap(req, rows.withColumn("alloc_off", F.col("cal_month") - 1), 1, 3).collect()
+    ids = {r.job_id: r.cal_month for r in fit.collect()}
+    assert len(out) == 20 and all(ids[r.source_id] - 1 == r.alloc_off for r in out)
+
+
+def test_upsert_needs_an_order(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, v int")
+    with pytest.raises(ValueError):
+        tables.upsert(df, df, ["k"], [])
