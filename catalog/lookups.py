@@ -32,6 +32,23 @@ def _(s, d):
     return L.asof_step(X.jobs(s, d).select("job_id", "submit_h"), X.usable(s, d), "submit_h", "up").select("job_id", "up")
 
 
+@query("j3_asof_step_dimension", """
+SELECT l_orderkey, l_linenumber, coalesce(u.up, (SELECT arg_min(up, t_h) FROM usable_fx)) AS up
+FROM (SELECT *, l_extendedprice / 100 AS at FROM lineitem) l ASOF LEFT JOIN usable_fx u ON l.at >= u.t_h""")
+def _(s, d):
+    facts = X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).alias("at"))
+    return L.asof_step(facts, X.usable(s, d), "at", "up", dimension=True).select("l_orderkey", "l_linenumber", "up")
+
+
+@query("j3_asof_step_big", """
+WITH se AS (SELECT l_extendedprice AS t_h, max(l_quantity) AS q FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(se.q, (SELECT arg_min(q, t_h) FROM se)) AS q FROM (SELECT o_orderkey, o_totalprice / 4 AS at FROM orders) o ASOF LEFT JOIN se ON o.at >= se.t_h""")
+def _(s, d):
+    series = X.table(s, d, "lineitem").groupBy(F.col("l_extendedprice").alias("t_h")).agg(F.max("l_quantity").alias("q"))
+    orders = X.table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 4).alias("at"))
+    return L.asof_step(orders, series, "at", "q").select("o_orderkey", "q")
+
+
 NEIGHBOURS = """
 WITH b AS (SELECT g.bin, g.t_h, u.t_h AS bt, u.up AS bv FROM hours_fx g ASOF LEFT JOIN usable_fx u ON g.t_h >= u.t_h),
 f AS (SELECT g.bin, u.t_h AS ft, u.up AS fv FROM hours_fx g ASOF LEFT JOIN usable_fx u ON g.t_h < u.t_h),
@@ -59,6 +76,16 @@ def _(s, d):
     return L.covering_sum(X.jobs(s, d).select("job_id", "submit_h"), X.completed(s, d), "submit_h").select("job_id", "covered")
 
 
+@query("j6_covering_sum_big", """
+WITH e AS (SELECT l_extendedprice AS t, l_quantity AS w FROM lineitem UNION ALL SELECT l_extendedprice + 100 * l_quantity, -l_quantity FROM lineitem),
+n AS (SELECT t, sum(w) AS d FROM e GROUP BY t), l AS (SELECT t, sum(d) OVER (ORDER BY t) AS lvl FROM n)
+SELECT o_orderkey, round(coalesce(lvl, 0), 4) AS covered FROM (SELECT o_orderkey, o_totalprice / 4 AS at FROM orders) o ASOF LEFT JOIN l ON o.at >= l.t""")
+def _(s, d):
+    li = X.table(s, d, "lineitem").select(F.col("l_extendedprice").alias("start_h"), (F.col("l_extendedprice") + 100 * F.col("l_quantity")).alias("end_h"), "l_quantity")
+    orders = X.table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 4).alias("at"))
+    return rnd(L.covering_sum(orders, li, "at", weight="l_quantity").select("o_orderkey", "covered"), 4)
+
+
 @query("j7_walltime_cap", """
 SELECT job_id, coalesce((SELECT arg_max(cap, min_nodes) FROM breakpoints_fx b WHERE b.min_nodes <= j.nodes - 100), 2.0) AS cap FROM jobs_fx j""")
 def _(s, d):
