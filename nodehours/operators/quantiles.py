@@ -34,9 +34,11 @@ def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
     """
     keys = list(keys)
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    q = small_side(stored(_quantiles(df, keys, quants)))  # one row per group
-    out = join_on(out, q, keys, "left") if keys else out.join(q, F.lit(True), "left")
-    return out.select(*keys, *aggs, *[n for _, probs in quants for n in probs])
+    q = stored(_quantiles(df, keys, quants))  # one row per group
+    names = [n for _, probs in quants for n in probs]
+    if not keys:
+        return out.select(*aggs, *[q.select(n).scalar().alias(n) for n in names])
+    return join_on(out, small_side(q), keys, "left").select(*keys, *aggs, *names)
 
 
 def _quantiles(df: DataFrame, keys: list[str], quants: Sequence[tuple[Column, dict[str, float]]], cuts: Cuts | None = None) -> DataFrame:
@@ -85,6 +87,12 @@ def ks_distance(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), cuts: C
         F.struct(F.col(a).cast("double").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
         F.struct(F.col(b).cast("double").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb"))))
     vals = df.select(*keys, sample.alias("s")).select(*keys, "s.*").where(F.col("v").isNotNull())
+    if not keys:  # a key of the rows themselves, so that blocks are joined by equality
+        return _ks(vals.withColumn("_all", F.least("na", F.lit(0))), ["_all"], cuts).drop("_all")
+    return _ks(vals, keys, cuts)
+
+
+def _ks(vals: DataFrame, keys: list[str], cuts: Cuts | None) -> DataFrame:
     blocked = with_block(vals, "v", cut_points(vals, "v") if cuts is None else cuts)
     group = Window.partitionBy(*keys)
     hist = blocked.groupBy(*keys, BLK).agg(F.sum("na").alias("ha"), F.sum("nb").alias("hb"))
