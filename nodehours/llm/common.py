@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from nodehours.blocks import scratch_dir
 
 BROADCAST_ROWS = 2_000_000  # narrow rows a side may have to be broadcast; beyond it the join shuffles
+ARROW_BYTES = "8m"  # of an Arrow batch
 
 
 class Folder:
-    """Tables of one run in the cluster's shared folder; lineage ends at each of them."""
+    """Tables of one run in the cluster's shared folder; lineage ends at each of them.
+
+    Starting a run keeps the Arrow batches of the session small, so that a task holds a few megabytes of texts at a time.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
         self.spark, self.path = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

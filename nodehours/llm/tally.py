@@ -23,7 +23,7 @@ from nodehours.llm.common import Folder
 from nodehours.llm.words import hashes, sliced, words
 
 BLOCK_BYTES = 8 << 20  # text of a block
-BUCKET_KEYS = 2_000_000  # keys a bucket holds, about, whatever the size of the corpus
+BUCKET_KEYS = 1_000_000  # keys a bucket holds, about, whatever the size of the corpus
 
 
 # ------------------------------------------------------------------ arrays as bytes
@@ -137,6 +137,7 @@ def counted(blocks: DataFrame, asks: Callable[[Block], list[tuple[np.ndarray, np
         keys = [got_sorted(r["keys"]) for r in rows]
         cut = np.cumsum([0] + [len(k) for k in keys])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         parts = sorted({r["part"] for r in rows})
         sums = np.zeros((len(parts), len(distinct)), np.int64)
         for r, lo, hi in zip(rows, cut[:-1], cut[1:], strict=True):
