@@ -31,7 +31,34 @@ def exact_dedup(spark, d):
     return exact_groups(table(spark, d, "documents"))
 
 
-@query("op10_secret_scan")
+def _hits(kind: int, name: str, pattern: str, group: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return (f"SELECT r, owner, repo, {kind} AS kind, '{name}' AS name, unnest(range(len(regexp_extract_all(t, {p})))) AS i, "
+            f"unnest(regexp_extract_all(t, {p})) AS hit, unnest(regexp_extract_all(t, {p}, {group})) AS val, "
+            f"unnest(string_split_regex(t, {p})[:len(regexp_extract_all(t, {p}))]) AS gap FROM d")
+
+
+_KINDS = [("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2),
+          ("access", "AKIA[A-Z0-9]{16,}", 0), ("hex", "[0-9a-f]{24,}", 0), ("opaque", "[A-Za-z0-9_-]{20,}", 0)]
+
+
+@query("op10_secret_scan", f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner,
+  coalesce(source, '') || chr(31) || coalesce(lang, '') AS repo FROM documents),
+h AS ({' UNION ALL '.join(_hits(k, *x) for k, x in enumerate(_KINDS))}),
+f AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM h),
+s AS MATERIALIZED (SELECT *, e - length(hit) AS b FROM f WHERE (kind <> 0 OR length(val) >= 6)
+  AND (kind <> 3 OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')))),
+w AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM s GROUP BY val),
+x AS (SELECT s.*, owners, repos, name || ':' || b || ':' || e AS said FROM s JOIN w USING (val) WHERE kind < 3 OR (owners <= 1
+  AND NOT EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.kind < 3 AND o.b < s.e AND o.e > s.b))),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(said, ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY b, kind) AS spans,
+  count(*) FILTER (WHERE kind < 3 AND owners <= 1) AS n_live, count(*) FILTER (WHERE kind < 3 AND owners > 1) AS n_example,
+  count(*) FILTER (WHERE kind = 3) AS n_opaque, max(repos) AS max_repositories FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_opaque, 0) AS n_opaque,
+  coalesce(max_repositories, 0) AS max_repositories FROM d LEFT JOIN g USING (r)""")
 def secret_scan(spark, d):
     from nodehours.llm.secrets import scan
     return scan(table(spark, d, "documents"), owner="source", repository=["source", "lang"])
