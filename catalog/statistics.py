@@ -124,6 +124,16 @@ def variants(s, d):
     return df.withColumn("sim_wait_lb_h", F.col("sim_wait_lb_h") * F.col("factor"))
 
 
+@query("a7_utilization", """
+WITH o AS (SELECT queue, nodes, start_h - 3 AS s, start_h - 3 + runtime_h AS e, start_h AS s2, end_h AS e2 FROM jobs_fx)
+SELECT queue, round(sum(nodes * greatest(0, least(e, 600) - greatest(s, 72))), 4) AS obs_node_hours, round(sum(nodes * greatest(0, least(e2, 600) - greatest(s2, 72))), 4) AS sim_node_hours,
+ round(sum(nodes * greatest(0, least(e, 600) - greatest(s, 72))) / (528 * 9600), 8) AS obs_util_reportable, round(sum(nodes * greatest(0, least(e2, 600) - greatest(s2, 72))) / (528 * 9600), 8) AS sim_util_reportable
+FROM o GROUP BY queue""")
+def _(s, d):
+    t = A.compare_utilization(X.jobs(s, d).withColumn("obs_start_h", F.col("start_h") - 3), 72.0, 600.0, keys=["queue"])
+    return t.select("queue", *[F.round(c, k).alias(c) for c, k in (("obs_node_hours", 4), ("sim_node_hours", 4), ("obs_util_reportable", 8), ("sim_util_reportable", 8))])
+
+
 @query("a7_fit_ranking", f"""WITH {CMP_SRC.strip()},
 cv AS (SELECT variant || '/' || grp AS vg, variant, grp, wait_h, sim_lb * factor AS sim_v, cens FROM cl, (VALUES ('half', 0.5::DOUBLE), ('same', 1.0), ('triple', 3.0)) AS v(variant, factor)),
 {stats_sql('vg', 'cv', 'wait_h', 'sim_v', ", any_value(variant) AS variant, any_value(grp) AS grp, count(*) FILTER (WHERE cens) AS n_c")}, {ks_sql('cv', 'vg', 'wait_h', 'sim_v').strip()},

@@ -98,6 +98,21 @@ def fit_summary(table: DataFrame, queues: Sequence[str], keys: Sequence[str] = (
         F.avg(F.when(listed, F.col("ks") + F.abs("log2_ratio_mean"))).alias("fit_score"))
 
 
+def compare_utilization(df: DataFrame, t0: float, t1: float, reportable: float = PRODUCTION_NODES, obs_start: str = "obs_start_h",
+                        start: str = "start_h", end: str = "end_h", keys: Sequence[str] = ()) -> DataFrame:
+    """Observed and second utilisation and node-hours over [t0, t1) of jobs with two starts; one aggregation.
+
+    An observed job ends its runtime after the observed start.
+    """
+    def inside(s: Column, e: Column) -> Column:
+        return F.coalesce(F.sum(F.col("nodes") * F.greatest(F.lit(0.0), F.least(e, F.lit(float(t1))) - F.greatest(s, F.lit(float(t0))))), F.lit(0.0))
+
+    size = F.lit((t1 - t0) * float(reportable))
+    out = df.groupBy(*keys).agg(inside(F.col(obs_start), F.col(obs_start) + F.col("runtime_h")).alias("obs_node_hours"),
+                                inside(F.col(start), F.col(end)).alias("sim_node_hours"))
+    return out.withColumns({"obs_util_reportable": F.col("obs_node_hours") / size, "sim_util_reportable": F.col("sim_node_hours") / size})
+
+
 def rank_variants(summary: DataFrame, key: str = "variant") -> DataFrame:
     """Variants by fit score, best first."""
     return summary.withColumn("rank", F.row_number().over(Window.orderBy(F.col("fit_score").asc_nulls_last(), key)))
