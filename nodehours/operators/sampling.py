@@ -120,6 +120,24 @@ def affected_projects(projects: DataFrame, windows: Sequence[str], fraction: flo
     return rows.where(F.col("_rn") <= k).select("window", project)
 
 
+def deadline_windows(deadlines: Sequence[tuple[str, int, int, float, float]], start_month: int, days: float) -> list[tuple[str, float, float, float]]:
+    """Windows (name, start_h, end_h, multiplier) of calendar deadlines (name, month, day, lead days, multiplier).
+
+    Months have 30 days and count from the month the run starts in. A window ends at the start of its day and
+    begins lead days before. It returns every 365 days as often as the run has whole years, and is left out
+    where it does not touch the run.
+    """
+    out = []
+    for name, month, day, lead, mult in deadlines:
+        end = ((month - start_month) % 12 * 30 + day - 1) * 24.0
+        for year in range(int(days // 365) + 1):
+            e = end + year * 365 * 24.0
+            s = e - lead * 24.0
+            if e >= 0 and s <= days * 24.0:
+                out.append((name if not year else f"{name}+{year}", max(0.0, s), e, mult))
+    return out
+
+
 def expected_arrivals(rates: DataFrame, curve: DataFrame, duration_h: float, dt: float, start_month: int,
                       entity: str = "program", windows: Sequence[tuple[str, float, float, float]] = (),
                       affected: DataFrame | None = None, load: float = 1.0) -> DataFrame:
@@ -149,7 +167,7 @@ def expected_arrivals(rates: DataFrame, curve: DataFrame, duration_h: float, dt:
 
 
 # Poisson terms checked per slice: with a mean of at most one, the chance of more
-# than 20 arrivals is far below 2^-32, the resolution of a draw, so none is lost.
+# than 20 arrivals is far below 2^-52, the resolution of a draw, so none is lost.
 POISSON_TERMS = 20
 SLICES = 65536  # slices one row is expanded into
 

@@ -192,8 +192,17 @@ def capacity_estimate(conc: DataFrame, q: float = 0.995, margin: int = 0, total:
 
 
 def usable_series(snapshots: DataFrame, jobs: DataFrame, resv: DataFrame, t1: float, gap: float, dt: float = 0.25,
-                  up: str = "up") -> DataFrame:
-    """Usable nodes on the grid: nearest snapshot within the gap, floored at the concurrency seen there."""
+                  up: str = "up", before: float = 48.0, after: float = 200.0, otherwise: float | None = None) -> DataFrame:
+    """Usable nodes on the grid: nearest snapshot within the gap, floored at the concurrency seen there.
+
+    Only snapshots from ``before`` hours ahead of the window to ``after`` hours past it count. If the first
+    of them comes later than ``gap`` they do not cover the window, and ``otherwise`` (if given) holds throughout.
+    """
+    snapshots = snapshots.where(F.col("t_h").between(-before, t1 + after))
+    if otherwise is not None:
+        first = snapshots.agg(F.min("t_h")).first()[0]
+        if first is None or first > gap:
+            return grid(snapshots.sparkSession, 0.0, t1, dt, closed=True).withColumn("usable", F.lit(float(otherwise)))
     conc = stored(concurrency(jobs, resv, t1, dt))  # grid-sized, read three times
     near = nearest_within(snapshots, 0.0, t1, dt, gap, value=up)
     lastbin = conc.agg(F.max("bin")).scalar()

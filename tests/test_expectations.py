@@ -253,3 +253,20 @@ def test_upsert_needs_an_order(spark):
     df = spark.createDataFrame([(1, 2)], "k int, v int")
     with pytest.raises(ValueError):
         tables.upsert(df, df, ["k"], [])
+
+
+def test_deadlines_become_windows():
+    got = R.deadline_windows([("a", 3, 11, 5, 2.0), ("b", 1, 1, 2, 1.5), ("c", 2, 1, 3, 1.2)], start_month=2, days=400)
+    assert got == [("a", (30 + 10 - 5) * 24.0, (30 + 10) * 24.0, 2.0),
+                   ("a+1", (365 + 35) * 24.0, (365 + 40) * 24.0, 2.0), ("b", (330 - 2) * 24.0, 330 * 24.0, 1.5),
+                   ("c", 0.0, 0.0, 1.2), ("c+1", (365 - 3) * 24.0, 365 * 24.0, 1.2)]
+
+
+def test_usable_series_without_coverage_is_constant(spark):
+    snaps = spark.createDataFrame([(30.0, 90.0), (-100.0, 5.0)], "t_h double, up double")
+    jobs = spark.createDataFrame([(0.0, 2.0, 4)], "start_h double, end_h double, nodes int")
+    none = jobs.where("nodes < 0")
+    late = T.usable_series(snaps, jobs, none, 4.0, 6.0, 1.0, otherwise=77.0).collect()
+    assert [(r.bin, r.t_h, r.usable) for r in late] == [(i, float(i), 77.0) for i in range(5)]
+    covered = T.usable_series(snaps.where("t_h > 0").withColumn("t_h", F.col("t_h") - 30), jobs, none, 4.0, 6.0, 1.0, otherwise=77.0).collect()
+    assert {r.usable for r in covered} == {90.0}
