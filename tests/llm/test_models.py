@@ -262,3 +262,15 @@ def test_shingles_of_arrow_texts_keep_their_places():
     from nodehours.llm.words import words
     offsets, codes, vocabulary = words(text)
     assert offsets.tolist() == [0, 3, 3, 3, 4] and [vocabulary[c] for c in codes] == ["a", "b", "c", "x"]
+
+
+def test_pipeline_on_awkward_rows_and_no_rows(spark, rows):
+    for docs in (cases.frame(spark, rows), cases.empty(spark)):
+        many, folder = docs.count() > 0, Folder(spark, "awkward")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            before, docs = docs, folder.put(stage(spark, docs, cases.SF), f"s{k}")
+            assert docs.columns == before.columns and (docs.count() > 0) == many
+        ids = {r.doc_id for r in docs.collect()}
+        assert not many or ids >= {None, 900_001, 900_002, 900_003, 900_004, 900_006, 900_007}
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, cases.SF).collect()
+        assert {p.doc_id for p in pieces} == ids
