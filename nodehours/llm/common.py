@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from nodehours.blocks import scratch_dir
 
-BROADCAST_ROWS = 2_000_000  # narrow rows a side may have to be broadcast; beyond it the join shuffles
+BROADCAST_ROWS = 2_000_000  # rows of a few numbers a side may have to be broadcast; beyond it the join shuffles
+BROADCAST_DIGESTS = 400_000  # the same for rows with a digest as text
 ARROW_BYTES = "8m"  # of an Arrow batch
 
 

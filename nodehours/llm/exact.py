@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.llm.common import Folder, body, checked, parts
+from nodehours.llm.common import BROADCAST_DIGESTS, Folder, body, checked, parts
 
 
 def _named(rows: DataFrame, cols: list[str], folder: Folder, level: int) -> DataFrame:
@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
                        .select("r.*"), "open")
     longest = open_.agg(F.max("n")).first()[0] or 0
 
-    pieces = (text.join(checked(open_.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))),
+    pieces = (text.join(checked(open_.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), BROADCAST_DIGESTS),
                         F.expr("sha = _sha AND doc_id <=> _id"), "left_semi")
               .select("doc_id", "sha", F.posexplode(blocks).alias("i", "block")).dropDuplicates(["doc_id", "sha", "i"]))
     names = _named(pieces, ["block"], folder, 0)

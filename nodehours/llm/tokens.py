@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.llm.common import BROADCAST_ROWS, Folder, body
+from nodehours.llm.common import BROADCAST_DIGESTS, Folder, body
 
 # Printable ASCII, tab, line ends, and Latin letters and signs below U+0250: there the two libraries split texts alike.
 _OTHER = re.compile("[^\t\n\r -~¡-ɏ]")
@@ -101,11 +101,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     mine = F.expr("digest = _digest AND doc_id <=> first_id")
     side = wanted.select(F.col("digest").alias("_digest"), "first_id")
     n_rows, n_wanted = rows.count(), wanted.count()
-    if n_wanted and 2 * n_wanted > n_rows and n_rows - n_wanted <= BROADCAST_ROWS:  # few rows need no encoding: name those
+    if n_wanted and 2 * n_wanted > n_rows and n_rows - n_wanted <= BROADCAST_DIGESTS:  # few rows need no encoding: name those
         others = rows.join(side, mine, "left_anti").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("first_id"))
         todo = text.join(F.broadcast(others), mine, "left_anti")
     else:
-        todo = text.join(F.broadcast(side) if n_wanted <= BROADCAST_ROWS else side, mine, "left_semi")
+        todo = text.join(F.broadcast(side) if n_wanted <= BROADCAST_DIGESTS else side, mine, "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(tokenizer, ranks)
