@@ -34,11 +34,12 @@ def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
     """
     keys = list(keys)
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    q = stored(_quantiles(df, keys, quants))  # one row per group
+    q = _quantiles(df, keys, quants)  # one row per group
     names = [n for _, probs in quants for n in probs]
     if not keys:
+        q = stored(q)
         return out.select(*aggs, *[q.select(n).scalar().alias(n) for n in names])
-    return join_on(out, small_side(q), keys, "left").select(*keys, *aggs, *names)
+    return join_on(out, q, keys, "left").select(*keys, *aggs, *names)
 
 
 def _quantiles(df: DataFrame, keys: list[str], quants: Sequence[tuple[Column, dict[str, float]]], cuts: Cuts | None = None) -> DataFrame:
@@ -66,12 +67,12 @@ def _quantiles(df: DataFrame, keys: list[str], quants: Sequence[tuple[Column, di
                    F.struct(F.lit(i).alias("i"), F.lit(k).alias("q"), F.ceil(pos).cast("long").alias("rank"), frac.alias("w"))]
     mine = F.filter(F.array(*wanted), lambda x: (x["i"] == F.col("_i")) & (x["rank"] >= F.col("_lo")) & (x["rank"] < F.col("_hi")))
     # keys x blocks rows, stored so that their size is known; the facts are not
-    picks = stored(hist.select(*keys, "_i", BLK, F.transform(mine, lambda x: F.struct(
-        x["q"].alias("q"), x["w"].alias("w"), (x["rank"] - F.col("_lo")).alias("r"))).alias("_want")).where(F.size("_want") > 0))
+    picks = small_side(stored(hist.select(*keys, "_i", BLK, F.transform(mine, lambda x: F.struct(
+        x["q"].alias("q"), x["w"].alias("w"), (x["rank"] - F.col("_lo")).alias("r"))).alias("_want")).where(F.size("_want") > 0)))
     at = [*keys, "_i", BLK]
-    cand = join_on(b, small_side(picks.select(*at)), at, "left_semi").groupBy(*at, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cand = join_on(b, picks.select(*at), at, "left_semi").groupBy(*at, "_v").agg(F.count(F.lit(1)).alias("_c"))
     cand = cand.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*at).orderBy("_v")))
-    hit = join_on(cand, small_side(picks), at).select(*keys, "_v", F.explode(F.filter("_want", lambda x: (
+    hit = join_on(cand, picks, at).select(*keys, "_v", F.explode(F.filter("_want", lambda x: (
         x["r"] >= F.col("_upto") - F.col("_c")) & (x["r"] < F.col("_upto")))).alias("_h"))
     return hit.groupBy(*keys).agg(*[F.sum(F.when(F.col("_h.q") == k, F.col("_v") * F.col("_h.w"))).alias(n) for k, (_, n, _) in enumerate(names)])
 
