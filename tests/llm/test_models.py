@@ -166,6 +166,31 @@ def test_pigeonhole_blocks_miss_no_pair(spark):
         assert df.where(~F.arrays_overlap(lines.block_keys(F.col("a"), p), lines.block_keys(F.col("b"), p))).count() == 0
 
 
+@pytest.mark.parametrize("p", [4, 5, 6, 7])
+def test_lines_as_similar_as_asked_for_are_one_group_at_every_size(spark, monkeypatch, p):
+    rng = np.random.default_rng(5)
+    said = []
+    for n in [5, 6, 7, 9, 10, 14, 19, 24, 40] * 4:
+        base = [f"w{x}" for x in rng.integers(0, 900, n)]
+        said.append(base)
+        for _ in range(3):  # as far away as a similarity of 0.8 lets words be put in, left out or replaced
+            line = list(base)
+            for at in rng.choice(n - 1, n // 5, replace=False):
+                line[at:at + 1] = [[f"x{rng.integers(900)}"], [], [line[at], f"x{rng.integers(900)}"]][rng.integers(3)] if n > 6 else [f"x{rng.integers(900)}"]
+            said.append(line)
+    said = [x for x in said if len(x) >= 5]
+    first = list(range(len(said)))
+    for i, x in enumerate(said):
+        for j in range(i):
+            if min(len(x), len(said[j])) >= 0.8 * max(len(x), len(said[j])) and set(x) & set(said[j]) and near(x, said[j]) >= 0.8:
+                a, b = sorted((first[i], first[j]))
+                first = [a if f == b else f for f in first]
+    monkeypatch.setattr(lines, "pieces", lambda n: p)  # as a table of that many lines has it
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string")
+    gone = lines.repeated_lines(docs, Folder(spark, "recall"))
+    assert {r.doc_id for r in gone.collect()} == {i for i, f in enumerate(first) if f != i}
+
+
 def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     rows = [(n, n, "\n".join(["Head of it", " ".join(f"w{i * i}" for i in range(n))])) for n in (1, 2, 63, 64, 127, 300, 4000)]
     df = spark.createDataFrame(rows, "doc_id long, th long, text string")
