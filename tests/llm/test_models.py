@@ -191,6 +191,15 @@ def test_lines_as_similar_as_asked_for_are_one_group_at_every_size(spark, monkey
     assert {r.doc_id for r in gone.collect()} == {i for i, f in enumerate(first) if f != i}
 
 
+def test_lines_of_few_words_and_of_scripts_without_spaces_are_dropped(spark):
+    said = ["All rights reserved", "版权所有不得转载", "所有权利由作者保留，未经许可不得转载本文的任何部分", "Yes, no"]
+    near_one = said[2].replace("本文", "此文")
+    docs = spark.createDataFrame([(1, "\n".join([*said, ""])), (2, "\n".join(["all rights  reserved.", *said[1:], ""])), (3, near_one)],
+                                 "doc_id long, text string")
+    text = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert text == {1: "\n".join([*said, ""]), 2: "Yes, no\n", 3: ""}
+
+
 def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     rows = [(n, n, "\n".join(["Head of it", " ".join(f"w{i * i}" for i in range(n))])) for n in (1, 2, 63, 64, 127, 300, 4000)]
     df = spark.createDataFrame(rows, "doc_id long, th long, text string")
