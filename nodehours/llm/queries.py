@@ -149,6 +149,27 @@ def line_dedup(spark, d):
                       F.octet_length(body()).cast("long").alias("kept_bytes"), F.sha2(body(), 256).alias("kept_sha256"))
 
 
+@query("op13_collocations", r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS ws FROM t),
+f AS MATERIALIZED (SELECT lang, g, len(g) AS k, count(*) AS a FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m:
+  list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1])))) AS g FROM p) GROUP BY lang, g HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, g, k, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.g, c.a, c.cut, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score FROM c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.cut + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m:
+  list_transform(range(1, k - m + 2), lambda i: g[i:i + m - 1])))) AS part FROM f WHERE k > 2) GROUP BY lang, part),
+d AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.part = b.g WHERE longer IS NULL OR longer < a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d) WHERE rank <= 2000""")
+def phrase_collocations(spark, d):
+    from nodehours.llm.phrases import collocations
+    return collocations(table(spark, d, "documents"), most_words=5, least=100, percent=100, top=2000)
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
