@@ -149,6 +149,38 @@ def line_dedup(spark, d):
                       F.octet_length(body()).cast("long").alias("kept_bytes"), F.sha2(body(), 256).alias("kept_sha256"))
 
 
+@query("op11_mixing", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  substr(md5(coalesce(doc_id::VARCHAR, '') || '||' || md5(coalesce(text, ''))), 1, 15) AS h FROM documents),
+s AS MATERIALIZED (SELECT *, 10 // w AS m, 3 * z AS cap FROM (SELECT source, sum(size)::BIGINT AS z,
+  row_number() OVER (ORDER BY source NULLS LAST) AS rank, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w FROM d GROUP BY source)),
+b AS (SELECT sum(z)::BIGINT AS budget, sum(w) FILTER (WHERE cap > 0) AS weight FROM s),
+l AS (SELECT last, sum(cap) OVER (ORDER BY last) AS given, sum(w) OVER (ORDER BY last) AS v
+  FROM (SELECT cap * m AS last, sum(cap) AS cap, sum(w) AS w FROM s WHERE cap > 0 GROUP BY ALL)),
+dry AS (SELECT coalesce(max(last), 0)::BIGINT AS last, coalesce(max(given), 0)::BIGINT AS given, coalesce(max(v), 0)::BIGINT AS v FROM l, b
+  WHERE given * 10 + (weight - v) * last <= budget::HUGEINT * 10),
+u AS MATERIALIZED (SELECT last, budget, (budget - given)::BIGINT AS lft, (weight - v)::BIGINT AS others FROM dry, b),
+f AS (SELECT max(t) AS t, max(g)::BIGINT AS g FROM (SELECT t, sum(least(cap, t // m)) AS g FROM (SELECT unnest(range(lft * 10 // others, lft * 10 // others + 11)) AS t FROM u), s GROUP BY t), u
+  WHERE g <= budget),
+r AS (SELECT s.*, least(cap, t // m) + CASE WHEN (t + 1) % m = 0 AND (t + 1) // m <= cap AND count(*) FILTER (WHERE (t + 1) % m = 0 AND (t + 1) // m <= cap) OVER (ORDER BY rank)
+  <= u.budget - f.g THEN 1 ELSE 0 END AS upto, CASE WHEN cap * m <= u.last THEN cap::DOUBLE ELSE w::DOUBLE * lft::DOUBLE / others::DOUBLE END AS target FROM s, f, u),
+q AS (SELECT d.*, (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d)
+SELECT doc_id, size, z AS source_size, target, (greatest(0, least(size, upto - before)) + greatest(0, least(size, upto - z - before))
+  + greatest(0, least(size, upto - 2 * z - before)))::BIGINT AS taken FROM q JOIN r ON q.source IS NOT DISTINCT FROM r.source""")
+def source_mixing(spark, d):
+    from nodehours.llm.mixing import mix
+    return mix(table(spark, d, "documents"), weights=(5, 2, 1), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_whitening")
+def embedding_whitening(spark, d):
+    from pyspark.sql import functions as F
+
+    from nodehours.llm.whitening import whiten
+    out = whiten(table(spark, d, "embeddings"), "vec_id", "embedding", components=16, scale=64, shift=1_000_000)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @query("op13_collocations", r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
