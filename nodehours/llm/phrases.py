@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodehours.llm.common import Folder, body, checked
@@ -18,8 +18,10 @@ from nodehours.llm.words import MIX, mixed, sliced
 
 BLOCK_BYTES = 8 << 20  # text of a block
 WAITING_BYTES = 32 << 20  # texts of all languages that wait in a task for their blocks
+SLICE = 1 << 19  # words of a block that are worked on together
 BUCKETS = 1 << 22  # counters of hashed phrases of one length; whatever shares one only makes more candidates
-CHUNK = 1 << 14  # of these counters, summed together
+TABLES = 2  # of such counters, by different bits of the hash; a phrase must reach the least frequency in each
+CHUNK = 1 << 14  # counters that are summed together
 PART = 500_000  # candidates of a trie; more of them take more tries, one after the other
 WORD_BYTES = 16 << 20  # frequent words that may be broadcast; the join shuffles beyond
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -92,40 +94,52 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Block:
     """Words of a block: local numbers, and the corpus-wide number of each frequent word (-1 for others)."""
 
-    def __init__(self, row: dict) -> None:
-        self.lang, self.codes = row["lang"], got(row["codes"], "<i4")
-        self.ids = np.full(row["n_vocabulary"] + 1, -1, np.int64)  # the last one is that of piece ends
-        for x in row["known"] or []:
-            self.ids[x["at"]] = x["id"]
+    def __init__(self, batch: pa.RecordBatch, k: int) -> None:
+        row = batch.slice(k, 1)
+        self.lang, self.codes = row["lang"][0].as_py(), got(row["codes"][0].as_py(), "<i4")
+        self.ids = np.full(row["n_vocabulary"][0].as_py() + 1, -1, np.int64)  # the last one is that of piece ends
+        self.ids[row["at"].flatten().to_numpy()] = row["id"].flatten().to_numpy()
+
+    def slices(self, most_words: int) -> Iterator[np.ndarray]:
+        """The numbers in stretches of SLICE and the words behind that a phrase may reach."""
+        for lo in range(0, len(self.codes), SLICE):
+            yield self.codes[lo:lo + SLICE + most_words - 1]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield Block(batch.slice(k, 1).to_pylist()[0])
+            yield Block(batch, k)
+
+
+def _bucket(h: np.ndarray, table: int) -> np.ndarray:
+    return ((h >> np.uint64(32 * table)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _grams(b: Block, kept: list[np.ndarray], most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length of 2 words on: where in a block Apriori-safe phrases start, their hashes, and places in the length before.
+def _grams(codes: np.ndarray, ids: np.ndarray, key: np.ndarray, kept: list[np.ndarray], most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of 2 words on: where in a stretch Apriori-safe phrases start, their hashes, and places in the length before.
 
     A phrase is safe if both phrases one word shorter are safe and their counters reach the least frequency; for two words,
     if both words are frequent. kept holds one bit a counter for each length known so far.
     """
-    key = mixed(b.ids.astype(np.uint64) * MIX)
-    known = (b.ids >= 0)[b.codes]
-    at = np.flatnonzero(known)
-    h = key[b.codes[at]]
+    at = np.flatnonzero((ids >= 0)[codes])
+    h = key[codes[at]]
     for k in range(2, most_words + 1):
         pair = np.flatnonzero(np.diff(at) == 1)
         at = at[pair]
-        h = mixed(h[pair] * MIX + key[b.codes[at + k - 1]])
+        h = mixed(h[pair] * MIX + key[codes[at + k - 1]])
         if k - 2 < len(kept):
-            bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-            hit = np.flatnonzero((kept[k - 2][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1)
-            at, h, pair = at[hit], h[hit], pair[hit]
+            for t in range(TABLES):
+                bucket = _bucket(h, t)
+                hit = np.flatnonzero((kept[k - 2][t][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1)
+                at, h, pair = at[hit], h[hit], pair[hit]
         yield k, at, h, pair
 
 
+def _keys(ids: np.ndarray) -> np.ndarray:
+    return mixed(ids.astype(np.uint64) * MIX)
+
+
 def _reached(blocks: DataFrame, kept: list[np.ndarray], k: int, least: int) -> np.ndarray:
     """One bit for each counter of hashed safe phrases of k words: whether it reaches the least frequency.
 
@@ -133,27 +147,31 @@ def _reached(blocks: DataFrame, kept: list[np.ndarray], k: int, least: int) -> n
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
+        total = np.zeros((TABLES, BUCKETS), np.int32)
         for b in _rows(batches):
-            h = [g[2] for g in _grams(b, kept, k)][-1]
-            total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+            key = _keys(b.ids)
+            for codes in b.slices(k):
+                *_, (_, _, h, _) = _grams(codes, b.ids, key, kept, k)
+                for t in range(TABLES):
+                    np.add(total[t], np.bincount(_bucket(h, t), minlength=BUCKETS), out=total[t], casting="unsafe")
             np.minimum(total, least, out=total)
-        full = [i for i in range(BUCKETS // CHUNK) if total[i * CHUNK:(i + 1) * CHUNK].any()]
-        yield pa.record_batch({"chunk": pa.array(full, pa.int32()), "counts": pa.array([put(total[i * CHUNK:(i + 1) * CHUNK]) for i in full], pa.binary())})
+        flat = total.reshape(-1, CHUNK)
+        full = np.flatnonzero(flat.any(1))
+        yield pa.record_batch({"chunk": pa.array(full.astype(np.int32)), "counts": pa.array([put(c) for c in flat[full]], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                sums[i] = np.minimum(sums.get(i, 0) + got(c, "<i4").astype(np.int64), least)
+                sums[i] = np.minimum(sums.get(i, 0) + got(c, "<i4"), least)
         bits = [np.packbits(s >= least).tobytes() for s in sums.values()]
         yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     chunks = blocks.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, bits binary")
-    out = np.zeros(BUCKETS // 8, np.uint8)
+    out = np.zeros(TABLES * BUCKETS // 8, np.uint8)
     for r in chunks.collect():  # one bit a counter
         out[r.chunk * CHUNK // 8:(r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
+    return out.reshape(TABLES, -1)
 
 
 def _observed(blocks: DataFrame, kept: list[np.ndarray], most_words: int) -> DataFrame:
@@ -162,11 +180,13 @@ def _observed(blocks: DataFrame, kept: list[np.ndarray], most_words: int) -> Dat
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _rows(batches):
-            name = b.codes[b.ids[b.codes] >= 0].astype(np.int64)  # number of the phrase that ends one word earlier
-            for k, at, _, before in _grams(b, kept, most_words):
-                distinct, first, name = np.unique(name[before] << 32 | b.codes[at + k - 1], return_index=True, return_inverse=True)
-                words = [b.ids[b.codes[at[first] + i]] if i < k else np.full(len(first), -1) for i in range(most_words)]
-                yield pa.record_batch([pa.array([b.lang] * len(distinct), pa.string()), *map(pa.array, words)], ["lang", *names])
+            key = _keys(b.ids)
+            for codes in b.slices(most_words):
+                name = codes[b.ids[codes] >= 0].astype(np.int64)  # number of the phrase that ends one word earlier
+                for k, at, _, before in _grams(codes, b.ids, key, kept, most_words):
+                    distinct, first, name = np.unique(name[before] << 32 | codes[at + k - 1], return_index=True, return_inverse=True)
+                    words = [b.ids[codes[at[first] + i]] if i < k else np.full(len(first), -1) for i in range(most_words)]
+                    yield pa.record_batch([pa.array([b.lang] * len(distinct), pa.string()), *map(pa.array, words)], ["lang", *names])
 
     return blocks.mapInArrow(emit, "lang string, " + ", ".join(f"{n} long" for n in names)).distinct()
 
@@ -183,7 +203,9 @@ def _counted(blocks: DataFrame, candidates: DataFrame, parts: int, names: list[s
             trie = shared.value
             total = np.zeros(len(trie.check), np.int64)
             for b in _rows(batches):
-                total += trie.visits(trie.codes_of(b.ids)[b.codes])
+                own = trie.codes_of(b.ids)
+                for codes in b.slices(trie.depth):
+                    trie.visit(own[codes], SLICE, total)
             hit = np.flatnonzero((total > 0) & (trie.label >= 0))
             yield pa.record_batch({"num": pa.array(trie.label[hit]), "a": pa.array(total[hit])})
 
@@ -195,6 +217,12 @@ def _counted(blocks: DataFrame, candidates: DataFrame, parts: int, names: list[s
     return out
 
 
+def _score() -> Column:
+    """floor(1000 * a * n / (l * r)), by decimals of 38 digits."""
+    big = "cast({} AS decimal(38,0))"
+    return F.expr(f"({big.format(1000)} * a * n) div ({big.format('l')} * r)")
+
+
 def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent: int = 100, top: int = 2000,
                  text: str = "text", lang: str = "lang") -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score.
@@ -221,9 +249,10 @@ def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent
     words = folder.put(words.withColumn("id", F.monotonically_increasing_id()), "words")
     size = words.agg(F.sum(F.octet_length("word") + F.octet_length("lang") + 24)).first()[0] or 0
     near = F.broadcast if size <= WORD_BYTES else lambda df: df
-    known = vocabulary.select("block", "lang", "at", "x.word").join(near(words), ["lang", "word"]).groupBy("block").agg(
-        F.collect_list(F.struct("at", "id")).alias("known"))
-    blocks = folder.put(raw.select("block", "lang", "codes", F.size("vocabulary").alias("n_vocabulary")).join(known, "block", "left"), "blocks")
+    known = vocabulary.select("block", "lang", "at", "x.word").join(near(words), ["lang", "word"], "left").groupBy("block").agg(
+        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).alias("known"))
+    blocks = raw.select("block", "lang", "codes", F.size("vocabulary").alias("n_vocabulary")).join(known, "block")
+    blocks = folder.put(blocks.select("lang", "codes", "n_vocabulary", F.col("known.at").alias("at"), F.col("known.id").alias("id")), "blocks")
     folder.drop("raw")
 
     kept: list[np.ndarray] = []
@@ -246,9 +275,7 @@ def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent
     cuts = cuts.withColumns({"left": F.slice("ids", F.lit(1), F.col("cut")), "right": F.slice("ids", F.col("cut") + 1, F.col("k") - F.col("cut"))})
     cuts = (cuts.join(every.select(F.col("part").alias("left"), F.col("a").alias("l")), "left")
             .join(every.select(F.col("part").alias("right"), F.col("a").alias("r")), "right"))
-    big = "cast({} AS decimal(38,0))"
-    score = F.expr(f"({big.format(1000)} * a * n) div ({big.format('l')} * r)")
-    best = cuts.groupBy("lang", "ids", "k", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("s"))
+    best = cuts.groupBy("lang", "ids", "k", "a", "n").agg(F.min(F.struct(_score().alias("score"), "cut", "l", "r")).alias("s"))
 
     inner = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> slice(ids, i, m))))")
     around = found.where("k > 2").select(F.explode(inner).alias("part"), "a").groupBy("part").agg(F.max("a").alias("longer"))

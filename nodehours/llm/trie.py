@@ -43,7 +43,7 @@ class DoubleArray:
             ends = rows[(codes[rows, d + 1] < 0)] if d + 1 < self.depth else rows
             self.label[at[ends]] = labels[ends]
         top = int(np.flatnonzero(~self.free)[-1]) + 1 + width  # a step from any state stays inside
-        self.base, self.check, self.label = self.base[:top].copy(), self.check[:top].copy(), self.label[:top].copy()
+        self.base, self.check, self.label = self.base[:top].astype(np.int32), self.check[:top].astype(np.int32), self.label[:top].copy()
         del self.free
 
     def _placed(self, parent: np.ndarray, code: np.ndarray, width: int) -> np.ndarray:
@@ -92,17 +92,16 @@ class DoubleArray:
     def codes_of(self, symbols: np.ndarray) -> np.ndarray:
         """The trie's own numbers of symbols, -1 for those that no sequence holds."""
         at = np.minimum(np.searchsorted(self.symbols, symbols), max(len(self.symbols) - 1, 0))
-        return np.where(self.symbols[at] == symbols, at, -1) if len(self.symbols) else np.full(len(symbols), -1)
+        return np.where(self.symbols[at] == symbols, at, -1).astype(np.int32) if len(self.symbols) else np.full(len(symbols), -1, np.int32)
 
-    def visits(self, text: np.ndarray) -> np.ndarray:
-        """How often each state is reached from the positions of a text of the trie's own numbers (-1: none).
+    def visit(self, text: np.ndarray, most: int, total: np.ndarray) -> None:
+        """Add to total how often each state is reached from the first most positions of a text of the trie's own numbers (-1: none).
 
         All positions move together, one level after the other; those without a transition fall out.
         """
-        total = np.zeros(len(self.check), np.int64)
         text = np.append(text, np.full(self.depth, -1, text.dtype))
-        at = np.flatnonzero(text >= 0)
-        state = np.zeros(len(at), np.int64)
+        at = np.flatnonzero(text[:most] >= 0)
+        state = np.zeros(len(at), np.int32)
         for _ in range(self.depth):
             symbol = text[at]
             known = symbol >= 0
@@ -111,4 +110,3 @@ class DoubleArray:
             stays = self.check[to] == state
             at, state = at[stays] + 1, to[stays]
             total += np.bincount(state, minlength=len(total))
-        return total

@@ -190,7 +190,9 @@ def test_trie_counts_what_it_holds(monkeypatch):
         trie = DoubleArray(np.array([[*r, *[-1] * (4 - len(r))] for r in rows]) * 5, labels)
         text = rng.integers(-1, 13, 5000)
         text = np.where(text >= 0, text * 5, -1)
-        seen = trie.visits(trie.codes_of(text))
+        codes, seen = trie.codes_of(text), np.zeros(len(trie.check), np.int64)
+        for lo in range(0, len(codes), 700):
+            trie.visit(codes[lo:lo + 703], 700, seen)
         got = {int(trie.label[s]): int(seen[s]) for s in np.flatnonzero((seen > 0) & (trie.label >= 0))}
         want = {int(x): n for r, x in zip(rows, labels, strict=True)
                 if (n := sum(text[i:i + len(r)].tolist() == [5 * c for c in r] for i in range(len(text) - len(r) + 1)))}
