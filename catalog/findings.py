@@ -15,13 +15,26 @@ def _(s, d):
 
 
 @query("f2_waited_despite_free", """
-WITH lv AS (SELECT g.bin, g.t_h, 20000.0 - coalesce(sum(j.nodes), 0) AS free FROM (SELECT range AS bin, range * 0.25::DOUBLE AS t_h FROM range(2881)) g LEFT JOIN jobs_fx j ON j.start_h <= g.t_h AND g.t_h < j.end_h GROUP BY ALL),
-b AS (SELECT j.job_id, j.queue, j.nodes, j.submit_h, j.start_h, max(lv.free) AS best FROM jobs_fx j LEFT JOIN lv ON lv.t_h >= j.submit_h AND lv.t_h < j.start_h WHERE j.start_h <= 720 GROUP BY ALL)
+WITH e AS (SELECT start_h AS t, nodes AS d FROM jobs_fx UNION ALL SELECT end_h, -nodes FROM jobs_fx), n AS (SELECT t, sum(d) AS d FROM e GROUP BY t),
+lv AS MATERIALIZED (SELECT t, 20000.0 - sum(d) OVER (ORDER BY t) AS free FROM n),
+s AS (SELECT j.job_id, coalesce(lv.free, 20000.0) AS free FROM jobs_fx j ASOF LEFT JOIN lv ON j.submit_h >= lv.t),
+w AS (SELECT j.job_id, max(lv.free) AS free FROM jobs_fx j JOIN lv ON lv.t > j.submit_h AND lv.t < j.start_h GROUP BY ALL),
+b AS (SELECT j.*, start_h > submit_h AS waits, greatest(s.free, coalesce(w.free, s.free)) AS best FROM jobs_fx j JOIN s USING (job_id) LEFT JOIN w USING (job_id) WHERE start_h <= 720)
 SELECT queue, count(*) AS n, count(*) FILTER (WHERE start_h - submit_h > 1 AND best >= nodes) AS n_avoidable, round(count(*) FILTER (WHERE start_h - submit_h > 1 AND best >= nodes) / count(*), 8) AS share FROM b GROUP BY queue""")
 def _(s, d):
     return rnd(N.waited_despite_free(X.jobs(s, d), 20000.0, X.T1), 8)
 
 
+@query("f2_most_free", """
+WITH e AS (SELECT start_h AS t, nodes AS d FROM jobs_fx UNION ALL SELECT end_h, -nodes FROM jobs_fx), n AS (SELECT t, sum(d) AS d FROM e GROUP BY t),
+lv AS MATERIALIZED (SELECT t, 20000.0 - sum(d) OVER (ORDER BY t) AS free FROM n),
+s AS (SELECT j.job_id, coalesce(lv.free, 20000.0) AS free FROM jobs_fx j ASOF LEFT JOIN lv ON j.submit_h >= lv.t),
+w AS (SELECT j.job_id, max(lv.free) AS free FROM jobs_fx j JOIN lv ON lv.t > j.submit_h AND lv.t < j.start_h GROUP BY ALL)
+SELECT job_id, CASE WHEN start_h > submit_h THEN greatest(s.free, coalesce(w.free, s.free)) END::DOUBLE AS most_free FROM jobs_fx JOIN s USING (job_id) LEFT JOIN w USING (job_id)""")
+def _(s, d):
+    return N.free_while_waiting(X.jobs(s, d), 20000.0).select("job_id", "most_free")
+
+
 @query("f3_peak_concurrency", """
 WITH r AS (SELECT 'project' AS scope, queue, project AS entity, 1 AS size, start_h, end_h FROM jobs_fx UNION ALL SELECT 'queue', queue, '*', nodes, start_h, end_h FROM jobs_fx),
 e AS (SELECT scope, queue, entity, start_h AS t, size AS d FROM r WHERE end_h > start_h UNION ALL SELECT scope, queue, entity, end_h, -size FROM r WHERE end_h > start_h),

@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 GRID_BLOCK = 4096  # grid cells per block in grid-level running sums
 COARSE_CUTS = 1024  # cut points drawn in one pass; more come from a second pass inside these
 BLOCK_ROWS = 1_000_000  # rows of a block, about; setting nodehours.blockRows overrides it
+ARRAY_ROWS = 256  # steps of a block that is held as one array
+ARRAY_BYTES = 32 << 20  # of such arrays that may be broadcast
 DIM_LIMIT = 10_000  # rows allowed in a configuration dimension
 BLK = "_blk"
 _local_scratch: list[str] = []
@@ -124,8 +126,8 @@ class Cuts:
     heavy: dict[int, int] = field(default_factory=dict)
 
 
-def cut_points(df: DataFrame, *cols: str) -> Cuts:
-    """Equal-depth cut points over one or more numeric columns, one for each ``BLOCK_ROWS`` values.
+def cut_points(df: DataFrame, *cols: str, rows: int | None = None) -> Cuts:
+    """Equal-depth cut points over one or more numeric columns, one for each ``rows`` (``BLOCK_ROWS``) values.
 
     The values are counted first.  Up to ``COARSE_CUTS`` blocks come from one
     sketch per group of input partitions, merged over the bounded set of sketch
@@ -137,7 +139,7 @@ def cut_points(df: DataFrame, *cols: str) -> Cuts:
     else:
         vals = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("x"))
     vals = vals.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    blocks = -(-vals.count() // block_rows(df.sparkSession))
+    blocks = -(-vals.count() // (rows or block_rows(df.sparkSession)))
     if blocks <= 1:
         return Cuts()
     n = min(blocks, COARSE_CUTS)
@@ -357,6 +359,62 @@ def _carry(rrow: DataFrame, keys: list[str], top: int) -> DataFrame:
     return full.select(*keys, BLK, F.last("_e", ignorenulls=True).over(before).alias("_carry"))
 
 
+# --------------------------------------------------------------------------
+# step series as one array per block
+# --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class StepArrays:
+    """A step series cut into blocks of about ``ARRAY_ROWS`` steps: one row (blk, ts, vs) a block, ts ascending.
+
+    The first entry of a block is the step before it (at minus infinity where there is none), so every instant of
+    the block's range finds its step inside.  Rows reach their block by binary search in the cut points.
+    """
+
+    table: DataFrame
+    cuts: Cuts
+    blocks: int
+
+    def side(self, *cols: Column | str) -> DataFrame:
+        """The arrays for a join: broadcast while their counted size allows, else left to a shuffle."""
+        df = self.table.select(BLK, *cols)
+        return F.broadcast(df) if self.blocks * ARRAY_ROWS * 16 <= ARRAY_BYTES else df
+
+
+def step_arrays(steps: DataFrame, t: str, value: str, before: object = None) -> StepArrays:
+    """Cut a step series with distinct instants; ``before`` holds ahead of the first one (None: the first value does)."""
+    kind = steps.schema[value].dataType
+    rows = stored(steps.select(F.col(t).cast("double").alias("t"), F.col(value).alias("v")).where("t IS NOT NULL"))
+    cuts = cut_points(rows, "t", rows=ARRAY_ROWS)
+    blocks = len(cuts.points) + 1
+    held = with_block(rows, "t", cuts).groupBy(BLK).agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("s"))
+    full = rows.sparkSession.range(blocks).select(F.col("id").cast("int").alias(BLK)).join(held, BLK, "left")
+    # one row a block, so this window holds a few hundredths of the steps at most
+    last = F.last(F.element_at("s", -1), ignorenulls=True).over(
+        Window.partitionBy(F.lit(0)).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min("s").over(Window.partitionBy(F.lit(0)))[0]["v"] if before is None else F.lit(before).cast(kind)
+    ahead = F.coalesce(last, F.struct(F.lit(float("-inf")).alias("t"), first.alias("v")))
+    s = F.concat(F.array(ahead), F.coalesce("s", F.array().cast(full.schema["s"].dataType)))
+    table = stored(full.select(BLK, s.alias("s")).select(BLK, F.col("s.t").alias("ts"), F.col("s.v").alias("vs")))
+    return StepArrays(table, cuts, blocks)
+
+
+def last_at(ts: Column, x: Column, strict: bool = False) -> Column:
+    """How many entries of an ascending array are at or before ``x`` (``strict``: before it), by binary search."""
+    top = 1 << (2 * ARRAY_ROWS).bit_length()
+    halves = F.array(*[F.lit(top >> k) for k in range(top.bit_length())])
+
+    def step(p: Column, h: Column) -> Column:
+        entry = F.get(ts, p + h - 1)
+        inside = F.coalesce(entry < x if strict else entry <= x, F.lit(False))
+        return F.when(inside, p + h).otherwise(p)
+
+    # a block of one instant may hold more entries than planned; those beyond the steps of the search are walked
+    found = F.aggregate(halves, F.lit(0), step)
+    return F.when(F.size(ts) < 2 * top, found).otherwise(F.size(F.filter(ts, lambda e: e < x if strict else e <= x)))
+
+
 # --------------------------------------------------------------------------
 # intervals on a regular grid
 # --------------------------------------------------------------------------

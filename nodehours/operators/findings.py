@@ -9,8 +9,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import GRID_BLOCK, bin_sums, join_on, level_on_grid, n_points, stored
-from nodehours.operators.lookups import cap_audit
+from nodehours.blocks import BLK, GRID_BLOCK, StepArrays, bin_sums, join_on, last_at, step_arrays, stored, with_block
+from nodehours.operators.lookups import cap_audit, step_levels
 from nodehours.operators.quantiles import summarize
 
 
@@ -52,16 +52,43 @@ def range_max(df: DataFrame, cells: DataFrame, lo: Column, hi: Column, bins: int
     return q.select(*df.columns, F.greatest("_x", "_y").alias(name))
 
 
-def waited_despite_free(jobs: DataFrame, capacity: float, t1: float, dt: float = 0.25, min_wait: float = 1.0,
-                        keys: Sequence[str] = ("queue",)) -> DataFrame:
-    """Share of jobs that waited longer than ``min_wait`` although enough nodes were free at a grid point of their wait."""
-    lv = level_on_grid(jobs, "start_h", "end_h", "nodes", 0.0, t1, dt)
-    free = lv.select("bin", (F.lit(float(capacity)) - F.col("level")).alias("free"))
-    started = jobs.where(F.col("start_h").isNotNull() & (F.col("start_h") <= t1))
-    lo, hi = F.ceil(F.col("submit_h") / dt), F.ceil(F.col("start_h") / dt) - 1
-    got = range_max(started, free, lo, hi, n_points(0.0, t1, dt), "free", "_best")
-    hit = (F.col("start_h") - F.col("submit_h") > min_wait) & (F.col("_best") >= F.col("nodes"))
-    hit = F.coalesce(hit, F.lit(False))
+def free_while_waiting(jobs: DataFrame, capacity: float, submit: str = "submit_h", start: str = "start_h", end: str = "end_h",
+                       nodes: str = "nodes", name: str = "most_free") -> DataFrame:
+    """Most nodes free at any instant of [submit, start), as the jobs themselves occupy them; NULL without a wait.
+
+    Starts and ends are netted per instant into a step series, held as one array per block together with the maxima of
+    its leading and trailing parts.  A wait is the trailing part of its first block, the leading part of its last one,
+    and the whole blocks between, whose maximum two rows of a sparse table over blocks give; a wait inside one block is
+    a slice of its array.  So every opening counts, however short, and no wait is walked through.
+    """
+    levels = step_levels(jobs, start, end, nodes, name="_busy").select("t_h", (F.lit(float(capacity)) - F.col("_busy")).alias("free"))
+    steps = step_arrays(levels, "t_h", "free", before=float(capacity))
+    lead = F.transform("vs", lambda _, i: F.array_max(F.slice("vs", F.lit(1), i + 1)))
+    trail = F.transform("vs", lambda _, i: F.array_max(F.slice("vs", i + 1, F.size("vs"))))
+    table = StepArrays(stored(steps.table.select(BLK, "ts", "vs", lead.alias("lead"), trail.alias("trail"))), steps.cuts, 2 * steps.blocks)
+    waits = jobs.where(F.col(submit) < F.col(start)).withColumns({"_a": F.col(submit).cast("double"), "_b": F.col(start).cast("double")})
+    waits = with_block(with_block(waits, "_a", steps.cuts, "_i"), "_b", steps.cuts, "_j")
+    a, b = table.table.columns, "_b"
+    first = table.side(*[F.col(c).alias(f"{c}0") for c in a if c != BLK]).withColumnRenamed(BLK, "_i")
+    last = table.side(F.col("ts").alias("ts1"), F.col("lead").alias("lead1")).withColumnRenamed(BLK, "_j")
+    waits = waits.join(first, "_i")
+    at = last_at(F.col("ts0"), F.col("_a")) - 1  # the step that holds at submission
+    inside = F.array_max(F.slice("vs0", at + 1, F.greatest(last_at(F.col("ts0"), F.col(b), strict=True) - at, F.lit(1))))
+    waits = waits.withColumn("_head", F.when(F.col("_i") == F.col("_j"), inside).otherwise(F.get("trail0", at))).drop("ts0", "vs0", "lead0", "trail0")
+    # what the last block inherits belongs to blocks that are covered anyway
+    waits = waits.join(last, "_j").withColumn("_tail", F.when(F.col("_i") < F.col("_j"), F.get("lead1", last_at(F.col("ts1"), F.col(b), strict=True) - 1)))
+    cells = steps.table.select(F.col(BLK).alias("bin"), F.array_max("vs").alias("most"))
+    waits = range_max(waits.drop("ts1", "lead1"), cells, F.col("_i") + 1, F.col("_j") - 1, steps.blocks, "most", "_mid")
+    best = F.greatest("_head", "_tail", "_mid").alias(name)
+    none = jobs.where(~F.coalesce(F.col(submit) < F.col(start), F.lit(False))).withColumn(name, F.lit(None).cast("double"))
+    return waits.select(*jobs.columns, best).unionByName(none)
+
+
+def waited_despite_free(jobs: DataFrame, capacity: float, t1: float, min_wait: float = 1.0, keys: Sequence[str] = ("queue",)) -> DataFrame:
+    """Share of jobs started by ``t1`` that waited longer than ``min_wait`` although enough nodes were free at some time of the wait."""
+    started = F.col("start_h").isNotNull() & (F.col("start_h") <= t1)
+    hit = F.coalesce((F.col("start_h") - F.col("submit_h") > min_wait) & (F.col("most_free") >= F.col("nodes")), F.lit(False))
+    got = free_while_waiting(jobs.select(*keys, "submit_h", "start_h", "end_h", "nodes"), capacity).where(started)
     return got.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_avoidable"),
                                   (F.count_if(hit) / F.count(F.lit(1))).alias("share"))
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import (GRID_BLOCK, asof, dim_rows, following, grid_running, index_of, join_on, n_points, numbered, running,
-                              small_side, stored, struct_array)
+from nodehours.blocks import (BLK, GRID_BLOCK, asof, dim_rows, following, grid_running, join_on, last_at, n_points, numbered, running,
+                              small_side, step_arrays, stored, struct_array, with_block)
 
 
 def with_queue(df: DataFrame, queues: DataFrame, defaults: dict[str, object], key: str = "queue") -> DataFrame:
@@ -96,18 +96,17 @@ def overlapping(df: DataFrame, t0: Column | float, t1: Column | float, start: st
 def asof_step(df: DataFrame, series: DataFrame, on: str, value: str, t: str = "t_h", dimension: bool = False) -> DataFrame:
     """Value of a step series at ``on``; before the first row the first value holds, and a NULL instant has none.
 
-    A series declared a ``dimension`` (its size is checked) enters as literals: each row finds its step by binary
-    search and is not moved.  Otherwise both sides are cut into blocks.
+    A series declared a ``dimension`` is held as one sorted array per block of it: each row joins the array of its
+    block and finds its step there by binary search.  The arrays are broadcast, and the rows not moved, as long as
+    their counted size allows; beyond it one shuffle by block brings both together.  Otherwise both sides are cut
+    into blocks of rows.
     """
     if dimension:
-        steps = sorted(r for r in dim_rows(series.groupBy(F.col(t).cast("double").alias("t")).agg(
-            F.max(value).alias("v")).where("t IS NOT NULL"), ["t", "v"]))
-        if not steps:
-            return df.withColumn(value, F.lit(None).cast(series.schema[value].dataType))
-        found = index_of(on, [x for x, _ in steps], df, "_step")
-        values = F.array(*[F.lit(v) for _, v in steps]).cast(f"array<{series.schema[value].dataType.simpleString()}>")
-        hit = F.when(F.col(on).isNotNull(), F.element_at(values, F.greatest(F.col("_step"), F.lit(1))))
-        return found.withColumn(value, hit).drop("_step")
+        kind = series.schema[value].dataType
+        steps = step_arrays(series.groupBy(F.col(t).cast("double").alias("t")).agg(F.max(value).alias("v")), "t", "v")
+        found = with_block(df, on, steps.cuts, "_step").join(steps.side("ts", "vs"), F.col("_step") == F.col(BLK), "left")
+        hit = F.when(F.col(on).isNotNull(), F.get("vs", last_at(F.col("ts"), F.col(on).cast("double")) - 1))
+        return found.select(*[found[c] for c in df.columns if c != value], hit.cast(kind).alias(value))
     right = series.select(F.col(t).alias(on), value)
     first = series.agg(F.min_by(value, t)).scalar()
     return asof(df, right, on, [value]).withColumn(value, F.when(F.col(on).isNotNull(), F.coalesce(F.col(value), first)))

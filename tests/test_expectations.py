@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from nodehours import blocks as B
 from nodehours.functions import clean as C
 from nodehours.functions import score as S
 from nodehours.operators import experiments as E
+from nodehours.operators import findings as N
 from nodehours.operators import lookups as L
 from nodehours.operators import priority as P
 from nodehours.operators import sampling as R
@@ -270,3 +272,42 @@ def test_usable_series_without_coverage_is_constant(spark):
     assert [(r.bin, r.t_h, r.usable) for r in late] == [(i, float(i), 77.0) for i in range(5)]
     covered = T.usable_series(snaps.where("t_h > 0").withColumn("t_h", F.col("t_h") - 30), jobs, none, 4.0, 6.0, 1.0, otherwise=77.0).collect()
     assert {r.usable for r in covered} == {90.0}
+
+
+def test_asof_in_a_long_dimension_does_not_move_the_rows(spark):
+    steps = spark.range(200_000).select((F.col("id") * 0.5).alias("t_h"), (F.col("id") % 977).cast("double").alias("up"))
+    rows = spark.range(50_000).select("id", ((F.col("id") * 7919) % 100_050 - 20 + (F.col("id") % 2) * 0.25).alias("at"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None)], "id long, at double"))
+    out = L.asof_step(rows, steps, "at", "up", dimension=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    for r in out.collect():
+        want = None if r.at is None else min(max(int(r.at // 0.5), 0), 199_999) % 977
+        assert r.up == want, r
+    none = L.asof_step(rows.limit(3), steps.limit(0), "at", "up", dimension=True)
+    assert [r.up for r in none.collect()] == [None] * 3
+
+
+@pytest.mark.parametrize("size", [256, 4])
+def test_an_opening_of_a_minute_counts(both, monkeypatch, size):
+    from nodehours import blocks
+    monkeypatch.setattr(blocks, "ARRAY_ROWS", size)
+    minute = 1 / 60
+    jobs = [("a", 0.0, 0.0, 10.0, 60), ("b", 0.0, 0.0, 10.1, 40), ("c", 0.5, 0.5, 0.5, 7), ("d", 1.0, 20.0, 21.0, 100),
+            ("e", 10.0, 10.0 + minute, 30.0, 60), ("f", 9.0, 9.5, 9.6, 0), ("g", 11.0, 12.0, None, 1), ("h", 5.0, None, None, 5), ("i", 25.0, 24.0, 26.0, 3)]
+    rng = np.random.default_rng(1)
+    for k in range(120):
+        s = float(rng.integers(0, 200)) / 4
+        jobs.append((f"r{k}", s, s + float(rng.integers(0, 40)) / 8, s + 5 + float(rng.integers(0, 16)) / 8, int(rng.integers(1, 30))))
+    df = both.createDataFrame(jobs, "id string, submit_h double, start_h double, end_h double, nodes int")
+    got = {r.id: r.most_free for r in N.free_while_waiting(df, 100.0).collect()}
+    busy = lambda t: sum(n for _, _, s, e, n in jobs if s is not None and s <= t and (e is None or t < e))
+    instants = sorted({x for j in jobs for x in j[2:4] if x is not None})
+    for i, s, b, _, _ in jobs:
+        want = max(100 - busy(t) for t in [s, *[x for x in instants if s < x < b]]) if b is not None and s < b else None
+        assert got[i] == want, (i, got[i], want)
+    alone = both.createDataFrame(jobs[:5], "id string, submit_h double, start_h double, end_h double, nodes int").withColumn("queue", F.lit("q"))
+    share = {r.queue: (r.n, r.n_avoidable) for r in N.waited_despite_free(alone, 100.0, 100.0).collect()}
+    assert share == {"q": (5, 0)}  # d needs all nodes; 10.1 to 30 has 40 free, and the minute from 10 has 60
+    less = alone.withColumn("nodes", F.when(F.col("id") == "d", 59).otherwise(F.col("nodes")))
+    assert N.waited_despite_free(less, 100.0, 100.0).first().n_avoidable == 1
