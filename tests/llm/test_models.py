@@ -308,3 +308,27 @@ def test_pipeline_on_awkward_rows_and_no_rows(spark, rows):
         assert not many or ids >= {None, 900_001, 900_002, 900_003, 900_004, 900_006, 900_007}
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, cases.SF).collect()
         assert {p.doc_id for p in pieces} == ids
+
+
+def test_template_lines_repeat_nothing_and_make_few_pairs(spark, monkeypatch):
+    made = []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: made.append(pairs.count()) or verified(pairs, *a))
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("concat('w', id, ' x', id * 7, ' added to the shopping cart by user')").alias("text"))
+    # among them, a line that differs in one word is found by the word it shares
+    docs = docs.unionByName(spark.createDataFrame([(n, "w5 y added to the shopping cart by user")], "doc_id long, text string"))
+    assert [r.doc_id for r in lines.dedup_lines(docs).where("text = ''").collect()] == [n]
+    assert sum(made) < 10 * n
+
+
+def test_words_whose_codes_fall_together_are_told_apart(spark):
+    from itertools import combinations
+    codes = {}
+    for r in spark.range(4000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.xxhash64("w").bitwiseAND(0xFFFFF).alias("c")).collect():
+        codes.setdefault(r.c, []).append(r.w)
+    x, y = next(p for ws in codes.values() for p in combinations(ws, 2))
+    said = [f"{x} a1 a2 a3 a4 a5 b1 b2", f"{y} a1 a2 a3 a4 a5 b1 b3", f"{y} a1 a2 a3 a4 a5 b1 b2"]  # 2, 1 and 1 words of 8 apart
+    words = spark.createDataFrame([(i, s.split()) for i, s in enumerate(said)], "lh long, ws array<string>").select("lh", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "a long, b long")
+    assert {tuple(r) for r in lines._verified(pairs, words, 0.8).collect()} == {(1, 2), (0, 2)}
