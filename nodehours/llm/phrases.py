@@ -22,6 +22,7 @@ SLICE = 1 << 19  # words of a block that are worked on together
 BUCKETS = 1 << 22  # counters of hashed phrases of one length; whatever shares one only makes more candidates
 TABLES = 2  # of such counters, by different bits of the hash; a phrase must reach the least frequency in each
 CHUNK = 1 << 14  # counters that are summed together
+SHARES = 64  # into which observed phrases of a language are dealt
 PART = 500_000  # candidates of a trie; more of them take more tries, one after the other
 WORD_BYTES = 16 << 20  # frequent words that may be broadcast; the join shuffles beyond
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -175,7 +176,10 @@ def _reached(blocks: DataFrame, kept: list[np.ndarray], k: int, least: int) -> n
 
 
 def _observed(blocks: DataFrame, kept: list[np.ndarray], most_words: int) -> DataFrame:
-    """lang and w1, w2, .. of the distinct safe phrases (-1 behind the last word)."""
+    """lang and w1, w2, .. of the distinct safe phrases (-1 behind the last word).
+
+    Each stretch of a block hands its distinct phrases, dealt into shares by their first two words, to the task that joins the share.
+    """
     names = [f"w{i + 1}" for i in range(most_words)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,21 +187,49 @@ def _observed(blocks: DataFrame, kept: list[np.ndarray], most_words: int) -> Dat
             key = _keys(b.ids)
             for codes in b.slices(most_words):
                 name = codes[b.ids[codes] >= 0].astype(np.int64)  # number of the phrase that ends one word earlier
+                found = []
                 for k, at, _, before in _grams(codes, b.ids, key, kept, most_words):
-                    distinct, first, name = np.unique(name[before] << 32 | codes[at + k - 1], return_index=True, return_inverse=True)
-                    words = [b.ids[codes[at[first] + i]] if i < k else np.full(len(first), -1) for i in range(most_words)]
-                    yield pa.record_batch([pa.array([b.lang] * len(distinct), pa.string()), *map(pa.array, words)], ["lang", *names])
+                    _, first, name = np.unique(name[before] << 32 | codes[at + k - 1], return_index=True, return_inverse=True)
+                    found.append(np.column_stack([b.ids[codes[at[first] + i]] if i < k else np.full(len(first), -1) for i in range(most_words)]))
+                rows = np.concatenate(found)
+                share = (mixed(_keys(rows[:, 0]) ^ rows[:, 1].astype(np.uint64)) % np.uint64(SHARES)).astype(np.int64)
+                full = np.unique(share).tolist()
+                yield pa.record_batch({"lang": pa.array([b.lang] * len(full), pa.string()), "share": pa.array(full, pa.int64()),
+                                       "phrases": pa.array([put(rows[share == x]) for x in full], pa.binary())})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[tuple[str, int], np.ndarray] = {}
+        waiting: dict[tuple[str, int], list[np.ndarray]] = {}
 
-    return blocks.mapInArrow(emit, "lang string, " + ", ".join(f"{n} long" for n in names)).distinct()
+        def distinct(x: tuple[str, int]) -> None:
+            sets[x] = np.unique(np.concatenate([sets.get(x, np.zeros((0, most_words), np.int64)), *waiting.pop(x)]), axis=0)
+
+        for batch in batches:
+            for lang, share, phrases in zip(*(batch[c].to_pylist() for c in ("lang", "share", "phrases")), strict=True):
+                x = (lang, share)
+                waiting.setdefault(x, []).append(got(phrases, "<i8").reshape(-1, most_words))
+                if sum(map(len, waiting[x])) > max(100_000, len(sets.get(x, ()))):
+                    distinct(x)
+        for x in list(waiting):
+            distinct(x)
+        for (lang, _), rows in sets.items():
+            yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), *map(pa.array, rows.T.copy())], ["lang", *names])
+
+    handed = blocks.mapInArrow(emit, "lang string, share long, phrases binary")
+    return handed.repartition("lang", "share").mapInArrow(join, "lang string, " + ", ".join(f"{n} long" for n in names))
 
 
 def _counted(blocks: DataFrame, candidates: DataFrame, parts: int, names: list[str], folder: Folder) -> DataFrame:
-    """num and a: occurrences of every candidate, by one trie after the other, each broadcast to all blocks."""
+    """num and a: occurrences of every candidate, by one trie after the other, each broadcast to all blocks.
+
+    A task counts the states it accepts over all its blocks; chunks of these counts stream through the task that sums them.
+    """
     spark, counts = blocks.sparkSession, []
     for p in range(parts):
         some = candidates.where(F.col("part") == p).select("num", *names).toArrow()  # PART rows, about
-        trie = DoubleArray(np.column_stack([some[n].to_numpy() for n in names]), some["num"].to_numpy())
-        shared = spark.sparkContext.broadcast(trie)
+        num = some["num"].to_numpy()
+        trie = DoubleArray(np.column_stack([some[n].to_numpy() for n in names]), np.arange(len(num)))
+        shared, told = spark.sparkContext.broadcast(trie), spark.sparkContext.broadcast(num)
 
         def visit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie = shared.value
@@ -206,11 +238,24 @@ def _counted(blocks: DataFrame, candidates: DataFrame, parts: int, names: list[s
                 own = trie.codes_of(b.ids)
                 for codes in b.slices(trie.depth):
                     trie.visit(own[codes], SLICE, total)
-            hit = np.flatnonzero((total > 0) & (trie.label >= 0))
-            yield pa.record_batch({"num": pa.array(trie.label[hit]), "a": pa.array(total[hit])})
-
-        counts.append(folder.put(blocks.mapInArrow(visit, "num long, a long").groupBy("num").agg(F.sum("a").alias("a")), f"counts{p}"))
+            accepts = np.flatnonzero(trie.label >= 0)
+            count = np.zeros(len(accepts), np.int64)
+            count[trie.label[accepts]] = total[accepts]
+            at = [i for i in range(0, len(count), CHUNK) if count[i:i + CHUNK].any()]
+            yield pa.record_batch({"at": pa.array(at, pa.int64()), "counts": pa.array([put(count[i:i + CHUNK]) for i in at], pa.binary())})
+
+        def add(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, c in zip(batch["at"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                    sums[i] = sums.get(i, 0) + got(c, "<i8")
+            for i, a in sums.items():
+                yield pa.record_batch({"num": pa.array(told.value[i:i + CHUNK]), "a": pa.array(a)})
+
+        sums = blocks.mapInArrow(visit, "at long, counts binary").repartition("at").mapInArrow(add, "num long, a long")
+        counts.append(folder.put(sums, f"counts{p}"))
         shared.destroy()
+        told.destroy()
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
