@@ -86,6 +86,20 @@ def _(s, d):
     return a.select(F.round("t_h", 7).alias("t_h"), "up", "reserved", "available")
 
 
+@query("t5_availability_big", """
+WITH w AS (SELECT l_extendedprice / 100 AS a, l_extendedprice / 100 + l_quantity AS b, l_quantity AS n FROM lineitem),
+e AS (SELECT a AS t, n AS d FROM w UNION ALL SELECT b, -n FROM w UNION ALL SELECT t_h, 0 FROM usable_fx),
+l AS (SELECT t, sum(d) OVER (ORDER BY t) AS reserved FROM (SELECT t, sum(d) AS d FROM e GROUP BY t)),
+u AS (SELECT t_h, max(up) * 100 AS up FROM usable_fx GROUP BY t_h),
+p AS (SELECT l.t, reserved, coalesce(u.up, (SELECT arg_min(up, t_h) FROM u)) AS up FROM l ASOF LEFT JOIN u ON l.t >= u.t_h)
+SELECT round(t, 6) AS t_h, up, round(reserved, 4)::DOUBLE AS reserved, round(greatest(0.0, least(least(up, 900000.0), 900000.0 - reserved)), 4)::DOUBLE AS available FROM p""")
+def _(s, d):
+    start = F.col("l_extendedprice") / 100
+    w = X.table(s, d, "lineitem").select(start.alias("start_h"), (start + F.col("l_quantity")).alias("end_h"), F.col("l_quantity").alias("nodes"))
+    a = T.availability(X.usable(s, d).withColumn("up", F.col("up") * 100), w, 900000)
+    return a.select(F.round("t_h", 6).alias("t_h"), "up", F.round("reserved", 4).alias("reserved"), F.round("available", 4).alias("available"))
+
+
 @query("t5_mean_available", """
 SELECT round(avg(coalesce(a.available, (SELECT arg_min(available, t_h) FROM avail_fx))), 5) AS mean_available FROM quarters_fx q ASOF LEFT JOIN avail_fx a ON q.t_h >= a.t_h""")
 def _(s, d):

@@ -138,7 +138,7 @@ def cut_points(df: DataFrame, *cols: str, rows: int | None = None) -> Cuts:
         vals = df.select(F.col(cols[0]).cast("double").alias("x"))
     else:
         vals = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("x"))
-    vals = vals.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    vals = vals.where(F.abs("x") < float("inf"))  # no NULL, NaN or infinity: they need no cut point
     blocks = -(-vals.count() // (rows or block_rows(df.sparkSession)))
     if blocks <= 1:
         return Cuts()
@@ -339,7 +339,7 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(inside)).where(F.col("_side") == 1)
     if cuts.points:
-        ends = _carry(rrow, keys, len(cuts.points))
+        ends = _carry(lrow, rrow, keys, len(cuts.points))
         out = join_on(out, per_block(ends), [*keys, BLK], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
     # a row without a position meets nothing
     hit = F.when(F.col("_t").isNotNull(), F.col("_hit"))
@@ -347,14 +347,15 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
     return out.select("_l.*", *extra, *[hit[v].alias(v) for v in values])
 
 
-def _carry(rrow: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """Per key and block 0..top: the last right row of all earlier blocks."""
+def _carry(lrow: DataFrame, rrow: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """The last right row of all earlier blocks, for each block; with keys, only where a key has rows on either side."""
     last = rrow.groupBy(*keys, BLK).agg(F.max_by("_r", "_t").alias("_e"))
     if keys:
-        blocks = rrow.select(*keys).distinct().withColumn(BLK, F.explode(F.sequence(F.lit(0), F.lit(top))))
+        wanted = lrow.select(*keys, BLK).distinct().withColumn("_e", F.lit(None).cast(last.schema["_e"].dataType))
+        full = last.unionByName(wanted).groupBy(*keys, BLK).agg(F.first("_e", ignorenulls=True).alias("_e"))
     else:
         blocks = rrow.sparkSession.range(top + 1).select(F.col("id").cast("int").alias(BLK))
-    full = join_on(blocks, last, [*keys, BLK], "left")
+        full = join_on(blocks, last, [BLK], "left")
     before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     return full.select(*keys, BLK, F.last("_e", ignorenulls=True).over(before).alias("_carry"))
 

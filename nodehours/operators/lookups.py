@@ -210,9 +210,10 @@ def earliest_fit(requests: DataFrame, profile: DataFrame, nodes: str = "nodes",
 
     Each requested size cuts the profile into runs of sufficient capacity; only
     flips are emitted.  Per size the runs longer than every earlier run are
-    kept, so each distinct request matches at most one of them by equality on
-    the size and a half-open length range.  Runs that reach the end of the
-    profile count as endless; the last point itself is no start.
+    kept, and each distinct request finds the first that is long enough by an
+    as-of on the length per size, in length blocks, so a popular size is spread
+    over them.  Runs that reach the end of the profile count as endless; the
+    last point itself is no start.
     """
     sizes = numbered(requests.select(F.col(nodes).cast("double").alias("size")).where("size IS NOT NULL").distinct(), [], "size", name="lvl")
     sizes = stored(sizes.withColumn("lvl", F.col("lvl").cast("int")))
@@ -227,13 +228,10 @@ def earliest_fit(requests: DataFrame, profile: DataFrame, nodes: str = "nodes",
     run = following(flips, ["lvl"], "t", {"end": "t"}).where(F.col("up") & (F.col("t") < last))
     run = run.select("lvl", "t", (F.coalesce("end", F.lit(float("inf"))) - F.col("t")).alias("len"))
     best = running(run, ["lvl"], "t", {"top": ("max", "len")}).groupBy("lvl", F.col("top").alias("len")).agg(F.min("t").alias("t"))
-    run = following(best, ["lvl"], "t", {"prev_len": "len"}, -1).withColumn("prev_len", F.coalesce("prev_len", F.lit(float("-inf"))))
     req = requests.select(F.col(nodes).cast("double").alias("_n"), F.col(length).cast("double").alias("_l")).distinct()
-    req = req.join(small_side(sizes), F.col("_n") == F.col("size")).drop("size")
-    need = F.col("_l") - F.lit(1e-9)
-    hit = (req.join(run.select("lvl", "t", "len", "prev_len"), "lvl")
-           .where((need <= F.col("len")) & (need > F.col("prev_len")))
-           .select("_n", "_l", F.col("t").alias(name)))
+    req = req.join(small_side(sizes), F.col("_n") == F.col("size")).select("lvl", "_n", "_l", (F.col("_l") - F.lit(1e-9)).alias("len"))
+    # the kept runs of a size get longer as they get later: the shortest that is long enough is the earliest
+    hit = asof(stored(req), stored(best), "len", ["t"], keys=["lvl"], direction="forward").select("_n", "_l", F.col("t").alias(name))
     out = requests.withColumn("_n", F.col(nodes).cast("double")).withColumn("_l", F.col(length).cast("double"))
     return join_on(out, hit, ["_n", "_l"], "left").drop("_n", "_l")
 

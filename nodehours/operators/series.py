@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.blocks import asof, bin_sums, grid, grid_levels, join_on, level_on_grid, running, stored
+from nodehours.blocks import asof, bin_sums, cut_points, grid, grid_levels, join_on, level_on_grid, running, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES
-from nodehours.operators.lookups import asof_step, nearest_within, step_levels
+from nodehours.operators.lookups import asof_step, nearest_within
 from nodehours.operators.quantiles import summarize
 
 
@@ -159,11 +159,22 @@ def telemetry(df: DataFrame, t1: float, dt: float, production: float = PRODUCTIO
 
 
 def availability(series: DataFrame, windows: DataFrame, schedulable: float, t: str = "t_h", up: str = "up") -> DataFrame:
-    """min(up, schedulable - reserved), floored at 0, at every break point."""
-    resv = stored(step_levels(windows, "start_h", "end_h", "nodes", name="reserved"))
-    points = series.select(F.col(t).alias("t_h")).union(resv.select("t_h")).distinct()
-    a = asof_step(points, series.select(F.col(t).alias("t_h"), F.col(up).cast("double").alias("up")), "t_h", "up")
-    a = asof(stored(a), resv, "t_h", ["reserved"]).withColumn("reserved", F.coalesce("reserved", F.lit(0.0)))
+    """min(up, schedulable - reserved), floored at 0, at every break point.
+
+    Up-changes and the starts and ends of windows are one set of events, netted per instant; the last up value and the
+    reserved nodes are carried through it together, so the windows move once.  Of several values at one instant the
+    largest counts; before the first one it holds already.
+    """
+    x = F.col("nodes").cast("double")
+    none = F.lit(None).cast("double")
+    edges = windows.select(F.explode(F.array(F.struct(F.col("start_h").cast("double").alias("t_h"), x.alias("d")),
+                                             F.struct(F.col("end_h").cast("double").alias("t_h"), (-x).alias("d")))).alias("e"))
+    edges = edges.where("e.t_h IS NOT NULL").select("e.t_h", none.alias("up"), "e.d")
+    changes = series.select(F.col(t).cast("double").alias("t_h"), F.col(up).cast("double").alias("up"), F.lit(0.0).alias("d"))
+    events = stored(changes.where("t_h IS NOT NULL").unionByName(edges).groupBy("t_h").agg(F.max("up").alias("up"), F.sum("d").alias("d")))
+    first = events.agg(F.min_by("up", F.when(F.col("up").isNotNull(), F.col("t_h")))).scalar()
+    a = running(events, [], "t_h", {"_up": ("last", "up"), "reserved": ("sum", "d")}, cuts=cut_points(events, "t_h"))
+    a = a.select("t_h", F.coalesce("_up", first).alias("up"), "reserved")
     cap = F.lit(float(schedulable))
     return a.withColumn("available", F.greatest(F.lit(0.0), F.least(F.least(F.col("up"), cap), cap - F.col("reserved"))))
 
@@ -222,32 +233,38 @@ def free_profile(jobs: DataFrame, avail: DataFrame, now: float, horizon: float,
     """Free capacity over [now, horizon] per pool, if running jobs end at their requested end.
 
     Points are ``now``, the requested ends, the availability changes and the horizon.  ``pools`` maps dedicated pools to their size; rows with another
-    value of ``pool`` use the general pool.  ``ahead`` is the running minimum.
+    value of ``pool`` use the general pool.  ``ahead`` is the running minimum.  A running job takes its nodes at ``now`` and
+    gives them back at its end; these and the availability are one set of events, carried together.
     """
-    avail = stored(avail)  # read several times below
     pools = dict(pools or {})
     dedicated = float(sum(pools.values()))
     run = jobs.where((F.col(start) <= now) & (F.col(end) > now))
     name = F.col(pool) if pool in jobs.columns else F.lit("general")
     name = F.when(name.isin(list(pools)), name).otherwise("general") if pools else F.lit("general")
-    ends = run.select(name.alias("pool"), F.greatest(F.col(start) + F.col(walltime), F.lit(now + 1e-9)).alias("t_h"),
-                      F.col("nodes").cast("double").alias("n"))
-    released = ends.groupBy("pool", "t_h").agg(F.sum("n").alias("n"))
-    inside = (F.col("t_h") > now) & (F.col("t_h") < horizon)
-    edges = avail.groupBy().agg(F.array(F.lit(float(now)), F.lit(float(horizon))).alias("e"))
-    points = ends.select("t_h").union(avail.select("t_h")).where(inside).union(edges.select(F.explode("e").alias("t_h")))
-    names = F.explode(F.array(F.lit("general"), *[F.lit(p) for p in pools])).alias("pool")
-    points = points.distinct().select(names, "t_h")
-    a = asof_step(points, avail, "t_h", "available")
-    a = join_on(a, released, ["pool", "t_h"], "left").fillna(0.0, ["n"])
-    a = running(a, ["pool"], "t_h", {"rel": ("sum", "n")})
-    held = ends.groupBy("pool").agg(F.sum("n").alias("held"))
-    a = join_on(a, held, ["pool"], "left").fillna(0.0, ["held"])
-    cap = F.greatest(F.col("available") - dedicated, F.lit(0.0))
+    names = F.array(F.lit("general"), *[F.lit(p) for p in pools])
+    none, n = F.lit(None).cast("double"), F.col("nodes").cast("double")
+    back = F.greatest(F.col(start) + F.col(walltime), F.lit(now + 1e-9))
+    # every end is a point of all pools
+    taken = run.select(F.explode(F.concat(F.array(F.struct(name.alias("pool"), F.lit(float(now)).alias("t_h"), (-n).alias("d"))), F.transform(
+        names, lambda p: F.struct(p.alias("pool"), back.alias("t_h"), F.when(p == name, n).otherwise(0.0).alias("d"))))).alias("e"))
+    taken = taken.select("e.*", none.alias("since"), none.alias("available")).where(F.col("t_h") <= horizon)
+    # what holds at now is the last change up to it
+    change = avail.select(F.explode(names).alias("pool"), F.greatest(F.col("t_h"), F.lit(float(now))).alias("t_h"), F.lit(0.0).alias("d"),
+                          F.col("t_h").alias("since"), F.col("available").cast("double").alias("available"))
+    # before the first change, its value holds
+    first = avail.agg(F.min_by("available", "t_h")).scalar()
+    ends = avail.sparkSession.range(1).select(F.explode(names).alias("pool")).select(
+        "pool", F.explode(F.array(F.lit(float(now)), F.lit(float(horizon)))).alias("t_h"), F.lit(0.0).alias("d"), none.alias("since"), none.alias("available"))
+    events = change.where(F.col("t_h") <= horizon).unionByName(taken).unionByName(ends)
+    events = stored(events.groupBy("pool", "t_h").agg(F.sum("d").alias("d"), F.max_by("available", "since").alias("available")))
+    cuts = cut_points(events, "t_h")
+    a = running(events, ["pool"], "t_h", {"held": ("sum", "d"), "now": ("last", "available")}, cuts=cuts)
+    up = F.coalesce("now", first)
+    cap = F.greatest(up - dedicated, F.lit(0.0))
     for p, size in pools.items():
-        cap = F.when(F.col("pool") == p, F.least(F.col("available"), F.lit(float(size)))).otherwise(cap)
-    a = a.withColumn("free", F.floor(cap - (F.col("held") - F.col("rel")) + F.lit(1e-9)).cast("double"))
-    return running(a, ["pool"], "t_h", {"ahead": ("min", "free")}).select("pool", "t_h", "free", "ahead")
+        cap = F.when(F.col("pool") == p, F.least(up, F.lit(float(size)))).otherwise(cap)
+    a = a.select("pool", "t_h", F.floor(cap + F.col("held") + F.lit(1e-9)).cast("double").alias("free"))
+    return running(a, ["pool"], "t_h", {"ahead": ("min", "free")}, cuts=cuts).select("pool", "t_h", "free", "ahead")
 
 
 def release_time(requests: DataFrame, running_jobs: DataFrame, free: float, now: float, nodes: str = "nodes",

@@ -311,3 +311,50 @@ def test_an_opening_of_a_minute_counts(both, monkeypatch, size):
     assert share == {"q": (5, 0)}  # d needs all nodes; 10.1 to 30 has 40 free, and the minute from 10 has 60
     less = alone.withColumn("nodes", F.when(F.col("id") == "d", 59).otherwise(F.col("nodes")))
     assert N.waited_despite_free(less, 100.0, 100.0).first().n_avoidable == 1
+
+
+def test_fits_of_a_popular_size_are_cut_by_length(spark):
+    prof = [(float(t), float(1 + (t * 7919) % 97)) for t in range(600)]
+    reqs = spark.range(3000).select(F.lit(40).alias("nodes"), (F.col("id") / 500 + 0.5).alias("walltime_h"))
+    spark.conf.set("nodehours.blockRows", "200")
+    try:
+        got = {r.walltime_h: r.fit_h for r in L.earliest_fit(reqs, spark.createDataFrame(prof, "t_h double, free double")).collect()}
+    finally:
+        spark.conf.unset("nodehours.blockRows")
+    runs, k = [], 0
+    while k < 600:
+        if prof[k][1] >= 40:
+            e = next((i for i in range(k, 600) if prof[i][1] < 40), 600)
+            runs.append((float(k), float("inf") if e == 600 else float(e - k)))
+            k = e
+        k += 1
+    assert len(got) == 3000
+    for w, t in got.items():
+        assert t == next((s for s, n in runs if n >= w - 1e-9 and s < 599), None), w
+
+
+def test_carried_rows_stay_where_keys_are(spark):
+    spark.conf.set("nodehours.blockRows", "50")
+    try:
+        left = spark.range(2000).select((F.col("id") % 400).alias("k"), (F.col("id") * 1.0).alias("t"))
+        right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 4.0).alias("t"), F.col("id").alias("v"))
+        got = B.asof(left, right, "t", ["v"], keys=["k"]).collect()
+        cuts = B.cut_points(left.select("t").unionAll(right.select("t")), "t")
+        rows = B._carry(B.with_block(left.withColumn("_t", F.col("t")), "_t", cuts),
+                        B.with_block(right.withColumn("_t", F.col("t")), "_t", cuts).withColumn("_r", F.struct("t", "v")), ["k"], len(cuts.points)).count()
+    finally:
+        spark.conf.unset("nodehours.blockRows")
+    assert len(got) == 2000 and all(r.v == (r.k if r.t >= r.k * 4.0 else None) for r in got)
+    assert rows <= 2400 < 400 * (len(cuts.points) + 1)
+
+
+def test_windows_of_availability_move_once(spark):
+    w = spark.range(1000).select((F.col("id") % 300 * 1.0).alias("start_h"), (F.col("id") % 300 + 5.0).alias("end_h"), F.lit(2).alias("nodes"))
+    a = T.availability(spark.createDataFrame([(0.0, 500.0), (100.0, 700.0), (100.0, 600.0)], "t_h double, up double"), w, 650)
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    # the windows were moved when they were netted; what is left orders the netted events, and finds the first value
+    assert "Exchange hashpartitioning" not in plan and plan.count("Exchange SinglePartition") <= 2
+    got = {r.t_h: (r.up, r.available) for r in a.collect()}
+    for t, (up, free) in got.items():
+        held = sum(2 for i in range(1000) if i % 300 <= t < i % 300 + 5)
+        assert up == (500.0 if t < 100 else 700.0) and free == max(0.0, min(up, 650.0, 650.0 - held))
