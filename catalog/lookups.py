@@ -70,6 +70,13 @@ def _(s, d):
     return rnd(L.interpolate(X.usable(s, d), 0.0, X.T1, 1.0, value="up"), 5)
 
 
+@query("j5_interpolate_off_grid", NEIGHBOURS.replace("hours_fx", "(SELECT range AS bin, range * 0.7::DOUBLE AS t_h FROM range(859))") + """
+SELECT bin, round(t_h, 6) AS t_h, round(CASE WHEN bt IS NULL THEN fv WHEN ft IS NULL THEN bv ELSE bv + (fv - bv) * (t_h - bt) / (ft - bt) END, 5) AS up FROM n""")
+def _(s, d):
+    t = L.interpolate(X.usable(s, d), 0.0, 600.2, 0.7, value="up")  # the last point lies past the end
+    return t.select("bin", F.round("t_h", 6).alias("t_h"), F.round("up", 5).alias("up"))
+
+
 @query("j6_covering_sum", """
 SELECT job_id, coalesce((SELECT sum(nodes) FROM resvok_fx r WHERE r.start_h <= j.submit_h AND j.submit_h < r.end_h), 0)::DOUBLE AS covered FROM jobs_fx j""")
 def _(s, d):

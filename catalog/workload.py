@@ -42,6 +42,14 @@ def _(s, d):
     return rnd(W.burn_curve(X.order_jobs(s, d), X.programs(s)), 8)
 
 
+@query("a15_burn_curve_unseen", f"""WITH {burn_sql()}
+SELECT program, alloc_off, (((alloc_off + start_month - 1) % 12) + 1)::INTEGER AS cal_month, round(mult, 8) AS mult FROM burn JOIN programs_fx USING (program)
+UNION ALL SELECT 'D', i::INTEGER, ((i + 3) % 12 + 1)::INTEGER, 1.0 FROM range(12) AS r(i)""")
+def _(s, d):
+    more = X.programs(s).unionByName(s.createDataFrame([("D", 0.1, 4, None)], X.programs(s).schema))
+    return rnd(W.burn_curve(X.order_jobs(s, d), more), 8)
+
+
 @query("a15_burn_curve_raw", f"""WITH {burn_sql(0, 0)} SELECT program, alloc_off, (((alloc_off + start_month - 1) % 12) + 1)::INTEGER AS cal_month, round(mult, 8) AS mult FROM burn JOIN programs_fx USING (program)""")
 def _(s, d):
     return rnd(W.burn_curve(X.order_jobs(s, d), X.programs(s), 0, 0), 8)
@@ -51,8 +59,9 @@ def scenario_sql(name: str, seed: int, src: str = "jobs_fx", ident: str = "job_i
     nodes, walls, mean, spread = SCENARIOS[name]
 
     def case(mix, u, cast):
-        cum = R.cumulative(mix)
-        return "CASE " + " ".join(f"WHEN {u} < {e!r}::DOUBLE THEN {v}" for v, e in cum[:-1]) + f" ELSE {cum[-1][0]} END::{cast}"
+        # the shares as they stand in the mix, summed by SQL
+        edge = lambda i: "(" + " + ".join(f"{w}::DOUBLE / ({' + '.join(f'{x}::DOUBLE' for _, x in mix)})" for _, w in mix[:i + 1]) + ")"
+        return "CASE " + " ".join(f"WHEN {u} < {edge(i)} THEN {v}" for i, (v, _) in enumerate(mix[:-1])) + f" ELSE {mix[-1][0]} END::{cast}"
 
     def u(k):
         return uni(f"{ident}::VARCHAR", f"'{k}{seed}'")
@@ -117,6 +126,32 @@ def _(s, d):
     return rnd(t.select("req_id", "source_id", "nodes", "pool", "runtime_h"), 10)
 
 
+@query("r1_bootstrap_replicates", f"""
+WITH cell AS (SELECT program, alloc_off, size_tier, count(*) AS n FROM offs_fx GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY program, alloc_off ORDER BY size_tier) AS upto, sum(n) OVER (PARTITION BY program, alloc_off) AS tot FROM cell),
+rq AS (SELECT job_id AS req_id, design, seed, program, ((k + 5 * design) % 12)::INTEGER AS alloc_off, {uni("design::VARCHAR", "job_id::VARCHAR", "'cell' || seed::VARCHAR")} AS uc,
+ {uni("design::VARCHAR", "job_id::VARCHAR", "'row' || seed::VARCHAR")} AS ur FROM jobs_fx, (VALUES (0), (1)) AS d(design), (VALUES (7), (8), (23)) AS r(seed)),
+pk AS (SELECT rq.*, c.size_tier, c.n FROM rq LEFT JOIN cum c ON c.program = rq.program AND c.alloc_off = rq.alloc_off AND floor(uc * c.tot) < c.upto AND floor(uc * c.tot) >= c.upto - c.n),
+ix AS (SELECT *, row_number() OVER (PARTITION BY program, alloc_off, size_tier ORDER BY job_id) AS ci, row_number() OVER (PARTITION BY program ORDER BY job_id) AS pi FROM offs_fx),
+pn AS (SELECT program, count(*) AS pn FROM offs_fx GROUP BY program)
+SELECT pk.design, pk.seed, pk.req_id, i.job_id AS source_id, i.nodes, 'cell' AS pool FROM pk JOIN ix i ON i.program = pk.program AND i.alloc_off = pk.alloc_off AND i.size_tier = pk.size_tier AND i.ci = floor(ur * pk.n) + 1 WHERE pk.n >= 60
+ UNION ALL SELECT pk.design, pk.seed, pk.req_id, i.job_id, i.nodes, 'program' FROM pk JOIN pn USING (program) JOIN ix i ON i.program = pk.program AND i.pi = floor(ur * pn) + 1 WHERE pk.n IS NULL OR pk.n < 60""")
+def _(s, d):
+    pools = R.cell_pools(W.with_offset(X.order_jobs(s, d), X.programs(s)))
+    rq = X.jobs(s, d).withColumn("design", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.col("job_id").alias("req_id"), "design", "program", ((F.col("k") + 5 * F.col("design")) % 12).cast("int").alias("alloc_off"))
+    return R.bootstrap(rq, None, 60, [7, 8, 23], ["design", "req_id"], pools=pools).select("design", "seed", "req_id", "source_id", "nodes", "pool")
+
+
+@query("r2_bootstrap_project_replicates", f"""
+WITH ix AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY job_id) AS i, count(*) OVER (PARTITION BY project) AS n FROM ordjobs_fx)
+SELECT seed, j.job_id AS req_id, ix.job_id AS source_id, ix.nodes FROM jobs_fx j CROSS JOIN (VALUES (9), (10), (31)) AS r(seed)
+JOIN ix ON ix.project = j.project AND ix.i = floor({uni("j.job_id::VARCHAR", "'row' || seed::VARCHAR")} * ix.n) + 1""")
+def _(s, d):
+    rq = X.jobs(s, d).select(F.col("job_id").alias("req_id"), "project")
+    return R.bootstrap_project(rq, X.order_jobs(s, d), [9, 10, 31]).select("seed", "req_id", "source_id", "nodes")
+
+
 @query("r2_bootstrap_project", f"""
 WITH ix AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY job_id) AS i, count(*) OVER (PARTITION BY project) AS n FROM ordjobs_fx)
 SELECT j.job_id AS req_id, ix.job_id AS source_id, ix.nodes, round(least(greatest(ix.rt_ratio * ix.walltime_h, 0.05), ix.walltime_h), 10) AS runtime_h

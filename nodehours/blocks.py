@@ -68,10 +68,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def uniform(*keys: Column | str, seed: int | str) -> Column:
+def uniform(*keys: Column | str, seed: int | str | Column) -> Column:
     """Reproducible U[0,1) per row from its key, 52 bits of its hash, independent of partitioning."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
-    text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    last = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat_ws("|", *[p.cast("string") for p in parts], last)
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
@@ -460,6 +461,11 @@ def n_points(t0: float, t1: float, dt: float) -> int:
     return int((t1 - t0) / dt + 1e-9) + 1
 
 
+def n_covering(t0: float, t1: float, dt: float) -> int:
+    """Number of points t0, t0+dt, .. until the first one at or past t1."""
+    return max(0, math.ceil((t1 - t0) / dt - 1e-9)) + 1
+
+
 def fill_grid(sums: DataFrame, keys: Sequence[str], cols: Sequence[str],
               t0: float, t1: float, dt: float, closed: bool = False) -> DataFrame:
     """All (key, grid row) combinations, absent sums as 0.

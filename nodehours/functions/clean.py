@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nodehours.blocks import DIM_LIMIT, join_on
+from nodehours.blocks import join_on, numbered, per_block, stored
 from nodehours.functions.constants import QUEUE_DEFAULTS, RESERVATION_QUEUE, SCORING_DEFAULTS
 
 
@@ -232,25 +233,24 @@ def check_jobs(df: DataFrame, required: Sequence[str], keys: Sequence[str] = ("j
 
 
 def band_gaps(df: DataFrame, lo: str, hi: str, first: int = 1) -> DataFrame:
-    """Gaps and overlaps between adjacent size bands; the distinct bands are a size-checked dimension."""
-    bands = df.select(lo, hi).distinct()
-    if bands.limit(DIM_LIMIT + 1).count() > DIM_LIMIT:
-        raise ValueError(f"more than {DIM_LIMIT} size bands")
-    bands = bands.withColumn("prev_hi", F.lag(hi).over(Window.orderBy(lo, hi)))
+    """Gaps and overlaps between adjacent distinct size bands, ordered by their ends."""
+    bands = stored(numbered(df.select(lo, hi).distinct(), [], lo, [hi], "_rn"))
+    before = bands.select((F.col("_rn") + 1).alias("_rn"), F.col(hi).alias("prev_hi"))
+    bands = join_on(bands, before, ["_rn"], "left")
     want = F.coalesce(F.col("prev_hi") + 1, F.lit(first))
     kind = F.when(F.col(lo) > want, "gap").when(F.col(lo) < want, "overlap")
     return bands.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(lo, hi, "prev_hi", "kind")
 
 
-def dense_codes(df: DataFrame, cols: Sequence[str], limit: int = 100_000) -> DataFrame:
+def dense_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace nothing, add ``<col>_code``: 0-based rank of the value among the sorted distinct values."""
     for c in cols:
-        # the window runs over the distinct categories only, whose number is checked
         cats = df.select(c).where(F.col(c).isNotNull()).distinct()
-        if cats.limit(limit + 1).count() > limit:
-            raise ValueError(f"{c} has more than {limit} categories; dense codes are for categories")
-        codes = cats.withColumn(f"{c}_code", (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))
-        df = join_on(df, codes, [c], "left")
+        if not isinstance(df.schema[c].dataType, (T.StringType, T.NumericType)):
+            cats = cats.withColumn("_text", F.col(c).cast("string"))  # dates and times order as their text
+        by = "_text" if "_text" in cats.columns else c
+        codes = numbered(cats, [], by, name="_rn").select(c, (F.col("_rn") - 1).cast("int").alias(f"{c}_code"))
+        df = join_on(df, per_block(codes), [c], "left")
     return df
 
 

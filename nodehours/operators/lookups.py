@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import (BLK, GRID_BLOCK, asof, dim_rows, following, grid_running, join_on, last_at, n_points, numbered, running,
+from nodehours.blocks import (BLK, GRID_BLOCK, asof, dim_rows, following, grid_running, join_on, last_at, n_covering, numbered, running,
                               small_side, step_arrays, stored, struct_array, with_block)
 
 
@@ -137,12 +137,12 @@ def covering_sum(instants: DataFrame, intervals: DataFrame, on: str, start: str
 
 
 def grid_neighbours(series: DataFrame, t0: float, t1: float, dt: float, t: str = "t_h", value: str = "value") -> DataFrame:
-    """For the points t0, t0+dt, .. up to t1: last series row at or before, first row after.
+    """For the points t0, t0+dt, .. until the first at or past t1: last series row at or before, first row after.
 
     The series is reduced to the first and last row of each grid cell on the
     map side; only grid-sized data is ordered.
     """
-    n = n_points(t0, t1, dt) - 1
+    n = n_covering(t0, t1, dt) - 1
     cell = F.ceil((F.col(t) - F.lit(float(t0))) / F.lit(float(dt)))
     cell = F.least(F.greatest(cell, F.lit(0)), F.lit(n + 1)).cast("long")
     x, v = F.col(t), F.col(value).cast("double")

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import join_on, n_bins, numbered, small_side, struct_array, uniform
+from nodehours.blocks import join_on, n_bins, numbered, small_side, stored, struct_array, uniform
 from nodehours.functions import clean as C
 from nodehours.functions.constants import SCENARIOS, SIZE_TIERS
 from nodehours.operators.lookups import smallest_nodes_for, walltime_cap
@@ -23,13 +23,34 @@ def _clipped_run() -> Column:
     return F.least(F.greatest(F.col("rt_ratio") * F.col("walltime_h"), F.lit(0.05)), F.col("walltime_h"))
 
 
-def _draw(requests: DataFrame, indexed: DataFrame, pool: Sequence[str], ident: str) -> DataFrame:
+def _draw(requests: DataFrame, indexed: DataFrame, pool: Sequence[str]) -> DataFrame:
     out = join_on(requests, indexed, [*pool, "_idx"], "left")
     return out.withColumn("runtime_h", _clipped_run())
 
 
-def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int, ident: str = "req_id",
-              row_id: str = "job_id") -> DataFrame:
+def _replicated(requests: DataFrame, seed: int | Sequence[int]) -> tuple[DataFrame, Column]:
+    """The requests once for each seed of a list, with a column seed; a single seed adds none."""
+    if isinstance(seed, int):
+        return requests, F.lit(str(seed))
+    return requests.withColumn("seed", F.explode(F.array(*[F.lit(int(x)) for x in seed]))), F.col("seed").cast("string")
+
+
+def cell_pools(profile: DataFrame, row_id: str = "job_id") -> DataFrame:
+    """Profile rows with a dense index per size-tier cell and per program, written once; any number of draws reads it."""
+    pools = profile.select(row_id, "nodes", "walltime_h", "rt_ratio", F.col("program").alias("_p"), F.explode(F.array(
+        F.struct(F.col("alloc_off").alias("_o"), F.col("size_tier").alias("_t")),
+        F.struct(F.lit(-1).alias("_o"), F.lit("*").alias("_t")))).alias("k")).select("*", "k.*").drop("k")
+    return stored(numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx").withColumnRenamed(row_id, "source_id"))
+
+
+def project_pools(profile: DataFrame, row_id: str = "job_id", pool: str = "project") -> DataFrame:
+    """Profile rows with a dense index per project, written once."""
+    rows = numbered(profile.select(row_id, pool, "nodes", "walltime_h", "rt_ratio"), [pool], row_id, name="_idx")
+    return stored(rows.withColumnRenamed(row_id, "source_id"))
+
+
+def bootstrap(requests: DataFrame, profile: DataFrame | None, min_rows: int, seed: int | Sequence[int], ident: str | Sequence[str] = "req_id",
+              row_id: str = "job_id", pools: DataFrame | None = None) -> DataFrame:
     """Draw whole profile rows for requests (ident, program, alloc_off).
 
     A size-tier cell of the month offset is chosen in proportion to its rows,
@@ -37,40 +58,51 @@ def bootstrap(requests: DataFrame, profile: DataFrame, min_rows: int, seed: int,
     falls back to all rows of the program.  Rows carry a dense index per pool
     built from id blocks, so a draw is an equi-join on (pool, index).  A request
     of a program without profile rows comes back with NULLs.
+
+    With a list of seeds every request is drawn once for each (column seed); the
+    draw of one seed is the same as on its own.  Requests are repeated only after
+    they met the sizes of their cells, and the pools, which ``cell_pools`` writes
+    once for any number of calls, are shuffled once for all seeds and design
+    points.  Name design columns in ``ident`` for draws that differ between
+    designs; otherwise a request draws alike in all of them.
     """
-    cell = ["program", "alloc_off", "size_tier"]
-    sizes = profile.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    idents = [ident] if isinstance(ident, str) else list(ident)
+    pools = cell_pools(profile, row_id) if pools is None else pools
+    own = pools.where("_o >= 0")
+    sizes = own.groupBy(F.col("_p").alias("program"), F.col("_o").alias("alloc_off"), F.col("_t").alias("size_tier")).agg(F.count(F.lit(1)).alias("n"))
     # at most one row per tier and offset
     upto = Window.partitionBy("program", "alloc_off").orderBy("size_tier")
     cells = (sizes.withColumn("cum", F.sum("n").over(upto)).groupBy("program", "alloc_off")
              .agg(F.array_sort(F.collect_list(F.struct("cum", "n", "size_tier"))).alias("_cells"), F.sum("n").alias("_total")))
-    parents = sizes.groupBy("program").agg(F.sum("n").alias("_parent"))
+    parents = pools.where("_o < 0").groupBy(F.col("_p").alias("program")).agg(F.count(F.lit(1)).alias("_parent"))
     req = join_on(join_on(requests, small_side(cells), ["program", "alloc_off"], "left"), small_side(parents), ["program"], "left")
-    target = F.floor(uniform(ident, seed=f"cell{seed}") * F.col("_total"))
+    req, one = _replicated(req, seed)
+    target = F.floor(uniform(*idents, seed=F.concat(F.lit("cell"), one)) * F.col("_total"))
     pick = F.try_element_at(F.filter("_cells", lambda c: c["cum"] > target), F.lit(1))
     req = req.withColumn("_pick", pick)
     thick = F.coalesce(F.col("_pick.n") >= min_rows, F.lit(False))
     size = F.when(thick, F.col("_pick.n")).otherwise(F.col("_parent"))
-    req = req.select(*requests.columns, F.col("program").alias("_p"),
+    kept = [c for c in req.columns if c not in ("_cells", "_total", "_parent", "_pick")]
+    req = req.select(*kept, F.col("program").alias("_p"),
                      F.when(thick, F.col("alloc_off")).otherwise(-1).alias("_o"),
                      F.when(thick, F.col("_pick.size_tier")).otherwise("*").alias("_t"),
-                     (F.floor(uniform(ident, seed=f"row{seed}") * size) + 1).alias("_idx"))
-    pools = profile.select(row_id, "nodes", "walltime_h", "rt_ratio", F.col("program").alias("_p"), F.explode(F.array(
-        F.struct(F.col("alloc_off").alias("_o"), F.col("size_tier").alias("_t")),
-        F.struct(F.lit(-1).alias("_o"), F.lit("*").alias("_t")))).alias("k")).select("*", "k.*").drop("k")
-    indexed = numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx").withColumnRenamed(row_id, "source_id")
-    out = _draw(req, indexed, ["_p", "_o", "_t"], ident)
+                     (F.floor(uniform(*idents, seed=F.concat(F.lit("row"), one)) * size) + 1).alias("_idx"))
+    out = _draw(req, pools, ["_p", "_o", "_t"])
     return out.withColumn("pool", F.when(F.col("source_id").isNull(), F.lit(None)).when(F.col("_o") < 0, "program").otherwise("cell")).drop("_p", "_o", "_t", "_idx")
 
 
-def bootstrap_project(requests: DataFrame, profile: DataFrame, seed: int, ident: str = "req_id",
-                      row_id: str = "job_id", pool: str = "project") -> DataFrame:
-    """Draw whole profile rows per project for requests (ident, project); NULLs where a project has none."""
-    sizes = profile.groupBy(pool).agg(F.count(F.lit(1)).alias("_n"))
-    req = join_on(requests, sizes, [pool], "left")
-    req = req.withColumn("_idx", F.floor(uniform(ident, seed=f"row{seed}") * F.col("_n")) + 1).drop("_n")
-    indexed = numbered(profile.select(row_id, pool, "nodes", "walltime_h", "rt_ratio"), [pool], row_id, name="_idx")
-    return _draw(req, indexed.withColumnRenamed(row_id, "source_id"), [pool], ident).drop("_idx")
+def bootstrap_project(requests: DataFrame, profile: DataFrame | None, seed: int | Sequence[int], ident: str | Sequence[str] = "req_id",
+                      row_id: str = "job_id", pool: str = "project", pools: DataFrame | None = None) -> DataFrame:
+    """Draw whole profile rows per project for requests (ident, project); NULLs where a project has none.
+
+    Seeds, ``ident`` and ``pools`` (of ``project_pools``) work as in ``bootstrap``.
+    """
+    idents = [ident] if isinstance(ident, str) else list(ident)
+    pools = project_pools(profile, row_id, pool) if pools is None else pools
+    sizes = pools.groupBy(pool).agg(F.count(F.lit(1)).alias("_n"))
+    req, one = _replicated(join_on(requests, small_side(sizes), [pool], "left"), seed)
+    req = req.withColumn("_idx", F.floor(uniform(*idents, seed=F.concat(F.lit("row"), one)) * F.col("_n")) + 1).drop("_n")
+    return _draw(req, pools, [pool]).drop("_idx")
 
 
 # --------------------------------------------------------------------------
@@ -120,22 +152,18 @@ def affected_projects(projects: DataFrame, windows: Sequence[str], fraction: flo
     return rows.where(F.col("_rn") <= k).select("window", project)
 
 
-def deadline_windows(deadlines: Sequence[tuple[str, int, int, float, float]], start_month: int, days: float) -> list[tuple[str, float, float, float]]:
-    """Windows (name, start_h, end_h, multiplier) of calendar deadlines (name, month, day, lead days, multiplier).
+def deadline_windows(deadlines: DataFrame, start_month: int, days: float) -> DataFrame:
+    """Windows (name, start_h, end_h, mult) of a calendar of deadlines (name, month, day, lead_days, mult), one for each year they touch.
 
-    Months have 30 days and count from the month the run starts in. A window ends at the start of its day and
-    begins lead days before. It returns every 365 days as often as the run has whole years, and is left out
-    where it does not touch the run.
+    Months have 30 days and are counted from ``start_month``; years have 365. A window lasts ``lead_days`` up to the start of
+    its day. Later years carry their number in the name, and windows outside a run of ``days`` are left out.
     """
-    out = []
-    for name, month, day, lead, mult in deadlines:
-        end = ((month - start_month) % 12 * 30 + day - 1) * 24.0
-        for year in range(int(days // 365) + 1):
-            e = end + year * 365 * 24.0
-            s = e - lead * 24.0
-            if e >= 0 and s <= days * 24.0:
-                out.append((name if not year else f"{name}+{year}", max(0.0, s), e, mult))
-    return out
+    day = 30 * F.pmod(F.col("month") - start_month, F.lit(12)) + F.col("day") - 1 + 365 * F.col("year")
+    yearly = deadlines.withColumn("year", F.explode(F.sequence(F.lit(0), F.lit(int(days // 365)))))
+    spans = yearly.select(F.concat("name", F.when(F.col("year") > 0, F.concat(F.lit("+"), F.col("year").cast("string"))).otherwise("")).alias("name"),
+                          (24.0 * (day - F.col("lead_days"))).alias("opens"), (24.0 * day).alias("end_h"), "mult")
+    return spans.where((F.col("end_h") >= 0) & (F.col("opens") <= 24.0 * days)).select(
+        "name", F.greatest(F.col("opens"), F.lit(0.0)).alias("start_h"), "end_h", "mult")
 
 
 def expected_arrivals(rates: DataFrame, curve: DataFrame, duration_h: float, dt: float, start_month: int,

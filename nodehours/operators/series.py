@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.blocks import asof, bin_sums, cut_points, grid, grid_levels, join_on, level_on_grid, running, stored
+from nodehours.blocks import asof, bin_sums, cut_points, grid, grid_levels, join_on, level_on_grid, n_covering, running, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES
 from nodehours.operators.lookups import asof_step, nearest_within
@@ -213,7 +213,8 @@ def usable_series(snapshots: DataFrame, jobs: DataFrame, resv: DataFrame, t1: fl
     if otherwise is not None:
         first = snapshots.agg(F.min("t_h")).first()[0]
         if first is None or first > gap:
-            return grid(snapshots.sparkSession, 0.0, t1, dt, closed=True).withColumn("usable", F.lit(float(otherwise)))
+            points = snapshots.sparkSession.range(n_covering(0.0, t1, dt)).withColumnRenamed("id", "bin")
+            return points.select("bin", (F.col("bin") * F.lit(float(dt))).alias("t_h"), F.lit(float(otherwise)).alias("usable"))
     conc = stored(concurrency(jobs, resv, t1, dt))  # grid-sized, read three times
     near = nearest_within(snapshots, 0.0, t1, dt, gap, value=up)
     lastbin = conc.agg(F.max("bin")).scalar()

@@ -23,11 +23,13 @@ def burn_curve(df: DataFrame, programs: DataFrame, min_coverage: float = 0.40, m
     Months with too few jobs or too small a multiplier become the mean of
     their circular neighbours, one after the other, so a later low month sees
     neighbours already replaced; then the present months are renormalised.
+    A listed program without jobs has twelve ones.
     """
     per = (with_offset(df, programs).groupBy("program", "alloc_off")
            .agg(F.sum(F.col("nodes") * F.col("runtime_h")).alias("nh"), F.count(F.lit(1)).alias("n")))
     # at most twelve entries per program from here on
     year = per.groupBy("program").agg(F.map_from_entries(F.collect_list(F.struct("alloc_off", F.struct("nh", "n")))).alias("_m"))
+    year = join_on(programs.select("program").distinct(), year, ["program"], "left")
     slots = F.sequence(F.lit(0), F.lit(11))
 
     def slot(field: str):
@@ -47,7 +49,7 @@ def burn_curve(df: DataFrame, programs: DataFrame, min_coverage: float = 0.40, m
     year = year.withColumn("_raw", F.coalesce(first, F.transform(slots, lambda i: F.lit(1.0))))
     counts = F.array_sort(F.filter("_n", lambda x: x > 0))
     year = year.withColumn("_sorted", counts).withColumn("_k", F.size("_sorted"))
-    mid = (F.col("_sorted")[F.floor((F.col("_k") - 1) / 2).cast("int")] + F.col("_sorted")[F.floor(F.col("_k") / 2).cast("int")]) / 2.0
+    mid = (F.get("_sorted", F.floor((F.col("_k") - 1) / 2).cast("int")) + F.get("_sorted", F.floor(F.col("_k") / 2).cast("int"))) / 2.0
     year = year.withColumn("_median", mid)
     low = F.zip_with("_n", "_raw", lambda n, m: (
         (F.lit(min_coverage > 0) & (n < F.col("_median") * min_coverage)) | (F.lit(min_mult > 0) & (n > 0) & (m < min_mult))))

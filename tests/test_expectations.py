@@ -257,9 +257,10 @@ def test_upsert_needs_an_order(spark):
         tables.upsert(df, df, ["k"], [])
 
 
-def test_deadlines_become_windows():
-    got = R.deadline_windows([("a", 3, 11, 5, 2.0), ("b", 1, 1, 2, 1.5), ("c", 2, 1, 3, 1.2)], start_month=2, days=400)
-    assert got == [("a", (30 + 10 - 5) * 24.0, (30 + 10) * 24.0, 2.0),
+def test_deadlines_become_windows(spark):
+    calendar = spark.createDataFrame([("a", 3, 11, 5, 2.0), ("b", 1, 1, 2, 1.5), ("c", 2, 1, 3, 1.2)], "name string, month int, day int, lead_days int, mult double")
+    got = R.deadline_windows(calendar, start_month=2, days=400)
+    assert sorted(map(tuple, got.collect())) == [("a", (30 + 10 - 5) * 24.0, (30 + 10) * 24.0, 2.0),
                    ("a+1", (365 + 35) * 24.0, (365 + 40) * 24.0, 2.0), ("b", (330 - 2) * 24.0, 330 * 24.0, 1.5),
                    ("c", 0.0, 0.0, 1.2), ("c+1", (365 - 3) * 24.0, 365 * 24.0, 1.2)]
 
@@ -358,3 +359,26 @@ def test_windows_of_availability_move_once(spark):
     for t, (up, free) in got.items():
         held = sum(2 for i in range(1000) if i % 300 <= t < i % 300 + 5)
         assert up == (500.0 if t < 100 else 700.0) and free == max(0.0, min(up, 650.0, 650.0 - held))
+
+
+def test_codes_and_bands_of_any_number(spark):
+    spark.conf.set("nodehours.blockRows", "20000")
+    try:
+        df = spark.range(150_000).select(F.format_string("u%07d", (F.col("id") * 7919) % 150_000).alias("user"), F.col("id").alias("lo"), (F.col("id") + F.when(F.col("id") == 70_000, 1).otherwise(0)).alias("hi"))
+        coded = C.dense_codes(df, ["user"])
+        assert coded.where(F.col("user_code") != F.substring("user", 2, 7).cast("int")).count() == 0 and coded.count() == 150_000
+        gaps = C.band_gaps(df, "lo", "hi", first=0).collect()
+    finally:
+        spark.conf.unset("nodehours.blockRows")
+    assert [tuple(r) for r in gaps] == [(70_001, 70_001, 70_001, "overlap")]
+
+
+def test_series_on_a_grid_that_does_not_meet_the_end(spark):
+    from nodehours.blocks import n_covering
+    assert [n_covering(0.0, t1, 0.25) for t1 in (1.0, 1.1, 0.0, 0.2)] == [5, 6, 1, 2]
+    snaps = spark.createDataFrame([(0.0, 90.0), (1.2, 50.0)], "t_h double, up double")
+    none = spark.createDataFrame([], "start_h double, end_h double, nodes int")
+    got = {r.t_h: r.usable for r in T.usable_series(snaps, none, none, 1.1, 0.3).collect()}
+    assert sorted(got) == [0.0, 0.25, 0.5, 0.75, 1.0, 1.25] and got[1.25] == 50.0
+    late = T.usable_series(snaps.where("t_h > 1"), none, none, 1.1, 0.3, otherwise=7.0).collect()
+    assert [r.t_h for r in late] == [0.0, 0.25, 0.5, 0.75, 1.0, 1.25] and {r.usable for r in late} == {7.0}
