@@ -16,9 +16,9 @@ from nodehours.llm.tally import got, put
 from nodehours.llm.trie import DoubleArray
 from nodehours.llm.words import MIX, mixed, sliced
 
-BLOCK_BYTES = 8 << 20  # text of a block
-WAITING_BYTES = 32 << 20  # texts of all languages that wait in a task for their blocks
-SLICE = 1 << 19  # words of a block that are worked on together
+BLOCK_BYTES = 4 << 20  # text of a block
+WAITING_BYTES = 12 << 20  # texts of all languages that wait in a task for their blocks
+SLICE = 1 << 18  # words of a block that are worked on together
 BUCKETS = 1 << 22  # counters of hashed phrases of one length; whatever shares one only makes more candidates
 TABLES = 2  # of such counters, by different bits of the hash; a phrase must reach the least frequency in each
 CHUNK = 1 << 14  # counters that are summed together
@@ -50,10 +50,10 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     opens[(at[:-1] - at[0])[at[1:] > at[:-1]]] = True
     starts = np.flatnonzero(inside & (opens | ~np.concatenate([[False], inside[:-1]])))
     kept = _LOWER[data[inside]]
-    offsets = np.append(np.cumsum(inside, dtype=np.int64)[starts] - 1, len(kept)).astype(np.int32)
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(kept)).astype(np.int32)
     said = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
     coded = pc.dictionary_encode(said)
-    ends = np.cumsum((kind == 2) | opens, dtype=np.int64)[starts]
+    ends = np.cumsum((kind == 2) | opens, dtype=np.int32)[starts]
     place = np.arange(len(starts)) + np.cumsum(np.diff(ends, prepend=ends[:1]) != 0)
     codes = np.full(place[-1] + 1 if len(place) else 0, -1, np.int32)
     codes[place] = np.asarray(coded.indices)
@@ -208,7 +208,7 @@ def _observed(blocks: DataFrame, kept: list[np.ndarray], most_words: int) -> Dat
             for lang, share, phrases in zip(*(batch[c].to_pylist() for c in ("lang", "share", "phrases")), strict=True):
                 x = (lang, share)
                 waiting.setdefault(x, []).append(got(phrases, "<i8").reshape(-1, most_words))
-                if sum(map(len, waiting[x])) > max(100_000, len(sets.get(x, ()))):
+                if sum(map(len, waiting[x])) > max(20_000, len(sets.get(x, ()))):
                     distinct(x)
         for x in list(waiting):
             distinct(x)
