@@ -331,4 +331,4 @@ def test_words_whose_codes_fall_together_are_told_apart(spark):
     said = [f"{x} a1 a2 a3 a4 a5 b1 b2", f"{y} a1 a2 a3 a4 a5 b1 b3", f"{y} a1 a2 a3 a4 a5 b1 b2"]  # 2, 1 and 1 words of 8 apart
     words = spark.createDataFrame([(i, s.split()) for i, s in enumerate(said)], "lh long, ws array<string>").select("lh", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
     pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "a long, b long")
-    assert {tuple(r) for r in lines._verified(pairs, words, 0.8).collect()} == {(1, 2), (0, 2)}
+    assert {tuple(r) for r in lines._verified(pairs, words, 0.8, Folder(spark, "codes"), "close").collect()} == {(1, 2), (0, 2)}
