@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodehours.llm.common import Folder, checked, table
+from nodehours.llm.common import Folder, body, checked, parts, table
 from nodehours.llm.decontaminate import contaminated
 from nodehours.llm.jaccard import jaccard_groups
 from nodehours.llm.lines import dedup_lines
@@ -21,10 +21,20 @@ from nodehours.llm.toxicity import without_toxic
 ORACLE_SQL = None  # fingerprints, learned scores and token ids are beyond SQL
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not listed; null ids are never listed."""
+def _keyed(docs: DataFrame, folder: Folder) -> DataFrame:
+    """The documents with an integer __key for each (doc_id, text), in the order of ids, null ones last; of rows that repeat both, one stays."""
+    th = F.xxhash64(body()).alias("__th")
+    order = [F.col("__id").asc_nulls_last(), F.col("__th")]
+    ids = docs.select(F.col("doc_id").alias("__id"), th).distinct().repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    ids = folder.put(ids.withColumn("__key", F.monotonically_increasing_id()), "keys")
+    rows = docs.join(checked(ids), F.expr("xxhash64(coalesce(text, '')) = __th AND doc_id <=> __id")).select(*[docs[c] for c in docs.columns], "__key")
+    return rows if docs.count() == ids.count() else rows.dropDuplicates(["__key"])
+
+
+def _without(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents whose key is not listed."""
     ids = checked(gone.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(ids, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return keyed.join(ids, F.col("__key") == F.col("__gone"), "left_anti").select(*[keyed[c] for c in columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +48,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    groups = Folder(spark, "pipeline").put(jaccard_groups(docs, width=5, percent=80), "groups")
-    return _without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of near copies the document with the smallest id (a null id is above all others)."""
+    folder = Folder(spark, "pipeline")
+    keyed = _keyed(docs, folder)
+    groups = folder.put(jaccard_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80), "groups")
+    return _without(keyed, groups.where("doc_id <> component_id"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = Folder(spark, "pipeline").put(contaminated(docs, table(spark, sf_dir, "benchmark"), width=5, least=0.8), "found")
-    return _without(docs, found)
+    """Documents that hold no benchmark item; two texts under one id are two documents."""
+    folder = Folder(spark, "pipeline")
+    keyed = _keyed(docs, folder)
+    found = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), width=5, least=0.8)
+    return _without(keyed, folder.put(found, "found"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
