@@ -113,6 +113,27 @@ def _(s, d):
                     *[F.round(c, 6).alias(c) for c in ("budget_ratio", "budget_damp", "delivered_share")], "over_ceiling")
 
 
+@query("p7_pending_at_every_start", """
+WITH t AS (SELECT DISTINCT start_h AS t_h FROM jobs_fx), i AS (SELECT count(*) AS n FROM t),
+r AS (SELECT t_h, row_number() OVER (ORDER BY t_h) AS k FROM t),
+a AS (SELECT j.job_id, j.submit_h, j.start_h, coalesce(r.k, 0) AS upto FROM jobs_fx j ASOF LEFT JOIN r ON j.start_h > r.t_h),
+b AS (SELECT a.*, coalesce(r.k, 0) AS before FROM a ASOF LEFT JOIN r ON a.submit_h > r.t_h)
+SELECT job_id, greatest(upto - before, 0)::BIGINT AS n_instants FROM b WHERE upto > before""")
+def _(s, d):
+    j = X.jobs(s, d)
+    p = P.pending_at(j.select("job_id", "submit_h", "start_h"), j.select(F.col("start_h").alias("t_h")))
+    return p.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_instants"))
+
+
+@query("p8_delivered_at_every_start", """
+WITH t AS (SELECT DISTINCT start_h AS t_h FROM jobs_fx), p AS (SELECT DISTINCT program FROM jobs_fx),
+d AS (SELECT program, start_h AS t_h, sum(nodes * runtime_h) AS nh FROM jobs_fx GROUP BY ALL)
+SELECT program, t_h, round(sum(coalesce(nh, 0)) OVER (PARTITION BY program ORDER BY t_h), 4) AS delivered_nh FROM p CROSS JOIN t LEFT JOIN d USING (program, t_h)""")
+def _(s, d):
+    j = X.jobs(s, d)
+    return P.delivered_at(j, ["program"], j.select(F.col("start_h").alias("t_h"))).select("program", "t_h", F.round("delivered_nh", 4).alias("delivered_nh"))
+
+
 @query("p8_over_ceiling", f"""WITH pend AS ({PENDING}), {FEATURES.strip()}
 SELECT p.job_id, p.t_h, round(d, 4) AS delivered_nh, coalesce(d + p.nodes * p.walltime_h > b * (1 + overburn) / 40, FALSE) AS over_ceiling
 FROM pend p JOIN feat4 f ON p.program = f.program AND p.t_h = f.t_h""")

@@ -382,3 +382,19 @@ def test_series_on_a_grid_that_does_not_meet_the_end(spark):
     assert sorted(got) == [0.0, 0.25, 0.5, 0.75, 1.0, 1.25] and got[1.25] == 50.0
     late = T.usable_series(snaps.where("t_h > 1"), none, none, 1.1, 0.3, otherwise=7.0).collect()
     assert [r.t_h for r in late] == [0.0, 0.25, 0.5, 0.75, 1.0, 1.25] and {r.usable for r in late} == {7.0}
+
+
+def test_a_million_instants(spark):
+    jobs = spark.createDataFrame([(i, i * 7.3, None if i % 9 == 0 else i * 7.3 + (i % 5) * 3.1, 2, 1.5, "p") for i in range(40)],
+                                 "job_id long, submit_h double, start_h double, nodes int, runtime_h double, project string")
+    ts = spark.range(1_000_000).select((F.col("id") / 1000.0).alias("t_h"))
+    n = {r.job_id: r.n for r in P.pending_at(jobs, ts).groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = np.arange(1_000_000) / 1000.0
+    for r in jobs.collect():
+        upto = 1_000_000 if r.start_h is None else np.searchsorted(at, r.start_h)
+        assert n.get(r.job_id, 0) == max(0, upto - np.searchsorted(at, r.submit_h)), r
+    d = P.delivered_at(jobs, ["project"], ts)
+    started = [r.start_h for r in jobs.collect() if r.start_h is not None]
+    assert d.count() == 1_000_000
+    for r in d.where("t_h IN (0.5, 100.25, 280.0, 999.999)").collect():
+        assert r.delivered_nh == 3.0 * sum(s <= r.t_h for s in started)
