@@ -332,3 +332,16 @@ def test_words_whose_codes_fall_together_are_told_apart(spark):
     words = spark.createDataFrame([(i, s.split()) for i, s in enumerate(said)], "lh long, ws array<string>").select("lh", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
     pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "a long, b long")
     assert {tuple(r) for r in lines._verified(pairs, words, 0.8, Folder(spark, "codes"), "close").collect()} == {(1, 2), (0, 2)}
+
+
+def test_pipeline_decides_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+    item = " ".join(f"benchmark word number {i} of this very item" for i in range(12))
+    long = " ".join(f"some{i} other{i} words" for i in range(60))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"before it {item} after it"), (1, item), (1, "a clean text under the same id"), (2, long), (2, long), (None, long + " more"),
+                                  (3, "clean and alone"), (None, None)], "doc_id long, text string")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in clean) == Counter([1, 2, None, 3, None]) and not any("benchmark" in (r.text or "") for r in clean)
+    one = corpus_pipeline.jaccard_join(spark, docs.where("doc_id = 2 OR doc_id IS NULL OR doc_id = 3"), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in one) == Counter([(2, long), (3, "clean and alone"), (None, None), (None, f"before it {item} after it")])
