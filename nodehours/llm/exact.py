@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.llm.common import BROADCAST_DIGESTS, Folder, body, checked, parts
+from nodehours.llm.common import BROADCAST_DIGESTS, Folder, body, checked
 
 
 def _named(rows: DataFrame, cols: list[str], folder: Folder, level: int) -> DataFrame:
-    """Distinct values of cols, sorted, each with one integer name.
+    """Distinct values of cols, sorted in parts, each with one integer name.
 
-    Partitions hold consecutive ranges and are sorted, so names follow the order of the values.
-    The table is written before it is used: a lost executor cannot rename anything.
+    Equal values meet in one part by their hash, are one row before they move, and are told apart by the sort itself. Parts cut
+    by ranges would need samples of the values, whole blocks of text, in the driver. The table is written before it is
+    used: a lost executor cannot rename anything.
     """
-    values = rows.select(*cols).distinct().repartitionByRange(parts(rows.sparkSession), *cols).sortWithinPartitions(*cols)
+    values = rows.select(*cols).distinct().sortWithinPartitions(*cols)
     return folder.put(values.withColumn("name", F.monotonically_increasing_id()), f"names{level}")
 
 
