@@ -28,6 +28,17 @@ def _(s, d):
     return rnd(stats(s, d), 6)
 
 
+NAMED = {"m_avg": "avg_discount", "m_p95": "q_quantity_p95", "m_n": "n_lines", "m_big": "big_lines"}
+
+
+@query("a22_mc_summary_by_name", f"WITH {LONG.strip()} SELECT config_hash, n_seeds, param_a, param_b, CASE metric "
+       + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NAMED.items()) + " END AS metric, n, "
+       + ", ".join(f"round({c}, 6) AS {c}" for c in E.MC_STATS) + " FROM mc")
+def _(s, d):
+    # parameters and metrics are told apart by their names alone
+    return rnd(E.mc_summary(X.results(s, d).withColumnsRenamed(NAMED)), 6)
+
+
 @query("a22_mc_wide", f"WITH {LONG.strip()} SELECT config_hash, n_seeds, param_a, param_b, "
        + ", ".join(f"round(max({c}) FILTER (WHERE metric = '{m}'), 5) AS {m}__{c}" for m in ("m_avg", "m_n") for c in E.MC_STATS) + " FROM mc GROUP BY ALL")
 def _(s, d):
@@ -127,6 +138,16 @@ def _(s, d):
     return t.select("i", F.round("age", 7).alias("age"), F.round("weight", 9).alias("weight"), "form", "n", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"))
 
 
+@query("x2_what_if_grid", """
+SELECT age, weight, queue, count(*) AS n, round(avg(age * greatest(0, 360 - submit_h) + weight * nodes), 4) AS mean,
+ round(max(age * greatest(0, 360 - submit_h) + weight * nodes), 4) AS "max"
+FROM jobs_fx, (SELECT DISTINCT l_quantity::DOUBLE AS age, l_discount::DOUBLE AS weight FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL""")
+def _(s, d):
+    pts = X.table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_quantity").cast("double").alias("age"), F.col("l_discount").cast("double").alias("weight"))
+    f = F.col("age") * S.eligible(360.0) + F.col("weight") * F.col("nodes")
+    return rnd(E.what_if(X.jobs(s, d), pts, f, ["queue"], at_once=300), 4)
+
+
 @query("x3_tasks", """
 SELECT substr(sha256('{"l_linestatus":"' || b || '","l_returnflag":"' || a || '"}'), 1, 12) AS config_hash, a AS l_returnflag, b AS l_linestatus, (40 + range)::INTEGER AS seed
 FROM (SELECT DISTINCT l_returnflag AS a, l_linestatus AS b FROM lineitem), range(7)""")

@@ -175,15 +175,31 @@ def _(s, d):
     return s.read.parquet(path)
 
 
-@query("s13_upsert", """
+UPSERTED = """
 WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_partkey AS p, 0 AS gen FROM lineitem WHERE l_returnflag <> 'R' UNION ALL SELECT l_orderkey, l_linenumber, -l_quantity, l_partkey, 1 FROM lineitem WHERE l_returnflag <> 'N')
-SELECT l_orderkey, l_linenumber, q, p FROM a QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY gen DESC, p DESC, q DESC) = 1""")
+SELECT l_orderkey, l_linenumber, q, p FROM a QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY gen DESC, p DESC, q DESC) = 1"""
+
+
+@query("s13_upsert", UPSERTED)
 def _(s, d):
+    prev, new, cols = writes(s, d)
+    return B.upsert(prev, new, cols, order=["p"])
+
+
+@query("s13_upsert_parts", UPSERTED)
+def _(s, d):
+    prev, new, cols = writes(s, d)
+    path = B.write_parts(prev, X.new_path(s, "parts"), cols, ["p"], 16)
+    B.upsert_parts(new, path, cols, ["p"], 16)
+    return B.read_parts(s, path)
+
+
+def writes(s, d):
     li = X.table(s, d, "lineitem")
     cols = ["l_orderkey", "l_linenumber"]
     prev = li.where(F.col("l_returnflag") != "R").select(*cols, F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))
     new = li.where(F.col("l_returnflag") != "N").select(*cols, (-F.col("l_quantity")).alias("q"), F.col("l_partkey").alias("p"))
-    return B.upsert(prev, new, cols, order=["p"])
+    return prev, new, cols
 
 
 @query("k4_append", """

@@ -8,10 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import dim_rows, join_on, numbered, struct_array, uniform
+from nodehours.blocks import dim_rows, join_on, numbered, stored, uniform
 from nodehours.functions import clean as C
 from nodehours.operators.quantiles import summarize
 
+PACK = 1_000  # design points of one array, about
+AT_ONCE = 200_000  # design points broadcast to a pass over the jobs
 META = ("config_hash", "seed", "status", "runtime_s", "note")
 
 
@@ -59,17 +61,30 @@ def tasks(points: DataFrame, n_seeds: int, base_seed: int = 0, labels: Sequence[
     return points.withColumn("config_hash", C.config_hash(cols)).select("config_hash", *points.columns, seeds)
 
 
-def what_if(jobs: DataFrame, points: DataFrame, formula: Column, keys: Sequence[str] = ()) -> DataFrame:
+def what_if(jobs: DataFrame, points: DataFrame, formula: Column, keys: Sequence[str] = (), at_once: int = AT_ONCE) -> DataFrame:
     """Mean and maximum of a formula over all jobs at every design point.
 
-    The design is a size-checked table and enters as a literal, so each job is
-    expanded where it is read and only per-point partial sums are shuffled.
+    The design is a written table of any length, packed into arrays of about PACK points by hash. Each job meets the packs by
+    their number and is expanded where it is read, so only sums per point are shuffled. At most about at_once points
+    are broadcast at a time; a longer design takes more passes over the jobs. A point that repeats counts once.
     """
     cols = points.columns
-    ddl = ", ".join(f"{c} {t}" for c, t in points.dtypes)
-    rows = jobs.withColumn("_p", F.explode(struct_array(dim_rows(points, cols), ddl)))
-    rows = rows.withColumns({c: F.col(f"_p.{c}") for c in cols}).withColumn("_x", formula)
-    return rows.groupBy(*cols, *keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.max("_x").alias("max"))
+    design = stored(points.distinct())
+    n = design.count()
+    passes = max(1, -(-n // at_once))
+    packs = max(1, -(-n // (passes * PACK)))
+    pack = F.pmod(F.xxhash64(*cols), F.lit(passes * packs)).cast("int").alias("_pack")
+    packed = stored(design.groupBy(pack).agg(F.collect_list(F.struct(*cols)).alias("_points")))
+    out = None
+    for k in range(passes):
+        first, last = k * packs, (k + 1) * packs - 1
+        some = F.broadcast(packed.where(F.col("_pack").between(first, last)))
+        rows = jobs.withColumn("_pack", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(some, "_pack").drop("_pack")
+        rows = rows.withColumn("_p", F.explode("_points")).drop("_points")
+        rows = rows.withColumns({c: F.col(f"_p.{c}") for c in cols}).withColumn("_x", formula)
+        part = rows.groupBy(*cols, *keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.max("_x").alias("max"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # --------------------------------------------------------------------------
@@ -81,7 +96,7 @@ def is_metric(name: str) -> bool:
     """Result columns that are metrics by name; other non-meta columns are swept parameters."""
     # fixed values: metric names and name patterns of the result table
     exact = {"alloc_util", "node_hours_delivered", "throughput_jobs_per_day"}
-    prefix = ("n_", "wait_", "big_", "small_", "avg_", "q_", "prog_", "m_")
+    prefix = ("n_", "wait_", "big_", "small_", "avg_", "q_", "prog_")
     suffix = ("_delivered", "_delivered_nh", "_wait_p95", "_burn", "_thresh_nodes")
     return name in exact or name.startswith(prefix) or name.endswith(suffix)
 
@@ -105,8 +120,10 @@ def mc_summary(results: DataFrame, params: Sequence[str] | None = None, metrics:
     value sd and interval are 0; CV is NULL at mean 0.
     """
     ok = results.where(F.col("status") == "OK")
-    p, m = split_columns(results)
-    params, metrics = list(p if params is None else params), list(m if metrics is None else metrics)
+    if params is None or metrics is None:
+        p, m = split_columns(results)
+        params, metrics = p if params is None else params, m if metrics is None else metrics
+    params, metrics = list(params), list(metrics)
     labels = ok.groupBy("config_hash").agg(F.count(F.lit(1)).alias("n_seeds"),
                                            *[F.min_by(c, "seed").alias(c) for c in params])
     long = ok.select("config_hash", *[F.col(c).cast("double").alias(c) for c in metrics]).unpivot(

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import join_on
+from nodehours.blocks import join_on, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PROGRAM_MAP, SIZE_TIERS
 
+PART = "_part"  # folder column of tables in parts by key
 PROFILE_VERSION = 1
 PROFILE_COLUMNS = ["job_id", "program", "project", "nodes", "walltime_h", "rt_ratio", "runtime_h", "cal_month"]
 
@@ -93,3 +94,52 @@ def upsert(prev: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence
     rank = F.struct("_gen", *order, *[c for c in rest if c not in order])
     row = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
     return row.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def last_writes(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the highest ``order``; ties fall to the highest other columns.
+
+    Only rank 1 is wanted, so Spark keeps one row per key and task before anything moves.
+    """
+    if not order:
+        raise ValueError("name the columns that tell the last write")
+    rest = [c for c in rows.columns if c not in {*keys, *order}]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in [*order, *rest]])
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def part_of(keys: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias(PART)
+
+
+def write_parts(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], parts: int) -> str:
+    """A keyed table in folders by hash of its key, one row per key; give parts of a size that one task can write."""
+    one = last_writes(rows, keys, order)
+    one.select("*", part_of(keys, parts)).repartition(PART).write.partitionBy(PART).parquet(path)
+    return path
+
+
+def upsert_parts(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], parts: int) -> int:
+    """Upsert into a table of write_parts; only the folders that new rows fall into are read and replaced.
+
+    As in upsert, new rows go over stored ones, and among them the highest ``order`` wins. Stored rows are neither sorted nor
+    aggregated: those whose key is not written anew stay. Columns absent in the new rows become NULL, others must be the table's.
+    The replaced folders are written beside the old ones and swapped when all tasks have ended, so a lost executor costs its
+    tasks alone. Use the number of parts that the table was written with. Returns how many folders were replaced.
+    """
+    spark = new.sparkSession
+    now = stored(last_writes(new, keys, order).select("*", part_of(keys, parts)))
+    hit = sorted(r[0] for r in now.select(PART).distinct().collect())  # at most as many numbers as parts
+    if not hit:
+        return 0
+    old = spark.read.parquet(path)
+    if extra := set(now.columns) - set(old.columns):
+        raise ValueError(f"the table has no columns {sorted(extra)}")
+    stays = join_on(old.where(F.col(PART).isin(hit)), now.select(PART, *keys), [PART, *keys], "left_anti")
+    both = stays.unionByName(now, allowMissingColumns=True).repartition(PART)
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    return len(hit)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(PART)

@@ -398,3 +398,57 @@ def test_a_million_instants(spark):
     assert d.count() == 1_000_000
     for r in d.where("t_h IN (0.5, 100.25, 280.0, 999.999)").collect():
         assert r.delivered_nh == 3.0 * sum(s <= r.t_h for s in started)
+
+
+def test_upsert_parts_touches_only_hit_folders(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit(1).alias("at"), (F.col("id") % 7).alias("more"))
+    tables.write_parts(rows, path, ["k"], ["at"], 16)
+    files = lambda: {f for f in (tmp_path / "keyed").rglob("*.parquet")}
+    before = files()
+    assert len({f.parent for f in before}) == 16
+    # one key written three times, one new key and one null key, without the column `more`
+    new = spark.createDataFrame([(5, "a", 2), (5, "b", 3), (5, "c", 3), (90_000, "n", 1), (None, "z", 1)], "k long, v string, at int")
+    hit = {r[0] for r in new.select(tables.part_of(["k"], 16)).distinct().collect()}
+    assert tables.upsert_parts(new, path, ["k"], ["at"], 16) == len(hit) < 16
+    changed = {f.parent.name for f in before ^ files()}
+    assert changed == {f"_part={p}" for p in hit}
+    got = {r.k: (r.v, r.at, r.more) for r in tables.read_parts(spark, path).collect()}
+    assert len(got) == 2002 and got[5] == ("c", 3, None) and got[90_000] == ("n", 1, None) and got[None] == ("z", 1, None) and got[6] == ("old", 1, 6)
+    # a null key is one key; writing the same again changes nothing but files
+    tables.upsert_parts(new, path, ["k"], ["at"], 16)
+    assert {r.k: (r.v, r.at, r.more) for r in tables.read_parts(spark, path).collect()} == got
+    assert tables.upsert_parts(new.limit(0), path, ["k"], ["at"], 16) == 0
+    with pytest.raises(ValueError):
+        tables.upsert_parts(new.withColumn("other", F.lit(1)), path, ["k"], ["at"], 16)
+
+
+def test_last_writes_is_cut_before_the_shuffle(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), F.lit("x").alias("v"))
+    plan = tables.last_writes(rows, ["k"], ["at"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_what_if_over_a_large_design(spark):
+    jobs = spark.createDataFrame([(float(i), "a" if i % 3 else "b") for i in range(12)], "size double, queue string")
+    points = spark.range(50_000).select((F.col("id") / 10).alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    points = points.unionByName(points.limit(10)).unionByName(spark.createDataFrame([(None, 1.0)], "x double, y double"))
+    out = E.what_if(jobs, points, F.col("x") * F.col("size") - F.col("y"), ["queue"], at_once=20_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r.x, r.y, r.queue): (r.n, r["mean"], r["max"]) for r in out.collect()}
+    assert len(got) == 2 * 50_001 and got[None, 1.0, "a"] == (0, None, None)
+    sizes = {q: [float(i) for i in range(12) if ("a" if i % 3 else "b") == q] for q in "ab"}
+    for i in range(0, 50_000, 487):
+        for q, s in sizes.items():
+            values = [i / 10 * v - i % 5 for v in s]
+            n, mean, most = got[i / 10, float(i % 5), q]
+            assert n == len(s) and mean == pytest.approx(sum(values) / len(s)) and most == pytest.approx(max(values))
+
+
+def test_split_columns_by_name(spark):
+    df = spark.createDataFrame([], "config_hash string, seed int, status string, runtime_s double, note string, policy string, m_factor double, n_jobs long, "
+                                   "wait_p95 double, alloc_util double, prog_a_delivered decimal(10,2), wait_label string, x_burn float")
+    params, metrics = E.split_columns(df)
+    assert params == ["policy", "m_factor"]
+    assert metrics == ["n_jobs", "wait_p95", "alloc_util", "prog_a_delivered", "x_burn"]
