@@ -119,11 +119,12 @@ def mc_summary(results: DataFrame, params: Sequence[str] | None = None, metrics:
     Only successful runs count and non-finite values are dropped.  With one
     value sd and interval are 0; CV is NULL at mean 0.
     """
-    ok = results.where(F.col("status") == "OK")
     if params is None or metrics is None:
         p, m = split_columns(results)
         params, metrics = p if params is None else params, m if metrics is None else metrics
     params, metrics = list(params), list(metrics)
+    # labels, moments and quantiles read the runs, which may cost much to compute
+    ok = stored(results.where(F.col("status") == "OK").select("config_hash", "seed", *params, *metrics))
     labels = ok.groupBy("config_hash").agg(F.count(F.lit(1)).alias("n_seeds"),
                                            *[F.min_by(c, "seed").alias(c) for c in params])
     long = ok.select("config_hash", *[F.col(c).cast("double").alias(c) for c in metrics]).unpivot(
