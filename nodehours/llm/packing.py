@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -11,12 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodehours.llm.common import Folder, body, parts
+from nodehours.llm.common import Folder, body
 from nodehours.llm.tokens import encoder
 
 DIMS = 3  # dimensions of the curve
 BITS = 10  # bits of each coordinate
 BUCKETS = 1024  # entries of a hashed document vector
+RANGE_TOKENS = 4_000_000  # ids of a stretch of the curve in a small corpus; see ranges_for
 CHUNK = 32  # ids between places where a document may be cut
 SPREAD = 4.0  # coordinates are clipped to this many standard deviations
 
@@ -122,13 +124,22 @@ def _packed(capacity: int):
     return run
 
 
+def ranges_for(tokens: int) -> int:
+    """Stretches of the curve for so many ids: the three-quarter power of their number in RANGE_TOKENS.
+
+    A stretch leaves one sequence open, less than a thousandth of its ids. Stretches grow with the corpus, so that the
+    lengths and checksums of one stay some tens of megabytes and tasks do not become too many: 30 for 0.5 GB, 130,000 for 100 TB.
+    """
+    return max(1, math.ceil((tokens / RANGE_TOKENS) ** 0.75))
+
+
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 2048, end_id: int = 1,
          seed: int = 7, ranges: int | None = None) -> DataFrame:
     """Sequences of at most capacity ids, filled with documents that lie close together on a Hilbert curve.
 
     A document's ids (with end_id after them) are hashed into a count vector of unit length, projected to a few
     dimensions and placed on the curve. Documents are range-sorted by place and id, and each range is packed by one
-    task in order. A document that does not fit is cut after a multiple of CHUNK ids from its start, so a sequence is
+    task in order; their number follows the ids alone (ranges_for). A document that does not fit is cut after a multiple of CHUNK ids from its start, so a sequence is
     padded by less than CHUNK, but for the last of each range. Texts are encoded once; from there on only lengths, checksums
     of chunks and keys move, and a piece's checksum is joined from those of its chunks.
 
@@ -141,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     measured = folder.put(
         docs.select("doc_id", body().alias("text"))
         .mapInArrow(_measured(tokenizer, ranks, end_id, seed), f"doc_id {kind}, doc_tokens long, crcs binary, curve long"), "measured")
-    placed = measured.repartitionByRange(ranges or parts(docs.sparkSession), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "doc_tokens", "crcs")
+    ranges = ranges or ranges_for(measured.agg(F.sum("doc_tokens")).first()[0] or 0)
+    placed = measured.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "doc_tokens", "crcs")
     return placed.mapInArrow(_packed(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
                              "sequence_id long, offset long")
