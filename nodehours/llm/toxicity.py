@@ -16,7 +16,6 @@ from nodehours.llm.labelled import training_rows
 from nodehours.llm.words import sliced, stripped, words
 
 FIT_ROWS = 20_000  # labelled rows that word scores and calibration are learned from, at most
-LISTED = 20_000  # words with a score of their own, at most
 LEAST_Z = 3.5  # standard errors a word's log-odds must differ from 0 by
 PRIOR = 1000.0  # weight of the Dirichlet prior, spread as the pooled word frequencies
 FLOOR = 1.0  # prior count of each word besides
@@ -83,10 +82,30 @@ def _probability(w: tuple[float, float, float], both: float, best: float) -> flo
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * both + w[2] * best))))
 
 
-def _word_scores(sample: DataFrame, folder: Folder) -> tuple[dict[str, float], float]:
-    """Log-odds of each word in toxic against other texts, with an informative Dirichlet prior.
+def _decay(shares: list[tuple[float, float]]) -> float:
+    """Lambda of the law: the positive root of sum(p * exp(lambda * s)) = 1 over scores s and their shares p among clean words.
 
-    A word counts once in a text, so that one long text cannot make a word look toxic.
+    Scores that are exactly log-odds of the two kinds of text give 1; thresholds, the prior and the floor of the other
+    words' score move it. It is 1 where there is no root, that is without both positive scores and a negative mean.
+    """
+    p, s = (np.array(x, float) for x in zip(*shares, strict=True))
+    if s.max() <= 0 or p[s > 0].sum() <= 0 or p @ s >= 0:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    excess = lambda x: p @ np.expm1(x * s)
+    while excess(hi) < 0:
+        lo, hi = hi, 2 * hi
+    for _ in range(60):  # below 0 between 0 and the root, above 0 beyond it
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
+    return hi
+
+
+def _word_scores(sample: DataFrame, folder: Folder) -> tuple[dict[str, float], float, float]:
+    """Log-odds of each word in toxic against other texts, with an informative Dirichlet prior; of all others; and lambda.
+
+    A word counts once in a text, so that one long text cannot make a word look toxic. Every word whose log-odds are
+    LEAST_Z standard errors from 0 has a score of its own; the sample of labelled rows bounds their number.
     """
 
     def count(batches):
@@ -103,17 +122,18 @@ def _word_scores(sample: DataFrame, folder: Folder) -> tuple[dict[str, float], f
                         .groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "words")
     t1, t0 = counts.agg(F.sum("n1"), F.sum("n0")).first()
     if not t1 or not t0:
-        return {}, -0.01
+        return {}, -0.01, 1.0
     prior = (F.col("n1") + F.col("n0")) * F.lit(PRIOR / (t1 + t0)) + FLOOR
     odds = lambda n, t: F.log((n + prior) / (F.lit(t + PRIOR) - n - prior))
     delta = odds(F.col("n1"), t1) - odds(F.col("n0"), t0)
     z = delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
     top = (counts.where((F.col("n1") + F.col("n0")) * 2 < t1 + t0).withColumn("delta", delta).withColumn("z", z)
-           .where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(LISTED).collect())
+           .where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").collect())
     # all words without a score of their own are one type; its log-odds are what a plain word adds to a passage
     plain1, plain0 = t1 - sum(r.n1 for r in top), t0 - sum(r.n0 for r in top)
     other = math.log((plain1 + 1) / (t1 + 2)) - math.log((plain0 + 1) / (t0 + 2))
-    return {r.word: r.delta for r in top}, min(other, -0.005)
+    other = min(other, -0.005)
+    return {r.word: r.delta for r in top}, other, _decay([(r.n0 / t0, r.delta) for r in top] + [(plain0 / t0, other)])
 
 
 def _regress(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -130,8 +150,8 @@ def _regress(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, fit_rows: int = FIT_ROWS) -> Model:
     """Word scores, extreme-value law and calibration from at most fit_rows labelled rows.
 
-    Scores come from three fifths of the rows, law and calibration from the others. The law's K is that
-    under which the best segments of clean rows are likeliest.
+    Scores come from three fifths of the rows, law and calibration from the others. The law's lambda follows from
+    the scores of clean words (_decay); its K is that under which the best segments of clean rows are likeliest.
     """
     folder = Folder(docs.sparkSession, "toxic")
     sample = folder.put(training_rows(docs, labels, label, modulus, held, fit_rows), "sample")

@@ -94,6 +94,34 @@ def test_segments_are_all_maximal_ones():
         assert np.allclose([x for x, _, _ in got], [x for x, _, _ in want])
 
 
+def test_toxicity_scores_by_definition(spark):
+    rng, w = np.random.default_rng(5), (-1.5, 0.7, 1.1)
+    model = toxicity.Model({"bad": 2.03, "worse": 3.57, "good": -1.01}, -0.21, 1.4, 0.02, w)
+    said = ["bad", "worse", "good", "plain", "Bad!", "(WORSE)", "other"]
+    texts = [" ".join(rng.choice(said, int(n), p=[.1, .05, .2, .4, .05, .05, .15])) for n in rng.integers(1, 60, 80)] + ["", None]
+
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, 0.5).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        s = [model.scores.get(x.strip("!()").lower(), model.other) for x in (texts[r.doc_id] or "").split()]
+        found, n = naive_segments(s), max(len(s), 1)
+        over = [max(0.0, 1.4 * x - math.log(0.02 * n)) for x, _, _ in found]
+        p = 1 / (1 + math.exp(-(w[0] + w[1] * math.log1p(sum(over)) + w[2] * math.log1p(max(over, default=0.0)))))
+        assert r.score == pytest.approx(p, abs=1e-9) and r.predicted == (r.score >= 0.5)
+        told = [(a, z, x) for x, a, z in found if 0.02 * n * math.exp(-1.4 * x) <= toxicity.SIGNIFICANT]
+        assert [(q["first"], q["end"]) for q in r.passages] == [(a, z) for a, z, _ in told]
+        assert [q["score"] for q in r.passages] == pytest.approx([x for *_, x in told])
+
+
+def test_decay_of_the_law():
+    rng = np.random.default_rng(6)
+    clean, toxic = rng.dirichlet(np.ones(50)), rng.dirichlet(np.ones(50))
+    assert toxicity._decay(list(zip(clean, np.log(toxic / clean), strict=True))) == pytest.approx(1.0)
+    assert toxicity._decay(list(zip(clean, 0.5 * np.log(toxic / clean), strict=True))) == pytest.approx(2.0)
+    # no root: nothing positive, or positive on average
+    assert toxicity._decay([(0.5, -1.0), (0.5, -2.0)]) == toxicity._decay([(0.5, 3.0), (0.5, -1.0)]) == 1.0
+
+
 @pytest.mark.parametrize("name,label,modulus,held,most_wrong", [("op9_toxicity", "toxic", 5, 0, 0.08), ("op5_quality", "quality", 4, 2, 0.08)])
 def test_held_out_accuracy(spark, name, label, modulus, held, most_wrong):
     d = "/root/testdata/sf0.1"
