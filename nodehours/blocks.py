@@ -86,7 +86,12 @@ def dim_rows(dim: DataFrame, cols: Sequence[str], limit: int = DIM_LIMIT) -> lis
 
 def small_side(dim: DataFrame, limit: int = DIM_LIMIT) -> DataFrame:
     """A dimension marked for broadcast when a count shows it small; otherwise left to a shuffle join."""
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else shuffled(dim)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of an equi-join that is never broadcast: by the size of a well compressed file Spark would take millions of rows for few."""
+    return df.hint("merge")
 
 
 def struct_array(rows: Sequence[tuple], ddl: str) -> Column:
@@ -381,7 +386,7 @@ class StepArrays:
     def side(self, *cols: Column | str) -> DataFrame:
         """The arrays for a join: broadcast while their counted size allows, else left to a shuffle."""
         df = self.table.select(BLK, *cols)
-        return F.broadcast(df) if self.blocks * ARRAY_ROWS * 16 <= ARRAY_BYTES else df
+        return F.broadcast(df) if self.blocks * ARRAY_ROWS * 16 <= ARRAY_BYTES else shuffled(df)
 
 
 def step_arrays(steps: DataFrame, t: str, value: str, before: object = None) -> StepArrays:

@@ -179,3 +179,11 @@ def test_partition_count_does_not_matter(spark, sample, parts):
         assert out.first().p == pytest.approx(np.quantile(sample.v, 0.9))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_per_block_tables_beyond_the_count_are_not_broadcast(spark):
+    # few bytes in a file, many rows in the driver: the file's size must not decide
+    many = spark.range(30_000).select((F.col("id") % 3000).cast("string").alias("g"), F.col("id").cast("double").alias("t"), F.lit(1).alias("d"))
+    run = B.running(many, ["g"], "t", {"level": ("sum", "d")}, cuts=B.Cuts((10_000.0, 20_000.0, 25_000.0, 28_000.0)))
+    assert "Broadcast" not in run._jdf.queryExecution().executedPlan().toString()
+    assert run.groupBy("g").agg(F.max("level").alias("n")).where("n <> 10").count() == 0
