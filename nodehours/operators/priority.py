@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodehours.blocks import (ARRAY_BYTES, ARRAY_ROWS, BLK, DIM_LIMIT, cut_points, index_of, join_on, last_at, numbered, running,
-                              StepArrays, small_side, step_arrays, stored, with_block)
+                              shuffled, StepArrays, small_side, step_arrays, stored, with_block)
 from nodehours.functions import score as S
 
 
@@ -53,7 +53,7 @@ def pending_at(jobs: DataFrame, instants: Instants, submit: str = "submit_h", st
 def _pending_in(jobs: DataFrame, instants: DataFrame, submit: str, start: str) -> DataFrame:
     cuts = cut_points(instants, "t_h", rows=ARRAY_ROWS)
     arrays = stored(with_block(instants, "t_h", cuts).groupBy(BLK).agg(F.sort_array(F.collect_list("t_h")).alias("_ts")))
-    side = F.broadcast(arrays) if (len(cuts.points) + 1) * ARRAY_ROWS * 8 <= ARRAY_BYTES else arrays
+    side = F.broadcast(arrays) if (len(cuts.points) + 1) * ARRAY_ROWS * 8 <= ARRAY_BYTES else shuffled(arrays)
     a, b = F.col(submit).cast("double"), F.coalesce(F.col(start).cast("double"), F.lit(float("inf")))
     waits = jobs.withColumns({"_a": a, "_b": b}).where("_a < _b")
     waits = with_block(with_block(waits, "_a", cuts, "_i"), "_b", cuts, "_j")
@@ -63,6 +63,30 @@ def _pending_in(jobs: DataFrame, instants: DataFrame, submit: str, start: str) -
     return met.select(*[met[c] for c in jobs.columns], F.explode(here).alias("t_h"))
 
 
+def count_pending_at(jobs: DataFrame, instants: Instants, submit: str = "submit_h", start: str = "start_h",
+                     name: str = "n_instants") -> DataFrame:
+    """The jobs that wait at any instant, with how many they wait at: the rows of ``pending_at`` counted, never made.
+
+    Both ends of a wait are placed in the numbered instants by binary search, and the places subtracted, so the work
+    follows jobs and instants and not their pairs.
+    """
+    a, b = F.col(submit).cast("double"), F.coalesce(F.col(start).cast("double"), F.lit(float("inf")))
+    waits = jobs.withColumns({"_a": a, "_b": b}).where("_a < _b")
+    ts = _listed(instants)
+    if ts is None:
+        steps = step_arrays(numbered(_table(jobs, instants), [], "t_h", name="_n"), "t_h", "_n", before=0)
+        for x in ("_a", "_b"):
+            side = steps.side(F.col("ts").alias("_ts"), F.col("vs").alias("_vs"))
+            met = with_block(waits, x, steps.cuts, "_s").join(side, F.col("_s") == F.col(BLK))
+            # the first entry is the step ahead of the block, so some step is before any position
+            at = F.get("_vs", F.greatest(last_at(F.col("_ts"), F.col(x), strict=True), F.lit(1)) - 1)
+            waits = met.withColumn(f"{x}_n", at).drop("_s", BLK, "_ts", "_vs")
+    else:
+        waits = _below(_below(waits, "_a", ts, "_a_n"), "_b", ts, "_b_n")
+    n = (F.col("_b_n") - F.col("_a_n")).cast("long")
+    return waits.where(n > 0).select(*[F.col(c) for c in jobs.columns], n.alias(name))
+
+
 def queue_snapshot(jobs: DataFrame, instants: Instants, score: Callable[[Column], Column],
                    cap: int | None = None, submit: str = "submit_h", ident: str = "job_id") -> DataFrame:
     """Pending jobs scored and ranked per instant (score descending, submit, id).

@@ -452,3 +452,17 @@ def test_split_columns_by_name(spark):
     params, metrics = E.split_columns(df)
     assert params == ["policy", "m_factor"]
     assert metrics == ["n_jobs", "wait_p95", "alloc_util", "prog_a_delivered", "x_burn"]
+
+
+def test_pending_counts_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(P, "ARRAY_ROWS", 4)
+    monkeypatch.setattr("nodehours.blocks.ARRAY_ROWS", 4)
+    rows = [(i, float(i % 11), None if i % 7 == 0 else i % 11 + i % 9 / 2) for i in range(200)] + [(200, None, 3.0), (201, 5.0, 4.0)]
+    jobs = spark.createDataFrame(rows, "job_id int, submit_h double, start_h double")
+    ts = [x / 4 for x in range(-3, 40)] + [100.0, 3.0]
+    table = spark.createDataFrame([(t,) for t in ts] + [(None,)], "t_h double")
+    want = {i: n for i, a, b in rows if a is not None and (n := sum(a <= t and (b is None or t < b) for t in set(ts)))}
+    for instants in (ts, table):
+        got = P.count_pending_at(jobs, instants)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.job_id: r.n_instants for r in got.collect()} == want
