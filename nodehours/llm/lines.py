@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.llm.common import BROADCAST_ROWS, Folder, body, checked
+from nodehours.llm.common import Folder, body, checked as counted
 from nodehours.llm.components import components
 
 RADIUS = 3  # bits of 64 in which fingerprints of lines may differ that are sure to share a choice of blocks
@@ -18,8 +18,9 @@ BINS = 16  # bins of word pairs; the rarest of each is a key of the line
 GROUP = {"blocks": 16, "pairs": 64}  # lines of a group, by kind of key, that are all paired with each other
 LANE = 16  # bits of a sum of weights, four to a number
 MOST_CHARS = 1 << (LANE - 1)  # such a sum stays below, and weights add up to less than the characters of a line
+WIDE = 32  # the same for lines too long for such sums
 BUCKETS = 1 << 18  # counters of word pairs; what falls into one counts together
-SAMPLE = 20_000  # documents, about, whose word pairs are counted
+SIDE_ROWS = 300_000  # rows of a side that is broadcast; some forty joins of a run pass through one driver
 DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"  # written without spaces
 WORD = rf"[a-z0-9[\p{{L}}\p{{N}}&&[^{DENSE}]]]+|[\p{{L}}\p{{N}}&&[{DENSE}]]"
 
@@ -53,22 +54,16 @@ def _majority(counts: list[Column], n: Column) -> Column:
     return out
 
 
+def checked(side: DataFrame) -> DataFrame:
+    """A narrow side marked for broadcast if a count bounds it; the join shuffles otherwise."""
+    return counted(side, SIDE_ROWS)
+
+
 def weight(word: Column) -> Column:
     """Characters beyond two, at least 1: the short common words of a language hardly move a fingerprint."""
     return F.greatest(F.length(word) - 2, F.lit(1)).cast("long")
 
 
-def simhash(words: Column, lane: int = 32) -> Column:
-    """Weighted 64-bit SimHash of an array of words of together fewer than 2**(lane - 1) characters."""
-    pairs = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), weight(w).alias("n")))
-
-    def add(j: int):
-        return lambda a, x: a + _spread(x["h"], lane)[j] * x["n"]
-
-    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return _majority([F.aggregate(pairs, F.lit(0).cast("long"), add(j)) for j in range(lane)], total)
-
-
 def pair_keys(rank: Column, bins: int) -> list[Column]:
     """For each bin of hashes the pair that ranks first; an aggregate over the pairs of a line."""
     return [F.min(F.when(F.pmod(rank, F.lit(bins)) == b, rank)) for b in range(bins)]
@@ -87,42 +82,41 @@ def fingerprinted(docs: DataFrame, table: bytes | None = None) -> DataFrame:
     """doc_id, th (hash of the text) and pos of every line, lh (hash of the normalised line), len in words, chars in them, sim, and keys k0, k1, ..
 
     Words are taken once: with the next one behind it, each is a row whose spread bits are summed and whose pair is ranked by line,
-    which Spark compiles. Lines too long for the sums are fingerprinted as arrays.
+    which Spark compiles. Lines too long for the sums have wider ones, in a plan of their own if there are any.
     """
-    line, keys = ["doc_id", "th", "pos"], [f"k{b}" for b in range(BINS)]
+    usual = F.length("line") < MOST_CHARS
+    out = _summed(_split(docs).where(usual), table, LANE)
+    long = _split(docs.where(F.octet_length("text") >= MOST_CHARS)).where(~usual)
+    return out.unionByName(_summed(long, table, WIDE)) if long.limit(1).count() else out
 
-    def split(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
-    def clean(rows: DataFrame) -> DataFrame:
-        # exploding an array of one keeps the words from being taken anew for each use
-        words = rows.select(*line, F.explode(F.array(line_words(F.col("line")))).alias("words"))
-        return words.select(*line, F.xxhash64("words").alias("lh"), "words")
+def _split(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
-    usual = F.length("line") < MOST_CHARS
-    two = F.explode(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("next")))
-    words = clean(split(docs).where(usual)).select(*line, "lh", two.alias("x")).select(*line, "lh", "x.w", "x.next")
-    words = words.select(*line, "lh", F.xxhash64("w").alias("h"), weight(F.col("w")).alias("n"), F.length("w").alias("of"),
-                         F.when(F.col("next").isNotNull(), _rank(F.xxhash64("w", "next"), table)).alias("rank"))
+
+def _in_turn(rows: DataFrame, *line: str) -> DataFrame:
+    """The words w of lines, each with the one behind it, next."""
+    # exploding an array of one keeps the words from being taken anew for each use
+    words = rows.select(*line, F.explode(F.array(line_words(F.col("line")))).alias("words"))
+    behind = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    words = words.select(*line, *([F.xxhash64("words").alias("lh")] if line else []), F.explode(F.arrays_zip(F.col("words").alias("w"), behind.alias("next"))).alias("x"))
+    return words.select(*line, *(["lh"] if line else []), "x.w", "x.next")
+
+
+def _summed(rows: DataFrame, table: bytes | None, lane: int) -> DataFrame:
+    line, keys = ["doc_id", "th", "pos"], [f"k{b}" for b in range(BINS)]
+    words = _in_turn(rows, *line).select(*line, "lh", F.xxhash64("w").alias("h"), weight(F.col("w")).alias("n"), F.length("w").alias("of"),
+                                         F.when(F.col("next").isNotNull(), _rank(F.xxhash64("w", "next"), table)).alias("rank"))
     sums = words.groupBy(*line, "lh").agg(F.count(F.lit(1)).alias("len"), F.sum("n").alias("n"), F.sum("of").alias("chars"),
-                                          *[F.sum(c * F.col("n")).alias(f"c{j}") for j, c in enumerate(_spread(F.col("h"), LANE))],
+                                          *[F.sum(c * F.col("n")).alias(f"c{j}") for j, c in enumerate(_spread(F.col("h"), lane))],
                                           *[k.alias(c) for k, c in zip(pair_keys(F.col("rank"), BINS), keys, strict=True)])
-    short = sums.select(*line, "lh", F.col("len").cast("int").alias("len"), "chars", _majority([F.col(f"c{j}") for j in range(LANE)], F.col("n")).alias("sim"), *keys)
-    long = clean(split(docs.where(F.octet_length("text") >= MOST_CHARS)).where(~usual))
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))),
-                       F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda x, y: _rank(F.xxhash64(x, y), table))
-    long = long.select(*line, "lh", "words", F.explode(F.array(pairs)).alias("ranks"))
-    long = long.select(*line, "lh", F.size("words").alias("len"), F.length(F.array_join("words", "")).cast("long").alias("chars"), simhash(F.col("words")).alias("sim"),
-                       *[F.array_min(F.filter("ranks", lambda r, b=b: F.pmod(r, F.lit(BINS)) == b)).alias(c) for b, c in enumerate(keys)])
-    return short.unionByName(long)
+    return sums.select(*line, "lh", F.col("len").cast("int").alias("len"), "chars", _majority([F.col(f"c{j}") for j in range(lane)], F.col("n")).alias("sim"), *keys)
 
 
 def rarity(text: DataFrame) -> bytes:
-    """How common word pairs are, in counters shared by hash, from a sample of SAMPLE documents, about; it only orders keys."""
-    some = text.where(F.pmod(F.xxhash64("text"), F.lit(1 + text.count() // SAMPLE)) == 0)
-    words = some.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.array(line_words(F.col("line")))).alias("words"))
-    two = F.explode(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("next")))
-    pairs = words.select(two.alias("x")).where("x.next IS NOT NULL").select(F.pmod(F.xxhash64("x.w", "x.next"), F.lit(BUCKETS)).cast("int").alias("b"))
+    """How common word pairs are in all lines of all texts, in counters shared by hash; it only orders keys."""
+    pairs = _in_turn(text.select(F.explode(F.split("text", "\n")).alias("line"))).where("next IS NOT NULL")
+    pairs = pairs.select(F.pmod(F.xxhash64("w", "next"), F.lit(BUCKETS)).cast("int").alias("b"))
     # printable: 33 and twice the binary logarithm; at most BUCKETS rows of a few bytes come here
     level = F.least(F.lit(90), F.floor(2 * F.log2(F.count(F.lit(1)) + 1))).cast("int") + 33
     out = bytearray([33] * BUCKETS)
@@ -310,7 +304,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 5, similarity: float = 0.8,
     folder = Folder(docs.sparkSession, "lines")
     gone = repeated_lines(docs, folder, least_words, similarity, least_chars).select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped"))
-    small = (gone.agg(F.sum(F.size("__dropped"))).first()[0] or 0) <= BROADCAST_ROWS
+    small = (gone.agg(F.sum(F.size("__dropped"))).first()[0] or 0) <= SIDE_ROWS
     joined = docs.join(F.broadcast(gone) if small else gone, F.expr("xxhash64(coalesce(text, '')) = __th AND doc_id <=> __id"), "left")
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(_without(F.col("__dropped")))
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])

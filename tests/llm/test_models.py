@@ -373,3 +373,13 @@ def test_pipeline_decides_by_id_and_text(spark, tmp_path):
     assert Counter(r.doc_id for r in clean) == Counter([1, 2, None, 3, None]) and not any("benchmark" in (r.text or "") for r in clean)
     one = corpus_pipeline.jaccard_join(spark, docs.where("doc_id = 2 OR doc_id IS NULL OR doc_id = 3"), str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in one) == Counter([(2, long), (3, "clean and alone"), (None, None), (None, f"before it {item} after it")])
+
+
+def test_word_pairs_of_every_text_are_counted(spark):
+    n = 45_000  # more than were looked at once
+    docs = spark.range(n).select(F.concat(F.lit("first second\nthe only number"), "id").alias("text"))
+    table = lines.rarity(docs)
+    two = [r.b for r in spark.createDataFrame([("first", "second"), ("the", "only")], "x string, y string").select(
+        F.pmod(F.xxhash64("x", "y"), F.lit(lines.BUCKETS)).alias("b")).collect()]
+    assert [table[b] - 33 for b in two] == [int(2 * math.log2(n + 1))] * 2
+    assert sum(v > 33 for v in table) > 0.9 * lines.BUCKETS * (1 - math.exp(-n / lines.BUCKETS))
