@@ -152,13 +152,17 @@ def block_keys(sim: Column, p: int) -> Column:
     return F.array(*keys)
 
 
-def _candidates(keyed: DataFrame, folder: Folder, name: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of lines (lh, keys) that share a key, all pairs but in groups of more than GROUP[name] lines; and those groups' members (key, head, lh).
+def _like(similarity: float, bits: int) -> str:
+    return f"bit_count(a_sim ^ b_sim) <= {bits} AND least(a_len, b_len) >= {similarity} * greatest(a_len, b_len)"
 
-    Groups of up to three lines follow from sums over the group alone; lines of groups up to GROUP[name] are paired in full, those
-    of larger ones with the group's first line.
+
+def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of lines (lh, len, sim, keys) that share a key, all pairs but in groups of more than GROUP[name] lines; and those groups' members (key, head, lh).
+
+    Groups of up to three lines follow from sums over the group alone; lines of groups up to GROUP[name] are paired in full, and
+    those pairs looked at where they are made; lines of larger groups are paired with the group's first line.
     """
-    posted = keyed.select("lh", F.explode("keys").alias("key")).where("key IS NOT NULL")
+    posted = keyed.select("lh", "len", "sim", F.explode("keys").alias("key")).where("key IS NOT NULL")
     shared = folder.put(posted.groupBy("key").agg(F.min("lh").alias("head"), F.max("lh").alias("last"), F.bit_xor("lh").alias("x"),
                                                   F.count(F.lit(1)).alias("c")).where("head <> last"), f"{name}_shared")
     third = F.expr("x ^ head ^ last")
@@ -167,7 +171,8 @@ def _candidates(keyed: DataFrame, folder: Folder, name: str) -> tuple[DataFrame,
         F.array(two(F.col("head"), F.col("last")), two(F.col("head"), third), two(third, F.col("last"))))).alias("x")).select("x.*")
     members = folder.put(posted.join(checked(shared.where("c > 3").select("key", "head", "c")), "key"), f"{name}_members")
     some, many = members.where(F.col("c") <= GROUP[name]), members.where(F.col("c") > GROUP[name])
-    inside = some.select("key", F.col("lh").alias("a")).join(some.select("key", F.col("lh").alias("b")), "key").where("a < b").select("a", "b")
+    a, b = (some.select("key", F.col("lh").alias(x), F.col("len").alias(f"{x}_len"), F.col("sim").alias(f"{x}_sim")) for x in ("a", "b"))
+    inside = a.join(b, "key").where(f"a < b AND {like}").select("a", "b")
     stars = many.where("lh <> head").select(F.col("head").alias("a"), F.col("lh").alias("b"))
     return few.unionByName(inside).unionByName(stars), many.select("key", "head", "lh")
 
@@ -178,7 +183,7 @@ def _alike(pairs: DataFrame, long: DataFrame, similarity: float, bits: int) -> D
     sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     for x in ("a", "b"):
         sides = sides.join(of.select(F.col("lh").alias(x), F.col("len").alias(f"{x}_len"), F.col("sim").alias(f"{x}_sim")), x)
-    return sides.where(f"bit_count(a_sim ^ b_sim) <= {bits} AND least(a_len, b_len) >= {similarity} * greatest(a_len, b_len)").select("a", "b")
+    return sides.where(_like(similarity, bits)).select("a", "b")
 
 
 def _words_of(wanted: DataFrame, lines: DataFrame, text: DataFrame, folder: Folder, name: str) -> DataFrame:
@@ -254,11 +259,12 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     lines = folder.put(fingerprinted(text, rarity(text)).where((F.col("len") >= least_words) | (F.col("chars") >= least_chars)), "lines")
     keys = [f"k{b}" for b in range(BINS)]
     kinds = folder.put(lines.groupBy("lh", "len", "sim").agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in keys]), "kinds")
-    lines = lines.select("doc_id", "th", "pos", "lh", "len", "sim")
+    lines = folder.put(lines.select("doc_id", "th", "pos", "lh", "len", "sim"), "spots")
+    folder.drop("lines")
     long = kinds.where(F.col("len") >= least_words)
-    blocks, crowds = _candidates(long.select("lh", block_keys(F.col("sim"), pieces(long.count())).alias("keys")), folder, "blocks")
+    blocks, crowds = _candidates(long.select("lh", "len", "sim", block_keys(F.col("sim"), pieces(long.count())).alias("keys")), folder, "blocks", _like(similarity, LOOSE))
     blocks = folder.put(_alike(blocks, long, similarity, LOOSE), "near_blocks")
-    pairs, groups = _candidates(long.select("lh", F.array(*keys).alias("keys")), folder, "pairs")
+    pairs, groups = _candidates(long.select("lh", "len", "sim", F.array(*keys).alias("keys")), folder, "pairs", _like(similarity, FAR))
     pairs = folder.put(_alike(pairs, long, similarity, FAR), "near_pairs")
     near = folder.put(blocks.unionByName(pairs).distinct(), "near")
     many = crowds.unionByName(groups)
@@ -284,7 +290,7 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     several = folder.put(several.select("lh", "len", "sim", F.coalesce("component", "lh").alias("g")), "several")
     folder.drop("kinds")
     places = folder.put(lines.join(checked(several), ["lh", "len", "sim"]).select("doc_id", "th", "pos", "g"), "places")
-    folder.drop("lines")
+    folder.drop("spots")
     kept = places.groupBy("g").agg(F.min(F.struct("doc_id", "th", "pos")).alias("kept"))
     gone = places.join(checked(kept), "g").where("NOT struct(doc_id, th, pos) <=> kept")
     gone = folder.put(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped")), "dropped")

@@ -383,3 +383,13 @@ def test_word_pairs_of_every_text_are_counted(spark):
         F.pmod(F.xxhash64("x", "y"), F.lit(lines.BUCKETS)).alias("b")).collect()]
     assert [table[b] - 33 for b in two] == [int(2 * math.log2(n + 1))] * 2
     assert sum(v > 33 for v in table) > 0.9 * lines.BUCKETS * (1 - math.exp(-n / lines.BUCKETS))
+
+
+def test_pairs_of_a_group_are_looked_at_where_they_are_made(spark):
+    # 40 lines share a key; only two of them are near, and no other pair may leave the join
+    rows = [(i, 8, (i * 0x9E3779B97F4A7C15) % (1 << 63), [77]) for i in range(1, 40)] + [(40, 8, 0x9E3779B97F4A7C15 % (1 << 63) ^ 5, [77])]
+    keyed = spark.createDataFrame(rows, "lh long, len int, sim long, keys array<long>")
+    pairs, many = lines._candidates(keyed, Folder(spark, "near"), "pairs", lines._like(0.8, 8))
+    sim = {r[0]: r[2] for r in rows}
+    want = {(a, b) for a in sim for b in sim if a < b and (sim[a] ^ sim[b]).bit_count() <= 8}
+    assert {tuple(r) for r in pairs.collect()} == want and (1, 40) in want and len(want) < 60 and many.count() == 0
