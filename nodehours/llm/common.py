@@ -35,6 +35,10 @@ class Folder:
             conf.set(clean, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def all(self, name: str, schema: str) -> DataFrame:
+        """One table of all that was put under name/."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
+
     def drop(self, name: str) -> None:
         """Remove a table of this run that nothing reads any more."""
         jvm = self.spark._jvm

@@ -16,6 +16,7 @@ LOOSE = 8  # bits in which those may differ that do share one; their edit distan
 FAR = 27  # bits in which fingerprints of candidates by word pairs may differ; those of unrelated lines differ in 32, give or take 4
 BINS = 16  # bins of word pairs; the rarest of each is a key of the line
 GROUP = {"blocks": 16, "pairs": 64}  # lines of a group, by kind of key, that are all paired with each other
+SLICE = 8  # keys of a line that are looked at together
 LANE = 16  # bits of a sum of weights, four to a number
 MOST_CHARS = 1 << (LANE - 1)  # such a sum stays below, and weights add up to less than the characters of a line
 WIDE = 32  # the same for lines too long for such sums
@@ -96,11 +97,13 @@ def _split(docs: DataFrame) -> DataFrame:
 
 def _in_turn(rows: DataFrame, *line: str) -> DataFrame:
     """The words w of lines, each with the one behind it, next."""
-    # exploding an array of one keeps the words from being taken anew for each use
+    # exploding an array of one keeps the words from being taken anew for each use; what is selected beside an explode is
+    # worked out for each of its rows, so the hash of the whole line is taken before
     words = rows.select(*line, F.explode(F.array(line_words(F.col("line")))).alias("words"))
-    behind = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
-    words = words.select(*line, *([F.xxhash64("words").alias("lh")] if line else []), F.explode(F.arrays_zip(F.col("words").alias("w"), behind.alias("next"))).alias("x"))
-    return words.select(*line, *(["lh"] if line else []), "x.w", "x.next")
+    hashed = ["lh"] if line else []
+    words = words.select(*line, "words", *[F.xxhash64("words").alias(c) for c in hashed])
+    turns = words.select(*line, *hashed, "words", F.posexplode("words").alias("i", "w"))
+    return turns.select(*line, *hashed, "w", F.get("words", F.col("i") + 1).alias("next"))
 
 
 def _summed(rows: DataFrame, table: bytes | None, lane: int) -> DataFrame:
@@ -152,17 +155,27 @@ def block_keys(sim: Column, p: int) -> Column:
     return F.array(*keys)
 
 
-def _like(similarity: float, bits: int) -> str:
+def _like(similarity: float, bits: int | str) -> str:
     return f"bit_count(a_sim ^ b_sim) <= {bits} AND least(a_len, b_len) >= {similarity} * greatest(a_len, b_len)"
 
 
-def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str) -> tuple[DataFrame, DataFrame]:
+def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str, width: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of lines (lh, len, sim, keys) that share a key, all pairs but in groups of more than GROUP[name] lines; and those groups' members (key, head, lh).
 
     Groups of up to three lines follow from sums over the group alone; lines of groups up to GROUP[name] are paired in full, and
-    those pairs looked at where they are made; lines of larger groups are paired with the group's first line.
+    those pairs looked at where they are made; lines of larger groups are paired with the group's first line. No key stands at two
+    places of keys, so SLICE places are taken at a time, and only their rows are on disk together.
     """
-    posted = keyed.select("lh", "len", "sim", F.explode("keys").alias("key")).where("key IS NOT NULL")
+    for at in range(0, width, SLICE):
+        posted = keyed.select("lh", "len", "sim", F.explode(F.slice("keys", at + 1, SLICE)).alias("key")).where("key IS NOT NULL")
+        _in_groups(posted, folder, name, at, like)
+        for kind in ("shared", "members"):
+            folder.drop(f"{name}_{kind}")
+    return folder.all(f"{name}_near", "a long, b long"), folder.all(f"{name}_many", "key long, head long, lh long")
+
+
+def _in_groups(posted: DataFrame, folder: Folder, name: str, at: int, like: str) -> None:
+    """Write the pairs and the members of large groups of some keys."""
     shared = folder.put(posted.groupBy("key").agg(F.min("lh").alias("head"), F.max("lh").alias("last"), F.bit_xor("lh").alias("x"),
                                                   F.count(F.lit(1)).alias("c")).where("head <> last"), f"{name}_shared")
     third = F.expr("x ^ head ^ last")
@@ -174,26 +187,35 @@ def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str) -> tuple
     a, b = (some.select("key", F.col("lh").alias(x), F.col("len").alias(f"{x}_len"), F.col("sim").alias(f"{x}_sim")) for x in ("a", "b"))
     inside = a.join(b, "key").where(f"a < b AND {like}").select("a", "b")
     stars = many.where("lh <> head").select(F.col("head").alias("a"), F.col("lh").alias("b"))
-    return few.unionByName(inside).unionByName(stars), many.select("key", "head", "lh")
+    folder.put(few.unionByName(inside).unionByName(stars), f"{name}_near/part{at}")
+    folder.put(many.select("key", "head", "lh"), f"{name}_many/part{at}")
 
 
-def _alike(pairs: DataFrame, long: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """Distinct pairs whose lengths allow the similarity and whose fingerprints differ in at most some bits."""
+def _alike(pairs: DataFrame, long: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs whose lengths allow the similarity and whose fingerprints differ in at most the bits that stand beside them."""
     of = long.select("lh", "len", "sim")
-    sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").where("a <> b").groupBy("a", "b").agg(F.max("bits").alias("bits"))
     for x in ("a", "b"):
         sides = sides.join(of.select(F.col("lh").alias(x), F.col("len").alias(f"{x}_len"), F.col("sim").alias(f"{x}_sim")), x)
-    return sides.where(_like(similarity, bits)).select("a", "b")
+    return sides.where(_like(similarity, "bits")).select("a", "b")
 
 
 def _words_of(wanted: DataFrame, lines: DataFrame, text: DataFrame, folder: Folder, name: str) -> DataFrame:
-    """lh and hs (hashes of its words, in order) of some lines, taken from one place of each."""
-    places = folder.put(lines.join(checked(wanted), "lh").groupBy("lh").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at")).select(
-        "lh", F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"), F.col("at.pos").alias("_pos")), f"{name}_places")
-    holders = text.join(checked(places.select("_id", "_th").distinct()), F.expr("th = _th AND doc_id <=> _id"), "left_semi")
-    held = holders.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    said = held.join(checked(places), F.expr("th = _th AND pos = _pos AND doc_id <=> _id")).select("lh", "line").dropDuplicates(["lh"])
+    """lh and hs (hashes of its words, in order) of some lines, taken from one place of each.
+
+    The places are listed by document, so a text is read once for all of its lines and no line moves by itself.
+    """
+    at = lines.join(checked(wanted), "lh").groupBy("lh").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
+    at = at.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "lh")).alias("_at"))
+    places = folder.put(at, f"{name}_places")
+    n = places.agg(F.sum(F.size("_at"))).first()[0] or 0
+    side = F.broadcast(places) if n <= SIDE_ROWS else places.hint("shuffle_hash")
+    held = text.join(side, F.expr("th = _th AND doc_id <=> _id")).select(F.explode(F.array(F.split("text", "\n"))).alias("all"), "_at")
+    said = held.select("all", F.explode("_at").alias("x")).select("x.lh", F.get("all", F.col("x.pos")).alias("line"))
     out = folder.put(said.select("lh", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hs")), name)
+    if out.count() > n:  # rows that repeat id and text
+        out = folder.put(out.dropDuplicates(["lh"]), f"{name}_once")
+        folder.drop(name)
     folder.drop(f"{name}_places")
     return out
 
@@ -262,14 +284,14 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     lines = folder.put(lines.select("doc_id", "th", "pos", "lh", "len", "sim"), "spots")
     folder.drop("lines")
     long = kinds.where(F.col("len") >= least_words)
-    blocks, crowds = _candidates(long.select("lh", "len", "sim", block_keys(F.col("sim"), pieces(long.count())).alias("keys")), folder, "blocks", _like(similarity, LOOSE))
-    blocks = folder.put(_alike(blocks, long, similarity, LOOSE), "near_blocks")
-    pairs, groups = _candidates(long.select("lh", "len", "sim", F.array(*keys).alias("keys")), folder, "pairs", _like(similarity, FAR))
-    pairs = folder.put(_alike(pairs, long, similarity, FAR), "near_pairs")
-    near = folder.put(blocks.unionByName(pairs).distinct(), "near")
+    p = pieces(long.count())
+    blocks, crowds = _candidates(long.select("lh", "len", "sim", block_keys(F.col("sim"), p).alias("keys")), folder, "blocks", _like(similarity, LOOSE), math.comb(p, RADIUS))
+    pairs, groups = _candidates(long.select("lh", "len", "sim", F.array(*keys).alias("keys")), folder, "pairs", _like(similarity, FAR), BINS)
+    near = blocks.withColumn("bits", F.lit(LOOSE)).unionByName(pairs.withColumn("bits", F.lit(FAR)))
+    near = folder.put(_alike(near, long, similarity), "near")
     many = crowds.unionByName(groups)
     hot = many.limit(1).count()
-    for name in ("blocks_shared", "pairs_shared", "near_blocks", "near_pairs") + (() if hot else ("blocks_members", "pairs_members")):
+    for name in ("blocks_near", "pairs_near"):
         folder.drop(name)
     wanted = near.select(F.explode(F.array("a", "b")).alias("lh"))
     if hot:
@@ -279,11 +301,14 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     folder.drop("close")
     folder.drop("near")
     if hot:
-        rest = folder.put(_alike(_within(many, links, words, similarity), long, similarity, FAR), "rest")
+        rest = folder.put(_alike(_within(many, links, words, similarity).withColumn("bits", F.lit(FAR)), long, similarity), "rest")
         links = links.unionByName(folder.put(_verified(rest, words, similarity, folder, "closer"), "more"))
-        for name in ("rest", "closer", "blocks_members", "pairs_members"):
+        for name in ("rest", "closer"):
             folder.drop(name)
+    for name in ("blocks_many", "pairs_many"):
+        folder.drop(name)
     folder.drop("words")
+    folder.drop("words_once")
 
     group = folder.put(components(links, "a", "b", folder), "groups")
     several = kinds.select("lh", "len", "sim", "n").join(checked(group.withColumnRenamed("node", "lh")), "lh", "left").where("n > 1 OR component IS NOT NULL")

@@ -393,3 +393,25 @@ def test_pairs_of_a_group_are_looked_at_where_they_are_made(spark):
     sim = {r[0]: r[2] for r in rows}
     want = {(a, b) for a in sim for b in sim if a < b and (sim[a] ^ sim[b]).bit_count() <= 8}
     assert {tuple(r) for r in pairs.collect()} == want and (1, 40) in want and len(want) < 60 and many.count() == 0
+
+
+def test_a_line_is_hashed_once_and_not_for_each_word(spark):
+    rows = spark.createDataFrame([(1, "a b c a")], "doc_id long, line string")
+    turns = lines._in_turn(rows, "doc_id")
+    plan = turns._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda s: next(i for i, x in enumerate(plan) if s in x)
+    assert at("xxhash64(words") > at("Generate posexplode")  # below it
+    assert [(r.w, r.next) for r in turns.collect()] == [("a", "b"), ("b", "c"), ("c", "a"), ("a", None)]
+
+
+def test_candidates_of_all_slices_and_words_of_repeated_rows(spark):
+    folder, width = Folder(spark, "slices"), 2 * lines.SLICE + 1
+    keyed = spark.createDataFrame([(2 * k + i, 8, k, [100 * k + (j if j == k else 10_000 * (2 * k + i + 1) + j) for j in range(width)]) for k in range(width) for i in (0, 1)],
+                                  "lh long, len int, sim long, keys array<long>")
+    pairs, many = lines._candidates(keyed, folder, "blocks", lines._like(0.8, 8), width)
+    assert {tuple(r) for r in pairs.collect()} == {(2 * k, 2 * k + 1) for k in range(width)} and many.count() == 0
+    text = spark.createDataFrame([(1, "x\none two\nthree"), (1, "x\none two\nthree"), (None, "one two")], "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    at = text.dropDuplicates().select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("lh", F.xxhash64("line"))
+    found = lines._words_of(at.where("line <> 'x'").select("lh").distinct(), at, text, folder, "words")
+    want = at.where("line <> 'x'").select("lh", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("hs")).distinct()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
