@@ -104,8 +104,10 @@ def asof_step(df: DataFrame, series: DataFrame, on: str, value: str, t: str = "t
     if dimension:
         kind = series.schema[value].dataType
         steps = step_arrays(series.groupBy(F.col(t).cast("double").alias("t")).agg(F.max(value).alias("v")), "t", "v")
+        # a series of one block has a literal for its number, which alone would be no key to join by
+        at = F.when(F.col(on).isNotNull(), F.col("_step"))
         found = with_block(df, on, steps.cuts, "_step").join(
-            steps.side(F.col("ts").alias("_ts"), F.col("vs").alias("_vs")), F.col("_step") == F.col(BLK), "left")
+            steps.side(F.col("ts").alias("_ts"), F.col("vs").alias("_vs")), at == F.col(BLK), "left")
         hit = F.when(F.col(on).isNotNull(), F.get("_vs", last_at(F.col("_ts"), F.col(on).cast("double")) - 1))
         return found.select(*[found[c] for c in df.columns if c != value], hit.cast(kind).alias(value))
     right = series.select(F.col(t).alias(on), value)
