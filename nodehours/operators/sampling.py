@@ -24,7 +24,7 @@ def _clipped_run() -> Column:
 
 
 def _draw(requests: DataFrame, indexed: DataFrame, pool: Sequence[str]) -> DataFrame:
-    out = join_on(requests, indexed, [*pool, "_idx"], "left")
+    out = join_on(requests, indexed, pool, "left")
     return out.withColumn("runtime_h", _clipped_run())
 
 
@@ -36,11 +36,18 @@ def _replicated(requests: DataFrame, seed: int | Sequence[int]) -> tuple[DataFra
 
 
 def cell_pools(profile: DataFrame, row_id: str = "job_id") -> DataFrame:
-    """Profile rows with a dense index per size-tier cell and per program, written once; any number of draws reads it."""
+    """Profile rows with a dense index per size-tier cell and per program, and a number _row over all pools, one pool after the other; written once, any number of draws reads it."""
     pools = profile.select(row_id, "nodes", "walltime_h", "rt_ratio", F.col("program").alias("_p"), F.explode(F.array(
         F.struct(F.col("alloc_off").alias("_o"), F.col("size_tier").alias("_t")),
         F.struct(F.lit(-1).alias("_o"), F.lit("*").alias("_t")))).alias("k")).select("*", "k.*").drop("k")
-    return stored(numbered(pools, ["_p", "_o", "_t"], row_id, name="_idx").withColumnRenamed(row_id, "source_id"))
+    pool = ["_p", "_o", "_t"]
+    rows = stored(numbered(pools, pool, row_id, name="_idx").withColumnRenamed(row_id, "source_id"))
+    sizes = rows.groupBy(*pool).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per pool
+    before = Window.partitionBy(F.lit(0)).orderBy(*pool).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*pool, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows = join_on(rows, small_side(base), pool)
+    return stored(rows.withColumn("_row", F.col("_base") + F.col("_idx")).drop("_base"))
 
 
 def project_pools(profile: DataFrame, row_id: str = "job_id", pool: str = "project") -> DataFrame:
@@ -56,7 +63,7 @@ def bootstrap(requests: DataFrame, profile: DataFrame | None, min_rows: int, see
     A size-tier cell of the month offset is chosen in proportion to its rows,
     then one row of it; a cell below ``min_rows`` (or an offset without rows)
     falls back to all rows of the program.  Rows carry a dense index per pool
-    built from id blocks, so a draw is an equi-join on (pool, index).  A request
+    built from id blocks and, with the rows of the pools before, one number: a draw is an equi-join on it.  A request
     of a program without profile rows comes back with NULLs.
 
     With a list of seeds every request is drawn once for each (column seed); the
@@ -69,12 +76,12 @@ def bootstrap(requests: DataFrame, profile: DataFrame | None, min_rows: int, see
     idents = [ident] if isinstance(ident, str) else list(ident)
     pools = cell_pools(profile, row_id) if pools is None else pools
     own = pools.where("_o >= 0")
-    sizes = own.groupBy(F.col("_p").alias("program"), F.col("_o").alias("alloc_off"), F.col("_t").alias("size_tier")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = own.groupBy(F.col("_p").alias("program"), F.col("_o").alias("alloc_off"), F.col("_t").alias("size_tier")).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first"))
     # at most one row per tier and offset
     upto = Window.partitionBy("program", "alloc_off").orderBy("size_tier")
     cells = (sizes.withColumn("cum", F.sum("n").over(upto)).groupBy("program", "alloc_off")
-             .agg(F.array_sort(F.collect_list(F.struct("cum", "n", "size_tier"))).alias("_cells"), F.sum("n").alias("_total")))
-    parents = pools.where("_o < 0").groupBy(F.col("_p").alias("program")).agg(F.count(F.lit(1)).alias("_parent"))
+             .agg(F.array_sort(F.collect_list(F.struct("cum", "n", "first"))).alias("_cells"), F.sum("n").alias("_total")))
+    parents = pools.where("_o < 0").groupBy(F.col("_p").alias("program")).agg(F.count(F.lit(1)).alias("_parent"), F.min("_row").alias("_first"))
     req = join_on(join_on(requests, small_side(cells), ["program", "alloc_off"], "left"), small_side(parents), ["program"], "left")
     req, one = _replicated(req, seed)
     target = F.floor(uniform(*idents, seed=F.concat(F.lit("cell"), one)) * F.col("_total"))
@@ -82,13 +89,11 @@ def bootstrap(requests: DataFrame, profile: DataFrame | None, min_rows: int, see
     req = req.withColumn("_pick", pick)
     thick = F.coalesce(F.col("_pick.n") >= min_rows, F.lit(False))
     size = F.when(thick, F.col("_pick.n")).otherwise(F.col("_parent"))
-    kept = [c for c in req.columns if c not in ("_cells", "_total", "_parent", "_pick")]
-    req = req.select(*kept, F.col("program").alias("_p"),
-                     F.when(thick, F.col("alloc_off")).otherwise(-1).alias("_o"),
-                     F.when(thick, F.col("_pick.size_tier")).otherwise("*").alias("_t"),
-                     (F.floor(uniform(*idents, seed=F.concat(F.lit("row"), one)) * size) + 1).alias("_idx"))
-    out = _draw(req, pools, ["_p", "_o", "_t"])
-    return out.withColumn("pool", F.when(F.col("source_id").isNull(), F.lit(None)).when(F.col("_o") < 0, "program").otherwise("cell")).drop("_p", "_o", "_t", "_idx")
+    kept = [c for c in req.columns if c not in ("_cells", "_total", "_parent", "_first", "_pick")]
+    first = F.when(thick, F.col("_pick.first")).otherwise(F.col("_first"))
+    req = req.select(*kept, thick.alias("_thick"), (F.floor(uniform(*idents, seed=F.concat(F.lit("row"), one)) * size) + first).alias("_row"))
+    out = _draw(req, pools.drop("_p", "_o", "_t", "_idx"), ["_row"])
+    return out.withColumn("pool", F.when(F.col("source_id").isNull(), F.lit(None)).when(F.col("_thick"), "cell").otherwise("program")).drop("_thick", "_row")
 
 
 def bootstrap_project(requests: DataFrame, profile: DataFrame | None, seed: int | Sequence[int], ident: str | Sequence[str] = "req_id",
@@ -102,7 +107,7 @@ def bootstrap_project(requests: DataFrame, profile: DataFrame | None, seed: int
     sizes = pools.groupBy(pool).agg(F.count(F.lit(1)).alias("_n"))
     req, one = _replicated(join_on(requests, small_side(sizes), [pool], "left"), seed)
     req = req.withColumn("_idx", F.floor(uniform(*idents, seed=F.concat(F.lit("row"), one)) * F.col("_n")) + 1).drop("_n")
-    return _draw(req, pools, [pool]).drop("_idx")
+    return _draw(req, pools, [pool, "_idx"]).drop("_idx")
 
 
 # --------------------------------------------------------------------------

@@ -481,3 +481,16 @@ def test_maxima_of_waits_take_no_slice_for_each_step(spark, monkeypatch):
     at = sorted({x for r in rows for x in r[2:4]})
     for i, a, b, _, _ in rows:
         assert got[i] == (500.0 - min(busy(t) for t in [a, *(x for x in at if a < x < b)]) if a < b else None)
+
+
+def test_rows_of_all_pools_are_numbered_through(spark):
+    from nodehours.operators.sampling import cell_pools
+
+    profile = spark.createDataFrame([(i, 1, 1.0, 0.5, "AB"[i % 2] if i else None, i % 3, "small") for i in range(20)],
+                                    "job_id long, nodes int, walltime_h double, rt_ratio double, program string, alloc_off int, size_tier string")
+    rows = cell_pools(profile).collect()
+    assert sorted(r._row for r in rows) == list(range(1, 41))  # two pools hold each row
+    first = {}
+    for r in rows:
+        first.setdefault((r._p, r._o, r._t), set()).add(r._row - r._idx)
+    assert all(len(x) == 1 for x in first.values())
