@@ -16,10 +16,13 @@ LOOSE = 8  # bits in which those may differ that do share one; their edit distan
 FAR = 27  # bits in which fingerprints of candidates by word pairs may differ; those of unrelated lines differ in 32, give or take 4
 BINS = 16  # bins of word pairs; the rarest of each is a key of the line
 GROUP = {"blocks": 16, "pairs": 64}  # lines of a group, by kind of key, that are all paired with each other
+CROWD = 4096  # lines of a larger group that is not connected yet which are still paired by their numbers; beyond, they are by shared words
+PASS = 10_000_000  # words of such lines that are on disk together, or an eighth of all words if that is more
 SLICE = 8  # keys of a line that are looked at together
 LANE = 16  # bits of a sum of weights, four to a number
 MOST_CHARS = 1 << (LANE - 1)  # such a sum stays below, and weights add up to less than the characters of a line
 WIDE = 32  # the same for lines too long for such sums
+PARITY = 128  # bits that tell of which words a line holds an odd number, by their hashes
 BUCKETS = 1 << 18  # counters of word pairs; what falls into one counts together
 SIDE_ROWS = 300_000  # rows of a side that is broadcast; some forty joins of a run pass through one driver
 DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"  # written without spaces
@@ -80,7 +83,7 @@ def _rank(h: Column, table: bytes | None) -> Column:
 
 
 def fingerprinted(docs: DataFrame, table: bytes | None = None) -> DataFrame:
-    """doc_id, th (hash of the text) and pos of every line, lh (hash of the normalised line), len in words, chars in them, sim, and keys k0, k1, ..
+    """doc_id, th (hash of the text) and pos of every line, lh (hash of the normalised line), len in words, chars in them, sim, odd0, .. and keys k0, k1, ..
 
     Words are taken once: with the next one behind it, each is a row whose spread bits are summed and whose pair is ranked by line,
     which Spark compiles. Lines too long for the sums have wider ones, in a plan of their own if there are any.
@@ -100,20 +103,30 @@ def _in_turn(rows: DataFrame, *line: str) -> DataFrame:
     # exploding an array of one keeps the words from being taken anew for each use; what is selected beside an explode is
     # worked out for each of its rows, so the hash of the whole line is taken before
     words = rows.select(*line, F.explode(F.array(line_words(F.col("line")))).alias("words"))
-    hashed = ["lh"] if line else []
-    words = words.select(*line, "words", *[F.xxhash64("words").alias(c) for c in hashed])
-    turns = words.select(*line, *hashed, "words", F.posexplode("words").alias("i", "w"))
-    return turns.select(*line, *hashed, "w", F.get("words", F.col("i") + 1).alias("next"))
+    whole = {"lh": F.xxhash64("words"), "len": F.size("words"), "chars": F.length(F.array_join("words", "")).cast("long")} if line else {}
+    words = words.select(*line, "words", *[x.alias(c) for c, x in whole.items()])
+    turns = words.select(*line, *whole, "words", F.posexplode("words").alias("i", "w"))
+    return turns.select(*line, *whole, "w", F.get("words", F.col("i") + 1).alias("next"))
+
+
+def _odd() -> list[str]:
+    return [f"odd{k}" for k in range(PARITY // 64)]
+
+
+def _parity(h: Column) -> list[Column]:
+    """The bit of each hash, in one of several numbers, flipped once for each word; an aggregate over the words of a line."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    return [F.bit_xor(F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PARITY // 64 - 1)) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(PARITY // 64)]
 
 
 def _summed(rows: DataFrame, table: bytes | None, lane: int) -> DataFrame:
-    line, keys = ["doc_id", "th", "pos"], [f"k{b}" for b in range(BINS)]
-    words = _in_turn(rows, *line).select(*line, "lh", F.xxhash64("w").alias("h"), weight(F.col("w")).alias("n"), F.length("w").alias("of"),
+    line, whole, keys = ["doc_id", "th", "pos"], ["lh", "len", "chars"], [f"k{b}" for b in range(BINS)]
+    words = _in_turn(rows, *line).select(*line, *whole, F.xxhash64("w").alias("h"), weight(F.col("w")).alias("n"),
                                          F.when(F.col("next").isNotNull(), _rank(F.xxhash64("w", "next"), table)).alias("rank"))
-    sums = words.groupBy(*line, "lh").agg(F.count(F.lit(1)).alias("len"), F.sum("n").alias("n"), F.sum("of").alias("chars"),
+    sums = words.groupBy(*line, *whole).agg(F.sum("n").alias("n"), *[c.alias(o) for c, o in zip(_parity(F.col("h")), _odd(), strict=True)],
                                           *[F.sum(c * F.col("n")).alias(f"c{j}") for j, c in enumerate(_spread(F.col("h"), lane))],
                                           *[k.alias(c) for k, c in zip(pair_keys(F.col("rank"), BINS), keys, strict=True)])
-    return sums.select(*line, "lh", F.col("len").cast("int").alias("len"), "chars", _majority([F.col(f"c{j}") for j in range(lane)], F.col("n")).alias("sim"), *keys)
+    return sums.select(*line, *whole, _majority([F.col(f"c{j}") for j in range(lane)], F.col("n")).alias("sim"), *_odd(), *keys)
 
 
 def rarity(text: DataFrame) -> bytes:
@@ -192,12 +205,29 @@ def _in_groups(posted: DataFrame, folder: Folder, name: str, at: int, like: str)
 
 
 def _alike(pairs: DataFrame, long: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs whose lengths allow the similarity and whose fingerprints differ in at most the bits that stand beside them."""
-    of = long.select("lh", "len", "sim")
+    """Distinct pairs whose lengths and words allow the similarity and whose fingerprints differ in at most the bits that stand beside them.
+
+    A word put in or left out flips one bit of parity, one replaced flips two, so lines as similar as asked for differ in no more
+    bits than that; other lines mostly do, and their words are never fetched.
+    """
     sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").where("a <> b").groupBy("a", "b").agg(F.max("bits").alias("bits"))
     for x in ("a", "b"):
-        sides = sides.join(of.select(F.col("lh").alias(x), F.col("len").alias(f"{x}_len"), F.col("sim").alias(f"{x}_sim")), x)
-    return sides.where(_like(similarity, "bits")).select("a", "b")
+        sides = sides.join(long.select(F.col("lh").alias(x), *_numbers(x)), x)
+    return sides.where(f"{_like(similarity, 'bits')} AND {_few_flips(similarity)}").select("a", "b")
+
+
+def _numbers(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{x}_{c}") for c in ("len", "sim", *_odd())]
+
+
+def _few_flips(similarity: float) -> str:
+    flipped = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _odd())
+    return f"{flipped} <= 2 * {_most(similarity, 'a_len', 'b_len')} - abs(a_len - b_len)"
+
+
+def _most(similarity: float, a: str, b: str) -> str:
+    """The edits that leave lines of so many words as similar as asked for."""
+    return f"cast(floor({1 - similarity:.6f} * greatest({a}, {b}) + 0.000001) AS int)"
 
 
 def _words_of(wanted: DataFrame, lines: DataFrame, text: DataFrame, folder: Folder, name: str) -> DataFrame:
@@ -236,7 +266,7 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float, folder: Fol
     both = pairs
     for x in ("a", "b"):
         both = both.join(words.select(F.col("lh").alias(x), F.col("hs").alias(f"{x}_hs")), x)
-    most = f"cast(floor({1 - similarity:.6f} * greatest(size(a_hs), size(b_hs)) + 0.000001) AS int)"
+    most = _most(similarity, "size(a_hs)", "size(b_hs)")
     code = lambda x: F.transform(f"{x}_hs", lambda h: h.bitwiseAND(0xFFFFF))
     said = both.withColumns({"x": one_char_words(code("a")), "y": one_char_words(code("b"))})
     near = folder.put(said.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b", "a_hs", "b_hs"), name)
@@ -249,22 +279,33 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float, folder: Fol
     return near.where(settled).select("a", "b").unionByName(exact.select("a", "b"))
 
 
-def _within(many: DataFrame, links: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of lines in large groups, of which one at least does not link to the group's first line.
+def _open(many: DataFrame, group: DataFrame) -> DataFrame:
+    """The members (key, lh) of large groups that are not in one component yet, each with its component g and the group's size c."""
+    of = many.join(checked(group.select(F.col("node").alias("lh"), "component")), "lh", "left").select("key", "lh", F.coalesce("component", "lh").alias("g"))
+    apart = of.groupBy("key").agg(F.min("g").alias("first"), F.max("g").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last")
+    return of.join(checked(apart.select("key", "c")), "key")
+
+
+def _among(open_: DataFrame, long: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines of a group that are in two components and whose lengths, fingerprints and words allow the similarity."""
+    told = open_.join(long.select("lh", "len", "sim", *_odd()), "lh")
+    a, b = (told.select("key", F.col("lh").alias(x), F.col("g").alias(f"{x}_g"), *_numbers(x)) for x in ("a", "b"))
+    return a.join(b, "key").where(f"a < b AND a_g <> b_g AND {_like(similarity, FAR)} AND {_few_flips(similarity)}").select("a", "b").distinct()
+
+
+def _within(open_: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines of a group that are in two components and share a rare word.
 
     Lines as similar as asked for share one of their 1 + floor((1 - similarity) * n) rarest words, whatever order rare is taken
     in; here it is that of the group, so a template that many lines share brings no two of them together by itself.
     """
-    apart = many.where("lh <> head").join(links.select(F.col("a").alias("_a"), F.col("b").alias("_b")),
-                                          F.expr("least(head, lh) = _a AND greatest(head, lh) = _b"), "left_anti")
-    open_ = many.join(checked(apart.select("key").distinct()), "key", "left_semi")
-    said = open_.join(words, "lh").select("key", "lh", F.size("hs").alias("n"), F.explode(F.array_distinct("hs")).alias("w"))
+    said = open_.join(words, "lh").select("key", "lh", "g", F.size("hs").alias("n"), F.explode(F.array_distinct("hs")).alias("w"))
     common = said.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     place = F.row_number().over(Window.partitionBy("key", "lh").orderBy(F.coalesce("c", F.lit(1)), "w"))
     first = said.join(common, ["key", "w"], "left").withColumn("place", place).where(
         F.col("c").isNotNull() & (F.col("place") <= 1 + F.floor(F.lit(1 - similarity) * F.col("n") + 0.000001)))
-    x = first.select("key", "w", F.col("lh").alias("a")).join(apart.select("key", F.col("lh").alias("a")), ["key", "a"], "left_semi")
-    return x.join(first.select("key", "w", F.col("lh").alias("b")), ["key", "w"]).where("a <> b").select("a", "b").distinct()
+    a, b = (first.select("key", "w", F.col("lh").alias(x), F.col("g").alias(f"{x}_g")) for x in ("a", "b"))
+    return a.join(b, ["key", "w"]).where("a < b AND a_g <> b_g").select("a", "b").distinct()
 
 
 def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, similarity: float = 0.8, least_chars: int = 6) -> DataFrame:
@@ -274,13 +315,13 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     or least_chars letters and digits; only those of least_words words are looked at further. Lines with fingerprints within
     RADIUS bits share a choice of blocks; lines that differ in more bits are looked for by their word pairs, of which each of
     BINS bins gives the rarest. Candidates link if their edit distance in words is at most 1 - similarity of the longer one.
-    Lines of a large group that do not link to its first line are looked at again by their rarest words within the group.
+    Lines of a large group that are not connected yet are looked at again by their rarest words within the group.
     Of each connected group the occurrence with the smallest id, and the first there, is kept.
     """
     text = docs.select("doc_id", body().alias("text")).withColumn("th", F.xxhash64("text"))
     lines = folder.put(fingerprinted(text, rarity(text)).where((F.col("len") >= least_words) | (F.col("chars") >= least_chars)), "lines")
     keys = [f"k{b}" for b in range(BINS)]
-    kinds = folder.put(lines.groupBy("lh", "len", "sim").agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in keys]), "kinds")
+    kinds = folder.put(lines.groupBy("lh", "len", "sim").agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in [*_odd(), *keys]]), "kinds")
     lines = folder.put(lines.select("doc_id", "th", "pos", "lh", "len", "sim"), "spots")
     folder.drop("lines")
     long = kinds.where(F.col("len") >= least_words)
@@ -293,24 +334,33 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     hot = many.limit(1).count()
     for name in ("blocks_near", "pairs_near"):
         folder.drop(name)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("lh"))
-    if hot:
-        wanted = wanted.unionByName(many.select("lh"))
-    words = _words_of(wanted.distinct(), lines, text, folder, "words")
+    words = _words_of(near.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), lines, text, folder, "words")
     links = folder.put(_verified(near, words, similarity, folder, "close"), "links")
-    folder.drop("close")
-    folder.drop("near")
+    for name in ("close", "near", "words", "words_once"):
+        folder.drop(name)
+    group = folder.put(components(links, "a", "b", folder), "groups")
     if hot:
-        rest = folder.put(_alike(_within(many, links, words, similarity).withColumn("bits", F.lit(FAR)), long, similarity), "rest")
+        open_ = folder.put(_open(many, group), "open")
+        for name in ("blocks_many", "pairs_many"):
+            folder.drop(name)
+        folder.put(_among(open_.where(F.col("c") <= CROWD), long, similarity), "rest/some")
+        crowds = open_.where(F.col("c") > CROWD)
+        of = long.select("lh", "len")
+        n, most = (df.agg(F.sum("len")).first()[0] or 0 for df in (crowds.join(of, "lh"), of))
+        if n:
+            words = _words_of(crowds.select("lh").distinct(), lines, text, folder, "said")
+            passes = -(-n // max(PASS, most // 8))
+            for k in range(passes):
+                pairs = _within(crowds.where(F.pmod("key", F.lit(passes)) == k), words, similarity)
+                folder.put(_alike(pairs.withColumn("bits", F.lit(FAR)), long, similarity), f"rest/part{k}")
+            for name in ("said", "said_once"):
+                folder.drop(name)
+        rest = folder.put(folder.all("rest", "a long, b long").distinct(), "further")
+        words = _words_of(rest.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), lines, text, folder, "others")
         links = links.unionByName(folder.put(_verified(rest, words, similarity, folder, "closer"), "more"))
-        for name in ("rest", "closer"):
+        for name in ("rest", "further", "closer", "open", "others", "others_once"):
             folder.drop(name)
-    for name in ("blocks_many", "pairs_many"):
-        folder.drop(name)
-    folder.drop("words")
-    folder.drop("words_once")
-
-    group = folder.put(components(links, "a", "b", folder), "groups")
+        group = folder.put(components(links, "a", "b", folder, "joined"), "all_groups")
     several = kinds.select("lh", "len", "sim", "n").join(checked(group.withColumnRenamed("node", "lh")), "lh", "left").where("n > 1 OR component IS NOT NULL")
     several = folder.put(several.select("lh", "len", "sim", F.coalesce("component", "lh").alias("g")), "several")
     folder.drop("kinds")

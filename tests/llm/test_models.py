@@ -415,3 +415,42 @@ def test_candidates_of_all_slices_and_words_of_repeated_rows(spark):
     found = lines._words_of(at.where("line <> 'x'").select("lh").distinct(), at, text, folder, "words")
     want = at.where("line <> 'x'").select("lh", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("hs")).distinct()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _numbered_lines(spark, said):
+    df = spark.createDataFrame([(i, i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, th long, text string")
+    rows = lines.fingerprinted(df)
+    return {r.doc_id: r.lh for r in rows.select("doc_id", "lh").collect()}, rows
+
+
+def test_parity_of_words_loses_no_near_line_and_drops_others(spark):
+    rng = np.random.default_rng(8)
+    said, want = [], set()
+    for n in [5, 7, 10, 19, 40, 100] * 5:
+        base = [f"w{x}" for x in rng.integers(0, 900, n)]
+        other = list(base)
+        for at in sorted(rng.choice(n - 1, n // 5, replace=False), reverse=True):
+            other[at:at + 1] = [[f"x{rng.integers(900)}"], [], [other[at], f"x{rng.integers(900)}"]][rng.integers(3)]
+        if near(base, other) >= 0.8:
+            want.add((len(said), len(said) + 1))
+        said += [base, other]
+    lh, rows = _numbered_lines(spark, said)
+    pairs = [(lh[i], lh[j], 64) for i in range(len(said)) for j in range(i) if lh[i] != lh[j]]
+    got = {tuple(sorted(r)) for r in lines._alike(spark.createDataFrame(pairs, "a long, b long, bits int"), rows, 0.8).collect()}
+    assert len(want) > 10 and {tuple(sorted((lh[i], lh[j]))) for i, j in want} <= got
+    assert len(got) < 0.1 * sum(min(len(said[i]), len(said[j])) >= 0.8 * max(len(said[i]), len(said[j])) for i in range(len(said)) for j in range(i))
+
+
+@pytest.mark.parametrize("crowd", [4096, 50])
+def test_words_of_lines_that_share_a_common_pair_only_are_not_fetched(spark, monkeypatch, crowd):
+    rng = np.random.default_rng(9)
+    # each bin's rarest pair is one of few, so that unlike lines share keys and groups are large
+    monkeypatch.setattr(lines, "rarity", lambda text: None)
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    fetched, words_of = [], lines._words_of
+    monkeypatch.setattr(lines, "_words_of", lambda wanted, *a: fetched.append((a[-1], wanted.count())) or words_of(wanted, *a))
+    said = [[f"v{x}" for x in rng.integers(0, 3, 16)] + [f"r{i}y{k}" for k in range(40)] for i in range(400)]
+    said += [[*said[7][:-1], "z"], [*said[300][:-2], "z", "z"]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string")
+    assert {r.doc_id for r in lines.repeated_lines(docs, Folder(spark, "common")).collect()} == {400, 401}
+    assert all(n < 40 for name, n in fetched if name != "said") and (crowd == 50) == ("said" in dict(fetched))
