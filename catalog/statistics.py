@@ -142,7 +142,7 @@ s AS (SELECT variant, max(n) FILTER (WHERE grp = 'ALL') AS n_compared, max(n_c)
  max(l50) FILTER (WHERE grp = 'ALL') AS l50, avg(ks + abs(lm)) FILTER (WHERE grp IN ('click','error','view') AND n >= 30) AS fs FROM t GROUP BY variant)
 SELECT variant, n_compared, n_sim_censored, round(ks_all, 6) AS ks_all, round(l50, 6) AS log2_ratio_p50_all, round(fs, 6) AS fit_score, row_number() OVER (ORDER BY fs, variant)::INTEGER AS rank FROM s""")
 def _(s, d):
-    t = A.compare_table(variants(s, d), QUEUES, keys=["variant"])
+    t = A.compare_table(variants(s, d), QUEUES, keys=["variant"], correlation=False)
     return rnd(A.rank_variants(A.fit_summary(t, QUEUES, ["variant"])), 6)
 
 

@@ -26,7 +26,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
 
 
 def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
-              quants: Sequence[tuple[Column, dict[str, float]]]) -> DataFrame:
+              quants: Sequence[tuple[Column, dict[str, float]]], cuts: Cuts | None = None) -> DataFrame:
     """Ordinary aggregates and exact quantiles per group, one row per group of ``df``.
 
     The quantiles of all columns are found together.  A group without values has
@@ -34,7 +34,7 @@ def summarize(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
     """
     keys = list(keys)
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    q = _quantiles(df, keys, quants)  # one row per group
+    q = _quantiles(df, keys, quants, cuts)  # one row per group
     names = [n for _, probs in quants for n in probs]
     if not keys:
         q = stored(q)

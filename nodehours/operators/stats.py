@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodehours.blocks import fill_grid, join_on, level_on_grid, stored
+from nodehours.blocks import Cuts, cut_points, fill_grid, join_on, level_on_grid, stored
 from nodehours.functions import clean as C
 from nodehours.functions.constants import PRODUCTION_NODES, TOTAL_NODES, WAIT_QUANTILES, YEAR_H
 from nodehours.operators.quantiles import ks_distance, spearman, summarize
@@ -45,15 +45,17 @@ def compare(df: DataFrame, obs: str, other: str, keys: Sequence[str] = ()) -> Da
     return _compare(stored(pairs.where(F.col("_o").isNotNull() & F.col("_s").isNotNull())), list(keys))
 
 
-def _compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def _compare(pairs: DataFrame, keys: list[str], cuts: Cuts | None = None, correlation: bool = True) -> DataFrame:
     probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
     # a constant key keeps the three results on one equality join when there are no groups
     ks = keys or ["_all"]
     pairs = pairs if keys else pairs.withColumn("_all", F.lit(0))
+    cuts = cut_points(pairs, "_o", "_s") if cuts is None else cuts
     out = summarize(pairs, ks, {"n": F.count(F.lit(1)), "obs_mean_h": F.avg("_o"), "sim_mean_h": F.avg("_s")},
-                    [(F.col("_o"), _named("obs", probs)), (F.col("_s"), _named("sim", probs))])
-    out = join_on(out, ks_distance(pairs, "_o", "_s", ks), ks, "left")
-    out = join_on(out, spearman(pairs, "_o", "_s", ks), ks, "left")
+                    [(F.col("_o"), _named("obs", probs)), (F.col("_s"), _named("sim", probs))], cuts)
+    out = join_on(out, ks_distance(pairs, "_o", "_s", ks, cuts), ks, "left")
+    if correlation:
+        out = join_on(out, spearman(pairs, "_o", "_s", ks), ks, "left")
 
     def ratio(stat: str) -> Column:
         return F.log2((F.col(f"sim_{stat}_h") + MINUTE) / (F.col(f"obs_{stat}_h") + MINUTE))
@@ -62,11 +64,13 @@ def _compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_table(df: DataFrame, queues: Sequence[str], obs: str = "obs_wait_h", other: str = "sim_wait_lb_h",
-                  keys: Sequence[str] = ()) -> DataFrame:
+                  keys: Sequence[str] = (), correlation: bool = True) -> DataFrame:
     """The comparison for ALL, every listed queue and ``other_queues``, with counts and node-hours.
 
     Each row counts under ALL and under its own label.  The needed columns are
-    stored once, because every statistic reads them.
+    stored once, because every statistic reads them; the cut points of all are
+    drawn from them, where a row stands once.  ``correlation`` False leaves out
+    ``spearman``, which orders all pairs twice.
     """
     label = F.when(F.col("queue").isin(list(queues)), F.col("queue")).otherwise("other_queues")
     narrow = stored(df.select(*keys, label.alias("_label"), "sim_censored", (F.col("nodes") * F.col("runtime_h")).alias("_nh"),
@@ -77,8 +81,9 @@ def compare_table(df: DataFrame, queues: Sequence[str], obs: str = "obs_wait_h",
     side = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_jobs"), F.count_if("sim_censored").alias("n_sim_censored"),
         F.sum("_nh").alias("node_hours"), F.avg("_e").alias("obs_mean_eligible_h"))
-    pairs = rows.where(F.col("_o").isNotNull() & F.col("_s").isNotNull()).select(*keys, "_o", "_s")
-    return join_on(side, _compare(pairs, keys), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = F.col("_o").isNotNull() & F.col("_s").isNotNull()
+    pairs = rows.where(both).select(*keys, "_o", "_s")
+    return join_on(side, _compare(pairs, keys, cut_points(narrow.where(both), "_o", "_s"), correlation), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def comparison_window(df: DataFrame, warmup_h: float, end_h: float, submit: str = "submit_h") -> DataFrame:

@@ -46,3 +46,9 @@ def test_timeline_reads_only_its_columns(spark):
 def test_capped_snapshot_limits_before_the_shuffle(spark):
     plan = entry.queries()["p7_queue_snapshot"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_fit_ranking_orders_no_pairs_for_a_correlation_it_drops(spark, monkeypatch):
+    from nodehours.operators import stats
+    monkeypatch.setattr(stats, "spearman", lambda *a: pytest.fail("not read by the ranking"))
+    assert entry.queries()["a7_fit_ranking"](spark, SF).count() == 3
