@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ BINS = 16  # bins of word pairs; the rarest of each is a key of the line
 GROUP = {"blocks": 16, "pairs": 64}  # lines of a group, by kind of key, that are all paired with each other
 CROWD = 4096  # lines of a larger group that is not connected yet which are still paired by their numbers; beyond, they are by shared words
 PASS = 10_000_000  # words of such lines that are on disk together, or an eighth of all words if that is more
+RARE = 33 + 2 * 17  # counter of a word pair (33 and twice the binary logarithm) up to which fewer than 2**17.5 lines can have it as a key
 SLICE = 8  # keys of a line that are looked at together
 LANE = 16  # bits of a sum of weights, four to a number
 MOST_CHARS = 1 << (LANE - 1)  # such a sum stays below, and weights add up to less than the characters of a line
@@ -73,25 +75,30 @@ def pair_keys(rank: Column, bins: int) -> list[Column]:
     return [F.min(F.when(F.pmod(rank, F.lit(bins)) == b, rank)) for b in range(bins)]
 
 
-def _rank(h: Column, table: bytes | None) -> Column:
+def _rank(h: Column, table: DataFrame | None) -> Column:
     """A word pair's place in a common order of all: rarer ones first, those alike in the order of their hashes."""
     low = h.bitwiseAND(F.lit((1 << 56) - 1))
     if table is None:
         return low
-    common = F.ascii(F.substring(F.lit(table), F.pmod(h, F.lit(len(table))).cast("int") + 1, F.lit(1)).cast("string"))
+    # a literal of that size would be written into every description of the plan, which the driver keeps
+    common = F.ascii(F.substring(table.scalar(), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
     return F.shiftleft(common.cast("long"), 56).bitwiseOR(low)
 
 
-def fingerprinted(docs: DataFrame, table: bytes | None = None) -> DataFrame:
+def fingerprinted(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """doc_id, th (hash of the text) and pos of every line, lh (hash of the normalised line), len in words, chars in them, sim, odd0, .. and keys k0, k1, ..
 
     Words are taken once: with the next one behind it, each is a row whose spread bits are summed and whose pair is ranked by line,
-    which Spark compiles. Lines too long for the sums have wider ones, in a plan of their own if there are any.
+    which Spark compiles. Lines too long for the sums have wider ones, in a plan of their own if there are any. Texts are dealt out
+    before they are cut into lines, so that the sums of a line, several times as wide as its text, need not move.
     """
     usual = F.length("line") < MOST_CHARS
-    out = _summed(_split(docs).where(usual), table, LANE)
-    long = _split(docs.where(F.octet_length("text") >= MOST_CHARS)).where(~usual)
-    return out.unionByName(_summed(long, table, WIDE)) if long.limit(1).count() else out
+    dealt = lambda df: df.repartition("doc_id", "th")
+    out = _summed(_split(dealt(docs)).where(usual), table, LANE)
+    longer = docs.where(F.octet_length("text") >= MOST_CHARS)
+    if not _split(longer).where(~usual).limit(1).count():
+        return out
+    return out.unionByName(_summed(_split(dealt(longer)).where(~usual), table, WIDE))
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def _parity(h: Column) -> list[Column]:
     return [F.bit_xor(F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PARITY // 64 - 1)) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(PARITY // 64)]
 
 
-def _summed(rows: DataFrame, table: bytes | None, lane: int) -> DataFrame:
+def _summed(rows: DataFrame, table: DataFrame | None, lane: int) -> DataFrame:
     line, whole, keys = ["doc_id", "th", "pos"], ["lh", "len", "chars"], [f"k{b}" for b in range(BINS)]
     words = _in_turn(rows, *line).select(*line, *whole, F.xxhash64("w").alias("h"), weight(F.col("w")).alias("n"),
                                          F.when(F.col("next").isNotNull(), _rank(F.xxhash64("w", "next"), table)).alias("rank"))
@@ -172,19 +179,46 @@ def _like(similarity: float, bits: int | str) -> str:
     return f"bit_count(a_sim ^ b_sim) <= {bits} AND least(a_len, b_len) >= {similarity} * greatest(a_len, b_len)"
 
 
-def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str, width: int = SLICE) -> tuple[DataFrame, DataFrame]:
+def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str, width: int = SLICE, ranked: str = "") -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of lines (lh, len, sim, keys) that share a key, all pairs but in groups of more than GROUP[name] lines; and those groups' members (key, head, lh).
 
     Groups of up to three lines follow from sums over the group alone; lines of groups up to GROUP[name] are paired in full, and
     those pairs looked at where they are made; lines of larger groups are paired with the group's first line. No key stands at two
-    places of keys, so SLICE places are taken at a time, and only their rows are on disk together.
+    places of keys, so SLICE places are taken at a time, and only their rows are on disk together. Keys that are
+    ranked tell how many lines can share them at most; rows of those that few can share move once, and their pairs must also meet
+    the condition `ranked` (on a_odd and b_odd).
     """
+    rare = F.shiftrightunsigned("key", 56).between(33, RARE)
     for at in range(0, width, SLICE):
-        posted = keyed.select("lh", "len", "sim", F.explode(F.slice("keys", at + 1, SLICE)).alias("key")).where("key IS NOT NULL")
+        key = F.explode(F.slice("keys", at + 1, SLICE)).alias("key")
+        posted = keyed.select("lh", "len", "sim", key).where("key IS NOT NULL")
+        if ranked:
+            few = keyed.select("lh", "len", "sim", "odd", key).where("key IS NOT NULL").where(rare)
+            folder.put(_in_bounded_groups(few, GROUP[name], f"{like} AND {ranked}"), f"{name}_rare/part{at}")
+            posted = posted.where(~rare)
         _in_groups(posted, folder, name, at, like)
         for kind in ("shared", "members"):
             folder.drop(f"{name}_{kind}")
-    return folder.all(f"{name}_near", "a long, b long"), folder.all(f"{name}_many", "key long, head long, lh long")
+    near, many = folder.all(f"{name}_near", "a long, b long"), folder.all(f"{name}_many", "key long, head long, lh long")
+    if ranked:
+        found = folder.all(f"{name}_rare", "a long, b long, key long")
+        near = near.unionByName(found.where("a <> b").select("a", "b"))
+        many = many.unionByName(found.where("key IS NOT NULL").select("key", F.col("a").alias("head"), F.col("b").alias("lh")))
+    return near, many
+
+
+def _in_bounded_groups(posted: DataFrame, most: int, like: str) -> DataFrame:
+    """Pairs (a, b) of the lines of each key; in groups of more than `most` the first line with each, and the key.
+
+    Rows move once, by key; groups are bounded, so a task holds them. Lines that share their key with no other go before others are gathered.
+    """
+    shared = posted.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
+    line = F.struct("lh", "len", "sim", "odd")
+    group = shared.groupBy("key", "c").agg(F.collect_list(line).alias("g"), F.min(line).alias("head"))
+    firsts = F.when(F.col("c") <= most, F.col("g")).otherwise(F.array("head"))
+    pairs = group.select("key", "c", "g", F.explode(firsts).alias("x")).select("key", "c", "x", F.explode("g").alias("y"))
+    pairs = pairs.select("key", "c", *[F.col(f"{r}.{f}").alias(f"{s}{t}") for r, s in (("x", "a"), ("y", "b")) for f, t in (("lh", ""), ("len", "_len"), ("sim", "_sim"), ("odd", "_odd"))])
+    return pairs.where(f"c > {most} OR a < b AND {like}").select("a", "b", F.when(F.col("c") > most, F.col("key")).alias("key"))
 
 
 def _in_groups(posted: DataFrame, folder: Folder, name: str, at: int, like: str) -> None:
@@ -213,15 +247,21 @@ def _alike(pairs: DataFrame, long: DataFrame, similarity: float) -> DataFrame:
     sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").where("a <> b").groupBy("a", "b").agg(F.max("bits").alias("bits"))
     for x in ("a", "b"):
         sides = sides.join(long.select(F.col("lh").alias(x), *_numbers(x)), x)
-    return sides.where(f"{_like(similarity, 'bits')} AND {_few_flips(similarity)}").select("a", "b")
+    return sides.where(f"{_like(similarity, 'bits')} AND {_few_flips(similarity, _odd())}").select("a", "b")
 
 
 def _numbers(x: str) -> list[Column]:
     return [F.col(c).alias(f"{x}_{c}") for c in ("len", "sim", *_odd())]
 
 
-def _few_flips(similarity: float) -> str:
-    flipped = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _odd())
+def _folded() -> Column:
+    """The parity as 31 bits, for rows that are many: a word still flips one bit or none."""
+    x = reduce(lambda a, b: a.bitwiseXOR(b), map(F.col, _odd()))
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
+
+
+def _few_flips(similarity: float, parity: list[str]) -> str:
+    flipped = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in parity)
     return f"{flipped} <= 2 * {_most(similarity, 'a_len', 'b_len')} - abs(a_len - b_len)"
 
 
@@ -290,7 +330,7 @@ def _among(open_: DataFrame, long: DataFrame, similarity: float) -> DataFrame:
     """Pairs of lines of a group that are in two components and whose lengths, fingerprints and words allow the similarity."""
     told = open_.join(long.select("lh", "len", "sim", *_odd()), "lh")
     a, b = (told.select("key", F.col("lh").alias(x), F.col("g").alias(f"{x}_g"), *_numbers(x)) for x in ("a", "b"))
-    return a.join(b, "key").where(f"a < b AND a_g <> b_g AND {_like(similarity, FAR)} AND {_few_flips(similarity)}").select("a", "b").distinct()
+    return a.join(b, "key").where(f"a < b AND a_g <> b_g AND {_like(similarity, FAR)} AND {_few_flips(similarity, _odd())}").select("a", "b").distinct()
 
 
 def _within(open_: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -319,7 +359,10 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     Of each connected group the occurrence with the smallest id, and the first there, is kept.
     """
     text = docs.select("doc_id", body().alias("text")).withColumn("th", F.xxhash64("text"))
-    lines = folder.put(fingerprinted(text, rarity(text)).where((F.col("len") >= least_words) | (F.col("chars") >= least_chars)), "lines")
+    table = rarity(text)
+    if table is not None:
+        table = folder.put(docs.sparkSession.createDataFrame([(table,)], "levels binary"), "rarity")
+    lines = folder.put(fingerprinted(text, table).where((F.col("len") >= least_words) | (F.col("chars") >= least_chars)), "lines")
     keys = [f"k{b}" for b in range(BINS)]
     kinds = folder.put(lines.groupBy("lh", "len", "sim").agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in [*_odd(), *keys]]), "kinds")
     lines = folder.put(lines.select("doc_id", "th", "pos", "lh", "len", "sim"), "spots")
@@ -327,7 +370,7 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     long = kinds.where(F.col("len") >= least_words)
     p = pieces(long.count())
     blocks, crowds = _candidates(long.select("lh", "len", "sim", block_keys(F.col("sim"), p).alias("keys")), folder, "blocks", _like(similarity, LOOSE), math.comb(p, RADIUS))
-    pairs, groups = _candidates(long.select("lh", "len", "sim", F.array(*keys).alias("keys")), folder, "pairs", _like(similarity, FAR), BINS)
+    pairs, groups = _candidates(long.select("lh", "len", "sim", _folded().alias("odd"), F.array(*keys).alias("keys")), folder, "pairs", _like(similarity, FAR), BINS, _few_flips(similarity, ["odd"]))
     near = blocks.withColumn("bits", F.lit(LOOSE)).unionByName(pairs.withColumn("bits", F.lit(FAR)))
     near = folder.put(_alike(near, long, similarity), "near")
     many = crowds.unionByName(groups)
@@ -341,7 +384,7 @@ def repeated_lines(docs: DataFrame, folder: Folder, least_words: int = 5, simila
     group = folder.put(components(links, "a", "b", folder), "groups")
     if hot:
         open_ = folder.put(_open(many, group), "open")
-        for name in ("blocks_many", "pairs_many"):
+        for name in ("blocks_many", "pairs_many", "pairs_rare"):
             folder.drop(name)
         folder.put(_among(open_.where(F.col("c") <= CROWD), long, similarity), "rest/some")
         crowds = open_.where(F.col("c") > CROWD)

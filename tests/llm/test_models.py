@@ -454,3 +454,55 @@ def test_words_of_lines_that_share_a_common_pair_only_are_not_fetched(spark, mon
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string")
     assert {r.doc_id for r in lines.repeated_lines(docs, Folder(spark, "common")).collect()} == {400, 401}
     assert all(n < 40 for name, n in fetched if name != "said") and (crowd == 50) == ("said" in dict(fetched))
+
+
+def _levels(spark, table):
+    return spark.createDataFrame([(table,)], "levels binary")
+
+
+def test_counts_of_word_pairs_are_not_written_into_plans(spark):
+    text = spark.createDataFrame([(1, 1, "one two three four five\none two three")], "doc_id long, th long, text string")
+    rows = lines.fingerprinted(text, _levels(spark, lines.rarity(text)))
+    plan = rows._jdf.queryExecution().toString()
+    assert len(plan) < lines.BUCKETS
+    # a line's sums are as wide as several lines: texts move, once, and sums stay where they are made
+    assert [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in x and "hashpartitioning(doc_id" not in x] == []
+    assert "pos" not in "".join(x for x in plan.splitlines() if " Exchange " in x)
+    first, second = (set(r[k] for k in range(len(r)) if r[k] is not None) for r in rows.orderBy("pos").select(*[f"k{b}" for b in range(lines.BINS)]).collect())
+    assert second <= first and len(first) == 4 and {k >> 56 for k in second} == {33 + 3} and {k >> 56 for k in first} == {33 + 3, 33 + 2}
+
+
+def test_groups_of_rare_keys_move_once_and_give_no_unlike_pair(spark):
+    rng = np.random.default_rng(10)
+    rows = []  # groups of 2, 3, 40 and 100 lines; in each two are near, two more by fingerprint but not by words
+    for key, n in ((34, 2), (40, 3), (50, 40), (67, 100)):
+        group = [[1000 * key + i, 8, int(rng.integers(1 << 62)), int(rng.integers(1 << 31)), [key << 56 | 7]] for i in range(n)]
+        group[-1][2:4] = [group[0][2] ^ 5, group[0][3] ^ 3]
+        if n > 3:
+            group[-2][2:4] = [group[1][2] ^ 5, group[1][3] ^ 0x7FFFFFFF]
+        rows += group
+    rows.append([1, 8, 1, 1, [35 << 56 | 9]])
+    keyed = spark.createDataFrame(rows, "lh long, len int, sim long, odd int, keys array<long>")
+    folder, made, put = Folder(spark, "rare"), [], Folder.put
+    folder.put = lambda df, name: made.append((name, df._jdf.queryExecution().executedPlan().toString().count(" Exchange "))) or put(folder, df, name)
+    pairs, many = lines._candidates(keyed, folder, "pairs", lines._like(0.8, 8), ranked=lines._few_flips(0.8, ["odd"]))
+    near_ = {(34_000, 34_001), (40_000, 40_002), (50_000, 50_039)}
+    assert {tuple(r) for r in pairs.collect()} == near_ | {(67_000, 67_000 + i) for i in range(1, 100)}
+    assert {tuple(r) for r in many.collect()} == {((67 << 56 | 7), 67_000, 67_000 + i) for i in range(100)}
+    assert dict(made)["pairs_rare/part0"] == 1
+
+
+def test_folded_parity_loses_no_near_line(spark):
+    rng = np.random.default_rng(11)
+    said = []
+    for n in [5, 9, 20, 40] * 10:
+        base = [f"w{x}" for x in rng.integers(0, 900, n)]
+        other = list(base)
+        for at in sorted(rng.choice(n - 1, n // 5, replace=False), reverse=True):
+            other[at:at + 1] = [[f"x{rng.integers(900)}"], [], [other[at], f"x{rng.integers(900)}"]][rng.integers(3)]
+        said += [base, other]
+    _, rows = _numbered_lines(spark, said)
+    side = lambda x, r: rows.where(f"doc_id % 2 = {r}").select(F.floor(F.col("doc_id") / 2).alias("i"), F.col("len").alias(f"{x}_len"), lines._folded().alias(f"{x}_odd"))
+    near_ = [i for i in range(len(said) // 2) if near(said[2 * i], said[2 * i + 1]) >= 0.8]
+    got = {r.i for r in side("a", 0).join(side("b", 1), "i").where(lines._few_flips(0.8, ["odd"])).collect()}
+    assert len(near_) > 20 and set(near_) <= got
