@@ -141,10 +141,10 @@ def line_dedup(spark, d):
     from nodehours.llm.common import body
     from nodehours.llm.lines import dedup_lines
     docs = table(spark, d, "documents")
-    before = F.col("text_before")
     lines = lambda c: F.size(F.split(c, "\n")).cast("long")
-    out = dedup_lines(docs.select("doc_id", "text", body().alias("text_before")), least_words=5, similarity=0.8)
-    return out.select("doc_id", lines(before).alias("n_lines"), F.octet_length(before).cast("long").alias("n_bytes"),
+    sized = docs.select("doc_id", "text", lines(body()).alias("n_lines"), F.octet_length(body()).cast("long").alias("n_bytes"))
+    out = dedup_lines(sized, least_words=5, similarity=0.8)
+    return out.select("doc_id", "n_lines", "n_bytes",
                       lines(F.coalesce("text", F.lit(""))).alias("kept_lines"),
                       F.octet_length(body()).cast("long").alias("kept_bytes"), F.sha2(body(), 256).alias("kept_sha256"))
 
