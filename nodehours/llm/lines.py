@@ -201,14 +201,14 @@ def _candidates(keyed: DataFrame, folder: Folder, name: str, like: str, width: i
             folder.drop(f"{name}_{kind}")
     near, many = folder.all(f"{name}_near", "a long, b long"), folder.all(f"{name}_many", "key long, head long, lh long")
     if ranked:
-        found = folder.all(f"{name}_rare", "a long, b long, key long")
-        near = near.unionByName(found.where("a <> b").select("a", "b"))
+        found = folder.all(f"{name}_rare", "a long, b long, key long, alike boolean")
+        near = near.unionByName(found.where("alike").select("a", "b"))
         many = many.unionByName(found.where("key IS NOT NULL").select("key", F.col("a").alias("head"), F.col("b").alias("lh")))
     return near, many
 
 
 def _in_bounded_groups(posted: DataFrame, most: int, like: str) -> DataFrame:
-    """Pairs (a, b) of the lines of each key; in groups of more than `most` the first line with each, and the key.
+    """Pairs (a, b) of the lines of each key that are alike; in groups of more than `most` the first line with each, alike or not, and the key.
 
     Rows move once, by key; groups are bounded, so a task holds them. Lines that share their key with no other go before others are gathered.
     """
@@ -218,7 +218,8 @@ def _in_bounded_groups(posted: DataFrame, most: int, like: str) -> DataFrame:
     firsts = F.when(F.col("c") <= most, F.col("g")).otherwise(F.array("head"))
     pairs = group.select("key", "c", "g", F.explode(firsts).alias("x")).select("key", "c", "x", F.explode("g").alias("y"))
     pairs = pairs.select("key", "c", *[F.col(f"{r}.{f}").alias(f"{s}{t}") for r, s in (("x", "a"), ("y", "b")) for f, t in (("lh", ""), ("len", "_len"), ("sim", "_sim"), ("odd", "_odd"))])
-    return pairs.where(f"c > {most} OR a < b AND {like}").select("a", "b", F.when(F.col("c") > most, F.col("key")).alias("key"))
+    pairs = pairs.select("a", "b", F.when(F.col("c") > most, F.col("key")).alias("key"), F.expr(f"a < b AND {like}").alias("alike"))
+    return pairs.where("key IS NOT NULL OR alike")
 
 
 def _in_groups(posted: DataFrame, folder: Folder, name: str, at: int, like: str) -> None:
