@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodehours.llm.common import Folder, body, checked
-from nodehours.llm.tally import got, put
+from nodehours.llm.tally import got, got_sorted, put, put_sorted
 from nodehours.llm.trie import DoubleArray
 from nodehours.llm.words import MIX, mixed, sliced
 
 BLOCK_BYTES = 4 << 20  # text of a block
 WAITING_BYTES = 12 << 20  # texts of all languages that wait in a task for their blocks
 SLICE = 1 << 18  # words of a block that are worked on together
-BUCKETS = 1 << 22  # counters of hashed phrases of one length; whatever shares one only makes more candidates
-TABLES = 2  # of such counters, by different bits of the hash; a phrase must reach the least frequency in each
-CHUNK = 1 << 14  # counters that are summed together
-SHARES = 64  # into which observed phrases of a language are dealt
-PART = 500_000  # candidates of a trie; more of them take more tries, one after the other
+ROOM = 8  # counters of hashed phrases of one length for each word of the corpus; whatever shares one only makes more candidates
+RANGE = 1 << 21  # words of the corpus for each range of counters
+HASHES, WINDOWS = 1 << 21, 1 << 19  # phrases and windows that wait in a task before equal ones are made one
+BITS = 64  # of a sieve for each counter it holds, SIEVE_BITS in all at most; fewer only make more candidates
+SIEVE_BITS = 1 << 28
+SHARES = 64  # ranges of counters and tries, at least
+PART = 500_000  # words of the corpus for each trie, times the lengths of phrases from 2 on
 WORD_BYTES = 16 << 20  # frequent words that may be broadcast; the join shuffles beyond
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -113,15 +116,35 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(batch, k)
 
 
-def _bucket(h: np.ndarray, table: int) -> np.ndarray:
-    return ((h >> np.uint64(32 * table)) % np.uint64(BUCKETS)).astype(np.int64)
+class Sieve:
+    """Bits that tell which counters reach the least frequency; a few others pass as well."""
 
+    def __init__(self, keys: list[np.ndarray], shift: int) -> None:
+        most = max(1 << 16, BITS * sum(map(len, keys)))
+        self.shift, self.mask = np.uint64(shift), np.uint64(min(SIEVE_BITS, 1 << (most - 1).bit_length()) - 1)
+        self.bits = np.zeros((int(self.mask) + 1) // 8, np.uint8)
+        for some in keys:
+            for at in self._places(some):
+                np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-def _grams(codes: np.ndarray, ids: np.ndarray, key: np.ndarray, kept: list[np.ndarray], most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(keys * MIX)
+        return h & self.mask, (h >> np.uint64(32)) & self.mask
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes whose counters pass."""
+        hit = np.arange(len(h))
+        for t in range(2):
+            at = self._places(h[hit] >> self.shift)[t]
+            hit = hit[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return hit
+
+
+def _grams(codes: np.ndarray, ids: np.ndarray, key: np.ndarray, kept: list[Sieve], most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length of 2 words on: where in a stretch Apriori-safe phrases start, their hashes, and places in the length before.
 
-    A phrase is safe if both phrases one word shorter are safe and their counters reach the least frequency; for two words,
-    if both words are frequent. kept holds one bit a counter for each length known so far.
+    A phrase is safe if both phrases one word shorter are safe and its counter reaches the least frequency; for two words,
+    if both words are frequent. kept holds a sieve for each length known so far.
     """
     at = np.flatnonzero((ids >= 0)[codes])
     h = key[codes[at]]
@@ -130,10 +153,8 @@ def _grams(codes: np.ndarray, ids: np.ndarray, key: np.ndarray, kept: list[np.nd
         at = at[pair]
         h = mixed(h[pair] * MIX + key[codes[at + k - 1]])
         if k - 2 < len(kept):
-            for t in range(TABLES):
-                bucket = _bucket(h, t)
-                hit = np.flatnonzero((kept[k - 2][t][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1)
-                at, h, pair = at[hit], h[hit], pair[hit]
+            hit = kept[k - 2].passing(h)
+            at, h, pair = at[hit], h[hit], pair[hit]
         yield k, at, h, pair
 
 
@@ -141,125 +162,172 @@ def _keys(ids: np.ndarray) -> np.ndarray:
     return mixed(ids.astype(np.uint64) * MIX)
 
 
-def _reached(blocks: DataFrame, kept: list[np.ndarray], k: int, least: int) -> np.ndarray:
-    """One bit for each counter of hashed safe phrases of k words: whether it reaches the least frequency.
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
-    Counters of a task are cut off at that frequency; chunks of all tasks stream through the task that sums them.
+
+def _reached(blocks: DataFrame, kept: list[Sieve], k: int, least: int, n: int) -> Sieve:
+    """Which counters of hashed safe phrases of k words reach the least frequency.
+
+    There are ROOM counters for each of the n words, so they follow the corpus. Those that a task has met are handed over in
+    ranges; counts of all tasks stream through the task that sums a range.
     """
+    wide = max(20, (ROOM * n - 1).bit_length())  # bits of a counter's number
+    ranges = max(SHARES, -(-n // RANGE))
+    edges = np.array([-(-(i << wide) // ranges) for i in range(ranges)], np.uint64)
+    shift = np.uint64(64 - wide)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TABLES, BUCKETS), np.int32)
+        waiting: list[np.ndarray] = []
+
+        def handed() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate([*waiting, np.zeros(0, np.uint64)]))
+            waiting.clear()
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+            counts = np.minimum(np.diff(np.append(first, len(keys))), least).astype("<u4")
+            keys = keys[first]
+            cut = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
+            full = [i for i in range(ranges) if cut[i] < cut[i + 1]]
+            return pa.record_batch({"range": pa.array(full, pa.int64()),
+                                    "keys": pa.array([put_sorted(keys[cut[i]:cut[i + 1]]) for i in full], pa.binary()),
+                                    "counts": pa.array([put(counts[cut[i]:cut[i + 1]]) for i in full], pa.binary())})
+
         for b in _rows(batches):
             key = _keys(b.ids)
             for codes in b.slices(k):
                 *_, (_, _, h, _) = _grams(codes, b.ids, key, kept, k)
-                for t in range(TABLES):
-                    np.add(total[t], np.bincount(_bucket(h, t), minlength=BUCKETS), out=total[t], casting="unsafe")
-            np.minimum(total, least, out=total)
-        flat = total.reshape(-1, CHUNK)
-        full = np.flatnonzero(flat.any(1))
-        yield pa.record_batch({"chunk": pa.array(full.astype(np.int32)), "counts": pa.array([put(c) for c in flat[full]], pa.binary())})
+                waiting.append(h >> shift)
+                if sum(map(len, waiting)) >= HASHES:
+                    yield handed()
+        yield handed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, c in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                sums[i] = np.minimum(sums.get(i, 0) + got(c, "<i4"), least)
-        bits = [np.packbits(s >= least).tobytes() for s in sums.values()]
-        yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array(bits, pa.binary())})
+        for _, rows in _runs(batches, "range"):
+            sums, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+            for row in rows:
+                waiting.append((got_sorted(row["keys"]), got(row["counts"], "<u4").astype(np.int64)))
+                if sum(len(w[0]) for w in waiting) > max(1 << 20, len(sums[0])):
+                    sums, waiting = _summed(*map(np.concatenate, zip(sums, *waiting, strict=True))), []
+            keys, counts = _summed(*map(np.concatenate, zip(sums, *waiting, strict=True)))
+            yield pa.record_batch({"keys": pa.array([put_sorted(keys[counts >= least])], pa.binary())})
+
+    sums = blocks.mapInArrow(count, "range long, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
+    return Sieve([got_sorted(r["keys"]) for r in sums.mapInArrow(add, "keys binary").collect()], int(shift))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows of one value after the other, of rows in the order of that column."""
+    return groupby((row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()), key=lambda r: r[by])
+
+
+def _put_rows(rows: np.ndarray) -> bytes:
+    """Column after column, byte planes apart, so that leading zeros take no room; -1 becomes 0."""
+    n, width = rows.shape
+    return put(np.ascontiguousarray(np.ascontiguousarray((rows + 1).T).view(np.uint8).reshape(width, n, 8).transpose(0, 2, 1)))
 
-    chunks = blocks.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, bits binary")
-    out = np.zeros(TABLES * BUCKETS // 8, np.uint8)
-    for r in chunks.collect():  # one bit a counter
-        out[r.chunk * CHUNK // 8:(r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(TABLES, -1)
 
+def _got_rows(b: bytes, width: int) -> np.ndarray:
+    planes = got(b, "u1").reshape(width, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(width, -1).T - 1
 
-def _observed(blocks: DataFrame, kept: list[np.ndarray], most_words: int) -> DataFrame:
-    """lang and w1, w2, .. of the distinct safe phrases (-1 behind the last word).
 
-    Each stretch of a block hands its distinct phrases, dealt into shares by their first two words, to the task that joins the share.
+def _distinct(rows: np.ndarray, key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows made one, in the order of a hash. Rows are compared; unlike ones of one hash may leave some that stand twice."""
+    order = np.argsort(key)
+    rows = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    first = np.flatnonzero(new)
+    return rows[first], key[order][first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _windows(blocks: DataFrame, kept: list[Sieve], most_words: int, parts: int) -> DataFrame:
+    """part, windows and counts: from every position on, the words of the longest safe phrase (-1 behind them), equal ones counted.
+
+    All phrases that begin with the same two words are in one part.
     """
-    names = [f"w{i + 1}" for i in range(most_words)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def handed() -> pa.RecordBatch:
+            rows, key = (np.concatenate(x) for x in zip((np.zeros((0, most_words), np.int64), np.zeros(0, np.uint64)), *waiting, strict=True))
+            waiting.clear()
+            rows, key, counts = _distinct(rows, key, np.ones(len(rows), np.int64))
+            part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1) != 0), len(part)).tolist()
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            return pa.record_batch({"part": pa.array([int(part[lo]) for lo, _ in spans], pa.int64()),
+                                    "windows": pa.array([_put_rows(rows[lo:hi]) for lo, hi in spans], pa.binary()),
+                                    "counts": pa.array([put(counts[lo:hi].astype("<u4")) for lo, hi in spans], pa.binary())})
+
         for b in _rows(batches):
             key = _keys(b.ids)
             for codes in b.slices(most_words):
-                name = codes[b.ids[codes] >= 0].astype(np.int64)  # number of the phrase that ends one word earlier
-                found = []
-                for k, at, _, before in _grams(codes, b.ids, key, kept, most_words):
-                    _, first, name = np.unique(name[before] << 32 | codes[at + k - 1], return_index=True, return_inverse=True)
-                    found.append(np.column_stack([b.ids[codes[at[first] + i]] if i < k else np.full(len(first), -1) for i in range(most_words)]))
-                rows = np.concatenate(found)
-                share = (mixed(_keys(rows[:, 0]) ^ rows[:, 1].astype(np.uint64)) % np.uint64(SHARES)).astype(np.int64)
-                full = np.unique(share).tolist()
-                yield pa.record_batch({"lang": pa.array([b.lang] * len(full), pa.string()), "share": pa.array(full, pa.int64()),
-                                       "phrases": pa.array([put(rows[share == x]) for x in full], pa.binary())})
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple[str, int], np.ndarray] = {}
-        waiting: dict[tuple[str, int], list[np.ndarray]] = {}
-
-        def distinct(x: tuple[str, int]) -> None:
-            sets[x] = np.unique(np.concatenate([sets.get(x, np.zeros((0, most_words), np.int64)), *waiting.pop(x)]), axis=0)
-
-        for batch in batches:
-            for lang, share, phrases in zip(*(batch[c].to_pylist() for c in ("lang", "share", "phrases")), strict=True):
-                x = (lang, share)
-                waiting.setdefault(x, []).append(got(phrases, "<i8").reshape(-1, most_words))
-                if sum(map(len, waiting[x])) > max(20_000, len(sets.get(x, ()))):
-                    distinct(x)
-        for x in list(waiting):
-            distinct(x)
-        for (lang, _), rows in sets.items():
-            yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), *map(pa.array, rows.T.copy())], ["lang", *names])
-
-    handed = blocks.mapInArrow(emit, "lang string, share long, phrases binary")
-    return handed.repartition("lang", "share").mapInArrow(join, "lang string, " + ", ".join(f"{n} long" for n in names))
-
-
-def _counted(blocks: DataFrame, candidates: DataFrame, parts: int, names: list[str], folder: Folder) -> DataFrame:
-    """num and a: occurrences of every candidate, by one trie after the other, each broadcast to all blocks.
-
-    A task counts the states it accepts over all its blocks; chunks of these counts stream through the task that sums them.
+                for k, at, h, before in _grams(codes, b.ids, key, kept, most_words):
+                    place = np.arange(len(at)) if k == 2 else place[before]
+                    if k == 2:
+                        own, pairs, last = at < SLICE, h, h.copy()  # others start in the next stretch
+                        rows = np.full((len(at), most_words), -1, np.int64)
+                        rows[:, 0] = b.ids[codes[at]]
+                    rows[place, k - 1] = b.ids[codes[at + k - 1]]
+                    last[place] = h
+                waiting.append((rows[own], ((pairs >> np.uint64(32) << np.uint64(32)) | last >> np.uint64(32))[own]))
+                if sum(len(w[1]) for w in waiting) >= WINDOWS:
+                    yield handed()
+        yield handed()
+
+    return blocks.mapInArrow(emit, "part long, windows binary, counts binary")
+
+
+def _counted(windows: DataFrame, names: list[str], least: int) -> DataFrame:
+    """w1, w2, .. (-1 behind the last word) and a: the candidates that occur a >= least times.
+
+    Candidates of a part are the beginnings of its windows. They enter a trie, which is matched from the start of all windows of the
+    part at once; a state it accepts has the sum of the counts of the windows that reach it.
     """
-    spark, counts = blocks.sparkSession, []
-    for p in range(parts):
-        some = candidates.where(F.col("part") == p).select("num", *names).toArrow()  # PART rows, about
-        num = some["num"].to_numpy()
-        trie = DoubleArray(np.column_stack([some[n].to_numpy() for n in names]), np.arange(len(num)))
-        shared, told = spark.sparkContext.broadcast(trie), spark.sparkContext.broadcast(num)
-
-        def visit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie = shared.value
+    width = len(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, "part"):
+            sums, waiting = (np.zeros((0, width), np.int64), np.zeros(0, np.int64)), []
+
+            def merged(sums: tuple, waiting: list) -> tuple[np.ndarray, np.ndarray]:
+                every, counts = map(np.concatenate, zip(sums, *waiting, strict=True))
+                key = np.zeros(len(every), np.uint64)
+                for w in every.T:
+                    key = mixed(key * MIX + w.astype(np.uint64))
+                every, _, counts = _distinct(every, key, counts)
+                return every, counts
+
+            for row in rows:
+                waiting.append((_got_rows(row["windows"], width), got(row["counts"], "<u4").astype(np.int64)))
+                if sum(len(w[1]) for w in waiting) > max(1 << 18, len(sums[1])):
+                    sums, waiting = merged(sums, waiting), []
+            every, counts = merged(sums, waiting)
+            order = np.lexsort(every.T[::-1])
+            every, counts = every[order], counts[order]
+            candidates, new = [], np.zeros(len(every), bool)
+            new[:1] = True
+            for k in range(1, width + 1):  # beginnings of k words, where the window before has another one
+                new[1:] |= every[1:, k - 1] != every[:-1, k - 1]
+                if k > 1:
+                    some = every[new & (every[:, k - 1] >= 0)]
+                    some[:, k:] = -1
+                    candidates.append(some)
+            candidates = np.concatenate(candidates)
+            trie = DoubleArray(candidates, np.arange(len(candidates)))
             total = np.zeros(len(trie.check), np.int64)
-            for b in _rows(batches):
-                own = trie.codes_of(b.ids)
-                for codes in b.slices(trie.depth):
-                    trie.visit(own[codes], SLICE, total)
-            accepts = np.flatnonzero(trie.label >= 0)
-            count = np.zeros(len(accepts), np.int64)
-            count[trie.label[accepts]] = total[accepts]
-            at = [i for i in range(0, len(count), CHUNK) if count[i:i + CHUNK].any()]
-            yield pa.record_batch({"at": pa.array(at, pa.int64()), "counts": pa.array([put(count[i:i + CHUNK]) for i in at], pa.binary())})
-
-        def add(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for i, c in zip(batch["at"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                    sums[i] = sums.get(i, 0) + got(c, "<i8")
-            for i, a in sums.items():
-                yield pa.record_batch({"num": pa.array(told.value[i:i + CHUNK]), "a": pa.array(a)})
-
-        sums = blocks.mapInArrow(visit, "at long, counts binary").repartition("at").mapInArrow(add, "num long, a long")
-        counts.append(folder.put(sums, f"counts{p}"))
-        shared.destroy()
-        told.destroy()
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+            trie.walk(trie.codes_of(every.ravel()), np.arange(0, every.size, width), total, counts)
+            accepts = np.flatnonzero((trie.label >= 0) & (total >= least))
+            found = candidates[trie.label[accepts]]
+            yield pa.record_batch([*map(pa.array, found.T.copy()), pa.array(total[accepts])], [*names, "a"])
+
+    dealt = windows.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(count, ", ".join(f"{n} long" for n in [*names, "a"]))
 
 
 def _score() -> Column:
@@ -277,10 +345,11 @@ def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent
     lowest floor(1000 * a * n / (l * r)) counts, the earliest of equals. Candidates inside a longer one with at least percent of
     their occurrences go; of the rest the first top by score, then a, then phrase (in the order of its bytes) come back.
 
-    Blocks of texts are encoded once. Candidates are found level by level: hashed counters first drop what cannot reach
-    the least frequency, then the distinct phrases left, all of whose parts are left, enter double-array tries of PART phrases
-    that are broadcast one after the other and give exact counts. Null text has no words; null lang is und. Repeated
-    rows count each. Other columns are ignored; an empty table, or one without candidates, gives no rows.
+    Blocks of texts are encoded once. Candidates are found level by level: hashed counters, whose number follows the corpus,
+    first drop what cannot reach the least frequency; the distinct phrases left, all of whose parts are left, enter double-array
+    tries, one for each part of the pairs of words they begin with, which give exact counts. Null text has no words;
+    null lang is und. Repeated rows count each. Other columns are ignored; an empty table, or one without candidates, gives
+    no rows.
     """
     spark = docs.sparkSession
     folder = Folder(spark, "phrases")
@@ -300,19 +369,16 @@ def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent
     blocks = folder.put(blocks.select("lang", "codes", "n_vocabulary", F.col("known.at").alias("at"), F.col("known.id").alias("id")), "blocks")
     folder.drop("raw")
 
-    kept: list[np.ndarray] = []
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    kept: list[Sieve] = []
     for k in range(2, most_words + 1):
-        kept.append(_reached(blocks, kept, k, least))
-    seen = folder.put(_observed(blocks, kept, most_words), "seen")
-    parts = max(1, -(-seen.count() // PART))
-    candidates = folder.put(seen.withColumn("part", F.pmod(F.xxhash64("w1", "w2"), F.lit(parts))).withColumn(
-        "num", F.monotonically_increasing_id()), "candidates")
-    folder.drop("seen")
-    counts = _counted(blocks, candidates, parts, names, folder).where(F.col("a") >= least)
-    folder.drop("blocks")
+        kept.append(_reached(blocks, kept, k, least, n))
+    parts = max(SHARES, -(-n // ((most_words - 1) * PART)))
+    counts = _counted(_windows(blocks, kept, most_words, parts), names, least)
     ids = F.filter(F.array(*names), lambda w: w >= 0)
-    found = folder.put(counts.join(candidates, "num").select("lang", ids.alias("ids"), F.size(ids).alias("k"), "a"), "found")
-    folder.drop("candidates")
+    found = counts.join(near(words.select(F.col("id").alias("w1"), "lang")), "w1")
+    found = folder.put(found.select("lang", ids.alias("ids"), F.size(ids).alias("k"), "a"), "found")
+    folder.drop("blocks")
 
     every = found.select(F.col("ids").alias("part"), "a").unionByName(words.select(F.array("id").alias("part"), F.col("f").alias("a")))
     every = folder.put(every, "every")

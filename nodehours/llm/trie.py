@@ -95,18 +95,20 @@ class DoubleArray:
         return np.where(self.symbols[at] == symbols, at, -1).astype(np.int32) if len(self.symbols) else np.full(len(symbols), -1, np.int32)
 
     def visit(self, text: np.ndarray, most: int, total: np.ndarray) -> None:
-        """Add to total how often each state is reached from the first most positions of a text of the trie's own numbers (-1: none).
+        """Add to total how often each state is reached from the first most positions of a text of the trie's own numbers (-1: none)."""
+        self.walk(text, np.flatnonzero(text[:most] >= 0), total)
+
+    def walk(self, text: np.ndarray, at: np.ndarray, total: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Add to total how often each state is reached from some positions of a text, each counted by its weight (None: 1).
 
         All positions move together, one level after the other; those without a transition fall out.
         """
         text = np.append(text, np.full(self.depth, -1, text.dtype))
-        at = np.flatnonzero(text[:most] >= 0)
         state = np.zeros(len(at), np.int32)
         for _ in range(self.depth):
-            symbol = text[at]
-            known = symbol >= 0
-            at, state, symbol = at[known], state[known], symbol[known]
-            to = self.base[state] + symbol
-            stays = self.check[to] == state
+            to = self.base[state] + text[at]
+            stays = np.flatnonzero((text[at] >= 0) & (self.check[to] == state))
             at, state = at[stays] + 1, to[stays]
-            total += np.bincount(state, minlength=len(total))
+            if weight is not None:
+                weight = weight[stays]
+            total += np.bincount(state, weight, minlength=len(total)).astype(np.int64)

@@ -8,8 +8,10 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from nodehours.llm import phrases
 from nodehours.llm.eigen import above, leading, tridiagonal
 from nodehours.llm.mixing import mix, stream
 from nodehours.llm.phrases import collocations, pieces
@@ -244,6 +246,67 @@ def test_collocations_of_a_long_text_and_of_nothing(spark):
     assert collocations(cases.frame(spark, [(1, None, None, None, None), (2, "one two", "en", None, None)])).count() == 0
 
 
+def test_collocations_take_no_trie_through_the_driver(spark, rows, monkeypatch):
+    def in_a_task(*a):
+        assert TaskContext.get() is not None
+        return DoubleArray(*a)
+
+    monkeypatch.setattr(phrases, "DoubleArray", in_a_task)
+    monkeypatch.setattr(phrases, "SIEVE_BITS", 8, raising=False)  # sieves that nearly all passes only make more candidates
+    got = collocations(cases.frame(spark, rows), 4, 5, 100, 50)
+    assert sorted(map(tuple, got.collect())) == mined(rows, 4, 5, 100, 50)
+
+
+def test_counters_follow_the_corpus(spark, rows, monkeypatch):
+    """Of pairs that occur too rarely hardly any pass, however many words the corpus has."""
+    reached, seen = phrases._reached, []
+
+    def noted(blocks, kept, k, least, n):
+        sieve = reached(blocks, kept, k, least, n)
+        if k == 2:
+            seen.append((n, sieve, reached(blocks, kept, k, least, 10 ** 12)))
+        return sieve
+
+    monkeypatch.setattr(phrases, "_reached", noted)
+    collocations(cases.frame(spark, rows), 3, 5, 100, 50).collect()
+    (n, *sieves), = seen
+    other = phrases.mixed(np.arange(1, 500_001, dtype=np.uint64))
+    for words, sieve in zip((n, 10 ** 12), sieves, strict=True):
+        assert 1 << (64 - int(sieve.shift)) >= 8 * words
+        assert len(sieve.passing(other)) < 5_000
+        assert len(sieve.bits) < 1 << 20
+
+
+def test_windows_count_every_position_once(spark):
+    """A text longer than a stretch: what begins in the words shared by two of them counts once."""
+    words = phrases.SLICE + 40_000
+    long = [(1, " ".join(f"w{i * i % 211}" for i in range(words)), "xx", None, None), (2, "w1 w4. w9 w16 w25", "xx", None, None)]
+    assert sorted(map(tuple, collocations(cases.frame(spark, long), least=1000, top=500).collect())) == mined(long, 5, 1000, 100, 500)
+
+
+def test_rows_of_windows_survive_their_bytes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        rows = rng.integers(-1, 1 << 40, (n, 5)) * rng.integers(0, 2, (n, 5))
+        assert np.array_equal(phrases._got_rows(phrases._put_rows(rows), 5), rows)
+        key = np.zeros(n, np.uint64)  # one hash for all: equal rows may stand twice, none is lost or mixed with another
+        some, _, counts = phrases._distinct(np.repeat(rows, 3, 0), np.repeat(key, 3), np.ones(3 * n, np.int64))
+        assert Counter({tuple(r): 0 for r in some.tolist()}).keys() == {tuple(r) for r in rows.tolist()} and counts.sum() == 3 * n
+
+
+def test_trie_sums_weights_from_given_starts():
+    rng = np.random.default_rng(8)
+    windows = rng.integers(0, 6, (400, 4))
+    windows[np.arange(4) >= rng.integers(1, 5, 400)[:, None]] = -1
+    weight = rng.integers(1, 9, 400)
+    held = np.unique(windows[:150], axis=0)
+    trie = DoubleArray(held, np.arange(len(held)))
+    total = np.zeros(len(trie.check), np.int64)
+    trie.walk(trie.codes_of(windows.ravel()), np.arange(0, 1600, 4), total, weight)
+    got = {int(x): int(total[s]) for s, x in enumerate(trie.label) if x >= 0}
+    assert got == {i: int(weight[((windows == h) | (h < 0)).all(1)].sum()) for i, h in enumerate(held)}
+
+
 def test_scores_beyond_64_bits(spark):
     from nodehours.llm.phrases import _score
     big = [(10 ** 11, 10 ** 13, 2 * 10 ** 11, 3 * 10 ** 11), (7, 10 ** 15 + 1, 7, 9)]
